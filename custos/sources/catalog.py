@@ -135,6 +135,11 @@ def register_tables(session: SparkSession, catalog: Mapping[str, TableSpec],
         if view in registered:
             raise ValueError(
                 f"tables {registered[view]!r} and {name!r} would both be registered as {view!r}")
-        load_table(session, catalog, name).createOrReplaceTempView(view)
+        df = load_table(session, catalog, name)
+        # A view lands in the session that built the DataFrame: a builder that
+        # ignores the session it is given would leak the view elsewhere.
+        if df.sparkSession is not session:
+            raise ValueError(f"table {name!r} was not built in the session it was loaded for")
+        df.createOrReplaceTempView(view)
         registered[view] = name
     return registered
