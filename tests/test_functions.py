@@ -1,0 +1,59 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from custos.functions.components import (
+    component_column,
+    policy_component_column,
+    resolve_component,
+    value_columns,
+)
+from custos.functions.dates import birth_date_bounds, birth_date_bounds_col, years_before
+
+
+def test_component_names():
+    assert component_column("cholesterol") == "cholesterol_total_value"
+    assert component_column("fibrinogen") == "fibrinogen_value"
+    assert component_column("cholesterol.hdl") == "cholesterol_hdl_value"
+    # the text sent to the policy service keeps the dot
+    assert policy_component_column("cholesterol.hdl") == "cholesterol.hdl_value"
+    assert resolve_component(["patientId", "date", "fibrinogen_value"], "fibrinogen") == "fibrinogen_value"
+    with pytest.raises(ValueError):
+        resolve_component(["patientId", "date"], "fibrinogen")
+    with pytest.raises(ValueError):
+        component_column("")
+    assert value_columns(["patientId", "date", "a_value", "b", "c_value"]) == ["a_value", "c_value"]
+
+
+def test_years_before_clamps_leap_day():
+    assert years_before(dt.date(2024, 2, 29), 1) == dt.date(2023, 2, 28)
+    assert years_before(dt.date(2024, 2, 29), 4) == dt.date(2020, 2, 29)
+    assert years_before(dt.date(2024, 3, 1), 1) == dt.date(2023, 3, 1)
+
+
+def test_birth_date_bounds():
+    assert birth_date_bounds(dt.date(2024, 1, 1), 18, 40) == (dt.date(1984, 1, 1), dt.date(2006, 1, 1))
+    with pytest.raises(ValueError):
+        birth_date_bounds(dt.date(2024, 1, 1), 40, 40)
+    with pytest.raises(ValueError):
+        birth_date_bounds(dt.date(2024, 1, 1), 41, 40)
+
+
+def test_bounds_column_form_equals_scalar_form(spark):
+    as_of = dt.date(2024, 2, 29)
+    ages = [(s, s + e) for s in range(0, 30, 3) for e in (1, 2, 5, 21)]
+    df = spark.createDataFrame(ages, "s int, e int")
+    low, high = birth_date_bounds_col(F.lit(as_of), F.col("s"), F.col("e"))
+    got = {(r.s, r.e): (r.lo, r.hi) for r in df.select("s", "e", low.alias("lo"), high.alias("hi")).collect()}
+    for s, e in ages:
+        assert got[(s, e)] == birth_date_bounds(as_of, s, e)
+
+
+def test_literal_like_types(spark):
+    from custos.functions.predicates import literal_like
+
+    assert literal_like("x", T.LongType()) is None
+    assert literal_like("2024-13-01", T.DateType()) is None
+    assert literal_like("12", T.LongType()) is not None
