@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from custos.constants import BIRTH_DATE, BLOOD_TESTS, DATE, PROFILES, SOCIAL_ID, SUBJECT_ID
 from custos.plans.policy import Envelope
-from custos.sources.catalog import TableSpec
+from custos.sources.catalog import TableSpec, stream_parquet
 
 # Which event type stands for which blood-test component column.
 EVENT_COMPONENTS = (
@@ -46,9 +46,16 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def blood_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(patientId, date, cholesterol_total_value, cholesterol_hdl_value, fibrinogen_value)``."""
-    events = raw(spark, sf_dir, "events")
+def blood_tests(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """``(patientId, date, cholesterol_total_value, cholesterol_hdl_value, fibrinogen_value)``.
+
+    With ``stream=True`` the events file is read as a stream, so the same
+    blood tests arrive through Structured Streaming.
+    """
+    if stream:
+        events = stream_parquet(spark, sf_dir, {"pathGlobFilter": "events.parquet"})
+    else:
+        events = raw(spark, sf_dir, "events")
     values = [F.when(F.col("event_type") == kind, F.col("value")).alias(column)
               for kind, column in EVENT_COMPONENTS]
     return events.select(F.col("user_id").alias(SUBJECT_ID), F.col("ts").cast("date").alias(DATE), *values)
@@ -82,6 +89,13 @@ def catalog(sf_dir: str) -> dict[str, TableSpec]:
     return tables
 
 
+def stream_catalog(sf_dir: str) -> dict[str, TableSpec]:
+    """As :func:`catalog`, with the blood tests arriving as a stream."""
+    tables = catalog(sf_dir)
+    tables[BLOOD_TESTS] = TableSpec.derived(lambda s: blood_tests(s, sf_dir, stream=True))
+    return tables
+
+
 # The rewritten queries below stand in for the policy service's answers.
 
 def identity_envelope(component_column: str = "fibrinogen_value") -> Envelope:

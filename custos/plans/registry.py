@@ -26,6 +26,7 @@ from custos.plans import clinical
 from custos.plans import fixtures as fx
 from custos.plans.policy import policy_session, run_policy
 from custos.session import ensure_checkpoint_dir
+from custos.streaming.running import run_available, running_averages, stream_folder
 from custos.sources.catalog import load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,6 +174,14 @@ def avg_components_ranges(spark, sf):
                                                             fx.AGE_RANGES, fx.AS_OF))
 
 
+def stream_avg_components_ranges(spark, sf):
+    """B4 maintained over the blood tests arriving as a stream; equals the batch form."""
+    stream = running_averages(spark, fx.stream_catalog(sf), _mask_all(), fx.AGE_RANGES, fx.AS_OF)
+    output, checkpoint = stream_folder(spark, "avg_components_ranges")
+    run_available(stream, output, checkpoint)
+    return _round(spark.read.parquet(output))
+
+
 def age_bounds(spark, sf):
     region = load_table(spark, fx.catalog(sf), "region")
     start = F.col("r_regionkey")
@@ -212,6 +221,7 @@ QUERIES: dict[str, Query] = {
     "series_all_components": series_all_components,
     "avg_age_ranges": avg_age_ranges,
     "avg_components_ranges": avg_components_ranges,
+    "stream_avg_components_ranges": stream_avg_components_ranges,
     "age_bounds": age_bounds,
     "series_json": series_json,
 }
@@ -311,6 +321,9 @@ ORACLE_BODIES: dict[str, str] = {
     "avg_components_ranges": ("SELECT component, startAge, endAge, round(avg(value), 6) AS value FROM ranges "
                               "JOIN long_joined ON birthDate > lo AND birthDate < hi "
                               "GROUP BY component, startAge, endAge"),
+    "stream_avg_components_ranges": ("SELECT component, startAge, endAge, round(avg(value), 6) AS value "
+                                     "FROM ranges JOIN long_joined ON birthDate > lo AND birthDate < hi "
+                                     "GROUP BY component, startAge, endAge"),
     "age_bounds": ("SELECT r_regionkey AS startAge, r_regionkey + 20 AS endAge, "
                    "CAST(DATE '2024-02-29' - to_years(r_regionkey + 20) AS DATE) AS minBirthDate, "
                    "CAST(DATE '2024-02-29' - to_years(r_regionkey) AS DATE) AS maxBirthDate FROM region"),

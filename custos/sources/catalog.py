@@ -18,7 +18,8 @@ PARQUET = "parquet"
 JDBC = "jdbc"
 TABLE = "table"
 DERIVED = "derived"
-KINDS = (PARQUET, JDBC, TABLE, DERIVED)
+STREAM = "stream"
+KINDS = (PARQUET, JDBC, TABLE, DERIVED, STREAM)
 
 # JDBC options that split one table scan into parallel range scans.
 _JDBC_PARTITION_KEYS = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
@@ -38,6 +39,9 @@ class TableSpec:
                    shuffle-free)
       ``derived``  ``build(session)`` returns the DataFrame, for tables that
                    Spark computes from other tables
+      ``stream``   location is a folder of Parquet files read as a stream
+                   (new files are picked up as they land); ``options`` go to
+                   the stream reader (``pathGlobFilter``, ``maxFilesPerTrigger``)
     """
 
     kind: str
@@ -75,6 +79,10 @@ class TableSpec:
     def derived(cls, build: Callable[[SparkSession], DataFrame]) -> TableSpec:
         return cls(DERIVED, build=build)
 
+    @classmethod
+    def stream(cls, folder: str, **options: str) -> TableSpec:
+        return cls(STREAM, folder, dict(options))
+
 
 def jdbc_options(spec: TableSpec) -> dict[str, str]:
     """Reader options for a JDBC table (O2).
@@ -109,9 +117,25 @@ def load_table(spark: SparkSession, catalog: Mapping[str, TableSpec], name: str)
         return spark.read.format("jdbc").options(**jdbc_options(spec)).load()
     if spec.kind == TABLE:
         return spark.table(spec.location)
+    if spec.kind == STREAM:
+        return stream_parquet(spark, spec.location, spec.options)
     return spec.build(spark)
 
 
+def stream_parquet(spark: SparkSession, folder: str, options: Mapping[str, str] | None = None) -> DataFrame:
+    """A Parquet folder as a stream. File streams need a schema up front; it
+    is read from the files already there, as the batch reader would."""
+    options = dict(options or {})
+    batch = spark.read
+    for key in ("pathGlobFilter", "recursiveFileLookup"):
+        if key in options:
+            batch = batch.option(key, options[key])
+    reader = spark.readStream.schema(batch.parquet(folder).schema)
+    for key, value in options.items():
+        reader = reader.option(key, value)
+    return reader.parquet(folder)
+
+
 def view_name(name: str) -> str:
     """View a logical table is registered under.
 

@@ -1 +1,13 @@
-"""Stream forms of the clinical queries."""
+"""Stream forms of the clinical queries.
+
+The reference answers requests over tables at rest; it has no streams. The
+one stream form kept here is the batch average (B4) maintained while blood
+tests arrive: the same policy query runs over a streaming ``blood_tests``
+view, profiles and clauses stay static tables, and a single aggregation
+keeps a sum and count per component and age range, so the state is bounded
+by components × ranges however many tests arrive.
+"""
+
+from custos.streaming.running import run_available, running_averages, stream_folder
+
+__all__ = ["run_available", "running_averages", "stream_folder"]
