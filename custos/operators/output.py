@@ -17,3 +17,50 @@ def json_lines(df: DataFrame, name: str = JSON) -> DataFrame:
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write rows as JSON lines (one object per row, null fields left out)."""
     df.write.mode(mode).json(path)
+
+
+PART = "part"
+# Elements per JSON array part: the largest group any task assembles.
+DEFAULT_PART_SIZE = 1000
+_RANK = "_rank"
+_FIRST = "_first"
+_ELEMENT = "_element"
+
+
+def json_array_parts(df: DataFrame, order: list, keys: tuple[str, ...] = (), part_size: int = DEFAULT_PART_SIZE,
+                     name: str = JSON) -> DataFrame:
+    """JSON arrays of ``df``'s rows per ``keys``, in order, split into parts.
+
+    Returns ``(*keys, part, json)``: ``json`` is the JSON array of elements
+    ``part * part_size`` up to ``part * part_size + part_size - 1`` of the
+    key's rows in ``order`` (one object per row, key columns left out, null
+    fields omitted). Concatenating the parts' elements in ``part`` order gives
+    the whole array; a key with at most ``part_size`` rows has one part that
+    is the whole array.
+
+    No group is larger than ``part_size``: ranks come from a global range
+    sort (:func:`custos.operators.ordering.with_position`), the rank inside a
+    key is the global position minus the key's first position (an aggregate
+    joined back, so a hot key is split by AQE rather than held by one task).
+    """
+    from pyspark.sql import functions as F
+
+    from custos.functions.columns import quoted
+    from custos.operators.ordering import with_position
+
+    if part_size < 1:
+        raise ValueError("part_size must be positive")
+    values = [c for c in df.columns if c not in keys]
+    element = row_json(*values)
+    ranked = with_position(df.withColumn(_ELEMENT, element), [*(quoted(k).asc_nulls_first() for k in keys), *order],
+                           _RANK)
+    if keys:
+        first = ranked.groupBy(*keys).agg(F.min(_RANK).alias(_FIRST))
+        ranked = ranked.join(first, list(keys)).withColumn(_RANK, F.col(_RANK) - F.col(_FIRST))
+    else:
+        ranked = ranked.withColumn(_RANK, F.col(_RANK) - F.lit(1))
+    parts = ranked.withColumn(PART, F.floor(F.col(_RANK) / F.lit(part_size)).cast("long"))
+    grouped = parts.groupBy(*keys, PART).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(_RANK), F.col(_ELEMENT)))).alias("_items"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("_items", lambda item: item[_ELEMENT]), ","), F.lit("]"))
+    return grouped.select(*keys, PART, text.alias(name))

@@ -20,7 +20,7 @@ from custos.functions.dates import birth_date_bounds, birth_date_bounds_col
 from custos.operators.filters import drop_all_null, filter_birth_range, filter_equals
 from custos.operators.join import join_subject
 from custos.operators.ordering import distinct_rows, series_order, with_position
-from custos.operators.output import json_lines
+from custos.operators.output import json_array_parts, json_lines
 from custos.operators.projection import project_component
 from custos.plans import clinical
 from custos.plans import fixtures as fx
@@ -195,6 +195,18 @@ def series_json(spark, sf):
     return json_lines(series_all_patients(spark, sf).select(DATE, VALUE))
 
 
+def series_json_array_one(spark, sf):
+    """O24 for the one-patient series: the JSON array, in parts."""
+    ensure_checkpoint_dir(spark, allow_local=True)
+    return json_array_parts(series_one_patient(spark, sf), series_order())
+
+
+def series_json_array(spark, sf):
+    """One JSON array per patient, in parts."""
+    ensure_checkpoint_dir(spark, allow_local=True)
+    return json_array_parts(series_all_patients(spark, sf), series_order(), keys=(SOCIAL_ID,))
+
+
 QUERIES: dict[str, Query] = {
     "scan_parquet": scan_parquet,
     "register_clauses_alias": register_clauses_alias,
@@ -224,6 +236,8 @@ QUERIES: dict[str, Query] = {
     "stream_avg_components_ranges": stream_avg_components_ranges,
     "age_bounds": age_bounds,
     "series_json": series_json,
+    "series_json_array_one": series_json_array_one,
+    "series_json_array": series_json_array,
 }
 
 # Oracle SQL for DuckDB. The prefix maps the test tables to the clinical
@@ -329,6 +343,18 @@ ORACLE_BODIES: dict[str, str] = {
                    "CAST(DATE '2024-02-29' - to_years(r_regionkey) AS DATE) AS maxBirthDate FROM region"),
     "series_json": (f"SELECT {_SERIES_JSON_OBJECT} AS json FROM (SELECT DISTINCT socialId, date, "
                     "fibrinogen_value AS value FROM joined WHERE fibrinogen_value IS NOT NULL) d"),
+    "series_json_array_one": (
+        "SELECT part, '[' || string_agg(obj, ',' ORDER BY date ASC NULLS FIRST, value ASC) || ']' AS json "
+        f"FROM (SELECT date, value, {_SERIES_JSON_OBJECT} AS obj, "
+        "(row_number() OVER (ORDER BY date ASC NULLS FIRST, value ASC) - 1) // 1000 AS part "
+        "FROM (SELECT DISTINCT date, fibrinogen_value AS value FROM joined "
+        "WHERE socialId = 'Customer#000000009' AND fibrinogen_value IS NOT NULL) d) e GROUP BY part"),
+    "series_json_array": (
+        "SELECT socialId, part, '[' || string_agg(obj, ',' ORDER BY date ASC NULLS FIRST, value ASC) || ']' AS json "
+        f"FROM (SELECT socialId, date, value, {_SERIES_JSON_OBJECT} AS obj, "
+        "(row_number() OVER (PARTITION BY socialId ORDER BY date ASC NULLS FIRST, value ASC) - 1) // 1000 AS part "
+        "FROM (SELECT DISTINCT socialId, date, fibrinogen_value AS value FROM joined "
+        "WHERE fibrinogen_value IS NOT NULL) d) e GROUP BY socialId, part"),
 }
 
 

@@ -171,3 +171,35 @@ def test_age_ranges_overlap_and_exclude_bounds(spark):
         age_range_frame(spark, [], dt.date(2024, 1, 1))
     text = age_range_frame(spark, [(18, 40)], dt.date(2024, 1, 1), T.StringType())
     assert text.schema["_minBirth"].dataType == T.StringType()
+
+
+def test_json_array_parts_rebuild_the_ordered_arrays(spark):
+    from custos.operators.output import json_array_parts
+
+    rows = [("k%d" % (i % 4), None if i % 11 == 0 else dt.date(2024, 1, 1 + i % 20), float(i % 13))
+            for i in range(0, 200, 3)]
+    df = spark.createDataFrame(rows, "socialId string, date date, value double").distinct()
+    parts = json_array_parts(df, series_order(), keys=("socialId",), part_size=3).collect()
+    rebuilt = {}
+    for r in sorted(parts, key=lambda r: (r.socialId, r.part)):
+        items = json.loads(r.json)
+        assert 1 <= len(items) <= 3
+        rebuilt.setdefault(r.socialId, []).extend(items)
+    expected = {}
+    for key, date, value in sorted(set(rows), key=lambda t: (t[0], t[1] is not None, t[1] or dt.date.min, t[2])):
+        item = {"value": value} if date is None else {"date": date.isoformat(), "value": value}
+        expected.setdefault(key, []).append(item)
+    assert rebuilt == expected
+    # parts are numbered densely from 0 per key
+    for key in expected:
+        assert sorted(r.part for r in parts if r.socialId == key) == list(range((len(expected[key]) + 2) // 3))
+
+
+def test_json_array_single_part_is_the_whole_array(spark):
+    from custos.operators.output import json_array_parts
+
+    df = spark.createDataFrame([(dt.date(2024, 1, 2), 1.0), (None, 3.0), (dt.date(2024, 1, 1), 2.0)],
+                               "date date, value double")
+    out = json_array_parts(df, series_order()).collect()
+    assert [(r.part, r.json) for r in out] == [
+        (0, '[{"value":3.0},{"date":"2024-01-01","value":2.0},{"date":"2024-01-02","value":1.0}]')]
