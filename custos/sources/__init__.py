@@ -7,5 +7,6 @@ from custos.sources.catalog import (
     register_tables,
     view_name,
 )
+from custos.sources.layout import write_bucketed
 
-__all__ = ["TableSpec", "jdbc_options", "load_table", "register_tables", "view_name"]
+__all__ = ["TableSpec", "jdbc_options", "load_table", "register_tables", "view_name", "write_bucketed"]

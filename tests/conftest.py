@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -17,7 +18,8 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("*", 8, app_name="custos-tests")
+    warehouse = tempfile.mkdtemp(prefix="custos-warehouse-", dir="/tmp")
+    session = local_session("*", 8, app_name="custos-tests", extra={"spark.sql.warehouse.dir": warehouse})
     yield session
     session.stop()
 
