@@ -9,7 +9,7 @@ from custos.operators.aggregate import (
 )
 from custos.operators.filters import drop_all_null, filter_birth_range, filter_equals
 from custos.operators.join import bounded_rows, join_subject, restrict_to_subjects
-from custos.operators.ordering import distinct_rows, sort_series, with_position
+from custos.operators.ordering import distinct_rows, distinct_sorted, sort_series, with_position
 from custos.operators.output import json_lines
 from custos.operators.projection import drop_subject, project_component, rename_to_value
 
@@ -18,6 +18,7 @@ __all__ = [
     "average_from_partials",
     "bounded_rows",
     "distinct_rows",
+    "distinct_sorted",
     "drop_all_null",
     "drop_subject",
     "filter_birth_range",

@@ -47,8 +47,8 @@ def restrict_to_subjects(df: DataFrame, subjects: DataFrame, max_literals: int =
     Duplicated subject rows never duplicate ``df`` rows.
     """
     ids_frame = subjects.select(quoted(key))
-    rows = bounded_rows(ids_frame.distinct(), max_literals)
+    rows = bounded_rows(ids_frame, max_literals)
     if rows is None:
         return df.join(ids_frame, key, "left_semi")
-    ids = [r[0] for r in rows if r[0] is not None]
+    ids = sorted({r[0] for r in rows if r[0] is not None})
     return df.filter(quoted(key).isin(ids))

@@ -203,3 +203,15 @@ def test_json_array_single_part_is_the_whole_array(spark):
     out = json_array_parts(df, series_order()).collect()
     assert [(r.part, r.json) for r in out] == [
         (0, '[{"value":3.0},{"date":"2024-01-01","value":2.0},{"date":"2024-01-02","value":1.0}]')]
+
+
+def test_distinct_sorted_equals_distinct_then_sort(spark):
+    from custos.operators.ordering import distinct_sorted
+
+    rows = [(None if i % 7 == 0 else dt.date(2024, 1, 1 + i % 9), float(i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "date date, value double")
+    one = [tuple(r) for r in distinct_sorted(df).collect()]
+    two = [tuple(r) for r in sort_series(distinct_rows(df)).collect()]
+    assert one == two
+    plan = distinct_sorted(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
