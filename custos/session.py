@@ -21,11 +21,19 @@ def recommended_conf() -> dict[str, str]:
     small, split skewed partitions of sort-merge joins) and coalesces small
     shuffle partitions, so ``spark.sql.shuffle.partitions`` can be sized for
     the largest stage instead of being fixed per query.
+
+    ``forceOptimizeSkewedJoin``: the policy's clauses join is followed, in
+    the same stage, by an aggregation or a second join on ``patientId``.
+    Splitting a hot patient's partition breaks that clustering, so AQE only
+    splits it when allowed to add an exchange; the exchange it adds sits
+    after the map-side partial aggregation and carries one row per patient
+    and split task.
     """
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.localShuffleReader.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
