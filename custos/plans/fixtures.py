@@ -117,6 +117,13 @@ def consent_envelope(component_column: str = "fibrinogen_value") -> Envelope:
     return Envelope((BLOOD_TESTS, CLAUSES_TABLE), query)
 
 
+def subject_only_envelope() -> Envelope:
+    """Only the subject column comes back, hidden unless ``x1``."""
+    query = ("SELECT CASE WHEN clauses.x1 THEN b.patientId END AS patientId "
+             "FROM blood_tests b LEFT JOIN clauses ON b.patientId = clauses.patientId")
+    return Envelope((BLOOD_TESTS, CLAUSES_TABLE), query)
+
+
 def hidden_column_envelope(component_column: str = "fibrinogen_value") -> Envelope:
     """The component is hidden for everyone; only the masked date is left."""
     query = ("SELECT b.patientId, CASE WHEN clauses.x2 THEN b.date END AS date, "

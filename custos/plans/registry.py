@@ -83,9 +83,8 @@ def any_not_null_subject(spark, sf):
 
 
 def any_not_null_only_subject(spark, sf):
-    bt = load_table(spark, fx.catalog(sf), BLOOD_TESTS)
-    only = bt.select(F.when(F.col(SUBJECT_ID) % 3 != 0, F.col(SUBJECT_ID)).alias(SUBJECT_ID))
-    return drop_all_null(only)
+    """A policy answer with the subject column only: every row stays, null ids too."""
+    return run_policy(spark, fx.catalog(sf), fx.subject_only_envelope())
 
 
 def any_not_null_date(spark, sf):
@@ -297,7 +296,8 @@ ORACLE_BODIES: dict[str, str] = {
                              "WHERE date IS NOT NULL"),
     "any_not_null_subject": ("SELECT patientId, cholesterol_total_value, fibrinogen_value FROM blood_tests "
                              "WHERE cholesterol_total_value IS NOT NULL OR fibrinogen_value IS NOT NULL"),
-    "any_not_null_only_subject": "SELECT CASE WHEN patientId % 3 <> 0 THEN patientId END AS patientId FROM blood_tests",
+    "any_not_null_only_subject": ("SELECT CASE WHEN clauses.x1 THEN b.patientId END AS patientId "
+                                  "FROM blood_tests b LEFT JOIN clauses ON b.patientId = clauses.patientId"),
     "any_not_null_date": "SELECT date, fibrinogen_value FROM compliant WHERE fibrinogen_value IS NOT NULL",
     "filter_social_id": ("SELECT patientId, date, fibrinogen_value FROM joined "
                          "WHERE socialId = 'Customer#000000009'"),
