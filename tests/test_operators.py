@@ -215,3 +215,15 @@ def test_distinct_sorted_equals_distinct_then_sort(spark):
     assert one == two
     plan = distinct_sorted(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_write_json_sink(spark):
+    import tempfile
+
+    from custos.operators.output import write_json
+
+    out = tempfile.mkdtemp(prefix="custos-json-", dir="/tmp") + "/series"
+    df = spark.createDataFrame([(None, 2.0), (dt.date(2024, 1, 1), 1.5)], "date date, value double")
+    write_json(df, out)
+    lines = sorted(r.value for r in spark.read.text(out).collect())
+    assert lines == ['{"date":"2024-01-01","value":1.5}', '{"value":2.0}']

@@ -99,3 +99,29 @@ def test_semi_join_fallback_gives_same_series(spark):
     a = clinical.component_series(spark, cat, envelope(), "A-1", "fibrinogen", max_literal_subjects=0)
     b = clinical.component_series(spark, cat, envelope(), "A-1", "fibrinogen")
     assert a.collect() == b.collect()
+
+
+@pytest.mark.parametrize("birth_type", ["string", "timestamp"])
+def test_averages_with_text_or_timestamp_birth_dates(spark, birth_type):
+    """Profiles may keep birthDate as ISO text or as a timestamp; the single
+    and batch averages give the same values as with a date column."""
+    from conftest import PROFILE_ROWS, PROFILE_SCHEMA
+    from custos.sources.catalog import TableSpec
+
+    def profiles(s):
+        df = s.createDataFrame(PROFILE_ROWS, PROFILE_SCHEMA)
+        return df.withColumn("birthDate", F.col("birthDate").cast(birth_type))
+
+    cat = small_catalog()
+    other = dict(cat, patientsProfiles=TableSpec.derived(profiles))
+    env = envelope()
+    as_of = dt.date(2024, 1, 1)
+    ranges = [(18, 40), (30, 80), (65, 90)]
+    for start, end in ranges:
+        a = clinical.component_average(spark, cat, env, "fibrinogen", start, end, as_of).collect()
+        b = clinical.component_average(spark, other, env, "fibrinogen", start, end, as_of).collect()
+        assert [r.value for r in a] == pytest.approx([r.value for r in b])
+    a = clinical.average_by_age_ranges(spark, cat, env, "fibrinogen", ranges, as_of).collect()
+    b = clinical.average_by_age_ranges(spark, other, env, "fibrinogen", ranges, as_of).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    assert len(a) == 2
