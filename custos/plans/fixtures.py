@@ -13,6 +13,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from custos.constants import BIRTH_DATE, BLOOD_TESTS, DATE, PROFILES, SOCIAL_ID, SUBJECT_ID
 from custos.plans.policy import Envelope
@@ -42,8 +43,19 @@ RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lin
 CLAUSES_TABLE = "blood_tests_clauses"
 
 
+# Schemas of the test files, inferred once per process. Spark runs a job to
+# read Parquet footers on every read without a schema; the files themselves
+# are still listed on every read, so new data is always seen.
+_schemas: dict[str, T.StructType] = {}
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    if path in _schemas:
+        return spark.read.schema(_schemas[path]).parquet(path)
+    df = spark.read.parquet(path)
+    _schemas[path] = df.schema
+    return df
 
 
 def blood_tests(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
@@ -53,7 +65,8 @@ def blood_tests(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataF
     blood tests arrive through Structured Streaming.
     """
     if stream:
-        events = stream_parquet(spark, sf_dir, {"pathGlobFilter": "events.parquet"})
+        schema = raw(spark, sf_dir, "events").schema
+        events = stream_parquet(spark, sf_dir, {"pathGlobFilter": "events.parquet"}, schema)
     else:
         events = raw(spark, sf_dir, "events")
     values = [F.when(F.col("event_type") == kind, F.col("value")).alias(column)
@@ -82,7 +95,8 @@ def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog(sf_dir: str) -> dict[str, TableSpec]:
     """Logical names → tables: the raw Parquet files plus the clinical views."""
-    tables = {name: TableSpec.parquet(os.path.join(sf_dir, f"{name}.parquet")) for name in RAW_TABLES}
+    paths = {name: os.path.join(sf_dir, f"{name}.parquet") for name in RAW_TABLES}
+    tables = {name: TableSpec.parquet(path, schema=_schemas.get(path)) for name, path in paths.items()}
     tables[BLOOD_TESTS] = TableSpec.derived(lambda s: blood_tests(s, sf_dir))
     tables[PROFILES] = TableSpec.derived(lambda s: patient_profiles(s, sf_dir))
     tables[CLAUSES_TABLE] = TableSpec.derived(lambda s: clauses(s, sf_dir))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from custos.constants import CLAUSES
 
@@ -48,6 +49,9 @@ class TableSpec:
     location: str = ""
     options: Mapping[str, str] = field(default_factory=dict)
     build: Callable[[SparkSession], DataFrame] | None = None
+    # Known schema of a parquet or stream table (DDL text or StructType):
+    # skips the footer-reading job Spark otherwise runs on every read.
+    schema: str | T.StructType | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -58,8 +62,8 @@ class TableSpec:
             raise ValueError(f"a {self.kind} table needs a location")
 
     @classmethod
-    def parquet(cls, location: str, **options: str) -> TableSpec:
-        return cls(PARQUET, location, dict(options))
+    def parquet(cls, location: str, schema: str | T.StructType | None = None, **options: str) -> TableSpec:
+        return cls(PARQUET, location, dict(options), schema=schema)
 
     @classmethod
     def jdbc(cls, dbtable: str, url: str, user: str | None = None,
@@ -80,8 +84,8 @@ class TableSpec:
         return cls(DERIVED, build=build)
 
     @classmethod
-    def stream(cls, folder: str, **options: str) -> TableSpec:
-        return cls(STREAM, folder, dict(options))
+    def stream(cls, folder: str, schema: str | T.StructType | None = None, **options: str) -> TableSpec:
+        return cls(STREAM, folder, dict(options), schema=schema)
 
 
 def jdbc_options(spec: TableSpec) -> dict[str, str]:
@@ -109,7 +113,7 @@ def load_table(spark: SparkSession, catalog: Mapping[str, TableSpec], name: str)
     except KeyError:
         raise ValueError(f"table {name!r} is not in the catalog") from None
     if spec.kind == PARQUET:
-        reader = spark.read
+        reader = spark.read if spec.schema is None else spark.read.schema(spec.schema)
         for key, value in spec.options.items():
             reader = reader.option(key, value)
         return reader.parquet(spec.location)
@@ -118,19 +122,23 @@ def load_table(spark: SparkSession, catalog: Mapping[str, TableSpec], name: str)
     if spec.kind == TABLE:
         return spark.table(spec.location)
     if spec.kind == STREAM:
-        return stream_parquet(spark, spec.location, spec.options)
+        return stream_parquet(spark, spec.location, spec.options, spec.schema)
     return spec.build(spark)
 
 
-def stream_parquet(spark: SparkSession, folder: str, options: Mapping[str, str] | None = None) -> DataFrame:
-    """A Parquet folder as a stream. File streams need a schema up front; it
-    is read from the files already there, as the batch reader would."""
+def stream_parquet(spark: SparkSession, folder: str, options: Mapping[str, str] | None = None,
+                   schema: str | T.StructType | None = None) -> DataFrame:
+    """A Parquet folder as a stream. File streams need a schema up front;
+    unless given, it is read from the files already there, as the batch
+    reader would."""
     options = dict(options or {})
-    batch = spark.read
-    for key in ("pathGlobFilter", "recursiveFileLookup"):
-        if key in options:
-            batch = batch.option(key, options[key])
-    reader = spark.readStream.schema(batch.parquet(folder).schema)
+    if schema is None:
+        batch = spark.read
+        for key in ("pathGlobFilter", "recursiveFileLookup"):
+            if key in options:
+                batch = batch.option(key, options[key])
+        schema = batch.parquet(folder).schema
+    reader = spark.readStream.schema(schema)
     for key, value in options.items():
         reader = reader.option(key, value)
     return reader.parquet(folder)
