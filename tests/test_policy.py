@@ -125,3 +125,23 @@ def test_averages_with_text_or_timestamp_birth_dates(spark, birth_type):
     b = clinical.average_by_age_ranges(spark, other, env, "fibrinogen", ranges, as_of).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     assert len(a) == 2
+
+
+def test_concurrent_requests_do_not_see_each_others_clauses(spark):
+    """The original registers fixed view names in one shared session, so two
+    parallel requests could read each other's clauses; here each runs in its
+    own child session."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    open_cat = small_catalog((("1", True, True), ("2", True, True)))
+    closed_cat = small_catalog((("1", False, False), ("2", False, False)))
+    expected_open = sorted(map(tuple, run_policy(spark, open_cat, envelope()).collect()), key=str)
+
+    def request(cat):
+        return sorted(map(tuple, run_policy(spark, cat, envelope()).collect()), key=str)
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        futures = [pool.submit(request, open_cat if i % 2 == 0 else closed_cat) for i in range(8)]
+        results = [f.result() for f in futures]
+    for i, got in enumerate(results):
+        assert got == (expected_open if i % 2 == 0 else [])
