@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from custos.constants import SUBJECT_ID
 from custos.functions.columns import quoted
@@ -11,6 +15,15 @@ from custos.functions.columns import quoted
 # when there are at most this many; beyond it the lookup stays a semi-join.
 DEFAULT_MAX_LITERAL_SUBJECTS = 10_000
 
+# Bytes per value when sizing a broadcast (strings: the width Spark assumes).
+_FIELD_BYTES = {
+    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.DateType: 4, T.FloatType: 4,
+    T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8, T.DecimalType: 16,
+    T.StringType: 20,
+}
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30,
+          "t": 1 << 40, "tb": 1 << 40}
+
 
 def bounded_rows(df: DataFrame, max_rows: int) -> list[Row] | None:
     """The rows of ``df`` if there are at most ``max_rows`` of them, else ``None``.
@@ -21,18 +34,70 @@ def bounded_rows(df: DataFrame, max_rows: int) -> list[Row] | None:
     return rows if len(rows) <= max_rows else None
 
 
-def join_subject(left: DataFrame, right: DataFrame, how: str = "inner", key: str = SUBJECT_ID) -> DataFrame:
+def at_most(df: DataFrame, max_rows: int) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows.
+
+    Skips ``max_rows`` one-column rows and looks for one more: Spark scans
+    partitions incrementally and stops as soon as it has them, so a huge
+    table costs one small job, and no row reaches Python.
+    """
+    return df.select(F.lit(1)).offset(max_rows).isEmpty()
+
+
+def _bytes(text: str) -> int:
+    match = re.fullmatch(r"\s*(-?\d+)\s*([a-zA-Z]*)\s*", text)
+    if not match or match.group(2).lower() not in _UNITS:
+        raise ValueError(f"not a byte size: {text!r}")
+    return int(match.group(1)) * _UNITS[match.group(2).lower()]
+
+
+def row_bytes(schema: T.StructType) -> int:
+    """Rough bytes per row of ``schema`` (row header plus field widths)."""
+    return 8 + sum(_FIELD_BYTES.get(type(f.dataType), 64) for f in schema.fields)
+
+
+def broadcast_rows_budget(df: DataFrame) -> int:
+    """Rows of ``df`` that fit the session's broadcast threshold (0: broadcasts off)."""
+    threshold = _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB"))
+    return max(threshold, 0) // row_bytes(df.schema)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows (checked), else ``df``.
+
+    The bound defaults to the broadcast threshold divided by the row width,
+    so what is broadcast never exceeds the size Spark would broadcast on its
+    own. Beyond the bound the join is left to Spark (sort-merge, or a
+    broadcast chosen by AQE from measured sizes). The check matters where
+    Spark's estimate is far off: without column statistics the estimated
+    size of a join is the product of its inputs' sizes, so a small table
+    derived by a join never looks small.
+    """
+    rows = broadcast_rows_budget(df) if max_rows is None else max_rows
+    if rows > 0 and at_most(df, rows):
+        return F.broadcast(df)
+    return df
+
+
+_BROADCAST_RIGHT = ("inner", "left", "left_outer", "leftouter", "left_semi", "leftsemi", "semi",
+                    "left_anti", "leftanti", "anti")
+
+
+def join_subject(left: DataFrame, right: DataFrame, how: str = "inner", key: str = SUBJECT_ID,
+                 check_broadcast: bool = True) -> DataFrame:
     """``left JOIN right USING (patientId)``.
 
     One ``patientId`` column comes out and null keys never match. Columns
     other than the key must not appear on both sides: select the profile
-    columns you need first. No hint is given: Spark broadcasts a side whose
-    estimated or (with AQE) measured size is under the broadcast threshold,
-    and otherwise sort-merge joins, splitting skewed partitions at run time.
+    columns you need first. The right side (profiles) is broadcast when a
+    bounded check shows it small (:func:`broadcast_if_small`); otherwise
+    Spark sort-merge joins and AQE splits skewed partitions at run time.
     """
     shared = (set(left.columns) & set(right.columns)) - {key}
     if shared:
         raise ValueError(f"columns on both sides of the join: {sorted(shared)}")
+    if check_broadcast and how.lower() in _BROADCAST_RIGHT:
+        right = broadcast_if_small(right)
     return left.join(right, key, how)
 
 
@@ -49,6 +114,6 @@ def restrict_to_subjects(df: DataFrame, subjects: DataFrame, max_literals: int =
     ids_frame = subjects.select(quoted(key))
     rows = bounded_rows(ids_frame, max_literals)
     if rows is None:
-        return df.join(ids_frame, key, "left_semi")
+        return df.join(broadcast_if_small(ids_frame), key, "left_semi")
     ids = sorted({r[0] for r in rows if r[0] is not None})
     return df.filter(quoted(key).isin(ids))

@@ -29,23 +29,14 @@ def sort_series(df: DataFrame, date: str = DATE, value: str = VALUE) -> DataFram
     """Sort by date, nulls first (O22); ``value`` breaks ties so output repeats.
 
     A global sort range-partitions its input, so no task holds more than its
-    share even when the series is huge.
+    share even when the series is huge. Range partitioning samples its input
+    in a separate job that recomputes it: place the sort after a shuffle (for
+    example the distinct's), so the sample reads shuffle output and the
+    table is scanned once.
     """
     return df.orderBy(*series_order(date, value))
 
 
-def distinct_sorted(df: DataFrame, date: str = DATE, value: str = VALUE) -> DataFrame:
-    """``distinct`` then sort by date nulls first, then value (O21 + O22), with one shuffle.
-
-    Range partitioning on the sort key also puts equal rows in the same
-    partition, so the distinct needs no hash exchange of its own and the
-    sort only sorts inside partitions. Rows move once instead of twice, and
-    a long series is still spread over many tasks.
-    """
-    order = series_order(date, value)
-    return df.repartitionByRange(*order).distinct().sortWithinPartitions(*order)
-
-
 def with_position(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
     """Add the 1-based position of each row in ``order`` without a single-task window.
 

@@ -32,7 +32,7 @@ from custos.operators.aggregate import (
 )
 from custos.operators.filters import drop_all_null, filter_birth_range, filter_equals
 from custos.operators.join import DEFAULT_MAX_LITERAL_SUBJECTS, join_subject, restrict_to_subjects
-from custos.operators.ordering import distinct_rows, distinct_sorted
+from custos.operators.ordering import distinct_rows, sort_series
 from custos.operators.projection import drop_subject, project_component, rename_to_value
 from custos.plans.policy import run_policy
 from custos.sources.catalog import TableSpec, load_table
@@ -68,7 +68,8 @@ def component_series(spark: SparkSession, catalog: Mapping[str, TableSpec], enve
     rows = drop_all_null(rows, SUBJECT_ID)
     series = drop_subject(rename_to_value(rows, column))
     series = drop_all_null(series, DATE)
-    return distinct_sorted(series)
+    # distinct first: its shuffle is what the sort's sampling job then reads
+    return sort_series(distinct_rows(series))
 
 
 def _average_partials(compliant: DataFrame, column: str) -> DataFrame:

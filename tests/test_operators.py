@@ -205,18 +205,6 @@ def test_json_array_single_part_is_the_whole_array(spark):
         (0, '[{"value":3.0},{"date":"2024-01-01","value":2.0},{"date":"2024-01-02","value":1.0}]')]
 
 
-def test_distinct_sorted_equals_distinct_then_sort(spark):
-    from custos.operators.ordering import distinct_sorted
-
-    rows = [(None if i % 7 == 0 else dt.date(2024, 1, 1 + i % 9), float(i % 5)) for i in range(300)]
-    df = spark.createDataFrame(rows, "date date, value double")
-    one = [tuple(r) for r in distinct_sorted(df).collect()]
-    two = [tuple(r) for r in sort_series(distinct_rows(df)).collect()]
-    assert one == two
-    plan = distinct_sorted(df)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
-
-
 def test_write_json_sink(spark):
     import tempfile
 
@@ -227,3 +215,38 @@ def test_write_json_sink(spark):
     write_json(df, out)
     lines = sorted(r.value for r in spark.read.text(out).collect())
     assert lines == ['{"date":"2024-01-01","value":1.5}', '{"value":2.0}']
+
+
+def test_at_most_and_budget(spark):
+    from custos.operators.join import at_most, broadcast_rows_budget, row_bytes
+
+    df = spark.range(0, 1000, numPartitions=7)
+    assert at_most(df, 1000) and not at_most(df, 999)
+    assert at_most(spark.range(0), 0)
+    assert row_bytes(df.schema) == 16
+    assert broadcast_rows_budget(df) == (10 << 20) // 16
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert broadcast_rows_budget(df) == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_checked_broadcast_of_join_derived_profiles(spark):
+    """Profiles built by a join look huge to the planner (the product of its
+    inputs); the bounded row check broadcasts them anyway, and only then."""
+    from custos.plans import fixtures as fx
+    from custos.plans.policy import run_policy
+
+    sf = "/root/testdata/sf0.1"
+    compliant = run_policy(spark, fx.catalog(sf), fx.clause_mask_envelope(("fibrinogen_value",)))
+    profiles = fx.patient_profiles(spark, sf).select("patientId", "socialId", "birthDate")
+    checked = join_subject(compliant, profiles)._jdf.queryExecution().executedPlan().toString()
+    unchecked = join_subject(compliant, profiles, check_broadcast=False)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [patientId" in checked
+    assert "SortMergeJoin [patientId" in unchecked
+    from custos.operators.join import broadcast_if_small
+
+    big = spark.range(0, 50_000).select(F.col("id").alias("patientId"))
+    assert broadcast_if_small(big, max_rows=10_000) is big  # over the bound: left to Spark
+    assert broadcast_if_small(big, max_rows=50_000) is not big
