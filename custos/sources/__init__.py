@@ -8,5 +8,7 @@ from custos.sources.catalog import (
     view_name,
 )
 from custos.sources.layout import write_bucketed
+from custos.sources.settings import catalog_from_settings
 
-__all__ = ["TableSpec", "jdbc_options", "load_table", "register_tables", "view_name", "write_bucketed"]
+__all__ = ["TableSpec", "catalog_from_settings", "jdbc_options", "load_table", "register_tables", "view_name",
+           "write_bucketed"]

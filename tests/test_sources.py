@@ -50,3 +50,27 @@ def test_builder_must_use_given_session(spark):
     cat = {"t": TableSpec.derived(lambda s: other.range(1))}
     with pytest.raises(ValueError):
         register_tables(spark.newSession(), cat, ["t"])
+
+
+def test_catalog_from_flat_settings(spark):
+    from custos.sources.settings import catalog_from_settings
+
+    settings = {
+        "db.mysql.url": "jdbc:mysql://db/example", "db.mysql.username": "u", "db.mysql.password": "p",
+        "blood_tests": "/root/testdata/sf0.001/events.parquet", "blood_tests_type": "s3a",
+        "patientsProfiles": "patient", "patientsProfiles_type": "jdbc",
+        "spark.sql.shuffle.partitions": "2", "debug.mode": "true",
+    }
+    cat = catalog_from_settings(settings, jdbc_options={"partitionColumn": "patientId", "lowerBound": "0",
+                                                        "upperBound": "10000", "numPartitions": "8"})
+    assert set(cat) == {"blood_tests", "patientsProfiles"}
+    assert load_table(spark, cat, "blood_tests").count() == 1000
+    opts = jdbc_options(cat["patientsProfiles"])
+    assert opts["dbtable"] == "patient" and opts["url"] == "jdbc:mysql://db/example"
+    assert opts["user"] == "u" and opts["numPartitions"] == "8"
+    with pytest.raises(ValueError):
+        catalog_from_settings({"x": "loc", "x_type": "csv"})
+    with pytest.raises(ValueError):
+        catalog_from_settings({"x_type": "s3a"})
+    with pytest.raises(ValueError):
+        catalog_from_settings({"x": "t", "x_type": "jdbc"})
