@@ -1,8 +1,11 @@
 """The clinical queries (O25–O27) and their batch forms.
 
-Every function returns a lazy DataFrame; nothing is collected except the
-bounded id lookup of the one-patient series. Profiles are joined as they are
-stored (only blood tests pass through the policy), cut to the columns used.
+Every function returns a lazy DataFrame. The only work done while building
+it is bounded: the one-patient series looks up at most a fixed number of
+patient ids, and profile joins first check that the profiles fit a broadcast
+(at most threshold/row-width rows are read, none reach Python). Profiles
+are joined as they are stored (only blood tests pass through the policy),
+cut to the columns used.
 """
 
 from __future__ import annotations

@@ -1,7 +1,6 @@
 """Each registered query against its DuckDB oracle, and batch forms against
 the single-request forms (SURVEY §5 items 2 and 3)."""
 
-import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
