@@ -1,0 +1,60 @@
+"""The job entry point on clinical tables stored as Parquet."""
+
+import json
+import os
+import tempfile
+
+import pytest
+
+from custos.__main__ import main
+from custos.plans import clinical
+from custos.plans import fixtures as fx
+
+from conftest import SF001
+
+
+@pytest.fixture(scope="module")
+def stored(spark):
+    root = tempfile.mkdtemp(prefix="custos-cli-", dir="/tmp")
+    tables = {"blood_tests": fx.blood_tests(spark, SF001), "blood_tests_clauses": fx.clauses(spark, SF001),
+              "patientsProfiles": fx.patient_profiles(spark, SF001)}
+    settings = {}
+    for name, df in tables.items():
+        df.write.parquet(os.path.join(root, name))
+        settings[name] = os.path.join(root, name)
+        settings[f"{name}_type"] = "s3a"
+    with open(os.path.join(root, "settings.json"), "w") as f:
+        json.dump(settings, f)
+    with open(os.path.join(root, "envelope.json"), "w") as f:
+        f.write(fx.clause_mask_envelope(fx.COMPONENT_COLUMNS).to_json())
+    return root
+
+
+def _run(spark, root, *args):
+    out = tempfile.mkdtemp(prefix="out-", dir=root) + "/result"
+    main([*args, "--settings", f"{root}/settings.json", "--envelope", f"{root}/envelope.json", "--output", out],
+         spark=spark)
+    return spark.read.json(out)
+
+
+def test_series_and_average_jobs(spark, stored):
+    series = _run(spark, stored, "series", "--social-id", fx.SOCIAL_ID_EXAMPLE, "--component", "fibrinogen")
+    expected = clinical.component_series(spark, fx.catalog(SF001), fx.clause_mask_envelope(fx.COMPONENT_COLUMNS),
+                                         fx.SOCIAL_ID_EXAMPLE, "fibrinogen").collect()
+    got = sorted((r.date, r.value) for r in series.collect())
+    assert got == sorted((None if r.date is None else r.date.isoformat(), r.value) for r in expected)
+    avg = _run(spark, stored, "average", "--component", "cholesterol.hdl", "--start", "18", "--end", "40",
+               "--as-of", "2024-01-01").collect()
+    want = clinical.component_average(spark, fx.catalog(SF001), fx.clause_mask_envelope(fx.COMPONENT_COLUMNS),
+                                      "cholesterol.hdl", 18, 40, fx.AS_OF).collect()
+    assert [r.value for r in avg] == pytest.approx([r.value for r in want])
+
+
+def test_batch_jobs(spark, stored):
+    env = fx.clause_mask_envelope(fx.COMPONENT_COLUMNS)
+    averages = _run(spark, stored, "averages", "--ranges", "18-40,40-65,65-90", "--as-of", "2024-01-01")
+    want = clinical.average_by_components_and_ranges(spark, fx.catalog(SF001), env, [(18, 40), (40, 65), (65, 90)],
+                                                     fx.AS_OF)
+    assert averages.count() == want.count() > 0
+    series = _run(spark, stored, "series-all", "--component", "cholesterol")
+    assert series.count() == clinical.series_all_patients(spark, fx.catalog(SF001), env, "cholesterol").count()
