@@ -1,4 +1,4 @@
-"""Run the clinical queries as Spark jobs (``spark-submit -m custos`` or ``python -m custos``).
+"""Run the clinical queries as Spark jobs (``python -m custos`` or ``spark-submit custos_job.py``).
 
   series      one patient's values of one component over time (O26)
   average     average of one component over an age range (O27)
