@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,20 @@ def drop_all_null(df: DataFrame, exclude: str = SUBJECT_ID) -> DataFrame:
     After a policy hides cells as nulls, a row with only its subject id left
     carries nothing the requester may see. With ``exclude="date"`` it drops
     rows whose value is null once the subject column is gone (O10).
+
+    Columns are told apart by position, as in a row: when a policy answer
+    repeats a name (``SELECT *`` over a join) or has names equal but for
+    case, the frame is filtered under positional names and renamed back
+    (both renames are plain projections that Catalyst removes, so the
+    filter still reaches the scan).
     """
-    return df.filter(any_not_null(df.columns, exclude))
+    names = df.columns
+    if len({n.lower() for n in names}) == len(names):
+        return df.filter(any_not_null(names, exclude))
+    positional = [f"_c{i}" for i in range(len(names))]
+    keep = [p for p, n in zip(positional, names) if n != exclude]
+    cond = F.lit(True) if names == [exclude] else reduce(or_, [F.col(p).isNotNull() for p in keep], F.lit(False))
+    return df.toDF(*positional).filter(cond).toDF(*names)
 
 
 def filter_equals(df: DataFrame, column: str, value) -> DataFrame:

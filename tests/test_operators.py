@@ -250,3 +250,12 @@ def test_checked_broadcast_of_join_derived_profiles(spark):
     big = spark.range(0, 50_000).select(F.col("id").alias("patientId"))
     assert broadcast_if_small(big, max_rows=10_000) is big  # over the bound: left to Spark
     assert broadcast_if_small(big, max_rows=50_000) is not big
+
+
+def test_any_not_null_positional_path_still_pushes_down(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    colliding = df.select("user_id", "value", F.col("props").alias("Value"))
+    out = drop_all_null(colliding, "user_id")
+    assert out.columns == ["user_id", "value", "Value"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(IsNotNull(value),IsNotNull(props))]" in plan
