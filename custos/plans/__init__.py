@@ -9,7 +9,7 @@ from custos.plans.clinical import (
     series_all_components,
     series_all_patients,
 )
-from custos.plans.policy import Envelope, base_query, policy_session, run_policy
+from custos.plans.policy import Envelope, base_query, policy_request, policy_session, run_policy
 
 __all__ = [
     "Envelope",
@@ -19,6 +19,7 @@ __all__ = [
     "component_average",
     "component_series",
     "compliant_joined",
+    "policy_request",
     "policy_session",
     "run_policy",
     "series_all_components",

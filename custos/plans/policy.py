@@ -15,17 +15,16 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from custos.constants import BLOOD_TESTS, DATE, SUBJECT_ID
 from custos.functions.components import policy_component_column
 from custos.operators.filters import drop_all_null
 from custos.sources.catalog import TableSpec, register_tables
 
-ENVELOPE_SCHEMA = T.StructType([
-    T.StructField("tables", T.ArrayType(T.StructType([T.StructField("name", T.StringType())]))),
-    T.StructField("rewrittenQuery", T.StringType()),
-])
+# The fields of a request to the policy service, and the
+# access mode the queries ask for.
+REQUEST_FIELDS = ("query", "purpose", "access", "requester", "blueprintId", "requesterId")
+READ_ACCESS = "read"
 
 
 @dataclass(frozen=True)
@@ -61,6 +60,17 @@ def base_query(component: str) -> str:
     return f"SELECT {SUBJECT_ID}, {DATE}, {policy_component_column(component)} FROM {BLOOD_TESTS}"
 
 
+def policy_request(component: str, purpose: str, requester_id: str = "") -> dict[str, str]:
+    """The message asking the policy service to rewrite :func:`base_query`.
+
+    ``purpose`` and ``requester_id`` come from the caller (the series query
+    passes the requester, the average query leaves it empty). Sending it and
+    waiting for the envelope is the caller's job.
+    """
+    values = (base_query(component), purpose, READ_ACCESS, "", "", requester_id)
+    return dict(zip(REQUEST_FIELDS, values))
+
+
 def policy_session(spark: SparkSession, catalog: Mapping[str, TableSpec], tables) -> SparkSession:
     """A child session sharing ``spark``'s context, with only ``tables`` as views.
 

@@ -145,3 +145,13 @@ def test_concurrent_requests_do_not_see_each_others_clauses(spark):
         results = [f.result() for f in futures]
     for i, got in enumerate(results):
         assert got == (expected_open if i % 2 == 0 else [])
+
+
+def test_policy_request():
+    from custos.plans.policy import policy_request
+
+    req = policy_request("cholesterol", "Research")
+    assert req == {"query": "SELECT patientId, date, cholesterol_total_value FROM blood_tests",
+                   "purpose": "Research", "access": "read", "requester": "", "blueprintId": "",
+                   "requesterId": ""}
+    assert policy_request("fibrinogen", "MedicalTreatment", "doc-1")["requesterId"] == "doc-1"
