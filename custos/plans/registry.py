@@ -182,12 +182,14 @@ def stream_avg_components_ranges(spark, sf):
 
 
 def age_bounds(spark, sf):
-    region = load_table(spark, fx.catalog(sf), "region")
-    start = F.col("r_regionkey")
-    end = F.col("r_regionkey") + 20
+    """O12 in column form, one age range per patient (from the customer's nation
+    key), on a leap day so the 29 February clamping is exercised."""
+    customer = load_table(spark, fx.catalog(sf), "customer")
+    start = F.col("c_nationkey")
+    end = F.col("c_nationkey") + 20
     low, high = birth_date_bounds_col(F.lit(BOUNDS_AS_OF), start, end)
-    return region.select(start.alias("startAge"), end.alias("endAge"),
-                         low.alias("minBirthDate"), high.alias("maxBirthDate"))
+    return customer.select(F.col("c_custkey").alias(SUBJECT_ID), start.alias("startAge"), end.alias("endAge"),
+                           low.alias("minBirthDate"), high.alias("maxBirthDate"))
 
 
 def series_json(spark, sf):
@@ -338,9 +340,9 @@ ORACLE_BODIES: dict[str, str] = {
     "stream_avg_components_ranges": ("SELECT component, startAge, endAge, round(avg(value), 6) AS value "
                                      "FROM ranges JOIN long_joined ON birthDate > lo AND birthDate < hi "
                                      "GROUP BY component, startAge, endAge"),
-    "age_bounds": ("SELECT r_regionkey AS startAge, r_regionkey + 20 AS endAge, "
-                   "CAST(DATE '2024-02-29' - to_years(r_regionkey + 20) AS DATE) AS minBirthDate, "
-                   "CAST(DATE '2024-02-29' - to_years(r_regionkey) AS DATE) AS maxBirthDate FROM region"),
+    "age_bounds": ("SELECT c_custkey AS patientId, c_nationkey AS startAge, c_nationkey + 20 AS endAge, "
+                   "CAST(DATE '2024-02-29' - to_years(c_nationkey + 20) AS DATE) AS minBirthDate, "
+                   "CAST(DATE '2024-02-29' - to_years(c_nationkey) AS DATE) AS maxBirthDate FROM customer"),
     "series_json": (f"SELECT {_SERIES_JSON_OBJECT} AS json FROM (SELECT DISTINCT socialId, date, "
                     "fibrinogen_value AS value FROM joined WHERE fibrinogen_value IS NOT NULL) d"),
     "series_json_array_one": (
