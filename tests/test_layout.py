@@ -30,6 +30,12 @@ def test_bucketed_tables_make_subject_joins_shuffle_free(spark):
         # same rows as the unbucketed fixture tables
         plain = clinical.compliant_joined(spark, fx.catalog(SF001), env)
         assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+        # the one-patient series reads only the patient's bucket of each table
+        series = clinical.component_series(spark, catalog, env, fx.SOCIAL_ID_EXAMPLE, "fibrinogen")
+        plan = series._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SelectedBucketsCount: 1 out of 4") == 2
+        want = clinical.component_series(spark, fx.catalog(SF001), env, fx.SOCIAL_ID_EXAMPLE, "fibrinogen")
+        assert series.collect() == want.collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
