@@ -2,6 +2,8 @@
 
 import uuid
 
+import pytest
+
 from custos.plans import clinical
 from custos.plans import fixtures as fx
 from custos.sources.catalog import TableSpec
@@ -30,6 +32,13 @@ def test_bucketed_tables_make_subject_joins_shuffle_free(spark):
         # same rows as the unbucketed fixture tables
         plain = clinical.compliant_joined(spark, fx.catalog(SF001), env)
         assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+        # the average: clauses join, per-patient partials and profile join all
+        # run inside the buckets; the only exchange gathers the final partials
+        avg = clinical.component_average(spark, catalog, env, "fibrinogen", 18, 90, fx.AS_OF)
+        avg_plan = avg._jdf.queryExecution().executedPlan().toString()
+        assert avg_plan.count("Exchange") == 1 and "Exchange SinglePartition" in avg_plan
+        want_avg = clinical.component_average(spark, fx.catalog(SF001), env, "fibrinogen", 18, 90, fx.AS_OF)
+        assert avg.collect()[0].value == pytest.approx(want_avg.collect()[0].value, rel=1e-12)
         # the one-patient series reads only the patient's bucket of each table
         series = clinical.component_series(spark, catalog, env, fx.SOCIAL_ID_EXAMPLE, "fibrinogen")
         plan = series._jdf.queryExecution().executedPlan().toString()
