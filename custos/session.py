@@ -28,6 +28,10 @@ def recommended_conf() -> dict[str, str]:
     splits it when allowed to add an exchange; the exchange it adds sits
     after the map-side partial aggregation and carries one row per patient
     and split task.
+
+    ``cleanCheckpoints``: global positions checkpoint their numbered rows;
+    the files are removed once that DataFrame is no longer referenced, so a
+    long-running service does not fill the shared folder.
     """
     return {
         "spark.sql.adaptive.enabled": "true",
@@ -35,6 +39,7 @@ def recommended_conf() -> dict[str, str]:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.localShuffleReader.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
