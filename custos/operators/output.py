@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from custos.functions.columns import quoted
 from custos.functions.json import row_json
+from custos.operators.ordering import with_position
 
 JSON = "json"
+PART = "part"
+# Elements per JSON array part: the largest group any task assembles.
+DEFAULT_PART_SIZE = 1000
+_RANK = "_rank"
+_FIRST = "_first"
+_ELEMENT = "_element"
 
 
 def json_lines(df: DataFrame, name: str = JSON) -> DataFrame:
@@ -19,14 +28,6 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
-PART = "part"
-# Elements per JSON array part: the largest group any task assembles.
-DEFAULT_PART_SIZE = 1000
-_RANK = "_rank"
-_FIRST = "_first"
-_ELEMENT = "_element"
-
-
 def json_array_parts(df: DataFrame, order: list, keys: tuple[str, ...] = (), part_size: int = DEFAULT_PART_SIZE,
                      name: str = JSON) -> DataFrame:
     """JSON arrays of ``df``'s rows per ``keys``, in order, split into parts.
@@ -43,11 +44,6 @@ def json_array_parts(df: DataFrame, order: list, keys: tuple[str, ...] = (), par
     key is the global position minus the key's first position (an aggregate
     joined back, so a hot key is split by AQE rather than held by one task).
     """
-    from pyspark.sql import functions as F
-
-    from custos.functions.columns import quoted
-    from custos.operators.ordering import with_position
-
     if part_size < 1:
         raise ValueError("part_size must be positive")
     values = [c for c in df.columns if c not in keys]
