@@ -85,13 +85,15 @@ def component_average(spark: SparkSession, catalog: Mapping[str, TableSpec], env
 
     Weighted per measurement, both birth-date ends excluded; one row
     ``(value)``, or zero rows when no value falls in the range. ``as_of``
-    (default today) fixes the date the ages refer to.
+    (default today) fixes the date the ages refer to. The profile join runs
+    on per-patient partials, partitioned by ``patientId`` already (see
+    :func:`_birth_partials`).
     """
     low, high = birth_date_bounds(as_of or dt.date.today(), start_age, end_age)
     compliant = run_policy(spark, catalog, envelope)
     column = resolve_component(compliant.columns, component)
     in_range = filter_birth_range(_profiles(spark, catalog, (BIRTH_DATE,)), low, high).select(SUBJECT_ID)
-    joined = join_subject(_average_partials(compliant, column), in_range)
+    joined = join_subject(_average_partials(compliant, column), in_range, check_broadcast=False)
     return suppress_empty(average_from_partials(joined, column))
 
 
@@ -118,9 +120,15 @@ def series_all_components(spark: SparkSession, catalog: Mapping[str, TableSpec],
 
 def _birth_partials(spark: SparkSession, catalog: Mapping[str, TableSpec], partials: DataFrame,
                     columns: Sequence[str]) -> DataFrame:
-    """Per-subject partials → per-birth-date partials (a few thousand rows)."""
+    """Per-subject partials → per-birth-date partials (a few thousand rows).
+
+    The partials come out of an aggregation by ``patientId`` and are already
+    hash-partitioned by it, so a sort-merge join shuffles only the profile
+    side, the same rows a broadcast would ship: no size check is needed, and
+    Spark still broadcasts profiles it can size as small.
+    """
     profiles = _profiles(spark, catalog, (BIRTH_DATE,)).filter(F.col(BIRTH_DATE).isNotNull())
-    return add_partials(join_subject(partials, profiles), columns, (BIRTH_DATE,))
+    return add_partials(join_subject(partials, profiles, check_broadcast=False), columns, (BIRTH_DATE,))
 
 
 def average_by_age_ranges(spark: SparkSession, catalog: Mapping[str, TableSpec], envelope, component: str,
