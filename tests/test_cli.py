@@ -58,3 +58,15 @@ def test_batch_jobs(spark, stored):
     assert averages.count() == want.count() > 0
     series = _run(spark, stored, "series-all", "--component", "cholesterol")
     assert series.count() == clinical.series_all_patients(spark, fx.catalog(SF001), env, "cholesterol").count()
+
+
+def test_batch_job_variants(spark, stored):
+    env = fx.clause_mask_envelope(fx.COMPONENT_COLUMNS)
+    long = _run(spark, stored, "series-all")
+    assert long.count() == clinical.series_all_components(spark, fx.catalog(SF001), env).count()
+    one = _run(spark, stored, "averages", "--component", "fibrinogen", "--ranges", "18-40,65-90",
+               "--as-of", "2024-01-01")
+    want = clinical.average_by_age_ranges(spark, fx.catalog(SF001), env, "fibrinogen", [(18, 40), (65, 90)],
+                                          fx.AS_OF)
+    assert sorted((r.startAge, r.endAge) for r in one.collect()) == sorted((r.startAge, r.endAge)
+                                                                           for r in want.collect())

@@ -21,7 +21,9 @@ def test_parquet_scan_by_logical_name(spark):
 
 def test_jdbc_options_plain_and_partitioned():
     spec = TableSpec.jdbc("patient", "jdbc:mysql://db/x", user="u", password="p")
-    assert jdbc_options(spec) == {"dbtable": "patient", "url": "jdbc:mysql://db/x", "user": "u", "password": "p"}
+    assert jdbc_options(spec) == {"dbtable": "patient", "fetchsize": "10000", "url": "jdbc:mysql://db/x",
+                                  "user": "u", "password": "p"}
+    assert jdbc_options(TableSpec.jdbc("patient", "jdbc:mysql://db/x", fetchsize="500"))["fetchsize"] == "500"
     parallel = TableSpec.jdbc("patient", "jdbc:mysql://db/x", partitionColumn="patientId", lowerBound="0",
                               upperBound="1000000", numPartitions="64")
     opts = jdbc_options(parallel)
