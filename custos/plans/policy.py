@@ -79,9 +79,8 @@ def policy_session(spark: SparkSession, catalog: Mapping[str, TableSpec], tables
     sensitivity, shuffle partitions, AQE, ...).
     """
     child = spark.newSession()
-    inherited = child.conf.getAll
     for key, value in spark.conf.getAll.items():
-        if inherited.get(key) != value and spark.conf.isModifiable(key):
+        if child.conf.get(key, None) != value and spark.conf.isModifiable(key):
             child.conf.set(key, value)
     register_tables(child, catalog, tables)
     return child
