@@ -26,10 +26,10 @@ END_AGE = "endAge"
 _LOW = "_minBirth"
 _HIGH = "_maxBirth"
 
-# Upper bound on the number of age ranges: the range table is built on the
-# driver from this list and broadcast, so its size is known before it ships.
-MAX_AGE_RANGES = 100_000
-
+# Upper bound on the number of age ranges (every integer age pair up to 200):
+# the range table is built on the driver from this list and broadcast, so
+# its size is known before it ships.
+MAX_AGE_RANGES = 20_000
 
 def sum_name(column: str) -> str:
     return f"{column}__sum"
@@ -81,7 +81,9 @@ def age_range_frame(spark: SparkSession, ranges: Sequence[tuple[int, int]], as_o
 
     Bounds are typed like the birth-date column: ISO text for a string column,
     dates otherwise. Its row count is ``len(ranges)``, checked against
-    :data:`MAX_AGE_RANGES`, so broadcasting it is safe.
+    :data:`MAX_AGE_RANGES`, so broadcasting it is safe. It is an inline
+    ``VALUES`` table (a local relation: broadcast straight from the driver,
+    no job); its text holds only integers and ISO dates made here.
     """
     ranges = [(int(s), int(e)) for s, e in ranges]
     if not ranges:
@@ -89,18 +91,15 @@ def age_range_frame(spark: SparkSession, ranges: Sequence[tuple[int, int]], as_o
     if len(ranges) > MAX_AGE_RANGES:
         raise ValueError(f"{len(ranges)} age ranges; at most {MAX_AGE_RANGES} are supported")
     as_text = isinstance(birth_type, T.StringType)
-    bound_type = T.StringType() if as_text else T.DateType()
+
+    def literal(day: dt.date) -> str:
+        return f"'{day.isoformat()}'" if as_text else f"DATE '{day.isoformat()}'"
+
     rows = []
     for start, end in ranges:
         low, high = birth_date_bounds(as_of, start, end)
-        rows.append((start, end, low.isoformat() if as_text else low, high.isoformat() if as_text else high))
-    schema = T.StructType([
-        T.StructField(START_AGE, T.IntegerType(), False),
-        T.StructField(END_AGE, T.IntegerType(), False),
-        T.StructField(_LOW, bound_type, False),
-        T.StructField(_HIGH, bound_type, False),
-    ])
-    return spark.createDataFrame(rows, schema)
+        rows.append(f"({start}, {end}, {literal(low)}, {literal(high)})")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS ranges({START_AGE}, {END_AGE}, {_LOW}, {_HIGH})")
 
 
 def join_age_ranges(df: DataFrame, ranges: DataFrame, column: str = BIRTH_DATE) -> DataFrame:
