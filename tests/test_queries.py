@@ -66,3 +66,18 @@ def test_batch_averages_equal_single_range(spark):
             continue
         assert batch[(start, end)] == pytest.approx(single[0].value, rel=1e-12)
         assert by_component[(start, end)] == pytest.approx(single[0].value, rel=1e-12)
+
+
+def test_batch_json_arrays_equal_single_patient(spark):
+    from custos.operators.ordering import series_order
+    from custos.operators.output import json_array_parts
+
+    cat = fx.catalog(SF001)
+    batch = json_array_parts(clinical.series_all_patients(spark, cat, _mask(), "fibrinogen"), series_order(),
+                             keys=("socialId",), part_size=7)
+    for social_id in ("Customer#000000009", "Customer#000000042"):
+        one = json_array_parts(clinical.component_series(spark, cat, _mask(), social_id, "fibrinogen"),
+                               series_order(), part_size=7)
+        want = sorted((r.part, r.json) for r in one.collect())
+        got = sorted((r.part, r.json) for r in batch.filter(F.col("socialId") == social_id).collect())
+        assert got == want and got
