@@ -15,6 +15,38 @@ Layout:
   streaming/  the compliant series over a stream of blood tests
 """
 
-from custos.constants import DATE, SUBJECT_ID, CLAUSES, VALUE
+from custos.constants import CLAUSES, DATE, SUBJECT_ID, VALUE
+from custos.plans.clinical import (
+    average_by_age_ranges,
+    average_by_components_and_ranges,
+    component_average,
+    component_series,
+    compliant_joined,
+    series_all_components,
+    series_all_patients,
+)
+from custos.plans.policy import Envelope, base_query, policy_request, run_policy
+from custos.session import recommended_conf
+from custos.sources.catalog import TableSpec
+from custos.sources.settings import catalog_from_settings
 
-__all__ = ["DATE", "SUBJECT_ID", "CLAUSES", "VALUE"]
+__all__ = [
+    "CLAUSES",
+    "DATE",
+    "SUBJECT_ID",
+    "VALUE",
+    "Envelope",
+    "TableSpec",
+    "average_by_age_ranges",
+    "average_by_components_and_ranges",
+    "base_query",
+    "catalog_from_settings",
+    "compliant_joined",
+    "component_average",
+    "component_series",
+    "policy_request",
+    "recommended_conf",
+    "run_policy",
+    "series_all_components",
+    "series_all_patients",
+]
