@@ -40,8 +40,9 @@ def running_averages(spark: SparkSession, catalog: Mapping[str, TableSpec], enve
     joined = join_subject(compliant.select(SUBJECT_ID, *columns), profiles)
     table = age_range_frame(spark, ranges, as_of or dt.date.today(), profiles.schema[BIRTH_DATE].dataType)
     ranged = join_age_ranges(joined, table)
-    entries = [F.struct(F.lit(c).alias(COMPONENT), F.col(c).alias(_V)) for c in columns]
-    long = ranged.select(START_AGE, END_AGE, F.inline(F.array(*entries))).filter(F.col(_V).isNotNull())
+    # unpivot runs as a code-generated Expand over each streamed row
+    long = ranged.select(START_AGE, END_AGE, *columns).unpivot([START_AGE, END_AGE], columns, COMPONENT, _V)
+    long = long.filter(F.col(_V).isNotNull())
     return long.groupBy(COMPONENT, START_AGE, END_AGE).agg(mean_of(F.sum(_V), F.count(_V)).alias(VALUE))
 
 
