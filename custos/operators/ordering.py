@@ -46,6 +46,10 @@ def with_position(df: DataFrame, order: list[Column], name: str = "pos") -> Data
     checkpointed to the session's checkpoint folder so a lost executor
     cannot renumber it. A position is then the row count of all earlier
     partitions (a table with one row per partition, broadcast) plus the index.
+
+    ``order`` must be total (no two rows equal on it, as for distinct rows
+    ordered by all their columns): tied rows could otherwise be numbered
+    differently if a task is recomputed before the checkpoint is written.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
