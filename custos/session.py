@@ -46,6 +46,26 @@ def recommended_conf() -> dict[str, str]:
     }
 
 
+def sizing_conf(input_bytes: int, total_cores: int, shuffle_bytes_per_partition: int = 1 << 30,
+                max_partitions: int = 200_000) -> dict[str, str]:
+    """Shuffle settings for a run reading ``input_bytes`` on ``total_cores`` cores.
+
+    The queries shuffle projected columns, per-patient partials or distinct
+    rows, well under their input, so the initial partition count assumes
+    about 1 GB of input per shuffle partition (at least two per core, at most
+    ``max_partitions``); AQE then coalesces toward 256 MB partitions. Scan
+    splits stay at 128 MB so a task's input fits in executor memory.
+    """
+    partitions = max(2 * total_cores, -(-input_bytes // shuffle_bytes_per_partition))
+    partitions = min(partitions, max_partitions)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "custos", extra: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app_name)

@@ -57,3 +57,13 @@ def test_literal_like_types(spark):
     assert literal_like("x", T.LongType()) is None
     assert literal_like("2024-13-01", T.DateType()) is None
     assert literal_like("12", T.LongType()) is not None
+
+
+def test_sizing_conf():
+    from custos.session import sizing_conf
+
+    big = sizing_conf(100 << 40, 8000)  # 100 TB on 1000 executors x 8 cores
+    assert big["spark.sql.shuffle.partitions"] == str(100 << 10)
+    assert big["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == str(100 << 10)
+    assert sizing_conf(10 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
+    assert sizing_conf(1 << 60, 8)["spark.sql.shuffle.partitions"] == "200000"
