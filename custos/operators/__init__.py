@@ -1,9 +1,12 @@
 """DataFrame → DataFrame building blocks of the clinical queries."""
 
 from custos.operators.aggregate import (
+    age_at,
+    age_partials,
     age_range_frame,
     average_from_partials,
     join_age_ranges,
+    range_ages,
     subject_partials,
     suppress_empty,
 )
@@ -14,6 +17,8 @@ from custos.operators.output import json_lines
 from custos.operators.projection import drop_subject, project_component, rename_to_value
 
 __all__ = [
+    "age_at",
+    "age_partials",
     "age_range_frame",
     "average_from_partials",
     "bounded_rows",
@@ -26,6 +31,7 @@ __all__ = [
     "join_subject",
     "json_lines",
     "project_component",
+    "range_ages",
     "rename_to_value",
     "restrict_to_subjects",
     "sort_series",

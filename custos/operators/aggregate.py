@@ -6,6 +6,15 @@ To keep hot patients from skewing the plan, values are first reduced to a
 patient with a third of all rows still leaves each task as one row), and
 sums and counts are added up from there. The result equals ``avg`` up to the
 last floating-point digit.
+
+Many age ranges at once are an equi-join on whole years of age. With
+``L(k) = as_of - k years`` (29 February clamped to 28 February), a birth date
+``b`` lies strictly between ``L(end)`` and ``L(start)`` exactly when
+``age(b) < end`` and (``age(b) > start``, or ``age(b) == start`` and
+``as_of`` is not ``b``'s birthday), where ``age(b)`` is the largest ``k``
+with ``b <= L(k)``. Partials are reduced per ``(age, birthday)``, each range
+is expanded to its ages, and the two meet on the age: no pairwise
+comparison of birth dates with ranges, and no limit on the number of ranges.
 """
 
 from __future__ import annotations
@@ -19,17 +28,14 @@ from pyspark.sql import types as T
 
 from custos.constants import BIRTH_DATE, SUBJECT_ID, VALUE
 from custos.functions.columns import quoted
-from custos.functions.dates import birth_date_bounds
 
 START_AGE = "startAge"
 END_AGE = "endAge"
-_LOW = "_minBirth"
-_HIGH = "_maxBirth"
-
-# Upper bound on the number of age ranges (every integer age pair up to 200):
-# the range table is built on the driver from this list and broadcast, so
-# its size is known before it ships.
-MAX_AGE_RANGES = 20_000
+AGE = "_age"
+BIRTHDAY = "_birthday"
+# Range lists up to this length become an inline VALUES table (a local
+# relation); longer lists are parallelized from the driver.
+INLINE_RANGES = 1_000
 
 def sum_name(column: str) -> str:
     return f"{column}__sum"
@@ -75,42 +81,85 @@ def suppress_empty(df: DataFrame, column: str = VALUE) -> DataFrame:
     return df.filter(quoted(column).isNotNull())
 
 
-def age_range_frame(spark: SparkSession, ranges: Sequence[tuple[int, int]], as_of: dt.date,
-                    birth_type: T.DataType = T.DateType()) -> DataFrame:
-    """A small table ``(startAge, endAge, min birth, max birth)`` built on the driver.
+def age_at(birth: Column, as_of: dt.date) -> tuple[Column, Column]:
+    """Whole years of age on ``as_of`` and whether ``as_of`` is the birthday.
 
-    Bounds are typed like the birth-date column: ISO text for a string column,
-    dates otherwise. Its row count is ``len(ranges)``, checked against
-    :data:`MAX_AGE_RANGES`, so broadcasting it is safe. It is an inline
-    ``VALUES`` table (a local relation: broadcast straight from the driver,
-    no job); its text holds only integers and ISO dates made here.
+    Age is the largest ``k`` with ``birth <= as_of - k years``; "birthday"
+    means ``birth == as_of - age years``, which on a 29 February ``as_of``
+    includes 28 February of a common year (the clamped date).
+    """
+    month, day = F.month(birth), F.dayofmonth(birth)
+    later = (month > as_of.month) | ((month == as_of.month) & (day > as_of.day))
+    age = F.lit(as_of.year) - F.year(birth) - later.cast(T.IntegerType())
+    birthday = (month == as_of.month) & (day == as_of.day)
+    if (as_of.month, as_of.day) == (2, 29):
+        year = F.year(birth)
+        leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+        birthday = birthday | ((month == 2) & (day == 28) & ~leap)
+    return age, birthday
+
+
+def birth_as_date(df: DataFrame, column: str = BIRTH_DATE) -> Column:
+    """The birth-date column as a date (ISO text parsed; unparseable text is null)."""
+    data_type = df.schema[column].dataType
+    if isinstance(data_type, T.StringType):
+        return F.try_to_date(quoted(column))
+    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
+        return quoted(column).cast(T.DateType())
+    return quoted(column)
+
+
+def age_partials(df: DataFrame, columns: Sequence[str], as_of: dt.date, column: str = BIRTH_DATE) -> DataFrame:
+    """Add up partials per ``(age, birthday)`` on ``as_of``; null birth dates drop.
+
+    Ages come from dates (years 1 to 9999), so the result has at most about
+    20 000 rows whatever the input size: a proven bound for broadcasting it.
+    """
+    age, birthday = age_at(birth_as_date(df, column), as_of)
+    keyed = df.select(age.alias(AGE), birthday.alias(BIRTHDAY), *[sum_name(c) for c in columns],
+                      *[count_name(c) for c in columns]).filter(F.col(AGE).isNotNull())
+    return add_partials(keyed, columns, (AGE, BIRTHDAY))
+
+
+def age_range_frame(spark: SparkSession, ranges: Sequence[tuple[int, int]]) -> DataFrame:
+    """The caller's age ranges as a table ``(startAge, endAge)``.
+
+    Short lists are an inline ``VALUES`` table (a local relation: no job to
+    read or broadcast it; its text holds only the integers checked here);
+    longer ones are parallelized. Every range must have ``start < end``.
     """
     ranges = [(int(s), int(e)) for s, e in ranges]
     if not ranges:
         raise ValueError("no age ranges given")
-    if len(ranges) > MAX_AGE_RANGES:
-        raise ValueError(f"{len(ranges)} age ranges; at most {MAX_AGE_RANGES} are supported")
-    as_text = isinstance(birth_type, T.StringType)
+    for start, end in ranges:
+        if start >= end:
+            raise ValueError(f"wrong age range: {start} >= {end}")
+    if len(ranges) <= INLINE_RANGES:
+        rows = ", ".join(f"({start}, {end})" for start, end in ranges)
+        return spark.sql(f"SELECT * FROM VALUES {rows} AS ranges({START_AGE}, {END_AGE})")
+    schema = T.StructType([T.StructField(START_AGE, T.IntegerType(), False),
+                           T.StructField(END_AGE, T.IntegerType(), False)])
+    return spark.createDataFrame(ranges, schema)
 
-    def literal(day: dt.date) -> str:
-        return f"'{day.isoformat()}'" if as_text else f"DATE '{day.isoformat()}'"
 
-    rows = []
-    for start, end in ranges:
-        low, high = birth_date_bounds(as_of, start, end)
-        rows.append(f"({start}, {end}, {literal(low)}, {literal(high)})")
-    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS ranges({START_AGE}, {END_AGE}, {_LOW}, {_HIGH})")
+def range_ages(ranges: DataFrame) -> DataFrame:
+    """``(startAge, endAge, age)`` for every whole age a range can contain."""
+    ages = F.explode(F.sequence(F.col(START_AGE), F.col(END_AGE) - F.lit(1))).alias(AGE)
+    return ranges.select(START_AGE, END_AGE, ages)
+
+
+def in_range(age: str = AGE, birthday: str = BIRTHDAY) -> Column:
+    """After joining on the age: the start age only counts without an exact birthday."""
+    return (F.col(age) > F.col(START_AGE)) | ~F.col(birthday)
 
 
-def join_age_ranges(df: DataFrame, ranges: DataFrame, column: str = BIRTH_DATE) -> DataFrame:
-    """Pair each row with every age range its birth date falls in (both ends excluded).
+def join_age_ranges(by_age: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Pair each ``(age, birthday)`` row with every range containing it.
 
-    ``ranges`` comes from :func:`age_range_frame` (bounded), so it is
-    broadcast and the big side is never shuffled for this join. Rows in no
-    range drop out; overlapping ranges each get the row.
+    ``by_age`` comes from :func:`age_partials` (bounded by the date domain),
+    so it is broadcast; the expanded ranges stay distributed however many
+    the caller gave. Overlapping ranges each get the row; rows in no range
+    drop out.
     """
-    birth = quoted(column)
-    if isinstance(df.schema[column].dataType, (T.TimestampType, T.TimestampNTZType)):
-        birth = birth.cast(T.DateType())
-    cond = (birth > F.col(_LOW)) & (birth < F.col(_HIGH))
-    return df.join(F.broadcast(ranges), cond, "inner").drop(_LOW, _HIGH)
+    joined = range_ages(ranges).join(F.broadcast(by_age), AGE)
+    return joined.filter(in_range()).drop(AGE, BIRTHDAY)

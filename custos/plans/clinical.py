@@ -21,9 +21,11 @@ from custos.functions.columns import quoted
 from custos.functions.components import resolve_component, value_columns
 from custos.functions.dates import birth_date_bounds
 from custos.operators.aggregate import (
+    AGE,
+    BIRTHDAY,
     END_AGE,
     START_AGE,
-    add_partials,
+    age_partials,
     age_range_frame,
     average_from_partials,
     count_name,
@@ -87,7 +89,7 @@ def component_average(spark: SparkSession, catalog: Mapping[str, TableSpec], env
     ``(value)``, or zero rows when no value falls in the range. ``as_of``
     (default today) fixes the date the ages refer to. The profile join runs
     on per-patient partials, partitioned by ``patientId`` already (see
-    :func:`_birth_partials`).
+    :func:`_age_partials`).
     """
     low, high = birth_date_bounds(as_of or dt.date.today(), start_age, end_age)
     compliant = run_policy(spark, catalog, envelope)
@@ -118,31 +120,34 @@ def series_all_components(spark: SparkSession, catalog: Mapping[str, TableSpec],
     return distinct_rows(long.filter(F.col(VALUE).isNotNull()).select(SOCIAL_ID, COMPONENT, DATE, VALUE))
 
 
-def _birth_partials(spark: SparkSession, catalog: Mapping[str, TableSpec], partials: DataFrame,
-                    columns: Sequence[str]) -> DataFrame:
-    """Per-subject partials → per-birth-date partials (a few thousand rows).
+def _age_partials(spark: SparkSession, catalog: Mapping[str, TableSpec], partials: DataFrame,
+                  columns: Sequence[str], as_of: dt.date) -> DataFrame:
+    """Per-patient partials → partials per ``(age, birthday)`` on ``as_of``.
 
     The partials come out of an aggregation by ``patientId`` and are already
     hash-partitioned by it, so a sort-merge join shuffles only the profile
     side, the same rows a broadcast would ship: no size check is needed, and
-    Spark still broadcasts profiles it can size as small.
+    Spark still broadcasts profiles it can size as small. The result has at
+    most about 20 000 rows (ages from dates).
     """
-    profiles = _profiles(spark, catalog, (BIRTH_DATE,)).filter(F.col(BIRTH_DATE).isNotNull())
-    return add_partials(join_subject(partials, profiles, check_broadcast=False), columns, (BIRTH_DATE,))
+    profiles = _profiles(spark, catalog, (BIRTH_DATE,))
+    with_birth = join_subject(partials, profiles, check_broadcast=False)
+    return age_partials(with_birth, columns, as_of)
 
 
 def average_by_age_ranges(spark: SparkSession, catalog: Mapping[str, TableSpec], envelope, component: str,
                           ranges: Sequence[tuple[int, int]], as_of: dt.date | None = None) -> DataFrame:
     """O27 for a list of age ranges in one job (B3): ``(startAge, endAge, value)``.
 
-    Ranges may overlap; a range without values is absent, as O27 gives no
-    row for it.
+    Ranges may overlap and there may be any number of them; a range without
+    values is absent, as O27 gives no row for it. Ranges meet the data in an
+    equi-join on whole years of age (see :mod:`custos.operators.aggregate`).
     """
+    table = age_range_frame(spark, ranges)
     compliant = run_policy(spark, catalog, envelope)
     column = resolve_component(compliant.columns, component)
-    by_birth = _birth_partials(spark, catalog, _average_partials(compliant, column), [column])
-    table = age_range_frame(spark, ranges, as_of or dt.date.today(), by_birth.schema[BIRTH_DATE].dataType)
-    ranged = join_age_ranges(by_birth, table)
+    by_age = _age_partials(spark, catalog, _average_partials(compliant, column), [column], as_of or dt.date.today())
+    ranged = join_age_ranges(by_age, table)
     return suppress_empty(average_from_partials(ranged, column, (START_AGE, END_AGE)))
 
 
@@ -153,15 +158,15 @@ def average_by_components_and_ranges(spark: SparkSession, catalog: Mapping[str,
 
     All components are reduced in the same pass over the blood tests (one
     sum and count per component and patient); the long form is made only
-    from the per-birth-date table.
+    from the per-age table.
     """
+    table = age_range_frame(spark, ranges)
     compliant = run_policy(spark, catalog, envelope)
     columns = value_columns(compliant.columns)
-    by_birth = _birth_partials(spark, catalog, subject_partials(compliant, columns), columns)
+    by_age = _age_partials(spark, catalog, subject_partials(compliant, columns), columns, as_of or dt.date.today())
     entries = [F.struct(F.lit(c).alias(COMPONENT), F.col(sum_name(c)).alias("_sum"),
                         F.col(count_name(c)).alias("_n")) for c in columns]
-    long = by_birth.select(BIRTH_DATE, F.inline(F.array(*entries))).filter(F.col("_n") > 0)
-    table = age_range_frame(spark, ranges, as_of or dt.date.today(), by_birth.schema[BIRTH_DATE].dataType)
+    long = by_age.select(AGE, BIRTHDAY, F.inline(F.array(*entries))).filter(F.col("_n") > 0)
     ranged = join_age_ranges(long, table)
     out = ranged.groupBy(COMPONENT, START_AGE, END_AGE).agg(
         mean_of(F.sum("_sum"), F.sum("_n")).alias(VALUE))

@@ -11,7 +11,19 @@ from pyspark.sql import functions as F
 
 from custos.constants import BIRTH_DATE, PROFILES, SUBJECT_ID, VALUE
 from custos.functions.components import value_columns
-from custos.operators.aggregate import END_AGE, START_AGE, age_range_frame, join_age_ranges, mean_of
+from custos.operators.aggregate import (
+    AGE,
+    BIRTHDAY,
+    END_AGE,
+    START_AGE,
+    age_at,
+    age_range_frame,
+    birth_as_date,
+    in_range,
+    mean_of,
+    range_ages,
+)
+from custos.operators.join import broadcast_if_small
 from custos.operators.join import join_subject
 from custos.plans.clinical import COMPONENT
 from custos.plans.policy import run_policy
@@ -38,8 +50,11 @@ def running_averages(spark: SparkSession, catalog: Mapping[str, TableSpec], enve
     profiles = (load_table(spark, catalog, PROFILES).select(SUBJECT_ID, BIRTH_DATE)
                 .filter(F.col(BIRTH_DATE).isNotNull()))
     joined = join_subject(compliant.select(SUBJECT_ID, *columns), profiles)
-    table = age_range_frame(spark, ranges, as_of or dt.date.today(), profiles.schema[BIRTH_DATE].dataType)
-    ranged = join_age_ranges(joined, table)
+    age, birthday = age_at(birth_as_date(joined), as_of or dt.date.today())
+    keyed = joined.select(age.alias(AGE), birthday.alias(BIRTHDAY), *columns)
+    # the expanded ranges are static: one row per range and whole age
+    ages = broadcast_if_small(range_ages(age_range_frame(spark, ranges)))
+    ranged = keyed.join(ages, AGE).filter(in_range()).drop(AGE, BIRTHDAY)
     # unpivot runs as a code-generated Expand over each streamed row
     long = ranged.select(START_AGE, END_AGE, *columns).unpivot([START_AGE, END_AGE], columns, COMPONENT, _V)
     long = long.filter(F.col(_V).isNotNull())

@@ -160,49 +160,41 @@ def test_empty_average_leaves_zero_rows(spark):
     assert suppress_empty(average_from_partials(subject_partials(none, ["v"]), "v")).count() == 0
 
 
-def test_age_ranges_overlap_and_exclude_bounds(spark):
-    births = spark.createDataFrame(
-        [(dt.date(1984, 1, 1),), (dt.date(1990, 1, 1),), (dt.date(1960, 6, 1),)], "birthDate date")
-    table = age_range_frame(spark, [(18, 40), (30, 70)], dt.date(2024, 1, 1))
-    got = sorted((r.birthDate, r.startAge, r.endAge) for r in join_age_ranges(births, table).collect())
-    assert got == [(dt.date(1960, 6, 1), 30, 70), (dt.date(1984, 1, 1), 30, 70),
-                   (dt.date(1990, 1, 1), 18, 40), (dt.date(1990, 1, 1), 30, 70)]
+def test_age_ranges_match_birth_date_bounds(spark):
+    """The age equi-join puts a birth date in exactly the ranges whose open
+    birth-date interval contains it (brute force over random dates, leap days
+    included), for several reference dates."""
+    import random
+
+    from custos.functions.dates import birth_date_bounds
+    from custos.operators.aggregate import age_partials, count_name, sum_name
+
+    rnd = random.Random(7)
+    births = [dt.date(1900, 1, 1) + dt.timedelta(days=rnd.randrange(0, 365 * 124)) for _ in range(400)]
+    births += [dt.date(y, m, d) for y in (1984, 1999, 2000, 2004) for m, d in ((2, 28), (2, 29), (3, 1))
+               if not (m == 2 and d == 29 and y % 4)]
+    ranges = [(18, 40), (30, 70), (0, 1), (40, 41), (3, 10), (20, 22), (60, 120)]
+    rows = [(b, 1.0, 1) for b in births]
+    df = spark.createDataFrame(rows, f"birthDate date, {sum_name('v')} double, {count_name('v')} long")
+    table = age_range_frame(spark, ranges)
+    for as_of in (dt.date(2024, 1, 1), dt.date(2024, 2, 29), dt.date(2023, 2, 28), dt.date(2024, 3, 1)):
+        ranged = join_age_ranges(age_partials(df, ["v"], as_of), table)
+        got = {(r.startAge, r.endAge): r[count_name("v")] for r in
+               ranged.groupBy("startAge", "endAge").agg(F.sum(count_name("v")).alias(count_name("v"))).collect()}
+        for start, end in ranges:
+            low, high = birth_date_bounds(as_of, start, end)
+            want = sum(1 for b in births if low < b < high)
+            assert got.get((start, end), 0) == want, (as_of, start, end)
+
+
+def test_age_range_frame_validation(spark):
     with pytest.raises(ValueError):
-        age_range_frame(spark, [], dt.date(2024, 1, 1))
-    text = age_range_frame(spark, [(18, 40)], dt.date(2024, 1, 1), T.StringType())
-    assert text.schema["_minBirth"].dataType == T.StringType()
-
-
-def test_json_array_parts_rebuild_the_ordered_arrays(spark):
-    from custos.operators.output import json_array_parts
-
-    rows = [("k%d" % (i % 4), None if i % 11 == 0 else dt.date(2024, 1, 1 + i % 20), float(i % 13))
-            for i in range(0, 200, 3)]
-    df = spark.createDataFrame(rows, "socialId string, date date, value double").distinct()
-    parts = json_array_parts(df, series_order(), keys=("socialId",), part_size=3).collect()
-    rebuilt = {}
-    for r in sorted(parts, key=lambda r: (r.socialId, r.part)):
-        items = json.loads(r.json)
-        assert 1 <= len(items) <= 3
-        rebuilt.setdefault(r.socialId, []).extend(items)
-    expected = {}
-    for key, date, value in sorted(set(rows), key=lambda t: (t[0], t[1] is not None, t[1] or dt.date.min, t[2])):
-        item = {"value": value} if date is None else {"date": date.isoformat(), "value": value}
-        expected.setdefault(key, []).append(item)
-    assert rebuilt == expected
-    # parts are numbered densely from 0 per key
-    for key in expected:
-        assert sorted(r.part for r in parts if r.socialId == key) == list(range((len(expected[key]) + 2) // 3))
-
-
-def test_json_array_single_part_is_the_whole_array(spark):
-    from custos.operators.output import json_array_parts
-
-    df = spark.createDataFrame([(dt.date(2024, 1, 2), 1.0), (None, 3.0), (dt.date(2024, 1, 1), 2.0)],
-                               "date date, value double")
-    out = json_array_parts(df, series_order()).collect()
-    assert [(r.part, r.json) for r in out] == [
-        (0, '[{"value":3.0},{"date":"2024-01-01","value":2.0},{"date":"2024-01-02","value":1.0}]')]
+        age_range_frame(spark, [])
+    with pytest.raises(ValueError):
+        age_range_frame(spark, [(40, 18)])
+    many = [(s, s + w) for s in range(0, 120) for w in range(1, 12)]  # longer than the inline limit
+    assert age_range_frame(spark, many).count() == len(many)
+    assert age_range_frame(spark, many[:5]).count() == 5
 
 
 def test_write_json_sink(spark):
