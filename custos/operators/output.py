@@ -55,7 +55,7 @@ def json_array_parts(df: DataFrame, order: list, keys: tuple[str, ...] = (), par
         ranked = ranked.join(first, list(keys)).withColumn(_RANK, F.col(_RANK) - F.col(_FIRST))
     else:
         ranked = ranked.withColumn(_RANK, F.col(_RANK) - F.lit(1))
-    parts = ranked.withColumn(PART, F.floor(F.col(_RANK) / F.lit(part_size)).cast("long"))
+    parts = ranked.withColumn(PART, F.expr(f"{_RANK} div {int(part_size)}"))
     grouped = parts.groupBy(*keys, PART).agg(
         F.array_sort(F.collect_list(F.struct(F.col(_RANK), F.col(_ELEMENT)))).alias("_items"))
     text = F.concat(F.lit("["), F.array_join(F.transform("_items", lambda item: item[_ELEMENT]), ","), F.lit("]"))
