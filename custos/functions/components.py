@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 # The naming rule of the blood_tests table.
@@ -10,12 +11,15 @@ from collections.abc import Sequence
 CHOLESTEROL = "cholesterol"
 CHOLESTEROL_COLUMN = "cholesterol_total_value"
 VALUE_SUFFIX = "_value"
+# Component names are letters, digits, "_" and "." (as in "cholesterol.hdl"),
+# so a name can never change the meaning of the query text it is put in.
+_NAME = re.compile(r"[A-Za-z][A-Za-z0-9_]*(\.[A-Za-z0-9_]+)*")
 
 
 def policy_component_column(component: str) -> str:
     """Column name as written in the query sent to the policy engine (dots kept)."""
-    if not component:
-        raise ValueError("empty component name")
+    if not component or not _NAME.fullmatch(component):
+        raise ValueError(f"not a component name: {component!r}")
     if component == CHOLESTEROL:
         return CHOLESTEROL_COLUMN
     return component + VALUE_SUFFIX

@@ -24,6 +24,9 @@ def test_component_names():
         resolve_component(["patientId", "date"], "fibrinogen")
     with pytest.raises(ValueError):
         component_column("")
+    for bad in ("x FROM t --", "a;b", "fibrinogen_value FROM blood_tests WHERE 1=1", ".x", "a..b"):
+        with pytest.raises(ValueError):
+            policy_component_column(bad)
     assert value_columns(["patientId", "date", "a_value", "b", "c_value"]) == ["a_value", "c_value"]
 
 
