@@ -107,8 +107,10 @@ def restrict_to_subjects(df: DataFrame, subjects: DataFrame, max_literals: int =
 
     When ``subjects`` holds at most ``max_literals`` rows (checked), the ids
     become an ``IN`` filter: it is pushed through the policy query into the
-    Parquet scan and skips row groups by their min/max statistics, and no
-    shuffle or broadcast happens. Otherwise a semi-join runs, planned by Spark.
+    Parquet scan and skips row groups by their min/max statistics (and
+    buckets, on tables bucketed by the key), and no shuffle or broadcast
+    happens. Otherwise a semi-join runs: the ids are broadcast if a bounded
+    check shows they fit, else Spark plans it (sort-merge, AQE skew split).
     Duplicated subject rows never duplicate ``df`` rows.
     """
     ids_frame = subjects.select(quoted(key))
