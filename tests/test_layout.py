@@ -48,3 +48,8 @@ def test_bucketed_tables_make_subject_joins_shuffle_free(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_write_bucketed_rejects_bad_bucket_count(spark):
+    with pytest.raises(ValueError):
+        write_bucketed(spark.range(3), "never_written", 0)

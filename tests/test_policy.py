@@ -155,3 +155,10 @@ def test_policy_request():
                    "purpose": "Research", "access": "read", "requester": "", "blueprintId": "",
                    "requesterId": ""}
     assert policy_request("fibrinogen", "MedicalTreatment", "doc-1")["requesterId"] == "doc-1"
+
+
+def test_envelope_from_bytes_and_mapping():
+    raw = envelope().encode()
+    assert Envelope.parse(raw) == Envelope.parse(json.loads(raw)) == Envelope.parse(envelope())
+    with pytest.raises(ValueError):
+        Envelope.parse({"tables": [{"nom": "x"}], "rewrittenQuery": "SELECT 1"})
