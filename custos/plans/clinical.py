@@ -121,16 +121,21 @@ def series_all_components(spark: SparkSession, catalog: Mapping[str, TableSpec],
 
 
 def _age_partials(spark: SparkSession, catalog: Mapping[str, TableSpec], partials: DataFrame,
-                  columns: Sequence[str], as_of: dt.date) -> DataFrame:
+                  columns: Sequence[str], as_of: dt.date, ranges: Sequence[tuple[int, int]]) -> DataFrame:
     """Per-patient partials → partials per ``(age, birthday)`` on ``as_of``.
 
-    The partials come out of an aggregation by ``patientId`` and are already
+    Profiles born outside every range are dropped first: no birth date
+    outside the widest bounds of all ranges can fall in any of them, and the
+    filter reaches the profile scan (or the database query). The partials
+    come out of an aggregation by ``patientId`` and are already
     hash-partitioned by it, so a sort-merge join shuffles only the profile
     side, the same rows a broadcast would ship: no size check is needed, and
     Spark still broadcasts profiles it can size as small. The result has at
     most about 20 000 rows (ages from dates).
     """
-    profiles = _profiles(spark, catalog, (BIRTH_DATE,))
+    bounds = [birth_date_bounds(as_of, start, end) for start, end in ranges]
+    low, high = min(b[0] for b in bounds), max(b[1] for b in bounds)
+    profiles = filter_birth_range(_profiles(spark, catalog, (BIRTH_DATE,)), low, high)
     with_birth = join_subject(partials, profiles, check_broadcast=False)
     return age_partials(with_birth, columns, as_of)
 
@@ -143,10 +148,12 @@ def average_by_age_ranges(spark: SparkSession, catalog: Mapping[str, TableSpec],
     values is absent, as O27 gives no row for it. Ranges meet the data in an
     equi-join on whole years of age (see :mod:`custos.operators.aggregate`).
     """
+    ranges = [(int(start), int(end)) for start, end in ranges]
     table = age_range_frame(spark, ranges)
     compliant = run_policy(spark, catalog, envelope)
     column = resolve_component(compliant.columns, component)
-    by_age = _age_partials(spark, catalog, _average_partials(compliant, column), [column], as_of or dt.date.today())
+    as_of = as_of or dt.date.today()
+    by_age = _age_partials(spark, catalog, _average_partials(compliant, column), [column], as_of, ranges)
     ranged = join_age_ranges(by_age, table)
     return suppress_empty(average_from_partials(ranged, column, (START_AGE, END_AGE)))
 
@@ -160,10 +167,12 @@ def average_by_components_and_ranges(spark: SparkSession, catalog: Mapping[str,
     sum and count per component and patient); the long form is made only
     from the per-age table.
     """
+    ranges = [(int(start), int(end)) for start, end in ranges]
     table = age_range_frame(spark, ranges)
     compliant = run_policy(spark, catalog, envelope)
     columns = value_columns(compliant.columns)
-    by_age = _age_partials(spark, catalog, subject_partials(compliant, columns), columns, as_of or dt.date.today())
+    as_of = as_of or dt.date.today()
+    by_age = _age_partials(spark, catalog, subject_partials(compliant, columns), columns, as_of, ranges)
     entries = [F.struct(F.lit(c).alias(COMPONENT), F.col(sum_name(c)).alias("_sum"),
                         F.col(count_name(c)).alias("_n")) for c in columns]
     long = by_age.select(AGE, BIRTHDAY, F.inline(F.array(*entries))).filter(F.col("_n") > 0)

@@ -83,3 +83,11 @@ def test_batch_json_arrays_equal_single_patient(spark):
         want = sorted((r.part, r.json) for r in one.collect())
         got = sorted((r.part, r.json) for r in batch.filter(F.col("socialId") == social_id).collect())
         assert got == want and got
+
+
+def test_batch_averages_accept_any_iterable_of_ranges(spark):
+    cat = fx.catalog(SF001)
+    listed = clinical.average_by_age_ranges(spark, cat, _mask(), "fibrinogen", [(18, 40), (40, 65)], fx.AS_OF)
+    generated = clinical.average_by_age_ranges(spark, cat, _mask(), "fibrinogen",
+                                               ((s, e) for s, e in [(18, 40), (40, 65)]), fx.AS_OF)
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, generated.collect()))
