@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from custos.constants import BIRTH_DATE, PROFILES, SUBJECT_ID, VALUE
 from custos.functions.components import value_columns
+from custos.functions.dates import birth_date_bounds
+from custos.operators.filters import filter_birth_range
 from custos.operators.aggregate import (
     AGE,
     BIRTHDAY,
@@ -39,21 +41,26 @@ def running_averages(spark: SparkSession, catalog: Mapping[str, TableSpec], enve
     ``complete`` or ``update`` mode.
 
     The catalog's ``blood_tests`` must be a stream. Each micro-batch is
-    policy-filtered, joined with the static profiles and the broadcast range
-    table, and folded into one sum and count per group (partial aggregation
-    runs before the state store).
+    policy-filtered, joined with the static profiles (those born outside
+    every range are filtered out first), given each row's whole age, joined
+    on that age with the static expansion of the ranges, and folded into one
+    sum and count per group (partial aggregation runs before the state store).
     """
     compliant = run_policy(spark, catalog, envelope)
     if not compliant.isStreaming:
         raise ValueError("blood_tests is not a stream in this catalog")
     columns = value_columns(compliant.columns)
-    profiles = (load_table(spark, catalog, PROFILES).select(SUBJECT_ID, BIRTH_DATE)
-                .filter(F.col(BIRTH_DATE).isNotNull()))
+    as_of = as_of or dt.date.today()
+    ranges = [(int(start), int(end)) for start, end in ranges]
+    table = age_range_frame(spark, ranges)
+    bounds = [birth_date_bounds(as_of, start, end) for start, end in ranges]
+    profiles = filter_birth_range(load_table(spark, catalog, PROFILES).select(SUBJECT_ID, BIRTH_DATE),
+                                  min(b[0] for b in bounds), max(b[1] for b in bounds))
     joined = join_subject(compliant.select(SUBJECT_ID, *columns), profiles)
-    age, birthday = age_at(birth_as_date(joined), as_of or dt.date.today())
+    age, birthday = age_at(birth_as_date(joined), as_of)
     keyed = joined.select(age.alias(AGE), birthday.alias(BIRTHDAY), *columns)
     # the expanded ranges are static: one row per range and whole age
-    ages = broadcast_if_small(range_ages(age_range_frame(spark, ranges)))
+    ages = broadcast_if_small(range_ages(table))
     ranged = keyed.join(ages, AGE).filter(in_range()).drop(AGE, BIRTHDAY)
     # unpivot runs as a code-generated Expand over each streamed row
     long = ranged.select(START_AGE, END_AGE, *columns).unpivot([START_AGE, END_AGE], columns, COMPONENT, _V)
