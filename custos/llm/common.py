@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,26 +38,32 @@ def lower_space_words(text: bytes) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """Cached 64-bit hashes of words; emptied when it holds ``limit`` words, so its memory is bounded."""
+    """Cached 64-bit hashes of words; emptied beyond ``limit`` words or 32 MB of them, so its memory is bounded."""
 
     def __init__(self, split: Callable[[bytes], list[bytes]], limit: int = 300_000) -> None:
         super().__init__()
-        self.split, self.limit = split, limit
+        self.split, self.limit, self.bytes = split, limit, 0
         self.raw = array("Q")
 
     def __missing__(self, word: bytes) -> int:
         slot = self[word] = len(self.raw)
+        self.bytes += len(word)
         self.raw.append(xxhash.xxh3_64_intdigest(word))
         return slot
 
-    def of(self, texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Word hashes of all texts one after another, and where each text starts (and the last ends)."""
-        if len(self) > self.limit:
+    def of(self, texts: Iterable[bytes | None], pad: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Word hashes of all texts one after another, and where each text starts (and the last ends).
+
+        Texts of fewer than ``pad`` words, but not none, are filled up with empty words.
+        """
+        if len(self) > self.limit or self.bytes > 32 << 20:
             self.clear()
-            self.raw = array("Q")
+            self.raw, self.bytes = array("Q"), 0
         get, parts, ends = self.__getitem__, [], [0]
         for text in texts:
             words = self.split(text) if text else ()
+            if 0 < len(words) < pad:
+                words += [b""] * (pad - len(words))
             parts.append(np.fromiter(map(get, words), np.int64, len(words)))
             ends.append(ends[-1] + len(words))
         slots = np.concatenate(parts) if parts else np.empty(0, np.int64)
@@ -124,21 +131,16 @@ def winnow(values: np.ndarray, inside: np.ndarray, width: int) -> np.ndarray:
     return (best == values) & (best > 0)
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES,
-                text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that each holds about ``limit`` bytes of ``text`` (one row at least)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(batch.schema.get_field_index(text))
-        lengths = np.array([0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()], np.int64)
-        begin, room = 0, limit
-        for i, size in enumerate(lengths.tolist()):
-            if room < size and i > begin:
-                yield batch.slice(begin, i - begin)
-                begin, room = i, limit
-            room -= size
-        yield batch.slice(begin)
+def cuts(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of an Arrow binary array that hold about ``limit`` bytes each (one row at least)."""
+    begin, room = 0, limit
+    for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if room < size and i > begin:
+            yield begin, i
+            begin, room = i, limit
+        room -= size
+    if len(texts) > begin:
+        yield begin, len(texts)
 
 
 def packed(docs: DataFrame, carry: Sequence[str] | None = None, name: str = "doc") -> Column:
@@ -165,6 +167,29 @@ def counted_hashes(hashes: DataFrame, column: str = "h", count: str = "n", least
     return (hashes.groupBy(column).agg(F.sum(count).alias("n")).filter(F.col("n") >= least).select(column))
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Rows sorted by ``keys``, cut into tables of whole groups: one table for each key."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        if not part.num_rows:
+            continue
+        columns = [part.column(k).to_pylist() for k in keys]
+        rows = list(zip(*columns))
+        begin = 0
+        for i, key in enumerate(rows):
+            if key != last:
+                if i > begin:
+                    held.append(part.slice(begin, i - begin))
+                if held:
+                    yield pa.concat_tables(held)
+                held, begin, last = [], i, key
+        held.append(part.slice(begin))
+    if held:
+        yield pa.concat_tables(held)
+
+
 #: Largest bitmap, in bits: what a broadcast of it may take (128 MB).
 MOST_BITS = 1 << 30
 _BLOCK = 16

@@ -2,4 +2,33 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+# Every window of 10 words of an item (a shorter item whole), as text; document words inside an occurrence are hit.
+DECONTAMINATION = r"""
+WITH item_words AS (
+  SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+item_windows AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS p FROM item_words WHERE len(w) > 0)),
+doc_words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+doc_windows AS (
+  SELECT r, p, n, array_to_string(w[p:p + n - 1], ' ') AS win
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p
+        FROM doc_words, (SELECT DISTINCT n FROM item_windows) lengths WHERE len(w) >= n)),
+found AS (SELECT r, p, n, item FROM doc_windows JOIN item_windows USING (n, win)),
+hit AS (SELECT r, count(DISTINCT place) AS n_hit
+        FROM (SELECT r, unnest(range(p, p + n)) AS place FROM (SELECT DISTINCT r, p, n FROM found)) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc_words LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_winnowing_decontamination": DECONTAMINATION}

@@ -10,13 +10,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custos.llm import mixing, sharding
-from custos.llm.common import table
+from custos.llm import decontamination, langid, mixing, sharding
+from custos.llm.common import id_remainder, table
 
 SHARDS = 24
 OLD_SHARDS = 20
 
 
+def op1_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document, learned from labelled documents outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents")
+    remainder = id_remainder(docs["doc_id"], 4)
+    train = docs.filter(remainder != 2)
+    model = langid.learn(train, train["text"], train["lang"], train["doc_id"])
+    found = docs.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"),
+                        langid.identify(docs["text"], model, spark).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score",
+                        F.size("found.spans").alias("n_spans"))
+
+
 def op4_min_cost_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents of a 20-shard hash layout moved to 24 shards of equal bytes."""
     docs = table(spark, sf_dir, "documents")
@@ -26,6 +38,18 @@ def op4_min_cost_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
+def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole document inside 10-word windows of benchmark items."""
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontamination.find(docs.select("doc_id", "text"), F.col("text"), bench, bench["item_id"], bench["text"])
+    found = found.select("doc_id", F.col("match.n_words").alias("n_words"),
+                         decontamination.words_hit(F.col("match.spans")).alias("n_hit"),
+                         decontamination.item_ids(F.col("match.spans")).alias("items"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed with source weights 5, 2, 1, repeating, up to 3 times a source's words."""
     docs = table(spark, sf_dir, "documents")
@@ -34,6 +58,8 @@ def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_spans": op1_language_spans,
     "op4_min_cost_flow_sharding": op4_min_cost_flow_sharding,
+    "op7_winnowing_decontamination": op7_winnowing_decontamination,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
 }
