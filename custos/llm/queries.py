@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custos.llm import decontamination, langid, mixing, sharding
+from custos.llm import decontamination, langid, mixing, near_duplicates, sharding
 from custos.llm.common import id_remainder, table
 
 SHARDS = 24
@@ -38,6 +38,12 @@ def op4_min_cost_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
+def op5_minhash_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document: 5-word n-grams, Jaccard similarity 0.8 or more."""
+    docs = table(spark, sf_dir, "documents")
+    return near_duplicates.near_duplicates(docs, docs["doc_id"], docs["text"])
+
+
 def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every whole document inside 10-word windows of benchmark items."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -60,6 +66,7 @@ def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_spans": op1_language_spans,
     "op4_min_cost_flow_sharding": op4_min_cost_flow_sharding,
+    "op5_minhash_jaccard_join": op5_minhash_jaccard_join,
     "op7_winnowing_decontamination": op7_winnowing_decontamination,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
 }
