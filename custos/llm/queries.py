@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custos.llm import decontamination, langid, mixing, near_duplicates, sharding
+from custos.llm import decontamination, langid, mixing, near_duplicates, sharding, substrings
 from custos.llm.common import id_remainder, table
 
 SHARDS = 24
@@ -63,10 +63,17 @@ def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_doubling_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole document outside repeated 35-word windows."""
+    docs = table(spark, sf_dir, "documents")
+    return substrings.remove_repeats(docs, docs["doc_id"], docs["text"], with_text=False).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_spans": op1_language_spans,
     "op4_min_cost_flow_sharding": op4_min_cost_flow_sharding,
     "op5_minhash_jaccard_join": op5_minhash_jaccard_join,
     "op7_winnowing_decontamination": op7_winnowing_decontamination,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
+    "op10_doubling_substring_dedup": op10_doubling_substring_dedup,
 }
