@@ -32,7 +32,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 64
 SHARD_ROWS = 50_000
-LEAST_SHARDS = 32
+LEAST_SHARDS = 128
 SEED = "mix-1"
 
 
