@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custos.llm import decontamination, langid, mixing, near_duplicates, sharding, substrings
+from custos.llm import (decontamination, langid, language_model, mixing, near_duplicates, sharding, substrings,
+                        topk)
 from custos.llm.common import id_remainder, table
 
 SHARDS = 24
@@ -44,6 +45,12 @@ def op5_minhash_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(docs, docs["doc_id"], docs["text"])
 
 
+def op6_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector with all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors["vec_id"], vectors["embedding"], vectors["vec_id"] % 20 == 0, k=20, scale=64)
+
+
 def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every whole document inside 10-word windows of benchmark items."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -56,6 +63,15 @@ def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_gated_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10-probability of every whole document, learned from six sevenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    remainder = id_remainder(docs["doc_id"], 7)
+    scored = language_model.score(docs, docs["doc_id"], docs["text"], remainder != 2)
+    return scored.withColumn("held_out", F.coalesce(id_remainder(F.col("doc_id"), 7) == 2, F.lit(False))).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed with source weights 5, 2, 1, repeating, up to 3 times a source's words."""
     docs = table(spark, sf_dir, "documents")
@@ -73,7 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_spans": op1_language_spans,
     "op4_min_cost_flow_sharding": op4_min_cost_flow_sharding,
     "op5_minhash_jaccard_join": op5_minhash_jaccard_join,
+    "op6_kd_tree_top_k": op6_kd_tree_top_k,
     "op7_winnowing_decontamination": op7_winnowing_decontamination,
+    "op8_gated_recurrent_scores": op8_gated_recurrent_scores,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
     "op10_doubling_substring_dedup": op10_doubling_substring_dedup,
 }
