@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custos.llm import (decontamination, langid, language_model, mixing, near_duplicates, sharding, substrings,
-                        topk)
+from custos.llm import (chat, decontamination, langid, language_model, mixing, near_duplicates, quality, sharding,
+                        substrings, topk)
 from custos.llm.common import id_remainder, table
 
 SHARDS = 24
@@ -30,6 +30,21 @@ def op1_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("found.spans").alias("n_spans"))
 
 
+def op2_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rendered from each participant's side; ``mask`` lists the trained stretches."""
+    said = table(spark, sf_dir, "conversations")
+    sides = chat.perspectives(said, said["conv_id"], said["turn"], said["role"], said["text"])
+    mask = F.array_join(F.transform("spans", lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
+    return sides.select("conv_id", "perspective", "part", "turn", "bucket", "n_messages", "n_own", "text", mask.alias("mask"))
+
+
+def op3_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its text, its path (source and language) and its host (source)."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.posteriors(docs, docs["doc_id"], docs["text"], docs["source"], docs["lang"], labels, labels["doc_id"],
+                              labels["quality"])
+
+
 def op4_min_cost_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents of a 20-shard hash layout moved to 24 shards of equal bytes."""
     docs = table(spark, sf_dir, "documents")
@@ -87,6 +102,8 @@ def op10_doubling_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_spans": op1_language_spans,
+    "op2_perspective_chat": op2_perspective_chat,
+    "op3_empirical_bayes_quality": op3_empirical_bayes_quality,
     "op4_min_cost_flow_sharding": op4_min_cost_flow_sharding,
     "op5_minhash_jaccard_join": op5_minhash_jaccard_join,
     "op6_kd_tree_top_k": op6_kd_tree_top_k,
