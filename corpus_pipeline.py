@@ -2,7 +2,18 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet
 and read back as the next stage's documents. All but the last return the
-columns of ``documents``.
+columns of ``documents``:
+
+1. ``language``: whole texts without letters, or without a language that
+   holds half of them, go (learned from the documents' own labels);
+2. ``near_duplicates``: one document of each class of near copies stays, the
+   one with the smallest id;
+3. ``decontamination``: documents that hold ten consecutive words of a
+   benchmark item (or a shorter item whole) go;
+4. ``mix``: every document stays as often as the mix takes its middle word
+   (0 to 3 times), so each source comes near its target;
+5. ``shard``: documents move from the 20-shard layout to 24 shards of equal
+   bytes and get their shard and slot.
 """
 
 from __future__ import annotations
@@ -10,27 +21,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custos.llm import mixing, sharding
-from custos.llm.common import stored, table
+from custos.llm import decontamination, langid, mixing, near_duplicates, sharding
+from custos.llm.common import packed, stored, table
 
+LEAST_LANGUAGE_SHARE = 0.5
 SHARDS = 24
 OLD_SHARDS = 20
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.learn(docs, docs["text"], docs["lang"], docs["doc_id"])
+    found = docs.select(packed(docs), langid.identify(docs["text"], model, spark).alias("found"))
+    known = (F.col("found.lang") != langid.UNKNOWN) & (F.col("found.score") >= LEAST_LANGUAGE_SHARE)
+    return found.filter(known).select("doc.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.one_of_each_class(docs, docs["doc_id"], docs["text"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bench = table(spark, sf_dir, "benchmark")
+    found = docs.select(packed(docs), docs["text"].alias("text"))
+    found = decontamination.find(found, F.col("text"), bench, bench["item_id"], bench["text"])
+    return found.filter(F.size("match.spans") == 0).select("doc.*")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to weights 5, 2, 1, repeating: every document as often as the mix takes its middle word."""
     mixed = mixing.mix(docs, docs["doc_id"], docs["source"], mixing.word_count(docs["text"]))
     return mixed.select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents moved from a 20-shard hash layout to 24 shards of equal bytes, with their shard and slot."""
     placed = sharding.reshard(docs, docs["doc_id"], docs["text"],
                               sharding.old_shard_by_id(docs["doc_id"], OLD_SHARDS), OLD_SHARDS, SHARDS)
     return placed.select("doc.*", "shard", "slot")
 
 
-STAGES = [("mix", mix_sources), ("shard", shard)]
+STAGES = [("language", language), ("near_duplicates", drop_near_duplicates), ("decontamination", decontaminate),
+          ("mix", mix_sources), ("shard", shard)]
 
 # No SQL: the stages hash, train and search in ways SQL cannot express; tests compare with brute force.
 ORACLE_SQL = None

@@ -27,11 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custos.llm.common import (WordHashes, alnum_words, bitmap, cuts, gram_hashes, in_bitmap, mixed, starts_inside,
-                               stored, whole_groups)
+from custos.llm.common import (WordHashes, alnum_words, bitmap, cuts, gram_hashes, in_bitmap, mixed, packed,
+                               starts_inside, stored, whole_groups)
 from custos.llm.components import connected_components
 
 THRESHOLD = 0.8
@@ -189,9 +189,10 @@ def _verifier(threshold: float, n: int):
 
 def classes(docs: DataFrame, doc_id: Column, text: Column, threshold: float = THRESHOLD, n: int = WORDS,
             recall: float = RECALL, block_texts: int = BLOCK_TEXTS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``(t, rep, copies, class_id, n_links)``: one row per different text.
+    """``(t, root, rep, copies, class_id, n_links)``: one row per different text.
 
-    ``t`` is the text's key, ``rep`` the smallest id among its copies,
+    ``t`` is the text's key, ``root`` the smallest key of its class, ``rep``
+    the smallest id among its copies,
     ``class_id`` the smallest id of its class and ``n_links`` the number of
     other rows linked to each of its rows (its copies and all rows of texts
     at the threshold or above).
@@ -239,7 +240,7 @@ def classes(docs: DataFrame, doc_id: Column, text: Column, threshold: float = TH
     known = stored(known.select("t", "rep", "copies", F.coalesce("root", "t").alias("root"),
                                 (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "linked")
     names = stored(known.groupBy("root").agg(F.min("rep").alias("class_id")), "class-names")
-    return known.join(names, "root").select("t", "rep", "copies", "class_id", "n_links")
+    return known.join(names, "root").select("t", "root", "rep", "copies", "class_id", "n_links")
 
 
 def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, **options) -> DataFrame:
@@ -250,3 +251,22 @@ def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, **options) ->
     return out.select("doc_id", F.when(F.col("t").isNull(), F.col("doc_id").cast("long"))
                       .otherwise(F.col("class_id")).alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each_class(docs: DataFrame, doc_id: Column, text: Column, **options) -> DataFrame:
+    """One row of ``docs`` for each class: the one with the smallest id (null ids last), all its columns.
+
+    Rows with a null text all stay: each is a class of its own.
+    """
+    found = classes(docs, doc_id, text, **options)
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("id"), F.col("t").alias("t")))
+    kept = found.groupBy("root").agg(first.alias("kept")).select(
+        F.col("kept.t").alias("_t"), F.coalesce("kept.id", F.lit(-1)).alias("_id"), F.col("kept.none").alias("_none"))
+    kept = stored(kept, "kept-documents")
+    rows = docs.select(packed(docs), text_key(text).alias("_t"), F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("_id"),
+                       doc_id.isNull().alias("_none"))
+    # copies with other ids do not meet the kept one, so a group of copies is spread
+    again = Window.partitionBy("_t", "_id", "_none").orderBy(F.lit(1))
+    one = rows.filter("_t is not null").join(kept, ["_t", "_id", "_none"], "left_semi")
+    one = one.withColumn("_again", F.row_number().over(again)).filter("_again = 1").select("doc")
+    return one.union(rows.filter("_t is null").select("doc")).select("doc.*")
