@@ -1,0 +1,39 @@
+import duckdb
+import pytest
+
+SF001 = "/root/testdata/sf0.001"
+SF01 = "/root/testdata/sf0.01"
+TABLES = ("documents", "embeddings", "benchmark", "labels", "conversations")
+
+# Documents that each operator must take: null and empty texts, no letters, a very long text, repeated rows,
+# a null id, null source and language, and columns named like the operators' working columns.
+ODD_SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, doc string, size int, shard int, "
+              "t string, h long, match string, found string, row long, id long, key long, slot int, taken int")
+
+
+def odd_rows():
+    extra = ("x", 1, 2, "y", 3, "z", "f", 4, 5, 6, 7, 8)
+    long = " ".join(f"w{i % 997}x{i}" for i in range(30_000))
+    texts = [(1, "the cat sat on the mat and looked at the dog", "en", "a"), (2, None, None, None), (3, "", "en", "a"),
+             (4, "... 123 !!!", "en", "b"), (5, long, "en", "a"), (6, "the cat sat on the mat and looked at the dog", "en", "b"),
+             (6, "the cat sat on the mat and looked at the dog", "en", "b"), (None, "nobody knows this document", "en", "c"),
+             (7, "one", "en", "c"), (8, " \t\n ", "fr", None), (9, "x" * 100_000, "fr", "a")]
+    return [(i, text, lang, source, None if text is None else len(text), *extra) for i, text, lang, source in texts]
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), ODD_SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], ODD_SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def duck():
+    con = duckdb.connect()
+    for name in TABLES:
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF001}/{name}.parquet'")
+    return con
