@@ -57,9 +57,10 @@ def choose_banding(threshold: float = THRESHOLD, recall: float = RECALL, most_ha
     best = None
     for rows in range(1, most_hashes + 1):
         chance = threshold ** rows
-        bands = 1 if chance >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - chance) - 1e-9))
-        if bands * rows <= most_hashes:
-            best = Banding(bands, rows)
+        bands = 1 if chance >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-chance) - 1e-9))
+        if bands * rows > most_hashes:
+            break
+        best = Banding(bands, rows)
     if best is None:
         raise ValueError("the recall needs more hashes than allowed")
     return best

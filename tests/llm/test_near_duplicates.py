@@ -1,0 +1,95 @@
+import collections
+import re
+
+import pytest
+
+from custos.llm import near_duplicates as nd
+from tests.llm.conftest import SF001
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text, n=5):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    return {tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def brute(rows, threshold=0.8):
+    """``{row number: (smallest id of the class, links)}`` by comparing every pair."""
+    sets = [shingles(t) for _, t in rows]
+    parent, links = list(range(len(rows))), collections.Counter()
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i][1] is None or rows[j][1] is None:
+                continue
+            common, union = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if rows[i][1] == rows[j][1] or common and common >= threshold * union - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                parent[find(i)] = find(j)
+    out = {}
+    for i in range(len(rows)):
+        ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None]
+        out[i] = (min(ids, default=None), links[i])
+    return out
+
+
+def check(df, **kw):
+    rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    got = collections.Counter(tuple(r) for r in nd.near_duplicates(df, df["doc_id"], df["text"], **kw).collect())
+    assert got == collections.Counter((rows[i][0], *v) for i, v in brute(rows).items())
+
+
+def test_banding_reaches_the_recall():
+    for threshold, recall in ((0.8, 0.9999), (0.5, 0.95), (0.9, 0.999)):
+        b = nd.choose_banding(threshold, recall)
+        assert b.recall(threshold) >= recall and b.bands * b.rows <= 128
+        assert nd.Banding(b.bands, b.rows + 1).recall(threshold) < recall or (b.rows + 1) * b.bands > 128
+    with pytest.raises(ValueError):
+        nd.choose_banding(0.1, 0.999999, 8)
+
+
+def test_whole_table_against_all_pairs(spark):
+    check(spark.read.parquet(f"{SF001}/documents.parquet"))
+
+
+def variants(spark):
+    """A group of near copies that chain: each differs a little from the next."""
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(40):
+        own = list(words)
+        for i in range(k // 2):
+            own[3 * i] = f"v{k}x{i}" if k % 3 else f"v{i}"
+        rows.append((k, " ".join(own)))
+    return spark.createDataFrame(rows + [(100 + i, rows[7][1]) for i in range(5)], "doc_id long, text string")
+
+
+def test_blocks_compare_every_pair(spark):
+    df = variants(spark)
+    check(df)
+    check(df, block_texts=7)
+    check(df, block_words=300)
+
+
+def test_odd_rows(odd, none):
+    check(odd)
+    assert nd.near_duplicates(none, none["doc_id"], none["text"]).count() == 0
+    kept = nd.one_of_each_class(odd, odd["doc_id"], odd["text"])
+    assert kept.columns == odd.columns
+    # 1, 6 and 6 are copies; the null text stays
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(x) for x in (1, 2, 3, 4, 5, None, 7, 8, 9))
+    assert nd.one_of_each_class(none, none["doc_id"], none["text"]).count() == 0
+
+
+def test_one_of_each_class(spark):
+    df = variants(spark)
+    rows = [tuple(r) for r in df.collect()]
+    wanted = sorted({v[0] for v in brute(rows).values()})
+    assert sorted(r["doc_id"] for r in nd.one_of_each_class(df, df["doc_id"], df["text"]).collect()) == wanted
