@@ -1,0 +1,83 @@
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from tests.llm.conftest import SF001
+from tests.llm.test_decontamination import brute as leaks
+from tests.llm.test_near_duplicates import brute as copies
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """Documents before the first stage and after each."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    out = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp("stages") / name)
+        stage(spark, docs, SF001).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out.append(docs)
+    return [(d.columns, d.collect()) for d in out]
+
+
+def test_stages_keep_the_columns(stages):
+    columns = stages[0][0]
+    assert all(c == columns for c, _ in stages[:-1])
+    assert stages[-1][0] == [*columns, "shard", "slot"]
+
+
+def test_language_keeps_clean_documents(stages):
+    before, after = stages[0][1], stages[1][1]
+    gone = {r["doc_id"] for r in before} - {r["doc_id"] for r in after}
+    assert all(not any(c.isalpha() for c in r["text"] or "") for r in before if r["doc_id"] in gone)
+
+
+def test_one_document_of_each_class(stages):
+    rows = [(r["doc_id"], r["text"]) for r in stages[1][1]]
+    assert sorted(r["doc_id"] for r in stages[2][1]) == sorted({v[0] for v in copies(rows).values()})
+
+
+def test_contaminated_documents_go(spark, stages):
+    items = [tuple(r) for r in spark.read.parquet(f"{SF001}/benchmark.parquet").select("item_id", "text").collect()]
+    rows = [(r["doc_id"], r["text"]) for r in stages[2][1]]
+    clean = {doc for doc, _, hit, _ in leaks(rows, items) if not hit}
+    assert {r["doc_id"] for r in stages[3][1]} == clean and len(clean) < len(rows)
+
+
+def test_the_mix_repeats_whole_documents(stages):
+    before = {r["doc_id"]: r for r in stages[3][1]}
+    after = [r["doc_id"] for r in stages[4][1]]
+    assert set(after) <= set(before) and max(map(after.count, set(after))) <= 3
+    words = lambda r: len(r["text"].split())
+    share = {}
+    for doc in after:
+        own = share.setdefault(before[doc]["source"], 0)
+        share[before[doc]["source"]] = own + words(before[doc])
+    assert sum(share.values()) == pytest.approx(sum(map(words, before.values())), rel=0.15)
+
+
+def test_shards_hold_every_document(stages):
+    before, after = stages[4][1], stages[5][1]
+    assert sorted(r["doc_id"] for r in before) == sorted(r["doc_id"] for r in after)
+    slots = {}
+    for r in after:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_registered(spark, stages):
+    names = list(entry.queries())
+    assert "pipeline" in names and [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
+    key = lambda r: (r["doc_id"], r["shard"], r["slot"])
+    assert sorted(map(key, corpus_pipeline.run(spark, SF001).collect())) == sorted(map(key, stages[5][1]))
+
+
+def test_stages_take_odd_rows(spark):
+    rows = [(1, "the cat sat on the mat", "en", None, 5), (2, None, None, "a", None), (None, "a null id", "en", "a", 9),
+            (3, "", "en", "b", 0), (4, "the cat sat on the mat", "en", "a", 5), (4, "the cat sat on the mat", "en", "a", 5)]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+        for _, stage in corpus_pipeline.STAGES:
+            result = stage(spark, docs, SF001)
+            assert set(docs.columns) <= set(result.columns)
+            assert result.count() <= max(3 * len(data), 0)

@@ -1,0 +1,78 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from custos.llm import quality
+from custos.llm.queries import QUERIES
+from tests.llm.conftest import SF01
+
+
+def test_agrees_with_labels(spark):
+    rows = QUERIES["op3_empirical_bayes_quality"](spark, SF01).join(
+        spark.read.parquet(f"{SF01}/labels.parquet").withColumnRenamed("quality", "label"), "doc_id")
+    right = rows.agg(F.avg((F.col("keep") == (F.col("label") == 1)).cast("double"))).first()[0]
+    assert right >= 0.97
+
+
+def test_unlabelled_rows_are_judged(spark):
+    """Fitted on half of the labels, right on the other half."""
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    labels = spark.read.parquet(f"{SF01}/labels.parquet")
+    half = labels.filter("doc_id % 2 = 0")
+    found = quality.posteriors(docs, docs["doc_id"], docs["text"], docs["source"], docs["lang"], half, half["doc_id"],
+                               half["quality"])
+    rest = found.join(labels.filter("doc_id % 2 = 1").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    assert rest.agg(F.avg((F.col("keep") == (F.col("label") == 1)).cast("double"))).first()[0] >= 0.95
+
+
+def test_prior_strength(spark):
+    rng = np.random.default_rng(0)
+    rates = rng.beta(8, 2, 400)
+    groups = [(float(rng.binomial(200, p)), 200) for p in rates]
+    mean = sum(k for k, _ in groups) / sum(n for _, n in groups)
+    got = quality.prior_strength(spark.createDataFrame(groups, "k double, n long"), F.lit(mean))
+    assert got == pytest.approx(10, rel=0.35)
+    same = [(float(rng.binomial(50, 0.5)), 50) for _ in range(200)]
+    assert quality.prior_strength(spark.createDataFrame(same, "k double, n long"), F.lit(0.5)) > 100
+    assert quality.prior_strength(spark.createDataFrame([], "k double, n long"), F.lit(0.5)) == 1.0
+
+
+def judged(docs, labels):
+    return quality.posteriors(docs, docs["doc_id"], docs["text"], docs["source"], docs["lang"], labels, labels["doc_id"],
+                              labels["quality"])
+
+
+LABELS = "doc_id long, quality int"
+
+
+def test_sparse_sites_shrink_to_their_parents(spark):
+    """Good and bad hosts with many labels, one host with one bad document: it stays near the global rate."""
+    rows, labels = [], []
+    for h, host in enumerate(["good", "bad", "mid", "new"]):
+        for i in range(1 if host == "new" else 200):
+            doc = h * 1000 + i
+            rows.append((doc, "same text everywhere", host, "p"))
+            labels.append((doc, {"good": 1, "bad": 0, "mid": i % 2, "new": 0}[host]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    found = {r["host"]: r for r in judged(docs, spark.createDataFrame(labels, LABELS)).filter("doc_id % 1000 = 0").collect()}
+    assert found["good"]["path_posterior"] > 0.9 and found["bad"]["path_posterior"] < 0.1
+    assert found["new"]["host_posterior"] == pytest.approx(0.5, abs=0.02)
+    assert found["good"]["keep"] and not found["bad"]["keep"]
+
+
+def test_classifier_separates():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 5))
+    y = (x[:, 0] - 2 * x[:, 3] > 0).astype(float)
+    model = quality.fit(x, y)
+    assert (((model.log_odds(x) > 0) == (y > 0.5)).mean()) > 0.97
+    assert quality.fit(np.zeros((0, 5)), np.zeros(0)).log_odds(x[:3]).tolist() == [0, 0, 0]
+
+
+def test_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (4, 0), (4, 1), (5, None), (6, 7), (None, 0), (99, 1)], LABELS)
+    rows = judged(odd, labels).collect()
+    assert len(rows) == odd.count() and all(0 < r["quality"] < 1 for r in rows)
+    assert {r["host"] for r in rows} == {"a", "b", "c", None}
+    assert judged(none, labels).count() == 0
+    assert judged(odd, labels.filter("false")).count() == odd.count()

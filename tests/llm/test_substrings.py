@@ -1,0 +1,68 @@
+import collections
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from custos.llm import substrings
+from custos.llm.queries import QUERIES
+from tests.llm.conftest import SF001
+
+
+def brute(rows, length):
+    texts = [(i, (t or "").encode().split()) for i, t in rows]
+    seen = collections.Counter(tuple(w[p:p + length]) for _, w in texts for p in range(len(w) - length + 1))
+    out = []
+    for i, w in texts:
+        gone = set()
+        for p in range(len(w) - length + 1):
+            if seen[tuple(w[p:p + length])] > 1:
+                gone |= set(range(p, p + length))
+        kept = b" ".join(x for p, x in enumerate(w) if p not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
+    return sorted(out, key=str)
+
+
+def run(df, length):
+    return sorted((tuple(r) for r in substrings.remove_repeats(df, df["doc_id"], df["text"], length).collect()), key=str)
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    got = sorted((tuple(r) for r in QUERIES["op10_doubling_substring_dedup"](spark, SF001).collect()), key=str)
+    assert got == [r[:4] for r in brute([(r["doc_id"], r["text"]) for r in docs.collect()], 35)]
+
+
+@pytest.mark.parametrize("length", [5, 13, 24])
+def test_random_texts(spark, length):
+    rng = random.Random(length)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        own = [rng.choice("abcdefgh") + rng.choice(["", "x", ","]) for _ in range(rng.randrange(0, 50))]
+        at = rng.randrange(0, 40)
+        own[len(own) // 2:len(own) // 2] = passage[at:at + rng.randrange(0, 2 * length)] * rng.choice([1, 1, 2])
+        rows.append((i, rng.choice([" ", "\n", " \t"]).join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(df, length) == brute(rows, length)
+
+
+def test_levels_double():
+    assert substrings.Levels(35).lengths == [9, 18, 35]
+    assert substrings.Levels(8).lengths == [8]
+    levels, words = substrings.Levels(35), np.random.default_rng(0).integers(0, 3, 400).astype(np.uint64)
+    for length, grams in zip(levels.lengths, levels.grams(words)):
+        assert len(grams) == 400 - length + 1
+        same = collections.defaultdict(set)
+        for p, g in enumerate(grams.tolist()):
+            same[g].add(tuple(words[p:p + length].tolist()))
+        assert all(len(x) == 1 for x in same.values())
+    with pytest.raises(ValueError):
+        substrings.Levels(3)
+
+
+def test_odd_rows(spark, odd, none):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert run(odd, 5) == brute(rows, 5)
+    assert run(none, 5) == []
