@@ -6,7 +6,8 @@
   averages    averages per age range, one component or all (B3, B4)
 
 Tables come from a JSON file of flat settings (``<name>``, ``<name>_type``,
-JDBC credentials: see ``custos.sources.settings``); the policy comes from
+JDBC credentials and partition options: see ``custos.sources.settings``);
+``--input-bytes`` and ``--cores`` size the shuffles; the policy comes from
 the JSON envelope the policy service returned. Results are written to
 ``--output`` as JSON lines (one object per row, null fields left out) or
 Parquet; nothing is collected to the driver.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from custos.plans import clinical
 from custos.plans.policy import Envelope
-from custos.session import recommended_conf
+from custos.session import recommended_conf, sizing_conf
 from custos.sources.settings import catalog_from_settings
 
 
@@ -44,6 +45,9 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("--output", required=True, help="folder to write the result to")
     common.add_argument("--format", choices=("json", "parquet"), default="json")
     common.add_argument("--mode", default="errorifexists", help="save mode (errorifexists, overwrite, ...)")
+    common.add_argument("--input-bytes", type=int, default=None,
+                        help="bytes of blood tests read: sizes the shuffles (with --cores)")
+    common.add_argument("--cores", type=int, default=None, help="cores of the cluster (default: what Spark sees)")
     s = sub.add_parser("series", parents=[common])
     s.add_argument("--social-id", required=True)
     s.add_argument("--component", required=True)
@@ -89,6 +93,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         for key, value in recommended_conf().items():
             if not given.contains(key) and spark.conf.isModifiable(key):
                 spark.conf.set(key, value)
+        if args.input_bytes is not None:
+            for key, value in sizing_conf(args.input_bytes, args.cores or spark.sparkContext.defaultParallelism).items():
+                if not given.contains(key):
+                    spark.conf.set(key, value)
     build(spark, args).write.mode(args.mode).format(args.format).save(args.output)
 
 

@@ -11,9 +11,9 @@ from collections.abc import Sequence
 CHOLESTEROL = "cholesterol"
 CHOLESTEROL_COLUMN = "cholesterol_total_value"
 VALUE_SUFFIX = "_value"
-# Component names are letters, digits, "_" and "." (as in "cholesterol.hdl"),
+# Component names are letters, digits, "_" and "." (as in "cholesterol.hdl", "17_oh_progesterone"),
 # so a name can never change the meaning of the query text it is put in.
-_NAME = re.compile(r"[A-Za-z][A-Za-z0-9_]*(\.[A-Za-z0-9_]+)*")
+_NAME = re.compile(r"[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)*")
 
 
 def policy_component_column(component: str) -> str:
@@ -30,12 +30,20 @@ def component_column(component: str) -> str:
     return policy_component_column(component).replace(".", "_")
 
 
-def resolve_component(columns: Sequence[str], component: str) -> str:
-    """The component's column, checked against the frame's columns."""
+def resolve_component(columns: Sequence[str], component: str, case_sensitive: bool = False) -> str:
+    """The component's column in the frame's own spelling.
+
+    Names are compared as Spark SQL compares them: without case unless
+    ``spark.sql.caseSensitive`` is on (then pass ``case_sensitive``). An
+    exact match goes first.
+    """
     name = component_column(component)
-    if name not in columns:
-        raise ValueError(f"component {component!r} has no column {name!r}; columns are {list(columns)}")
-    return name
+    if name in columns:
+        return name
+    found = [] if case_sensitive else [c for c in columns if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"component {component!r} has no single column {name!r}; columns are {list(columns)}")
+    return found[0]
 
 
 def value_columns(columns: Sequence[str]) -> list[str]:

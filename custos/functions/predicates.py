@@ -7,6 +7,9 @@ Parquet scan (``PushedFilters``) and keep them inside whole-stage codegen.
 from __future__ import annotations
 
 import datetime as dt
+import decimal
+import math
+import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -32,26 +35,48 @@ def any_not_null(columns: Sequence[str], exclude: str = SUBJECT_ID) -> Column:
     return reduce(or_, checks, F.lit(False))
 
 
+# Bits of a whole number's magnitude.
+_INTEGER_BITS = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}
+
+
+def _decimal_literal(text: str, data_type: T.DecimalType) -> Column | None:
+    """The number as exactly that decimal type; ``None`` if it does not fit."""
+    with decimal.localcontext(decimal.Context(prec=200, Emax=9999, Emin=-9999)):
+        try:
+            number = decimal.Decimal(text)
+            scaled = number.quantize(decimal.Decimal(1).scaleb(-data_type.scale))
+        except decimal.InvalidOperation:
+            return None
+        if scaled != number or abs(scaled) >= decimal.Decimal(10) ** (data_type.precision - data_type.scale):
+            return None
+        return F.lit(format(scaled, "f")).cast(data_type)
+
+
 def literal_like(value, data_type: T.DataType) -> Column | None:
     """A literal of ``data_type`` for a value given as text or Python object.
 
-    Returns ``None`` when the value cannot be read as that type: comparing
-    with it could match no row, and under ANSI mode a SQL cast would raise.
+    Returns ``None`` when the value cannot be read as that type or lies
+    outside it: comparing with it could match no row, and under ANSI mode a
+    SQL cast would raise. Numbers are plain digits (no ``_``, ``nan`` or
+    ``inf``).
     """
     if isinstance(data_type, T.StringType):
         return F.lit(value if isinstance(value, str) else str(value))
-    if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        try:
-            number = int(str(value).strip())
-        except ValueError:
+    text = str(value).strip()
+    if type(data_type) in _INTEGER_BITS:
+        bits = _INTEGER_BITS[type(data_type)]
+        match = re.fullmatch(r"([+-]?)0*([0-9]{1,19})", text)
+        number = int(match.group(1) + match.group(2)) if match else None
+        if number is None or not -(1 << bits) <= number < 1 << bits:
             return None
         return F.lit(number).cast(data_type)
     if isinstance(data_type, (T.FloatType, T.DoubleType, T.DecimalType)):
-        try:
-            float(str(value).strip())
-        except ValueError:
+        if not re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", text):
             return None
-        return F.lit(str(value).strip()).cast(data_type)
+        if isinstance(data_type, T.DecimalType):
+            return _decimal_literal(text, data_type)
+        number = float(text)
+        return F.lit(number).cast(data_type) if math.isfinite(number) else None
     if isinstance(data_type, T.DateType):
         day = as_date(value)
         return None if day is None else F.lit(day)
@@ -69,14 +94,22 @@ def as_date(value) -> dt.date | None:
         return None
 
 
-def in_open_range(column: Column, data_type: T.DataType, low: dt.date, high: dt.date) -> Column:
-    """``low < column < high`` with both ends excluded.
+def in_open_range(column: Column, data_type: T.DataType, low: dt.date | None, high: dt.date) -> Column:
+    """``low < column < high`` with both ends excluded (O13); ``low`` may be open.
 
     A string column holds ISO dates, compared as text (ISO text sorts like
     dates); a timestamp column is compared by its date. Null never matches.
     """
-    if isinstance(data_type, T.StringType):
-        return (column > F.lit(low.isoformat())) & (column < F.lit(high.isoformat()))
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        column = column.cast(T.DateType())
-    return (column > F.lit(low)) & (column < F.lit(high))
+    column = comparable(column, data_type)
+    below = column < bound_literal(data_type, high)
+    return below if low is None else (column > bound_literal(data_type, low)) & below
+
+
+def comparable(column: Column, data_type: T.DataType) -> Column:
+    """The form in which birth dates of this type are compared with bounds."""
+    return column.cast(T.DateType()) if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)) else column
+
+
+def bound_literal(data_type: T.DataType, day: dt.date) -> Column:
+    text = F.lit(day.isoformat())
+    return text if isinstance(data_type, T.StringType) else text.cast(T.DateType())

@@ -1,7 +1,7 @@
 """DataFrame → DataFrame building blocks of the clinical queries."""
 
 from custos.operators.aggregate import (
-    age_at,
+    age_bounds,
     age_partials,
     age_range_frame,
     average_from_partials,
@@ -11,17 +11,18 @@ from custos.operators.aggregate import (
     suppress_empty,
 )
 from custos.operators.filters import drop_all_null, filter_birth_range, filter_equals
-from custos.operators.join import bounded_rows, join_subject, restrict_to_subjects
+from custos.operators.join import bounded_rows, broadcast_if_small, join_subject, measured_size, restrict_to_subjects
 from custos.operators.ordering import distinct_rows, sort_series, with_position
 from custos.operators.output import json_lines
 from custos.operators.projection import drop_subject, project_component, rename_to_value
 
 __all__ = [
-    "age_at",
+    "age_bounds",
     "age_partials",
     "age_range_frame",
     "average_from_partials",
     "bounded_rows",
+    "broadcast_if_small",
     "distinct_rows",
     "drop_all_null",
     "drop_subject",
@@ -30,6 +31,7 @@ __all__ = [
     "join_age_ranges",
     "join_subject",
     "json_lines",
+    "measured_size",
     "project_component",
     "range_ages",
     "rename_to_value",

@@ -7,19 +7,22 @@ patient with a third of all rows still leaves each task as one row), and
 sums and counts are added up from there. The result equals ``avg`` up to the
 last floating-point digit.
 
-Many age ranges at once are an equi-join on whole years of age. With
-``L(k) = as_of - k years`` (29 February clamped to 28 February), a birth date
-``b`` lies strictly between ``L(end)`` and ``L(start)`` exactly when
-``age(b) < end`` and (``age(b) > start``, or ``age(b) == start`` and
-``as_of`` is not ``b``'s birthday), where ``age(b)`` is the largest ``k``
-with ``b <= L(k)``. Partials are reduced per ``(age, birthday)``, each range
-is expanded to its ages, and the two meet on the age: no pairwise
-comparison of birth dates with ranges, and no limit on the number of ranges.
+Many age ranges at once are an equi-join on the place of a birth date among
+all their bounds. With the distinct bounds in order, a birth date's place is
+the number of bounds below it plus the number of bounds not above it: odd at
+a bound, even between two. A range, open at both ends, holds the places
+strictly between those of its bounds. Bounds and birth dates are compared
+exactly as the single-range filter compares them (text as text, timestamps
+by date), so both forms agree on any column type. Partials are reduced per
+birth date, then per place; each range is expanded to its places, and the
+two meet there: no pairwise comparison of patients with ranges, and no limit
+on the number of ranges.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,14 +31,14 @@ from pyspark.sql import types as T
 
 from custos.constants import BIRTH_DATE, SUBJECT_ID, VALUE
 from custos.functions.columns import quoted
+from custos.functions.dates import birth_date_bounds
+from custos.functions.predicates import bound_literal, comparable
 
 START_AGE = "startAge"
 END_AGE = "endAge"
+# Place of a birth date among the bounds of all ranges.
 AGE = "_age"
-BIRTHDAY = "_birthday"
-# Range lists up to this length become an inline VALUES table (a local
-# relation); longer lists are parallelized from the driver.
-INLINE_RANGES = 1_000
+
 
 def sum_name(column: str) -> str:
     return f"{column}__sum"
@@ -81,85 +84,67 @@ def suppress_empty(df: DataFrame, column: str = VALUE) -> DataFrame:
     return df.filter(quoted(column).isNotNull())
 
 
-def age_at(birth: Column, as_of: dt.date) -> tuple[Column, Column]:
-    """Whole years of age on ``as_of`` and whether ``as_of`` is the birthday.
+def age_bounds(as_of: dt.date, ranges: Sequence[tuple[int, int]]) -> list[dt.date]:
+    """The distinct birth-date bounds of all age ranges on ``as_of``, in order (open ones left out)."""
+    return sorted({b for start, end in ranges for b in birth_date_bounds(as_of, start, end) if b is not None})
 
-    Age is the largest ``k`` with ``birth <= as_of - k years``; "birthday"
-    means ``birth == as_of - age years``, which on a 29 February ``as_of``
-    includes 28 February of a common year (the clamped date).
-    """
-    month, day = F.month(birth), F.dayofmonth(birth)
-    later = (month > as_of.month) | ((month == as_of.month) & (day > as_of.day))
-    age = F.lit(as_of.year) - F.year(birth) - later.cast(T.IntegerType())
-    birthday = (month == as_of.month) & (day == as_of.day)
-    if (as_of.month, as_of.day) == (2, 29):
-        year = F.year(birth)
-        leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-        birthday = birthday | ((month == 2) & (day == 28) & ~leap)
-    return age, birthday
-
-
-def birth_as_date(df: DataFrame, column: str = BIRTH_DATE) -> Column:
-    """The birth-date column as a date (ISO text parsed; unparseable text is null)."""
-    data_type = df.schema[column].dataType
-    if isinstance(data_type, T.StringType):
-        return F.try_to_date(quoted(column))
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        return quoted(column).cast(T.DateType())
-    return quoted(column)
 
+def age_partials(df: DataFrame, columns: Sequence[str], bounds: Sequence[dt.date],
+                 column: str = BIRTH_DATE) -> DataFrame:
+    """Add up partials per place among ``bounds`` (:func:`age_bounds`); null birth dates drop.
 
-def age_partials(df: DataFrame, columns: Sequence[str], as_of: dt.date, column: str = BIRTH_DATE) -> DataFrame:
-    """Add up partials per ``(age, birthday)`` on ``as_of``; null birth dates drop.
-
-    Ages come from dates (years 1 to 9999), so the result has at most about
-    20 000 rows whatever the input size: a proven bound for broadcasting it.
+    There are at most ``2 * len(bounds) + 1`` places whatever the input size:
+    a proven bound for broadcasting the result. Sums are made per birth date
+    first, so the comparisons run once for each distinct date.
     """
-    age, birthday = age_at(birth_as_date(df, column), as_of)
-    keyed = df.select(age.alias(AGE), birthday.alias(BIRTHDAY), *[sum_name(c) for c in columns],
-                      *[count_name(c) for c in columns]).filter(F.col(AGE).isNotNull())
-    return add_partials(keyed, columns, (AGE, BIRTHDAY))
+    data_type = df.schema[column].dataType
+    birth = comparable(quoted(column), data_type)
+    sums = [f(c) for f in (sum_name, count_name) for c in columns]
+    by_birth = add_partials(df.select(birth.alias(AGE), *sums).filter(F.col(AGE).isNotNull()), columns, (AGE,))
+    literals = F.array(*[bound_literal(data_type, b) for b in bounds])
+    below = F.size(F.filter(literals, lambda b: b < F.col(AGE)))
+    not_above = F.size(F.filter(literals, lambda b: b <= F.col(AGE)))
+    return add_partials(by_birth.withColumn(AGE, below + not_above), columns, (AGE,))
 
 
 def age_range_frame(spark: SparkSession, ranges: Sequence[tuple[int, int]]) -> DataFrame:
-    """The caller's age ranges as a table ``(startAge, endAge)``.
-
-    Short lists are an inline ``VALUES`` table (a local relation: no job to
-    read or broadcast it; its text holds only the integers checked here);
-    longer ones are parallelized. Every range must have ``start < end``.
-    """
+    """The caller's age ranges as a table ``(startAge, endAge)``. Every range must have ``start < end``."""
     ranges = [(int(s), int(e)) for s, e in ranges]
     if not ranges:
         raise ValueError("no age ranges given")
     for start, end in ranges:
         if start >= end:
             raise ValueError(f"wrong age range: {start} >= {end}")
-    if len(ranges) <= INLINE_RANGES:
-        rows = ", ".join(f"({start}, {end})" for start, end in ranges)
-        return spark.sql(f"SELECT * FROM VALUES {rows} AS ranges({START_AGE}, {END_AGE})")
-    schema = T.StructType([T.StructField(START_AGE, T.IntegerType(), False),
-                           T.StructField(END_AGE, T.IntegerType(), False)])
-    return spark.createDataFrame(ranges, schema)
+    return _rows(spark, [START_AGE, END_AGE], ranges)
 
 
-def range_ages(ranges: DataFrame) -> DataFrame:
-    """``(startAge, endAge, age)`` for every whole age a range can contain."""
-    ages = F.explode(F.sequence(F.col(START_AGE), F.col(END_AGE) - F.lit(1))).alias(AGE)
-    return ranges.select(START_AGE, END_AGE, ages)
+def _rows(spark: SparkSession, names: Sequence[str], rows: Sequence[Sequence[int]]) -> DataFrame:
+    """A table of whole numbers from one JSON literal: no job to read it, and its size does not matter to the parser."""
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    kind = ", ".join(f"{n}: int" for n in names)
+    return spark.sql(f"SELECT inline(from_json('{text}', 'array<struct<{kind}>>'))")
 
 
-def in_range(age: str = AGE, birthday: str = BIRTHDAY) -> Column:
-    """After joining on the age: the start age only counts without an exact birthday."""
-    return (F.col(age) > F.col(START_AGE)) | ~F.col(birthday)
+def range_ages(spark: SparkSession, ranges: Sequence[tuple[int, int]], as_of: dt.date,
+               bounds: Sequence[dt.date]) -> DataFrame:
+    """``(startAge, endAge, place)`` for every place among ``bounds`` a range holds."""
+    at = {b: i for i, b in enumerate(bounds)}
+    rows = []
+    for start, end in ranges:
+        low, high = birth_date_bounds(as_of, start, end)
+        rows.append((start, end, 0 if low is None else 2 * at[low] + 2, 2 * at[high]))
+    if not rows:
+        raise ValueError("no age ranges given")
+    spans = _rows(spark, [START_AGE, END_AGE, "_from", "_to"], rows).filter("_from <= _to")
+    return spans.select(START_AGE, END_AGE, F.explode(F.sequence("_from", "_to")).alias(AGE))
 
 
-def join_age_ranges(by_age: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Pair each ``(age, birthday)`` row with every range containing it.
+def join_age_ranges(by_age: DataFrame, places: DataFrame) -> DataFrame:
+    """Pair each row of ``by_age`` with every range holding its place.
 
-    ``by_age`` comes from :func:`age_partials` (bounded by the date domain),
-    so it is broadcast; the expanded ranges stay distributed however many
-    the caller gave. Overlapping ranges each get the row; rows in no range
-    drop out.
+    ``by_age`` comes from :func:`age_partials` (bounded by the number of
+    bounds), so it is broadcast; the expanded ranges (:func:`range_ages`) stay
+    distributed however many the caller gave. Overlapping ranges each get the
+    row; rows in no range drop out.
     """
-    joined = range_ages(ranges).join(F.broadcast(by_age), AGE)
-    return joined.filter(in_range()).drop(AGE, BIRTHDAY)
+    return places.join(F.broadcast(by_age), AGE).drop(AGE)

@@ -49,6 +49,6 @@ def filter_equals(df: DataFrame, column: str, value) -> DataFrame:
     return df.filter(quoted(column) == literal)
 
 
-def filter_birth_range(df: DataFrame, low: dt.date, high: dt.date, column: str = BIRTH_DATE) -> DataFrame:
-    """Rows born strictly between ``low`` and ``high``."""
+def filter_birth_range(df: DataFrame, low: dt.date | None, high: dt.date, column: str = BIRTH_DATE) -> DataFrame:
+    """Rows born strictly between ``low`` (``None``: open) and ``high``."""
     return df.filter(in_open_range(quoted(column), df.schema[column].dataType, low, high))

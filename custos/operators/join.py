@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,12 +15,8 @@ from custos.functions.columns import quoted
 # when there are at most this many; beyond it the lookup stays a semi-join.
 DEFAULT_MAX_LITERAL_SUBJECTS = 10_000
 
-# Bytes per value when sizing a broadcast (strings: the width Spark assumes).
-_FIELD_BYTES = {
-    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.DateType: 4, T.FloatType: 4,
-    T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8, T.DecimalType: 16,
-    T.StringType: 20,
-}
+# Bytes of a row besides its variable-width values: a header and a slot a column.
+_ROW_BYTES, _SLOT_BYTES = 16, 8
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30,
           "t": 1 << 40, "tb": 1 << 40}
 
@@ -28,22 +24,13 @@ _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 2
 def bounded_rows(df: DataFrame, max_rows: int) -> list[Row] | None:
     """The rows of ``df`` if there are at most ``max_rows`` of them, else ``None``.
 
-    Reads at most ``max_rows + 1`` rows, so the check itself is bounded.
+    At most ``max_rows + 1`` rows reach the driver. A filter below it may
+    still read its whole table to find them.
     """
     rows = df.limit(max_rows + 1).collect()
     return rows if len(rows) <= max_rows else None
 
 
-def at_most(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows.
-
-    Skips ``max_rows`` one-column rows and looks for one more: Spark scans
-    partitions incrementally and stops as soon as it has them, so a huge
-    table costs one small job, and no row reaches Python.
-    """
-    return df.select(F.lit(1)).offset(max_rows).isEmpty()
-
-
 def _bytes(text: str) -> int:
     match = re.fullmatch(r"\s*(-?\d+)\s*([a-zA-Z]*)\s*", text)
     if not match or match.group(2).lower() not in _UNITS:
@@ -51,30 +38,46 @@ def _bytes(text: str) -> int:
     return int(match.group(1)) * _UNITS[match.group(2).lower()]
 
 
-def row_bytes(schema: T.StructType) -> int:
-    """Rough bytes per row of ``schema`` (row header plus field widths)."""
-    return 8 + sum(_FIELD_BYTES.get(type(f.dataType), 64) for f in schema.fields)
+def _width(field: T.StructField) -> Column | None:
+    """Bytes of a variable-width value, ``None`` for a fixed-width one."""
+    column = quoted(field.name)
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.octet_length(column)
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.octet_length(F.to_json(F.struct(column)))
+    return None
+
+
+def measured_size(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and their bytes, by one aggregation over all of it.
+
+    Every task sends one row of sums, so nothing is moved however large the
+    table is; a Parquet table is scanned in its variable-width columns only.
+    """
+    widths = [w for w in map(_width, df.schema.fields) if w is not None]
+    sums = [F.coalesce(F.sum(F.coalesce(w, F.lit(0)).cast("long")), F.lit(0)) for w in widths]
+    row = df.agg(F.count(F.lit(1)), *sums).first()
+    return row[0], row[0] * (_ROW_BYTES + _SLOT_BYTES * len(df.columns)) + sum(row[1:])
 
 
-def broadcast_rows_budget(df: DataFrame) -> int:
-    """Rows of ``df`` that fit the session's broadcast threshold (0: broadcasts off)."""
-    threshold = _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB"))
-    return max(threshold, 0) // row_bytes(df.schema)
+def broadcast_threshold(df: DataFrame) -> int:
+    """Bytes the session allows a broadcast side to have (0: broadcasts off)."""
+    return max(0, _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB")))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows (checked), else ``df``.
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``broadcast(df)`` if its measured size is at most ``max_bytes``, else ``df``.
 
-    The bound defaults to the broadcast threshold divided by the row width,
-    so what is broadcast never exceeds the size Spark would broadcast on its
-    own. Beyond the bound the join is left to Spark (sort-merge, or a
-    broadcast chosen by AQE from measured sizes). The check matters where
-    Spark's estimate is far off: without column statistics the estimated
-    size of a join is the product of its inputs' sizes, so a small table
-    derived by a join never looks small.
+    The bound defaults to the session's broadcast threshold, so what is
+    broadcast never exceeds the size Spark would broadcast on its own. Beyond
+    it the join is left to Spark (sort-merge, or a broadcast chosen by AQE
+    from measured sizes). The measurement reads the whole side once, while
+    the query is built; it matters where Spark's estimate is far off: without
+    column statistics the estimated size of a join is the product of its
+    inputs' sizes, so a small table derived by a join never looks small.
     """
-    rows = broadcast_rows_budget(df) if max_rows is None else max_rows
-    if rows > 0 and at_most(df, rows):
+    most = broadcast_threshold(df) if max_bytes is None else max_bytes
+    if most > 0 and measured_size(df)[1] <= most:
         return F.broadcast(df)
     return df
 
@@ -89,8 +92,8 @@ def join_subject(left: DataFrame, right: DataFrame, how: str = "inner", key: str
 
     One ``patientId`` column comes out and null keys never match. Columns
     other than the key must not appear on both sides: select the profile
-    columns you need first. The right side (profiles) is broadcast when a
-    bounded check shows it small (:func:`broadcast_if_small`); otherwise
+    columns you need first. The right side (profiles) is broadcast when its
+    measured size is small (:func:`broadcast_if_small`); otherwise
     Spark sort-merge joins and AQE splits skewed partitions at run time.
     """
     shared = (set(left.columns) & set(right.columns)) - {key}
@@ -109,8 +112,8 @@ def restrict_to_subjects(df: DataFrame, subjects: DataFrame, max_literals: int =
     become an ``IN`` filter: it is pushed through the policy query into the
     Parquet scan and skips row groups by their min/max statistics (and
     buckets, on tables bucketed by the key), and no shuffle or broadcast
-    happens. Otherwise a semi-join runs: the ids are broadcast if a bounded
-    check shows they fit, else Spark plans it (sort-merge, AQE skew split).
+    happens. Otherwise a semi-join runs: the ids are broadcast if their
+    measured size fits, else Spark plans it (sort-merge, AQE skew split).
     Duplicated subject rows never duplicate ``df`` rows.
     """
     ids_frame = subjects.select(quoted(key))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custos.functions.columns import quoted
 from custos.functions.json import row_json
 from custos.operators.ordering import with_position
+from custos.session import written
 
 JSON = "json"
 PART = "part"
@@ -40,23 +44,29 @@ def json_array_parts(df: DataFrame, order: list, keys: tuple[str, ...] = (), par
     is the whole array.
 
     No group is larger than ``part_size``: ranks come from a global range
-    sort (:func:`custos.operators.ordering.with_position`), the rank inside a
-    key is the global position minus the key's first position (an aggregate
-    joined back, so a hot key is split by AQE rather than held by one task).
+    sort (:func:`custos.operators.ordering.with_position`), and the rank
+    inside a key is the global position minus the key's first position. Keys
+    are matched null-safely, so rows with a null key form arrays too. First
+    positions are written out before they are joined back, so both sides of
+    that join are plain shuffles, which AQE splits where one key is hot; rows
+    are then dealt by key and part, so a hot key's parts are built by many
+    tasks. The JSON text is made last.
     """
     if part_size < 1:
         raise ValueError("part_size must be positive")
     values = [c for c in df.columns if c not in keys]
-    element = row_json(*values)
-    ranked = with_position(df.withColumn(_ELEMENT, element), [*(quoted(k).asc_nulls_first() for k in keys), *order],
-                           _RANK)
+    ranked = with_position(df, [*(quoted(k).asc_nulls_first() for k in keys), *order], _RANK)
     if keys:
-        first = ranked.groupBy(*keys).agg(F.min(_RANK).alias(_FIRST))
-        ranked = ranked.join(first, list(keys)).withColumn(_RANK, F.col(_RANK) - F.col(_FIRST))
+        named = {k: f"_key{i}" for i, k in enumerate(keys)}
+        first = ranked.groupBy(*[quoted(k).alias(n) for k, n in named.items()]).agg(F.min(_RANK).alias(_FIRST))
+        first = written(first, "first-positions")
+        same = reduce(and_, [quoted(k).eqNullSafe(F.col(n)) for k, n in named.items()])
+        ranked = ranked.join(first, same).withColumn(_RANK, F.col(_RANK) - F.col(_FIRST)).drop(_FIRST, *named.values())
     else:
         ranked = ranked.withColumn(_RANK, F.col(_RANK) - F.lit(1))
     parts = ranked.withColumn(PART, F.expr(f"{_RANK} div {int(part_size)}"))
-    grouped = parts.groupBy(*keys, PART).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(_RANK), F.col(_ELEMENT)))).alias("_items"))
-    text = F.concat(F.lit("["), F.array_join(F.transform("_items", lambda item: item[_ELEMENT]), ","), F.lit("]"))
-    return grouped.select(*keys, PART, text.alias(name))
+    by = [*(quoted(k) for k in keys), F.col(PART)]
+    items = F.struct(F.col(_RANK), F.struct(*[quoted(c) for c in values]).alias(_ELEMENT))
+    grouped = parts.repartition(*by).groupBy(*by).agg(F.array_sort(F.collect_list(items)).alias("_items"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("_items", lambda item: F.to_json(item[_ELEMENT])), ","), F.lit("]"))
+    return grouped.select(*by, text.alias(name))

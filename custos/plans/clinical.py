@@ -1,9 +1,9 @@
 """The clinical queries (O25–O27) and their batch forms.
 
-Every function returns a lazy DataFrame. The only work done while building
-it is bounded: the one-patient series looks up at most a fixed number of
-patient ids, and profile joins first check that the profiles fit a broadcast
-(at most threshold/row-width rows are read, none reach Python). Profiles
+Every function returns a lazy DataFrame. Two things run while it is built:
+the one-patient series looks up the patient's ids (one scan of the profiles,
+at most a fixed number of rows to the driver), and joins that could broadcast
+profiles measure them first (one aggregation over the columns used). Profiles
 are joined as they are stored (only blood tests pass through the policy),
 cut to the columns used.
 """
@@ -19,24 +19,30 @@ from pyspark.sql import functions as F
 from custos.constants import BIRTH_DATE, DATE, PROFILES, SOCIAL_ID, SUBJECT_ID, VALUE
 from custos.functions.columns import quoted
 from custos.functions.components import resolve_component, value_columns
-from custos.functions.dates import birth_date_bounds
+from custos.functions.dates import birth_date_bounds, widest_bounds
 from custos.operators.aggregate import (
     AGE,
-    BIRTHDAY,
     END_AGE,
     START_AGE,
+    age_bounds,
     age_partials,
-    age_range_frame,
     average_from_partials,
     count_name,
     join_age_ranges,
     mean_of,
+    range_ages,
     subject_partials,
     sum_name,
     suppress_empty,
 )
 from custos.operators.filters import drop_all_null, filter_birth_range, filter_equals
-from custos.operators.join import DEFAULT_MAX_LITERAL_SUBJECTS, join_subject, restrict_to_subjects
+from custos.operators.join import (
+    DEFAULT_MAX_LITERAL_SUBJECTS,
+    broadcast_threshold,
+    join_subject,
+    measured_size,
+    restrict_to_subjects,
+)
 from custos.operators.ordering import distinct_rows, sort_series
 from custos.operators.projection import drop_subject, project_component, rename_to_value
 from custos.plans.policy import run_policy
@@ -49,6 +55,11 @@ def _profiles(spark: SparkSession, catalog: Mapping[str, TableSpec], columns: Se
     return load_table(spark, catalog, PROFILES).select(*[quoted(c) for c in (SUBJECT_ID, *columns)])
 
 
+def _component(compliant: DataFrame, component: str) -> str:
+    sensitive = compliant.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    return resolve_component(compliant.columns, component, sensitive)
+
+
 def compliant_joined(spark: SparkSession, catalog: Mapping[str, TableSpec], envelope,
                      profile_columns: Sequence[str] = (SOCIAL_ID, BIRTH_DATE)) -> DataFrame:
     """Compliant blood tests inner-joined with patient profiles."""
@@ -67,7 +78,7 @@ def component_series(spark: SparkSession, catalog: Mapping[str, TableSpec], enve
     when the social id has more ids than ``max_literal_subjects``).
     """
     compliant = run_policy(spark, catalog, envelope)
-    column = resolve_component(compliant.columns, component)
+    column = _component(compliant, component)
     patient = filter_equals(load_table(spark, catalog, PROFILES), SOCIAL_ID, social_id)
     rows = restrict_to_subjects(project_component(compliant, column), patient, max_literal_subjects)
     rows = drop_all_null(rows, SUBJECT_ID)
@@ -89,12 +100,16 @@ def component_average(spark: SparkSession, catalog: Mapping[str, TableSpec], env
     ``(value)``, or zero rows when no value falls in the range. ``as_of``
     (default today) fixes the date the ages refer to. The profile join runs
     on per-patient partials, partitioned by ``patientId`` already (see
-    :func:`_age_partials`).
+    :func:`_age_partials`). Where the ids in the age range measure small
+    enough to broadcast, they also filter the blood tests below the partials,
+    so patients out of range are not reduced and shuffled at all.
     """
     low, high = birth_date_bounds(as_of or dt.date.today(), start_age, end_age)
     compliant = run_policy(spark, catalog, envelope)
-    column = resolve_component(compliant.columns, component)
+    column = _component(compliant, component)
     in_range = filter_birth_range(_profiles(spark, catalog, (BIRTH_DATE,)), low, high).select(SUBJECT_ID)
+    if 0 < measured_size(in_range)[1] <= broadcast_threshold(in_range):
+        compliant = compliant.join(F.broadcast(in_range), SUBJECT_ID, "left_semi")
     joined = join_subject(_average_partials(compliant, column), in_range, check_broadcast=False)
     return suppress_empty(average_from_partials(joined, column))
 
@@ -103,7 +118,7 @@ def series_all_patients(spark: SparkSession, catalog: Mapping[str, TableSpec], e
                         component: str) -> DataFrame:
     """O26 for every patient at once (B1): distinct ``(socialId, date, value)``."""
     compliant = run_policy(spark, catalog, envelope)
-    column = resolve_component(compliant.columns, component)
+    column = _component(compliant, component)
     rows = project_component(compliant, column).filter(quoted(column).isNotNull())
     joined = join_subject(rows, _profiles(spark, catalog, (SOCIAL_ID,)))
     return distinct_rows(joined.select(SOCIAL_ID, DATE, quoted(column).alias(VALUE)))
@@ -122,7 +137,7 @@ def series_all_components(spark: SparkSession, catalog: Mapping[str, TableSpec],
 
 def _age_partials(spark: SparkSession, catalog: Mapping[str, TableSpec], partials: DataFrame,
                   columns: Sequence[str], as_of: dt.date, ranges: Sequence[tuple[int, int]]) -> DataFrame:
-    """Per-patient partials → partials per ``(age, birthday)`` on ``as_of``.
+    """Per-patient partials → partials per place among the ranges' bounds on ``as_of``.
 
     Profiles born outside every range are dropped first: no birth date
     outside the widest bounds of all ranges can fall in any of them, and the
@@ -130,14 +145,13 @@ def _age_partials(spark: SparkSession, catalog: Mapping[str, TableSpec], partial
     come out of an aggregation by ``patientId`` and are already
     hash-partitioned by it, so a sort-merge join shuffles only the profile
     side, the same rows a broadcast would ship: no size check is needed, and
-    Spark still broadcasts profiles it can size as small. The result has at
-    most about 20 000 rows (ages from dates).
+    Spark still broadcasts profiles it can size as small. The result has a
+    row for each bound and each gap between bounds at most.
     """
-    bounds = [birth_date_bounds(as_of, start, end) for start, end in ranges]
-    low, high = min(b[0] for b in bounds), max(b[1] for b in bounds)
+    low, high = widest_bounds(as_of, ranges)
     profiles = filter_birth_range(_profiles(spark, catalog, (BIRTH_DATE,)), low, high)
     with_birth = join_subject(partials, profiles, check_broadcast=False)
-    return age_partials(with_birth, columns, as_of)
+    return age_partials(with_birth, columns, age_bounds(as_of, ranges))
 
 
 def average_by_age_ranges(spark: SparkSession, catalog: Mapping[str, TableSpec], envelope, component: str,
@@ -146,15 +160,15 @@ def average_by_age_ranges(spark: SparkSession, catalog: Mapping[str, TableSpec],
 
     Ranges may overlap and there may be any number of them; a range without
     values is absent, as O27 gives no row for it. Ranges meet the data in an
-    equi-join on whole years of age (see :mod:`custos.operators.aggregate`).
+    equi-join on the places of birth dates among their bounds (see :mod:`custos.operators.aggregate`).
     """
     ranges = [(int(start), int(end)) for start, end in ranges]
-    table = age_range_frame(spark, ranges)
-    compliant = run_policy(spark, catalog, envelope)
-    column = resolve_component(compliant.columns, component)
     as_of = as_of or dt.date.today()
+    places = range_ages(spark, ranges, as_of, age_bounds(as_of, ranges))
+    compliant = run_policy(spark, catalog, envelope)
+    column = _component(compliant, component)
     by_age = _age_partials(spark, catalog, _average_partials(compliant, column), [column], as_of, ranges)
-    ranged = join_age_ranges(by_age, table)
+    ranged = join_age_ranges(by_age, places)
     return suppress_empty(average_from_partials(ranged, column, (START_AGE, END_AGE)))
 
 
@@ -168,15 +182,16 @@ def average_by_components_and_ranges(spark: SparkSession, catalog: Mapping[str,
     from the per-age table.
     """
     ranges = [(int(start), int(end)) for start, end in ranges]
-    table = age_range_frame(spark, ranges)
+    as_of = as_of or dt.date.today()
+    places = range_ages(spark, ranges, as_of, age_bounds(as_of, ranges))
     compliant = run_policy(spark, catalog, envelope)
     columns = value_columns(compliant.columns)
     as_of = as_of or dt.date.today()
     by_age = _age_partials(spark, catalog, subject_partials(compliant, columns), columns, as_of, ranges)
     entries = [F.struct(F.lit(c).alias(COMPONENT), F.col(sum_name(c)).alias("_sum"),
                         F.col(count_name(c)).alias("_n")) for c in columns]
-    long = by_age.select(AGE, BIRTHDAY, F.inline(F.array(*entries))).filter(F.col("_n") > 0)
-    ranged = join_age_ranges(long, table)
+    long = by_age.select(AGE, F.inline(F.array(*entries))).filter(F.col("_n") > 0)
+    ranged = join_age_ranges(long, places)  # one row a place and component
     out = ranged.groupBy(COMPONENT, START_AGE, END_AGE).agg(
         mean_of(F.sum("_sum"), F.sum("_n")).alias(VALUE))
     return suppress_empty(out)

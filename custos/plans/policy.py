@@ -5,13 +5,14 @@ envelope ``{"tables": [{"name": ...}], "rewrittenQuery": "..."}``: the
 tables the rewritten query reads and the query itself, in which hidden cells
 come out as nulls. The query runs in a fresh child session holding only the
 listed tables, so concurrent requests with different ``clauses`` never see
-each other's views.
+each other's views. Before it runs it is parsed, and refused unless it is one
+query that reads those tables only (:mod:`custos.plans.isolation`).
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from custos.constants import BLOOD_TESTS, DATE, SUBJECT_ID
 from custos.functions.components import policy_component_column
 from custos.operators.filters import drop_all_null
-from custos.sources.catalog import TableSpec, register_tables
+from custos.plans.isolation import check_query
+from custos.sources.catalog import TableSpec, register_tables, view_name
 
 # The fields of a request to the policy service, and the
 # access mode the queries ask for.
@@ -50,17 +52,22 @@ class Envelope:
         return json.dumps({"tables": [{"name": t} for t in self.tables], "rewrittenQuery": self.rewritten_query})
 
 
-def base_query(component: str) -> str:
-    """The query sent to the policy service for one component.
+def base_query(component: str | Sequence[str]) -> str:
+    """The query sent to the policy service for one component (O7), or for several.
 
     The same text serves both user queries: neither the patient nor the age
     range is sent. The component keeps its dots here; a rewritten query
-    returns it under its stored name (dots as ``_``).
+    returns it under its stored name (dots as ``_``). The forms for all
+    components ask for several at once; a repeated name is asked for once.
     """
-    return f"SELECT {SUBJECT_ID}, {DATE}, {policy_component_column(component)} FROM {BLOOD_TESTS}"
+    names = [component] if isinstance(component, str) else list(component)
+    if not names:
+        raise ValueError("no component given")
+    columns = list(dict.fromkeys(policy_component_column(n) for n in names))
+    return f"SELECT {', '.join([SUBJECT_ID, DATE, *columns])} FROM {BLOOD_TESTS}"
 
 
-def policy_request(component: str, purpose: str, requester_id: str = "") -> dict[str, str]:
+def policy_request(component: str | Sequence[str], purpose: str, requester_id: str = "") -> dict[str, str]:
     """The message asking the policy service to rewrite :func:`base_query`.
 
     ``purpose`` and ``requester_id`` come from the caller (the series query
@@ -91,4 +98,5 @@ def run_policy(spark: SparkSession, catalog: Mapping[str, TableSpec], envelope)
     nothing visible but the subject id (O5, O6, O8)."""
     env = Envelope.parse(envelope)
     child = policy_session(spark, catalog, env.tables)
+    check_query(child, env.rewritten_query, [view_name(t) for t in env.tables])
     return drop_all_null(child.sql(env.rewritten_query), SUBJECT_ID)

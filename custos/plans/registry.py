@@ -25,9 +25,8 @@ from custos.operators.projection import project_component
 from custos.plans import clinical
 from custos.plans import fixtures as fx
 from custos.plans.policy import policy_session, run_policy
-from custos.session import ensure_checkpoint_dir
 from custos.sources.catalog import load_table
-from custos.streaming.running import run_available, running_averages, stream_folder
+from custos.streaming.running import latest, run_available, running_partials, stream_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,7 +135,6 @@ def series_distinct(spark, sf):
 
 
 def series_sorted_rank(spark, sf):
-    ensure_checkpoint_dir(spark, allow_local=True)
     ranked = with_position(series_one_patient(spark, sf), series_order(), "pos")
     return ranked.select(F.col("pos").cast("long").alias("pos"), DATE, VALUE)
 
@@ -175,10 +173,10 @@ def avg_components_ranges(spark, sf):
 
 def stream_avg_components_ranges(spark, sf):
     """B4 maintained over the blood tests arriving as a stream; equals the batch form."""
-    stream = running_averages(spark, fx.stream_catalog(sf), _mask_all(), fx.AGE_RANGES, fx.AS_OF)
+    stream = running_partials(spark, fx.stream_catalog(sf), _mask_all())
     output, checkpoint = stream_folder(spark, "avg_components_ranges")
-    run_available(stream, output, checkpoint)
-    return _round(spark.read.parquet(output))
+    run_available(stream, output, checkpoint, fx.AGE_RANGES, fx.AS_OF)
+    return _round(latest(spark, output))
 
 
 def age_bounds(spark, sf):
@@ -198,13 +196,11 @@ def series_json(spark, sf):
 
 def series_json_array_one(spark, sf):
     """O24 for the one-patient series: the JSON array, in parts."""
-    ensure_checkpoint_dir(spark, allow_local=True)
     return json_array_parts(series_one_patient(spark, sf), series_order())
 
 
 def series_json_array(spark, sf):
     """One JSON array per patient, in parts."""
-    ensure_checkpoint_dir(spark, allow_local=True)
     return json_array_parts(series_all_patients(spark, sf), series_order(), keys=(SOCIAL_ID,))
 
 

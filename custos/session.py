@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -47,18 +48,16 @@ def recommended_conf() -> dict[str, str]:
     }
 
 
-def sizing_conf(input_bytes: int, total_cores: int, shuffle_bytes_per_partition: int = 1 << 30,
-                max_partitions: int = 200_000) -> dict[str, str]:
+def sizing_conf(input_bytes: int, total_cores: int, shuffle_bytes_per_partition: int = 1 << 30) -> dict[str, str]:
     """Shuffle settings for a run reading ``input_bytes`` on ``total_cores`` cores.
 
     The queries shuffle projected columns, per-patient partials or distinct
     rows, well under their input, so the initial partition count assumes
-    about 1 GB of input per shuffle partition (at least two per core, at most
-    ``max_partitions``); AQE then coalesces toward 256 MB partitions. Scan
-    splits stay at 128 MB so a task's input fits in executor memory.
+    about 1 GB of input per shuffle partition, at least two per core; AQE
+    then coalesces toward 256 MB partitions. Scan splits stay at 128 MB so a
+    task's input fits in executor memory.
     """
     partitions = max(2 * total_cores, -(-input_bytes // shuffle_bytes_per_partition))
-    partitions = min(partitions, max_partitions)
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
@@ -113,3 +112,10 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str
     local = tempfile.mkdtemp(prefix="custos-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the session's checkpoint folder and read back: lineage is cut, nothing is recomputed."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -49,7 +49,8 @@ class TableSpec:
 
     kind: str
     location: str = ""
-    options: Mapping[str, str] = field(default_factory=dict)
+    # Not shown in repr: they may hold credentials.
+    options: Mapping[str, str] = field(default_factory=dict, repr=False)
     build: Callable[[SparkSession], DataFrame] | None = None
     # Known schema of a parquet or stream table (DDL text or StructType):
     # skips the footer-reading job Spark otherwise runs on every read.
@@ -163,15 +164,18 @@ def register_tables(session: SparkSession, catalog: Mapping[str, TableSpec],
                     names: Iterable[str]) -> dict[str, str]:
     """Register each named table as a temp view in ``session``.
 
-    Returns ``{view: logical name}``. Two tables mapping to one view (two
-    clauses tables) raise instead of silently keeping the last one.
+    Returns ``{view: logical name}``. A name listed again is registered once.
+    Two different tables mapping to one view (two clauses tables, or names
+    equal but for case, as Spark compares view names) raise instead of
+    silently keeping the last one.
     """
     registered: dict[str, str] = {}
-    for name in names:
+    taken: dict[str, str] = {}
+    for name in dict.fromkeys(names):
         view = view_name(name)
-        if view in registered:
-            raise ValueError(
-                f"tables {registered[view]!r} and {name!r} would both be registered as {view!r}")
+        other = taken.setdefault(view.lower(), name)
+        if other != name:
+            raise ValueError(f"tables {other!r} and {name!r} would both be registered as {view!r}")
         df = load_table(session, catalog, name)
         # A view lands in the session that built the DataFrame: a builder that
         # ignores the session it is given would leak the view elsewhere.

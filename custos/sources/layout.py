@@ -4,27 +4,53 @@ Blood tests, clauses and profiles are all joined on ``patientId``. Written
 as metastore tables bucketed (and sorted) by it with the same bucket count,
 Spark reads matching buckets into the same task, and both the policy's
 clauses join and the profile join run as sort-merge joins without an
-exchange — at 100 TB this removes the largest shuffle of every query.
-Register them in a catalog with ``TableSpec.table(name)``.
+exchange, which removes the largest shuffle of every query. Register them in
+a catalog with ``TableSpec.table(name)``.
+
+Limits. A patient's rows share one bucket, and a plan without an exchange
+gives AQE nothing to split: one patient with a third of the rows is one task
+with a third of the rows. :func:`largest_key_share` measures that; above a
+few bucket sizes keep the table unbucketed, so the joins shuffle and AQE
+splits the hot patient (``tests/test_skew.py``). Spark allows
+``spark.sql.sources.bucketing.maxBuckets`` buckets (100 000 unless raised),
+so buckets of a 100 TB table hold about 1 GB at least.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from custos.constants import SUBJECT_ID
+from custos.functions.columns import quoted
+
+
+def largest_key_share(df: DataFrame, key: str = SUBJECT_ID) -> float:
+    """Share of all rows that the most frequent non-null key holds (0 for an empty table).
+
+    One count per key, combined before the shuffle; one row reaches the driver.
+    """
+    counts = df.groupBy(quoted(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    row = counts.agg(F.sum("_n"), F.max(F.when(F.col("_key").isNotNull(), F.col("_n")))).first()
+    return (row[1] or 0) / row[0] if row[0] else 0.0
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = SUBJECT_ID,
-                   mode: str = "errorifexists", path: str | None = None) -> None:
-    """Save ``df`` as a table bucketed and sorted by ``key``.
+def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = SUBJECT_ID, mode: str = "errorifexists",
+                   path: str | None = None, largest_share: float | None = None) -> None:
+    """Save ``df`` as a table bucketed and sorted by ``key``, one file a bucket.
 
-    Use one bucket count for all tables joined together, sized so a bucket
-    of the largest table is a few hundred MB.
+    Rows are first dealt to the buckets by one shuffle, so each bucket is
+    written by one task; without it every task would write a file for every
+    bucket. Use one bucket count for all tables joined together. With
+    ``largest_share`` the table is refused when one key holds a larger share
+    of the rows: such a key makes a bucket that no plan can split.
     """
-    if buckets < 1:
-        raise ValueError("buckets must be positive")
-    writer = df.write.mode(mode).bucketBy(buckets, key).sortBy(key)
+    most = int(df.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    if not 1 <= buckets <= most:
+        raise ValueError(f"buckets must be between 1 and {most} (spark.sql.sources.bucketing.maxBuckets)")
+    if largest_share is not None and (share := largest_key_share(df, key)) > largest_share:
+        raise ValueError(f"one {key} holds {share:.1%} of the rows: keep the table unbucketed, so its joins can be split")
+    writer = df.repartition(buckets, quoted(key)).write.mode(mode).bucketBy(buckets, key).sortBy(key)
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(table)

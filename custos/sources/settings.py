@@ -20,6 +20,8 @@ JDBC_TYPES = ("jdbc",)
 JDBC_URL = "db.mysql.url"
 JDBC_USER = "db.mysql.username"
 JDBC_PASSWORD = "db.mysql.password"
+# Our own: reader options of one JDBC table, as <name>_jdbc.<option>.
+JDBC_PREFIX = "_jdbc."
 
 
 def catalog_from_settings(settings: Mapping[str, str], parquet_types: tuple[str, ...] = ("parquet",),
@@ -29,27 +31,42 @@ def catalog_from_settings(settings: Mapping[str, str], parquet_types: tuple[str,
     ``s3a`` (and any of ``parquet_types``) reads the location as Parquet
     through whatever Hadoop file system its URI names; ``jdbc`` reads the
     location as ``dbtable`` with the shared connection settings, plus
-    ``jdbc_options`` (for example ``partitionColumn``/``lowerBound``/
-    ``upperBound``/``numPartitions`` to read in parallel). Any other type, or
-    a type without its location, raises ``ValueError``.
+    ``jdbc_options`` and the table's own ``<name>_jdbc.<option>`` entries (for
+    example ``patientsProfiles_jdbc.partitionColumn``, ``.lowerBound``,
+    ``.upperBound`` and ``.numPartitions`` to read in parallel).
+
+    Entries that describe no table are left alone: an unrelated ``*_type``
+    setting, a type without a location, or a table whose connection is
+    missing does not keep the other tables from being read. Such a name is
+    absent from the catalog, so reading it raises; :func:`table_from_settings`
+    says why.
     """
     catalog: dict[str, TableSpec] = {}
-    for key, kind in settings.items():
-        if not key.endswith(TYPE_SUFFIX):
-            continue
-        name = key[: -len(TYPE_SUFFIX)]
-        kind = str(kind).strip()
-        if name not in settings:
-            raise ValueError(f"{key} is set but {name} (the location) is not")
-        location = str(settings[name]).strip()
-        if kind in PARQUET_TYPES or kind in parquet_types:
-            catalog[name] = TableSpec.parquet(location)
-        elif kind in JDBC_TYPES:
-            missing = [k for k in (JDBC_URL, JDBC_USER, JDBC_PASSWORD) if k not in settings]
-            if missing:
-                raise ValueError(f"jdbc table {name} needs {missing}")
-            catalog[name] = TableSpec.jdbc(location, settings[JDBC_URL], user=settings[JDBC_USER],
-                                           password=settings[JDBC_PASSWORD], **dict(jdbc_options or {}))
-        else:
-            raise ValueError(f"unrecognized table type {kind!r} for {name}")
+    for key in settings:
+        if key.endswith(TYPE_SUFFIX):
+            name = key[: -len(TYPE_SUFFIX)]
+            try:
+                catalog[name] = table_from_settings(settings, name, parquet_types, jdbc_options)
+            except ValueError:
+                continue
     return catalog
+
+
+def table_from_settings(settings: Mapping[str, str], name: str, parquet_types: tuple[str, ...] = ("parquet",),
+                        jdbc_options: Mapping[str, str] | None = None) -> TableSpec:
+    """The table ``name``; ``ValueError`` if the settings do not say where it is and how to read it."""
+    for key in (name, name + TYPE_SUFFIX):
+        if key not in settings:
+            raise ValueError(f"table {name}: {key} is not set")
+    kind, location = str(settings[name + TYPE_SUFFIX]).strip(), str(settings[name]).strip()
+    if kind in PARQUET_TYPES or kind in parquet_types:
+        return TableSpec.parquet(location)
+    if kind not in JDBC_TYPES:
+        raise ValueError(f"unrecognized table type {kind!r} for {name}")
+    missing = [k for k in (JDBC_URL, JDBC_USER, JDBC_PASSWORD) if k not in settings]
+    if missing:
+        raise ValueError(f"jdbc table {name} needs {missing}")
+    prefix = name + JDBC_PREFIX
+    own = {k[len(prefix):]: str(v) for k, v in settings.items() if k.startswith(prefix)}
+    return TableSpec.jdbc(location, settings[JDBC_URL], user=settings[JDBC_USER], password=settings[JDBC_PASSWORD],
+                          **{**dict(jdbc_options or {}), **own})

@@ -4,10 +4,11 @@ The reference answers requests over tables at rest; it has no streams. The
 one stream form kept here is the batch average (B4) maintained while blood
 tests arrive: the same policy query runs over a streaming ``blood_tests``
 view, profiles and clauses stay static tables, and a single aggregation
-keeps a sum and count per component and age range, so the state is bounded
-by components × ranges however many tests arrive.
+keeps sums and counts per birth date, so the state is bounded by the date
+domain however many tests arrive; ages are worked out when a result is
+written.
 """
 
-from custos.streaming.running import run_available, running_averages, stream_folder
+from custos.streaming.running import averages, latest, run_available, running_partials, stream_folder
 
-__all__ = ["run_available", "running_averages", "stream_folder"]
+__all__ = ["averages", "latest", "run_available", "running_partials", "stream_folder"]

@@ -30,6 +30,41 @@ def test_component_names():
     assert value_columns(["patientId", "date", "a_value", "b", "c_value"]) == ["a_value", "c_value"]
 
 
+def test_component_names_as_spark_sql_takes_them():
+    assert component_column("17_oh_progesterone") == "17_oh_progesterone_value"
+    columns = ["patientId", "date", "Fibrinogen_value", "17_oh_progesterone_value"]
+    assert resolve_component(columns, "fibrinogen") == "Fibrinogen_value"
+    assert resolve_component(columns, "17_OH_progesterone") == "17_oh_progesterone_value"
+    with pytest.raises(ValueError):
+        resolve_component(columns, "fibrinogen", case_sensitive=True)
+    both = ["a_value", "A_value"]
+    assert resolve_component(both, "A") == "A_value" and resolve_component(both, "a") == "a_value"
+    with pytest.raises(ValueError):
+        resolve_component(["B_VALUE", "b_Value"], "b")
+
+
+def test_bounds_before_year_one():
+    assert birth_date_bounds(dt.date(2024, 2, 29), 18, 3000) == (None, dt.date(2006, 2, 28))
+    assert birth_date_bounds(dt.date(2024, 1, 1), 2500, 3000) == (None, dt.date.min)
+    assert birth_date_bounds(dt.date(2024, 2, 29), 0, 2023) == (dt.date(1, 2, 28), dt.date(2024, 2, 29))
+
+
+def test_numbers_given_as_text(spark):
+    from custos.operators.filters import filter_equals
+
+    df = spark.sql("SELECT CAST(n AS INT) AS i, CAST(n AS BIGINT) AS l, CAST(n AS DOUBLE) AS d, "
+                   "CAST(n AS DECIMAL(6, 2)) AS m FROM VALUES (1000), (7) AS t(n)")
+    for column in "ildm":
+        for value in ("99999999999999999999", "nan", "inf", "1_000", "", "abc", "0x10", "1e400", "9" * 5000):
+            assert filter_equals(df, column, value).count() == 0, (column, value)
+        for value in ("1000", " 1000 ", "+1000", 1000, "0001000"):
+            assert filter_equals(df, column, value).count() == 1, (column, value)
+    assert filter_equals(df, "i", "99999999999").count() == 0 and filter_equals(df, "i", "7.0").count() == 0
+    assert filter_equals(df, "d", "7.0").count() == filter_equals(df, "m", "7.00").count() == 1
+    assert filter_equals(df, "d", "1e3").count() == filter_equals(df, "m", "1e3").count() == 1
+    assert filter_equals(df, "m", "7.001").count() == 0 and filter_equals(df, "m", "12345678").count() == 0
+
+
 def test_years_before_clamps_leap_day():
     assert years_before(dt.date(2024, 2, 29), 1) == dt.date(2023, 2, 28)
     assert years_before(dt.date(2024, 2, 29), 4) == dt.date(2020, 2, 29)
@@ -69,4 +104,5 @@ def test_sizing_conf():
     assert big["spark.sql.shuffle.partitions"] == str(100 << 10)
     assert big["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == str(100 << 10)
     assert sizing_conf(10 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
-    assert sizing_conf(1 << 60, 8)["spark.sql.shuffle.partitions"] == "200000"
+    # no cap: partitions grow with the input
+    assert sizing_conf(1 << 60, 8)["spark.sql.shuffle.partitions"] == str(1 << 30)

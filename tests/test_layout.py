@@ -53,3 +53,43 @@ def test_bucketed_tables_make_subject_joins_shuffle_free(spark):
 def test_write_bucketed_rejects_bad_bucket_count(spark):
     with pytest.raises(ValueError):
         write_bucketed(spark.range(3), "never_written", 0)
+    with pytest.raises(ValueError):
+        write_bucketed(spark.range(3), "never_written", 100_001)
+
+
+def test_one_file_a_bucket(spark):
+    import os
+
+    name = f"one_{uuid.uuid4().hex[:8]}"
+    write_bucketed(fx.blood_tests(spark, SF001).repartition(8), name, 4)
+    files = [f for f in spark.table(name).inputFiles() if os.path.basename(f).startswith("part-")]
+    assert len(files) == 4
+
+
+def test_hot_patients_are_kept_out_of_buckets(spark):
+    from pyspark.sql import functions as F
+
+    from custos.sources.layout import largest_key_share
+
+    hot = spark.range(300).select(F.when(F.col("id") % 3 == 0, 9).otherwise(F.col("id")).alias("patientId"))
+    assert largest_key_share(hot) == pytest.approx(101 / 300, abs=0.01)
+    assert largest_key_share(spark.range(0).select(F.col("id").alias("patientId"))) == 0
+    with pytest.raises(ValueError, match="unbucketed"):
+        write_bucketed(hot, "never_written", 4, largest_share=0.1)
+
+
+def test_only_a_local_session_gets_a_local_checkpoint_folder():
+    """Without spark.checkpoint.dir a cluster session raises instead of using a machine's own folder."""
+    from types import SimpleNamespace
+
+    from custos.session import ensure_checkpoint_dir, is_local
+
+    def session(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, getConf=lambda: {})
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
+
+    assert [is_local(session(m)) for m in ("local", "local[8]", "local[*]", "local-cluster[3,2,1024]", "yarn", "spark://h:7077")] \
+        == [True, True, True, False, False, False]
+    for master in ("yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(session(master), allow_local=is_local(session(master)))

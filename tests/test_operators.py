@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from custos.operators.projection import drop_subject, rename_to_value
 
 from conftest import BT_ROWS, BT_SCHEMA, PROFILE_ROWS, PROFILE_SCHEMA
 
+REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 @pytest.fixture()
 def bt(spark):
@@ -167,7 +170,7 @@ def test_age_ranges_match_birth_date_bounds(spark):
     import random
 
     from custos.functions.dates import birth_date_bounds
-    from custos.operators.aggregate import age_partials, count_name, sum_name
+    from custos.operators.aggregate import age_bounds, age_partials, count_name, range_ages, sum_name
 
     rnd = random.Random(7)
     births = [dt.date(1900, 1, 1) + dt.timedelta(days=rnd.randrange(0, 365 * 124)) for _ in range(400)]
@@ -176,9 +179,9 @@ def test_age_ranges_match_birth_date_bounds(spark):
     ranges = [(18, 40), (30, 70), (0, 1), (40, 41), (3, 10), (20, 22), (60, 120)]
     rows = [(b, 1.0, 1) for b in births]
     df = spark.createDataFrame(rows, f"birthDate date, {sum_name('v')} double, {count_name('v')} long")
-    table = age_range_frame(spark, ranges)
     for as_of in (dt.date(2024, 1, 1), dt.date(2024, 2, 29), dt.date(2023, 2, 28), dt.date(2024, 3, 1)):
-        ranged = join_age_ranges(age_partials(df, ["v"], as_of), table)
+        bounds = age_bounds(as_of, ranges)
+        ranged = join_age_ranges(age_partials(df, ["v"], bounds), range_ages(spark, ranges, as_of, bounds))
         got = {(r.startAge, r.endAge): r[count_name("v")] for r in
                ranged.groupBy("startAge", "endAge").agg(F.sum(count_name("v")).alias(count_name("v"))).collect()}
         for start, end in ranges:
@@ -192,7 +195,7 @@ def test_age_range_frame_validation(spark):
         age_range_frame(spark, [])
     with pytest.raises(ValueError):
         age_range_frame(spark, [(40, 18)])
-    many = [(s, s + w) for s in range(0, 120) for w in range(1, 12)]  # longer than the inline limit
+    many = [(s, s + w) for s in range(0, 120) for w in range(1, 12)]
     assert age_range_frame(spark, many).count() == len(many)
     assert age_range_frame(spark, many[:5]).count() == 5
 
@@ -209,24 +212,62 @@ def test_write_json_sink(spark):
     assert lines == ['{"date":"2024-01-01","value":1.5}', '{"value":2.0}']
 
 
-def test_at_most_and_budget(spark):
-    from custos.operators.join import at_most, broadcast_rows_budget, row_bytes
+def test_measured_size(spark):
+    from custos.operators.join import broadcast_if_small, broadcast_threshold, measured_size
 
     df = spark.range(0, 1000, numPartitions=7)
-    assert at_most(df, 1000) and not at_most(df, 999)
-    assert at_most(spark.range(0), 0)
-    assert row_bytes(df.schema) == 16
-    assert broadcast_rows_budget(df) == (10 << 20) // 16
+    assert measured_size(df) == (1000, 1000 * 24)
+    assert measured_size(spark.range(0)) == (0, 0)
+    text = df.select("id", F.repeat(F.lit("é"), 500).alias("text"), F.array(F.lit("abc")).alias("list"))
+    rows, size = measured_size(text)
+    assert rows == 1000 and size > 1000 * (1000 + 3)
+    nulls = df.select(F.lit(None).cast("string").alias("text"))
+    assert measured_size(nulls) == (1000, 1000 * 24)
+    assert broadcast_threshold(df) == 10 << 20
+    # long strings count with their length, not with an assumed width
+    long = spark.range(0, 2000).select("id", F.repeat(F.lit("x"), 50_000).alias("text"))
+    assert broadcast_if_small(long) is long
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert broadcast_rows_budget(df) == 0
+        assert broadcast_threshold(df) == 0 and broadcast_if_small(df) is df
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_measuring_moves_one_row_a_task(tmp_path):
+    """On a table of many splits the check shuffles a row of sums from each task, whatever the rows
+    (read from the event log of a session of its own)."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {str(REPO)!r})
+from custos.session import local_session
+spark = local_session(2, 8, extra={{"spark.eventLog.enabled": "true", "spark.eventLog.dir": "file://{tmp_path}",
+                                   "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false"}})
+from pyspark.sql import functions as F
+from custos.operators.join import measured_size
+path = "file://{tmp_path}/table.parquet"
+spark.range(0, 200_000, numPartitions=40).select("id", F.col("id").cast("string").alias("s")).write.parquet(path)
+spark.conf.set("spark.sql.files.openCostInBytes", "64m"); spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+table = spark.read.parquet(path)
+spark.sparkContext.setJobDescription("measure")
+assert measured_size(table)[0] == 200_000
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, capture_output=True)
+    log = next(p for p in tmp_path.iterdir() if p.name.startswith(("local-", "app-")))
+    events = [json.loads(line) for line in log.read_text().splitlines()]
+    stages = {s for e in events if e["Event"] == "SparkListenerJobStart"
+              and e["Properties"].get("spark.job.description") == "measure" for s in e["Stage IDs"]}
+    tasks = [e["Task Metrics"] for e in events if e["Event"] == "SparkListenerTaskEnd" and e["Stage ID"] in stages]
+    written = [t["Shuffle Write Metrics"]["Shuffle Records Written"] for t in tasks]
+    assert len(tasks) > 20 and max(written) <= 1 and sum(t["Input Metrics"]["Records Read"] for t in tasks) == 200_000
+
+
 def test_checked_broadcast_of_join_derived_profiles(spark):
     """Profiles built by a join look huge to the planner (the product of its
-    inputs); the bounded row check broadcasts them anyway, and only then."""
+    inputs); the measured check broadcasts them anyway, and only then."""
     from custos.plans import fixtures as fx
     from custos.plans.policy import run_policy
 
@@ -240,8 +281,8 @@ def test_checked_broadcast_of_join_derived_profiles(spark):
     from custos.operators.join import broadcast_if_small
 
     big = spark.range(0, 50_000).select(F.col("id").alias("patientId"))
-    assert broadcast_if_small(big, max_rows=10_000) is big  # over the bound: left to Spark
-    assert broadcast_if_small(big, max_rows=50_000) is not big
+    assert broadcast_if_small(big, max_bytes=10_000) is big  # over the bound: left to Spark
+    assert broadcast_if_small(big, max_bytes=50_000 * 24) is not big
 
 
 def test_any_not_null_positional_path_still_pushes_down(spark):

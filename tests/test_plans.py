@@ -7,6 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from custos.plans import registry
 
 from conftest import SF001
 
@@ -18,7 +19,7 @@ def plan_of(spark, key):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(registry.QUERIES))
 def test_no_python_in_plan(spark, key):
     plan = plan_of(spark, key)
     assert not [n for n in PYTHON_NODES if n in plan]
@@ -47,7 +48,7 @@ def test_position_window_only_over_partition_counts(spark):
     assert windows and all("_part" in w and "_n" in w for w in windows)
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(registry.QUERIES))
 def test_no_nested_loop_or_cartesian_join(spark, key):
     plan = plan_of(spark, key)
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from custos.plans import clinical
 from custos.plans import fixtures as fx
+from custos.plans import registry
 from tools.compare import compare
 
 from conftest import SF001, SF01
 
-KEYS = sorted(entry.queries())
+KEYS = sorted(registry.QUERIES)
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(registry.oracle_sql()) == set(registry.QUERIES)
+    assert set(KEYS) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_smoke(spark):

@@ -60,3 +60,36 @@ def test_hot_patient_series_is_split(spark, skewed):
     env = fx.clause_mask_envelope(("fibrinogen_value",))
     series = clinical.series_all_patients(spark, skewed, env, "fibrinogen")
     assert "skew=true" in final_plan(series)
+
+
+def test_hot_patient_json_array_is_split_and_complete(spark):
+    """Half of the rows under one key: the join that ranks them is split, and its parts are built by many tasks."""
+    from custos.operators.output import json_array_parts
+
+    for k, v in SKEW_CONF.items():
+        spark.conf.set(k, v)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(0, 6000).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"),
+                                         F.col("id").alias("v"))
+        parts = json_array_parts(df, [F.col("v")], keys=("k",), part_size=50)
+        rows = parts.collect()
+        plan = parts._jdf.queryExecution().executedPlan().toString()
+        tasks = parts.filter("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        for k in [*SKEW_CONF, "spark.sql.adaptive.coalescePartitions.enabled"]:
+            spark.conf.unset(k)
+    assert "skew=true" in plan
+    import json
+    hot = [r for r in sorted(rows, key=lambda r: r["part"]) if r["k"] == "hot"]
+    assert [r["part"] for r in hot] == list(range(60))
+    assert [x["v"] for r in hot for x in json.loads(r["json"])] == list(range(0, 6000, 2))
+    assert tasks > 1
+
+
+def test_null_keys_form_arrays(spark):
+    from custos.operators.output import json_array_parts
+
+    df = spark.createDataFrame([(None, 2), ("a", 1), (None, 1), ("a", None)], "k string, v int")
+    rows = {r["k"]: r["json"] for r in json_array_parts(df, [F.col("v").asc_nulls_first()], keys=("k",)).collect()}
+    assert rows == {None: '[{"v":1},{"v":2}]', "a": '[{},{"v":1}]'}

@@ -55,7 +55,7 @@ def test_builder_must_use_given_session(spark):
 
 
 def test_catalog_from_flat_settings(spark):
-    from custos.sources.settings import catalog_from_settings
+    from custos.sources.settings import catalog_from_settings, table_from_settings
 
     settings = {
         "db.mysql.url": "jdbc:mysql://db/example", "db.mysql.username": "u", "db.mysql.password": "p",
@@ -70,9 +70,28 @@ def test_catalog_from_flat_settings(spark):
     opts = jdbc_options(cat["patientsProfiles"])
     assert opts["dbtable"] == "patient" and opts["url"] == "jdbc:mysql://db/example"
     assert opts["user"] == "u" and opts["numPartitions"] == "8"
+    # a table's own options go before the shared ones
+    own = catalog_from_settings(settings | {"patientsProfiles_jdbc.numPartitions": "64", "other_jdbc.x": "y"},
+                                jdbc_options={"partitionColumn": "patientId", "lowerBound": "0", "upperBound": "10000",
+                                              "numPartitions": "8"})
+    assert jdbc_options(own["patientsProfiles"])["numPartitions"] == "64" and "x" not in own["patientsProfiles"].options
+    # a bad or unrelated entry does not keep the other tables from being read
+    mixed = catalog_from_settings(settings | {"x": "loc", "x_type": "csv", "mime_type": "json", "y_type": "s3a"})
+    assert set(mixed) == {"blood_tests", "patientsProfiles"}
+    for bad in ({"x": "loc", "x_type": "csv"}, {"x_type": "s3a"}, {"x": "loc"}, {"x": "t", "x_type": "jdbc"}):
+        with pytest.raises(ValueError):
+            table_from_settings(bad, "x")
+
+
+def test_credentials_are_not_printed():
+    assert "secret" not in repr(TableSpec.jdbc("patient", "jdbc:mysql://db/x", user="u", password="secret"))
+
+
+def test_a_table_listed_twice_is_registered_once(spark):
+    spec = TableSpec.derived(lambda s: s.range(3))
+    session = spark.newSession()
+    assert register_tables(session, {"t": spec, "a_clauses": spec}, ["t", "a_clauses", "t", "a_clauses"]) == {
+        "t": "t", "clauses": "a_clauses"}
+    assert session.table("t").count() == 3
     with pytest.raises(ValueError):
-        catalog_from_settings({"x": "loc", "x_type": "csv"})
-    with pytest.raises(ValueError):
-        catalog_from_settings({"x_type": "s3a"})
-    with pytest.raises(ValueError):
-        catalog_from_settings({"x": "t", "x_type": "jdbc"})
+        register_tables(spark.newSession(), {"t": spec, "T": spec}, ["t", "T"])
