@@ -68,8 +68,73 @@ SELECT conv_id, perspective, part, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS BI
 FROM placed GROUP BY conv_id, perspective, part
 """
 
+MIX = r"""
+WITH sized AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS id, source,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS ord
+  FROM documents),
+keyed AS (
+  SELECT *, CAST('0x' || substr(ord, 1, 8) AS BIGINT)
+            % (SELECT greatest(128, CAST(ceil(count(*) / 50000.0) AS BIGINT)) FROM sized) AS shard
+  FROM sized),
+cells AS (
+  SELECT source, shard, CAST(sum(size) AS BIGINT) AS words,
+         CAST(CASE WHEN sum(size) > 0 THEN greatest(1, floor(sum(size) / 64.0 + 0.5)) ELSE 0 END AS BIGINT) AS blocks
+  FROM keyed GROUP BY source, shard),
+sources AS (
+  SELECT source, CAST(sum(words) AS BIGINT) AS source_size, CAST(sum(blocks) AS BIGINT) AS all_blocks,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos
+  FROM cells GROUP BY source),
+weighted AS (SELECT *, [5, 2, 1][pos % 3 + 1] AS weight FROM sources),
+levels AS (
+  SELECT *, 3 * source_size / weight AS full_at, row_number() OVER w AS rank,
+         (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighted WINDOW w AS (ORDER BY 3 * source_size / weight, pos)),
+opened AS (SELECT min(rank) AS r, arg_min(level, rank) AS l FROM levels WHERE full_at >= level),
+targets AS (
+  SELECT v.*, CASE WHEN rank < r THEN CAST(3 * source_size AS DOUBLE)
+              ELSE least(l * weight, CAST(3 * source_size AS DOUBLE)) END AS target
+  FROM levels v, opened),
+votes AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size * all_blocks ELSE 0 END AS votes FROM targets),
+bounds AS (
+  SELECT *, CAST(greatest(0, floor(votes - slack)) AS BIGINT) AS least_seats, CAST(ceil(votes + slack) AS BIGINT) AS up
+  FROM (SELECT *, CASE WHEN sum(votes) OVER () > 0 THEN votes / sum(votes) OVER () ELSE 0 END
+                  * count(*) OVER () / 2 + 1 AS slack FROM votes)),
+quotients AS (
+  SELECT source, pos, least_seats, CAST(round(sum(votes) OVER () ) AS BIGINT) - sum(least_seats) OVER () AS open_seats,
+         votes, up FROM bounds),
+contest AS (
+  SELECT pos, least_seats, row_number() OVER (ORDER BY votes / (2 * k + 1) DESC, pos, k) <= open_seats AS won
+  FROM (SELECT *, unnest(range(least_seats, up + 1)) AS k FROM quotients)),
+seats AS (
+  SELECT t.source, t.source_size, t.target, t.all_blocks, least(s.seats, 3 * t.all_blocks) AS seats
+  FROM targets t JOIN (SELECT pos, any_value(least_seats) + count(*) FILTER (WHERE won) AS seats
+                       FROM contest GROUP BY pos) s USING (pos)),
+dealt AS (
+  SELECT c.*, s.source_size, s.target,
+         CAST(floor(CASE WHEN all_blocks > 0 THEN seats / all_blocks ELSE 0 END * upto + 0.5)
+              - floor(CASE WHEN all_blocks > 0 THEN seats / all_blocks ELSE 0 END * (upto - blocks) + 0.5) AS BIGINT) AS quota
+  FROM (SELECT *, sum(blocks) OVER (PARTITION BY source ORDER BY shard) AS upto FROM cells) c
+  JOIN seats s ON c.source IS NOT DISTINCT FROM s.source),
+cut AS (
+  SELECT *, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS times,
+         CASE WHEN blocks > 0 THEN CAST(floor((quota - quota // blocks * blocks) * words / blocks) AS BIGINT) ELSE 0 END AS cut_at
+  FROM dealt),
+placed AS (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY ord, id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_at
+  FROM keyed)
+SELECT doc_id, size, source_size, target,
+       CAST(times * size + greatest(0, least(end_at, cut_at) - (end_at - size)) AS BIGINT) AS taken,
+       CAST(CASE WHEN size > 0 THEN times + CAST(end_at - size + size // 2 < cut_at AS INTEGER) ELSE 0 END AS INTEGER) AS copies
+FROM placed p JOIN cut c ON p.shard = c.shard AND p.source IS NOT DISTINCT FROM c.source
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_perspective_chat": CHAT,
     "op6_kd_tree_top_k": TOP_K,
     "op7_winnowing_decontamination": DECONTAMINATION,
+    "op9_sainte_lague_mix": MIX,
 }

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from custos.llm import mixing
+from custos.llm.oracles import ORACLE_SQL
+from custos.llm.queries import QUERIES
 from tests.llm.conftest import SF001
 
 
@@ -73,6 +75,12 @@ def test_mix_reaches_its_targets(spark):
     assert sorted((r["doc"]["doc_id"], r["taken"]) for r in rows) == sorted((r["doc"]["doc_id"], r["taken"]) for r in again)
 
 
+def test_whole_table_against_sql(spark, duck):
+    wanted = duck.sql(ORACLE_SQL["op9_sainte_lague_mix"])
+    got = QUERIES["op9_sainte_lague_mix"](spark, SF001)
+    assert got.columns == wanted.columns and sorted(map(tuple, got.collect())) == sorted(wanted.fetchall())
+
+
 def test_odd_rows(odd, none):
     rows = mixed(odd).collect()
     assert len(rows) == odd.count()
