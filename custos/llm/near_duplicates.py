@@ -38,7 +38,7 @@ THRESHOLD = 0.8
 WORDS = 5
 RECALL = 0.9999
 # A block holds about this many texts, and about this many words.
-BLOCK_TEXTS = 512
+BLOCK_TEXTS = 256
 BLOCK_WORDS = 1_000_000
 
 
