@@ -264,6 +264,14 @@ class Vocabulary:
     def base_total(self) -> float:
         return float(np.log10(self.tokens + self.words + 1))
 
+    def count_of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is a frequent word, and its count (0 if not)."""
+        if not len(self.frequent):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        place = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
+        found = self.frequent[place] == hashes
+        return found, np.where(found, self.frequent_count[place], 0)
+
     def class_of(self, hashes: np.ndarray, ending: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
         return np.where(self.own[at] == hashes, self.own_class[at], ending).astype(np.int16)
@@ -286,7 +294,7 @@ def count_tokens(train: DataFrame) -> DataFrame:
                 h, c, _ = tokens.of(texts[lo:hi].to_pylist())
                 held.append((h, c))
                 size += len(h)
-                if size >= BUFFER_TOKENS:
+                if size >= BUFFER_TOKENS // 4:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -337,8 +345,8 @@ def train_network(sample: DataFrame, words: Vocabulary, rounds: int = ROUNDS, ra
             tokens, held, size = Tokens(), [], 0
 
             def pass_over() -> None:
-                h, c, n = (np.concatenate(x) for x in zip(*held))
-                x, y, keep, text = streams(lexicon.value.class_of(h, c), n, lexicon.value.classes, LANES)
+                classes, n = (np.concatenate(x) for x in zip(*held))
+                x, y, keep, text = streams(classes, n, lexicon.value.classes, LANES)
                 state = np.zeros((x.shape[1], own.inner.shape[0]), np.float32)
                 for t in range(0, len(x), WINDOW):
                     part = slice(t, t + WINDOW)
@@ -349,9 +357,10 @@ def train_network(sample: DataFrame, words: Vocabulary, rounds: int = ROUNDS, ra
             for batch in batches:
                 texts = batch.column(0)
                 for lo, hi in cuts(texts):
-                    held.append(tokens.of(texts[lo:hi].to_pylist()))
-                    size += len(held[-1][0])
-                    seen += len(held[-1][0])
+                    h, ending, n = tokens.of(texts[lo:hi].to_pylist())
+                    held.append((lexicon.value.class_of(h, ending), n))
+                    size += len(h)
+                    seen += len(h)
                     if size >= BUFFER_TOKENS:
                         pass_over()
                         held, size = [], 0
@@ -418,44 +427,48 @@ def score(docs: DataFrame, doc_id: Column, text: Column, train: Column, rounds:
         lexicon, net = shared.value
         tokens, held, rows, size = Tokens(), [], [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            h, ending, n = (np.concatenate(x) for x in zip(*held))
-            row, ids = pa.concat_arrays([r for r, _ in rows]), pa.concat_arrays([i for _, i in rows])
+        def counted(texts: list[bytes | None], row: pa.Array, ids: pa.Array) -> pa.RecordBatch:
+            """Looks up counts of one chunk of texts; what the table of frequent words lacks goes out to the join."""
+            h, ending, n = tokens.of(texts)
             classes = lexicon.class_of(h, ending)
             text = np.repeat(np.arange(len(n)), n)
-            log = class_log10(net, classes, n, lexicon.classes)
             kinds, at, back = np.unique(h, return_index=True, return_inverse=True)
-            place = np.minimum(np.searchsorted(lexicon.frequent, kinds), max(0, len(lexicon.frequent) - 1))
-            found = lexicon.frequent[place] == kinds if len(lexicon.frequent) else np.zeros(len(kinds), bool)
-            count = np.where(found, lexicon.frequent_count[place], 0) if len(lexicon.frequent) else np.zeros(len(kinds))
+            found, count = lexicon.count_of(kinds)
             own = classes[at] >= ENDING_CLASSES
+            total = lexicon.class_total[classes[at]]
             base = np.where(found, np.log10(count + 1) - lexicon.base_total, 0.0)
-            inside = np.where(found & ~own, np.log10(count + 1) - lexicon.class_total[classes[at]], 0.0)
-            log += np.bincount(text, inside[back], len(n))
-            known = np.bincount(text, found[back], len(n)).astype(np.int64)
-            empty = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [row, ids, pa.array(n), pa.array(known), pa.array(np.bincount(text, base[back], len(n))), pa.array(log), empty, empty], names=names)
+            inside = np.where(found & ~own, np.log10(count + 1) - total, 0.0)
+            sums = [np.bincount(text, x[back], len(n)) for x in (base, inside, found)]
+            held.append((classes, n, *sums))
+            rows.append((row, ids))
             rare = ~found[back]
-            pairs, times = np.unique(np.stack([text[rare], back[rare]]), axis=1, return_counts=True)
+            pairs, times = np.unique(text[rare] * len(kinds) + back[rare], return_counts=True)
+            word = pairs % max(1, len(kinds))
             none = pa.nulls(len(times), pa.int64())
-            blank = pa.nulls(len(times), pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [row.take(pa.array(pairs[0])), none, pa.array(times), none, blank,
-                 pa.array(np.where(own, 0.0, lexicon.class_total[classes[at]])[pairs[1]]),
-                 signed(kinds[pairs[1]]), pa.array(own[pairs[1]].astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays(
+                [row.take(pa.array(pairs // max(1, len(kinds)))), none, pa.array(times), none, pa.nulls(len(times), pa.float64()),
+                 pa.array(total[word]), signed(kinds[word]), pa.array(own[word].astype(np.int64))], names=names)
+
+        def scored_documents() -> pa.RecordBatch:
+            classes, n, base, inside, known = (np.concatenate(x) for x in zip(*held))
+            log = class_log10(net, classes, n, lexicon.classes) + inside
+            none = pa.nulls(len(n), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([r for r, _ in rows]), pa.concat_arrays([i for _, i in rows]), pa.array(n),
+                 pa.array(known.astype(np.int64)), pa.array(base), pa.array(log), none, none], names=names)
 
         for batch in batches:
             keys, ids, texts = batch.columns
             for lo, hi in cuts(texts):
-                held.append(tokens.of(texts[lo:hi].to_pylist()))
-                rows.append((keys[lo:hi], ids[lo:hi]))
+                yield counted(texts[lo:hi].to_pylist(), keys[lo:hi], ids[lo:hi])
                 size += len(held[-1][0])
                 if size >= BUFFER_TOKENS:
-                    yield from flush()
-                    held, rows, size = [], [], 0
+                    yield scored_documents()
+                    held.clear()
+                    rows.clear()
+                    size = 0
         if held:
-            yield from flush()
+            yield scored_documents()
 
     names = ["row", "doc_id", "n", "known", "base", "log", "h", "own"]
     scored = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
