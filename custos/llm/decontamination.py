@@ -168,7 +168,7 @@ def _matches(text: Column, items: Items, spark) -> Column:
 
 def find(docs: DataFrame, text: Column, benchmark: DataFrame, item_id: Column, item_text: Column, span: int = SPAN,
          gram: int = GRAM, slice_bytes: int = SLICE_BYTES, name: str = "match") -> DataFrame:
-    """``docs`` with a column ``name``: ``struct(n_words, spans)``.
+    """``docs`` with a column ``name``: ``struct(n_words, spans)``; a column of that name is replaced.
 
     ``spans`` are the stretches shared with items, ``(first word, last word,
     item id)``, sorted by place: every window of ``span`` consecutive item

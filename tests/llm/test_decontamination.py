@@ -87,6 +87,6 @@ def test_every_long_shared_span_is_found():
 def test_odd_rows(spark, odd, none):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    assert run(odd.drop("match"), bench) == brute(rows, ITEMS)
+    assert run(odd, bench) == brute(rows, ITEMS)
     assert dc.find(none, none["text"], bench, bench["item_id"], bench["text"], name="m2").count() == 0
-    assert run(odd.drop("match"), spark.createDataFrame([], "item_id long, text string")) == brute(rows, [])
+    assert run(odd, spark.createDataFrame([], "item_id long, text string")) == brute(rows, [])
