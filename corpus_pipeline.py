@@ -18,11 +18,13 @@ columns of ``documents``:
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custos.llm import decontamination, langid, mixing, near_duplicates, sharding
-from custos.llm.common import packed, stored, table
+from custos.llm.common import let_workers_import, packed, stored, table
 
 LEAST_LANGUAGE_SHARE = 0.5
 SHARDS = 24
@@ -58,13 +60,24 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.select("doc.*", "shard", "slot")
 
 
-STAGES = [("language", language), ("near_duplicates", drop_near_duplicates), ("decontamination", decontaminate),
-          ("mix", mix_sources), ("shard", shard)]
-
 # No SQL: the stages hash, train and search in ways SQL cannot express; tests compare with brute force.
 ORACLE_SQL = None
 
 
+def _importable(stage):
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        let_workers_import(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _importable(stage)) for name, stage in (
+    ("language", language), ("near_duplicates", drop_near_duplicates), ("decontamination", decontaminate),
+    ("mix", mix_sources), ("shard", shard))]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:

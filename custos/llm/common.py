@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -249,5 +250,19 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers look for this library where the driver has it.
+
+    Enough where that folder is on every machine, as in a local session; on a
+    cluster without it, pass the library with ``--py-files`` as usual.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
