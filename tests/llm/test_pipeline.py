@@ -81,3 +81,9 @@ def test_stages_take_odd_rows(spark):
             result = stage(spark, docs, SF001)
             assert set(docs.columns) <= set(result.columns)
             assert result.count() <= max(3 * len(data), 0)
+
+
+def test_workers_find_the_library(spark, stages):
+    import os
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    assert root in spark.sparkContext.environment["PYTHONPATH"].split(os.pathsep)
