@@ -39,7 +39,7 @@ def main() -> None:
     from custos.plans import fixtures as fx
     from custos.plans.registry import QUERIES, _mask_all
     from custos.session import local_session
-    from custos.streaming.running import running_averages
+    from custos.streaming.running import running_partials
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     spark = local_session(8)
@@ -49,7 +49,7 @@ def main() -> None:
            "broadcast join when a shuffle stage turns out small, and split skewed partitions.", ""]
     for name, query in QUERIES.items():
         if name.startswith("stream_"):
-            df = running_averages(spark, fx.stream_catalog(sf), _mask_all(), fx.AGE_RANGES, fx.AS_OF)
+            df = running_partials(spark, fx.stream_catalog(sf), _mask_all())
         else:
             df = query(spark, sf)
         out += [f"## {name}", "", "```", condensed(df), "```", ""]
