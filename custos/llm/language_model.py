@@ -8,12 +8,12 @@ other words, seen or not, fall in classes by a hash of their last bytes (the
 endings tell languages, punctuation and word forms apart).
 
 Counts cover all training documents: they are summed by word hash in a
-shuffle. The network learns by truncated backpropagation on a share of the
-training documents (``SAMPLE_SHARE``, but enough documents for
-``LEAST_TOKENS`` tokens), in rounds: every task goes on from the same
-weights over its own documents, and their results are averaged. Scoring
-carries the state from window to window, so a document's probability is that
-of the whole document, however long.
+shuffle. The network learns by truncated backpropagation on every training
+document once, however many there are. A hash deals the documents to
+``ROUNDS`` rounds; in each every task goes on from the same weights over its
+own documents of the round, and their results are averaged. Scoring carries
+the state from window to window, so a document's probability is that of the
+whole document, however long.
 
 A token's count is looked up in two ways: the most frequent words
 (``FREQUENT``, a table of bounded size) inside the scoring task, all others
@@ -31,7 +31,7 @@ import heapq
 import zlib
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +46,12 @@ OWN_CLASSES = 47
 ENDING_CLASSES = 80
 HIDDEN = 24
 WINDOW = 16
-LANES = 128
+LANES = 256
 SCORE_LANES = 256
+# States whose softmax is worked out at a time.
+SOFTMAX_ROWS = 2048
 ROUNDS = 2
 RATE = 0.01
-SAMPLE_SHARE = 1 / 16
-LEAST_TOKENS = 2_000_000
 FREQUENT = 1 << 18
 # Tokens a task works on at a time.
 BUFFER_TOKENS = 4_000_000
@@ -96,6 +96,16 @@ class Tokens(dict):
         return np.array(self.hashes, np.uint64)[slots], np.array(self.classes, np.int16)[slots], np.array(n, np.int64)
 
 
+class Room(dict):
+    """Working arrays by name, used again for every window: fresh ones cost more than the sums in them."""
+
+    def array(self, name: str, *shape: int, dtype=np.float32) -> np.ndarray:
+        found = self.get(name)
+        if found is None or found.shape != shape or found.dtype != dtype:
+            found = self[name] = np.empty(shape, dtype)
+        return found
+
+
 @dataclass
 class Network:
     """Gated recurrent unit over classes. Class ``inputs - 1`` stands for the beginning of a text."""
@@ -129,83 +139,124 @@ class Network:
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         k = h.shape[1]
-        a, u = self.table[x], h @ self.inner
-        gates = 1 / (1 + np.exp(-(a[:, :2 * k] + u[:, :2 * k])))
+        a, u = self.table.take(x, 0), h @ self.inner
+        gates = a[:, :2 * k] + u[:, :2 * k]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         z, r = gates[:, :k], gates[:, k:]
         m = u[:, 2 * k:] + self.bias
-        n = np.tanh(a[:, 2 * k:] + r * m)
-        return n + z * (h - n), z, r, m, n
-
-    def log_probabilities(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n = r * m
+        n += a[:, 2 * k:]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, m, n
+
+    def softmax(self, h: np.ndarray, y: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numerators after each state, their sums, and the logarithm of the numerator of class ``y``."""
+        p = np.matmul(h, self.out, out=room.array("softmax", len(h), self.out.shape[1], dtype=h.dtype))
+        p += self.prior
+        # states lie in (-1, 1): what no logit can exceed needs no shift
+        if (np.abs(self.out).sum(0) + np.abs(self.prior)).max() > 60:
+            p -= p.max(1, keepdims=True)
+        own = p[np.arange(len(p)), y]
+        np.exp(p, out=p)
+        return p, p @ np.ones(p.shape[1], p.dtype), own
+
+    def log_probabilities(self, h: np.ndarray, y: np.ndarray, room: Room | None = None) -> np.ndarray:
         """Natural log-probability of class ``y`` after each state."""
-        logits = h @ self.out + self.prior
-        logits -= logits.max(1, keepdims=True)
-        own = logits[np.arange(len(y)), y]
-        np.exp(logits, out=logits)
-        return own - np.log(logits.sum(1))
-
-    def gradients(self, x, y, keep, weight, h):
+        room, out = room or Room(), np.empty(len(h), h.dtype)
+        for lo in range(0, len(h), SOFTMAX_ROWS):
+            part = slice(lo, lo + SOFTMAX_ROWS)
+            _, total, own = self.softmax(h[part], y[part], room)
+            out[part] = own - np.log(total)
+        return out
+
+    def gradients(self, x, y, keep, weight, h, room: Room | None = None):
         """Loss, gradients and last state of one window (``steps x lanes`` arrays), by backpropagation inside it."""
         steps, lanes = x.shape
         k = h.shape[1]
-        states, cells = np.empty((steps, lanes, k), np.float32), []
+        room = room or Room()
+        begun, states, z, r, m, n, by_n, by_z, by_r, one = room.array("cells", 10, steps, lanes, k)
         for t in range(steps):
-            h0 = h * keep[t][:, None]
-            h, z, r, m, n = self.step(x[t], h0)
+            np.multiply(h, keep[t][:, None], out=begun[t])
+            h, z[t], r[t], m[t], n[t] = self.step(x[t], begun[t])
             states[t] = h
-            cells.append((h0, z, r, m, n))
         flat = states.reshape(-1, k)
-        logits = flat @ self.out + self.prior
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(1, keepdims=True)
         at, w = np.arange(len(flat)), weight.ravel()
-        loss = -(np.log(p[at, y.ravel()] + 1e-30) * w).sum()
-        p[at, y.ravel()] -= 1
-        p *= (w / max(1.0, w.sum()))[:, None]
+        p, total, own = self.softmax(flat.astype(self.out.dtype, copy=False), y.ravel(), room)
+        loss = -((own - np.log(total)) * w).sum()
+        w = w / max(1.0, w.sum())
+        p *= (w / total)[:, None]
+        p[at, y.ravel()] -= w
         d_out, d_prior = flat.T @ p, p.sum(0)
-        d_states = (p @ self.out.T).reshape(steps, lanes, k)
-        d_inner, d_bias, d_in = np.zeros_like(self.inner), np.zeros_like(self.bias), np.empty((steps, lanes, 3 * k), np.float32)
+        d_states = np.matmul(p, self.out.T, out=room.array("states", len(flat), k, dtype=p.dtype)).reshape(steps, lanes, k)
+        # what a state's gradient is multiplied by, for all steps at once
+        np.subtract(1, z, out=one)
+        np.multiply(n, n, out=by_n)
+        np.subtract(1, by_n, out=by_n)
+        by_n *= one
+        np.subtract(begun, n, out=by_z)
+        by_z *= z
+        by_z *= one
+        np.subtract(1, r, out=by_r)
+        by_r *= r
+        by_r *= m
+        d_in, d_hidden = room.array("inputs", 2, steps, lanes, 3 * k)
         dh = np.zeros((lanes, k), np.float32)
         for t in range(steps - 1, -1, -1):
-            h0, z, r, m, n = cells[t]
-            dh = dh + d_states[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            du = d_in[t]
-            du[:, :k] = dh * (h0 - n) * z * (1 - z)
-            du[:, k:2 * k] = dn * m * r * (1 - r)
-            du[:, 2 * k:] = dn
-            inner = du.copy()
-            inner[:, 2 * k:] *= r
-            d_inner += h0.T @ inner
-            d_bias += inner[:, 2 * k:].sum(0)
-            dh = (dh * z + inner @ self.inner.T) * keep[t][:, None]
-        one_hot = np.zeros((len(flat), len(self.table)), np.float32)
-        one_hot[at, x.ravel()] = 1
-        return loss, [one_hot.T @ d_in.reshape(-1, 3 * k), d_inner, d_bias, d_out, d_prior], h
+            dh += d_states[t]
+            du = d_hidden[t]
+            dn = dh * by_n[t]
+            np.multiply(dh, by_z[t], out=du[:, :k])
+            np.multiply(dn, by_r[t], out=du[:, k:2 * k])
+            np.multiply(dn, r[t], out=du[:, 2 * k:])
+            d_in[t, :, 2 * k:] = dn
+            dh *= z[t]
+            dh += du @ self.inner.T
+            dh *= keep[t][:, None]
+        d_in[..., :2 * k] = d_hidden[..., :2 * k]
+        d_hidden = d_hidden.reshape(-1, 3 * k)
+        d_inner, d_bias = begun.reshape(-1, k).T @ d_hidden, d_hidden[:, 2 * k:].sum(0)
+        order = np.argsort(x, axis=None, kind="stable")
+        used, first = np.unique(x.ravel()[order], return_index=True)
+        d_table = np.zeros(self.table.shape, np.float32)
+        by_input = np.take(d_in.reshape(-1, 3 * k), order, 0, out=room.array("sorted", len(order), 3 * k), mode="clip")
+        d_table[used] = np.add.reduceat(by_input, first, 0)
+        return loss, [d_table, d_inner, d_bias, d_out, d_prior], h
 
 
 @dataclass
 class Adam:
     rate: float
     steps: int = 0
-    first: list = field(default_factory=list)
-    second: list = field(default_factory=list)
+    first: np.ndarray | None = None
+    second: np.ndarray | None = None
 
     def update(self, parts: list[np.ndarray], grads: list[np.ndarray]) -> None:
-        if not self.first:
-            self.first, self.second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
+        g = np.concatenate([x.ravel() for x in grads])
+        if self.first is None:
+            self.first, self.second = np.zeros_like(g), np.zeros_like(g)
         self.steps += 1
-        norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads)))
-        clip = min(1.0, 1.0 / max(norm, 1e-9))
-        rate = self.rate * np.sqrt(1 - 0.999 ** self.steps) / (1 - 0.9 ** self.steps)
-        for p, g, m, v in zip(parts, grads, self.first, self.second):
-            g = g * clip
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.999
-            v += 0.001 * g * g
-            p -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+        g *= min(1.0, 1.0 / max(float(np.sqrt(g @ g)), 1e-9))
+        rate = self.rate * float(np.sqrt(1 - 0.999 ** self.steps)) / (1 - 0.9 ** self.steps)
+        self.first *= 0.9
+        self.first += 0.1 * g
+        self.second *= 0.999
+        g *= g
+        g *= 0.001
+        self.second += g
+        np.sqrt(self.second, out=g)
+        g += 1e-8
+        np.divide(self.first, g, out=g)
+        g *= rate
+        at = 0
+        for p in parts:
+            p -= g[at:at + p.size].reshape(p.shape)
+            at += p.size
 
 
 def lanes_of(lengths: np.ndarray, most: int) -> list[list[int]]:
@@ -333,9 +384,15 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
                       np.log(weight / weight.sum()))
 
 
-def train_network(sample: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> Network:
-    """Rounds of local training averaged over tasks; ``sample`` has binary ``text``."""
-    spark = sample.sparkSession
+def dealt_to_rounds(learned: DataFrame, rounds: int) -> list[DataFrame]:
+    """The rows of each round: every row is in one of them."""
+    own = F.pmod(F.xxhash64("doc_id", F.lit("lm-round")), F.lit(rounds))
+    return [learned.filter(own == i).select("text") for i in range(rounds)]
+
+
+def train_network(learned: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> Network:
+    """Rounds of local training averaged over tasks; ``learned`` has ``doc_id`` and binary ``text``."""
+    spark = learned.sparkSession
     network = Network.fresh(words.log_prior)
     lexicon = spark.sparkContext.broadcast(words)
 
@@ -347,11 +404,11 @@ def train_network(sample: DataFrame, words: Vocabulary, rounds: int = ROUNDS, ra
             def pass_over() -> None:
                 classes, n = (np.concatenate(x) for x in zip(*held))
                 x, y, keep, text = streams(classes, n, lexicon.value.classes, LANES)
-                state = np.zeros((x.shape[1], own.inner.shape[0]), np.float32)
+                state, room = np.zeros((x.shape[1], own.inner.shape[0]), np.float32), Room()
                 for t in range(0, len(x), WINDOW):
                     part = slice(t, t + WINDOW)
                     weight = (text[part] >= 0).astype(np.float32)
-                    _, grads, state = own.gradients(x[part], y[part], keep[part], weight, state)
+                    _, grads, state = own.gradients(x[part], y[part], keep[part], weight, state, room)
                     adam.update(own.parts(), grads)
 
             for batch in batches:
@@ -377,8 +434,8 @@ def train_network(sample: DataFrame, words: Vocabulary, rounds: int = ROUNDS, ra
         mean = sum(w * np.frombuffer(x.as_py(), np.float32) for w, x in zip(n, group.column("weights"))) / n.sum()
         return pa.table({"n": [int(n.sum())], "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
-    for i in range(rounds):
-        trained = sample.select("text").mapInArrow(learn_from(network, rate / (1 + i)), "part int, n long, weights binary")
+    for i, part in enumerate(dealt_to_rounds(learned, rounds)):
+        trained = part.mapInArrow(learn_from(network, rate / (1 + i)), "part int, n long, weights binary")
         # 32 averages of bounded size reach the driver
         found = trained.groupBy("part").applyInArrow(average, "n long, weights binary").collect()
         if found:
@@ -395,13 +452,13 @@ def class_log10(network: Network, classes: np.ndarray, lengths: np.ndarray, begi
     x, y, keep, text = streams(classes, lengths, begin_class, lanes)
     out = np.zeros(len(lengths) + 1)
     h = np.zeros((x.shape[1], network.inner.shape[0]), np.float32)
-    states = np.empty((window, *h.shape), np.float32)
+    states, room = np.empty((window, *h.shape), np.float32), Room()
     for t in range(0, len(x), window):
         n = min(window, len(x) - t)
         for i in range(n):
             h = network.step(x[t + i], h * keep[t + i][:, None])[0]
             states[i] = h
-        own = network.log_probabilities(states[:n].reshape(-1, h.shape[1]), y[t:t + n].ravel())
+        own = network.log_probabilities(states[:n].reshape(-1, h.shape[1]), y[t:t + n].ravel(), room)
         out += np.bincount(text[t:t + n].ravel() + 1, own, len(out))
     return out[1:] / np.log(10)
 
@@ -418,9 +475,7 @@ def score(docs: DataFrame, doc_id: Column, text: Column, train: Column, rounds:
     learned = rows.filter("train")
     counts = stored(count_tokens(learned), "token-counts")
     words = vocabulary(counts)
-    share = min(1.0, max(SAMPLE_SHARE, LEAST_TOKENS / max(1, words.tokens)))
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit("lm-sample")), F.lit(1 << 20)) < int(share * (1 << 20))
-    network = train_network(stored(learned.filter(chosen).select("text"), "lm-sample"), words, rounds)
+    network = train_network(learned, words, rounds)
     shared = spark.sparkContext.broadcast((words, network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

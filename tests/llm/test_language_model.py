@@ -116,6 +116,28 @@ def test_training_lowers_the_loss():
     assert lm.class_log10(network, classes, lengths, 4).sum() > 0.3 * before
 
 
+def test_network_learns_from_every_training_document(spark, monkeypatch):
+    """2.4 million tokens: more than any sample of a fixed size."""
+    docs = spark.range(70).select(F.col("id").alias("doc_id"), F.expr("repeat('one two three four ', 10000)").alias("text"))
+    given = []
+
+    def learn(learned, words, rounds):
+        given.append((learned.count(), words.tokens))
+        return lm.Network.fresh(words.log_prior)
+
+    monkeypatch.setattr(lm, "train_network", learn)
+    lm.score(docs, docs["doc_id"], docs["text"], docs["doc_id"] % 7 != 2)
+    assert given == [(60, 60 * 40_001)]
+
+
+def test_rounds_hold_every_row_once(spark):
+    rows = [(i if i % 9 else None, f"t{i}".encode()) for i in range(300)]
+    learned = spark.createDataFrame(rows, "doc_id long, text binary")
+    for rounds in (1, 2, 3):
+        parts = [[bytes(r["text"]) for r in part.collect()] for part in lm.dealt_to_rounds(learned, rounds)]
+        assert all(parts) and sorted(t for part in parts for t in part) == sorted(t for _, t in rows)
+
+
 def test_odd_rows(odd, none):
     train = odd["doc_id"] % 2 == 1
     rows = lm.score(odd, odd["doc_id"], odd["text"], train, rounds=1).collect()
