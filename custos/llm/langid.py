@@ -4,7 +4,9 @@ A word's script (by code-point ranges) narrows the languages it can belong
 to: those that were seen to use it. Hashed character 1- to 3-grams give each
 word a log-likelihood under each candidate; Viterbi over the words with a
 penalty for every switch labels spans. A text's language is the one whose
-spans hold most letters, and its score their share of all letters.
+spans hold most letters, and its score their share of all letters. Letters of
+a script that no learned language uses count in "all letters", but for no
+language: a text wholly in such a script has score 0.
 
 Most texts are one span. That is proved without running Viterbi: with ``l``
 the best language for the whole text, no other path can win when no stretch
@@ -65,7 +67,7 @@ def letter_words(text: bytes) -> list[bytes]:
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(gram word, gram bucket, letters, script)``: hashed character grams of each word, its letters and main script.
+    """``(gram word, gram bucket, letters, per script)``: hashed character grams of each word, its letters in all and by script.
 
     Words without letters have 0 letters. Characters that are no letters separate grams.
     """
@@ -98,7 +100,7 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         good &= owner < n
         owners.append(owner[good])
         buckets.append((mixed(h[good]) & np.uint64(BUCKETS - 1)).astype(np.int64))
-    return np.concatenate(owners), np.concatenate(buckets), letters, per_script.argmax(1)
+    return np.concatenate(owners), np.concatenate(buckets), letters, per_script
 
 
 @dataclass(frozen=True)
@@ -111,7 +113,12 @@ class LanguageModel:
 
     def word_scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """``(scores, letters)``: each word's score under each language, 0 for the best; 0 for all if it tells nothing."""
-        owner, bucket, letters, script = word_features(words)
+        return self.scored(words)[:2]
+
+    def scored(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`word_scores`, and each word's letters of scripts that some language uses."""
+        owner, bucket, letters, per_script = word_features(words)
+        script, known = per_script.argmax(1), per_script[:, self.uses.any(1)].sum(1)
         n, k = len(words), len(self.languages)
         scores = np.stack([np.bincount(owner, self.logp[bucket, j], n) for j in range(k)], 1) / len(ORDERS)
         allowed = self.uses[script]
@@ -120,7 +127,7 @@ class LanguageModel:
         scores -= scores.max(1, keepdims=True)
         scores = np.maximum(scores, -WORD_RANGE)
         scores[(letters == 0) | ~self.uses[script].any(1)] = 0
-        return scores.astype(np.float32), letters
+        return scores.astype(np.float32), letters, known
 
 
 def learn(docs: DataFrame, text: Column, lang: Column, key: Column, docs_per_lang: int = DOCS_PER_LANG) -> LanguageModel:
@@ -150,7 +157,8 @@ def learn(docs: DataFrame, text: Column, lang: Column, key: Column, docs_per_lan
                 for i, seen in by_lang.items():
                     if seen:
                         times = np.fromiter(seen.values(), np.int64, len(seen))
-                        owner, bucket, letters, script = word_features(list(seen))
+                        owner, bucket, letters, per_script = word_features(list(seen))
+                        script = per_script.argmax(1)
                         grams[i] += np.bincount(bucket, times[owner], BUCKETS).astype(np.int64)
                         scripts[i] += np.bincount(script, letters * times, N_SCRIPTS).astype(np.int64)
         for kind, counts in ((0, grams), (1, scripts)):
@@ -221,7 +229,7 @@ class Labeller(dict):
         self.new: list[bytes] = []
         self.bytes = 0
         self.scores = np.zeros((0, len(self.model.languages)), np.float32)
-        self.letters = np.zeros(0, np.int64)
+        self.letters, self.known = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         slot = self[word] = len(self)
@@ -242,8 +250,9 @@ class Labeller(dict):
             parts.append(np.fromiter(map(get, words), np.int64, len(words)))
             lengths.append(len(words))
         if self.new:
-            scores, letters = self.model.word_scores(self.new)
+            scores, letters, known = self.model.scored(self.new)
             self.scores, self.letters = np.concatenate([self.scores, scores]), np.concatenate([self.letters, letters])
+            self.known = np.concatenate([self.known, known])
             self.new = []
         full = [i for i, n in enumerate(lengths) if n]
         out: list = [(UNKNOWN, 0.0, [])] * len(texts)
@@ -252,8 +261,8 @@ class Labeller(dict):
         slots = np.concatenate([parts[i] for i in full])
         n = np.array([lengths[i] for i in full])
         begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-        scores, letters = self.scores[slots], self.letters[slots]
-        total = np.add.reduceat(letters, begin)
+        scores, known = self.scores[slots], self.known[slots]
+        total, total_known = np.add.reduceat(self.letters[slots], begin), np.add.reduceat(known, begin)
         best = np.add.reduceat(scores.astype(np.float64), begin).argmax(1)
         text = np.repeat(np.arange(len(n)), n)
         base = scores[np.arange(len(slots)), best[text]]
@@ -272,9 +281,10 @@ class Labeller(dict):
                 continue
             path = paths.get(place)
             if path is None:
-                out[i] = (languages[best[place]], 1.0, [(0, int(n[place]) - 1, languages[best[place]])])
+                share = float(total_known[place] / total[place])
+                out[i] = (languages[best[place]], share, [(0, int(n[place]) - 1, languages[best[place]])])
                 continue
-            own = letters[begin[place]:begin[place] + n[place]]
+            own = known[begin[place]:begin[place] + n[place]]
             held = np.bincount(path, own, len(languages))
             top = int(held.argmax())
             turns = np.flatnonzero(np.diff(path)) + 1

@@ -43,6 +43,16 @@ def test_texts_without_letters(model):
     assert labels(model, "Ж")[0][0] == "ru"
 
 
+def test_letters_of_unlearned_scripts_count_for_no_language(model):
+    foreign = "שועל חום מהיר קופץ מעל הכלב העצלן"
+    (_, score, spans), = labels(model, foreign)
+    assert score == 0 and len(spans) == 1
+    (lang, score, _), = labels(model, f"the quick brown fox {foreign} {foreign} {foreign}")
+    assert lang == "en" and 0 < score < 0.25
+    (_, score, _), = labels(model, "dog" + "שועלחוםמהיר")
+    assert score == pytest.approx(3 / 14)
+
+
 def best_path(scores, penalty):
     value, back = scores[0].astype(float), []
     for row in scores[1:]:

@@ -83,6 +83,16 @@ def test_stages_take_odd_rows(spark):
             assert result.count() <= max(3 * len(data), 0)
 
 
+def test_documents_in_unlearned_scripts_go(spark):
+    """Labelled by none, as no labelled text uses their script."""
+    rows = [(i, "the cat sat on the mat", "en") for i in range(5)]
+    rows += [(5, "быстрая коричневая лиса прыгает", None), (6, "the cat быстрая коричневая лиса прыгает", None),
+             (7, "the cat sat on the mat лиса", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language(spark, docs, SF001).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 1, 2, 3, 4, 7]
+
+
 def test_workers_find_the_library(spark, stages):
     import os
     root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
