@@ -8,6 +8,10 @@ spans hold most letters, and its score their share of all letters. Letters of
 a script that no learned language uses count in "all letters", but for no
 language: a text wholly in such a script has score 0.
 
+Scripts written without blanks (Chinese, Japanese, Thai and the like) are cut
+in units of up to four characters, each a word: a run of them can earn more
+than two switches cost, so it can be a span between two others.
+
 Most texts are one span. That is proved without running Viterbi: with ``l``
 the best language for the whole text, no other path can win when no stretch
 of words is better under any other language by more than half the penalty
@@ -25,6 +29,7 @@ without any labelled row every text is ``und``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,12 +63,33 @@ SCRIPT_STARTS = (
 N_SCRIPTS = 21
 _STARTS = np.array([s for s, _ in SCRIPT_STARTS])
 _SCRIPT = np.array([k for _, k in SCRIPT_STARTS])
-# ASCII letters and non-ASCII bytes make words; everything else separates.
+# ASCII letters and non-ASCII bytes make words (cut further below); everything else separates.
 _LETTER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+# UTF-8 of punctuation and blanks beyond ASCII (joiners and the soft hyphen stay in their word).
+_MARKS = re.compile(rb"\xc2[\x80-\xa9\xab\xac\xae-\xb4\xb6-\xb9\xbb-\xbf]|\xe2\x80[\x80-\x8b\x8e-\xbf]|\xe2\x81[\x80-\xaf]"
+                    rb"|\xe3\x80[\x80-\x84\x88-\xbf]|\xef\xbc[\x80-\xa0\xbb-\xbf]|\xef\xbd[\x80\x9b-\xa5]")
+# UTF-8 of up to four characters of one script that is written without blanks: Thai to Tibetan, Myanmar, Khmer, kana, Han.
+_UNITS = re.compile(rb"(?:\xe0[\xb8-\xbf][\x80-\xbf]){1,4}|(?:\xe1(?:[\x80\x81][\x80-\xbf]|\x82[\x80-\x9f])){1,4}"
+                    rb"|(?:\xe1[\x9e\x9f][\x80-\xbf]){1,4}"
+                    rb"|(?:\xe3(?:[\x81-\x83][\x80-\xbf])|\xef(?:\xbd[\xa6-\xbf]|\xbe[\x80-\x9f])){1,4}"
+                    rb"|(?:\xe3(?:\x80[\x85-\x87]|[\x84\x86-\xbf][\x80-\xbf])|[\xe4-\xe9][\x80-\xbf]{2}|\xea[\x80-\x93][\x80-\xbf]"
+                    rb"|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}){1,4}")
+
+
 def letter_words(text: bytes) -> list[bytes]:
-    return text.translate(_LETTER_BYTES).split()
+    """Words of ``text``; runs of a script written without blanks are cut in units of up to four characters."""
+    words = text.translate(_LETTER_BYTES).split()
+    if text.isascii():
+        return words
+    out: list[bytes] = []
+    for word in words:
+        if word.isascii():
+            out.append(word)
+        else:
+            out += _UNITS.sub(rb" \g<0> ", _MARKS.sub(b" ", word)).split(b" ")
+    return [w for w in out if w]
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

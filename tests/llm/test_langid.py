@@ -53,6 +53,20 @@ def test_letters_of_unlearned_scripts_count_for_no_language(model):
     assert score == pytest.approx(3 / 14)
 
 
+def test_runs_without_blanks_can_be_spans(model):
+    run = "敏捷的棕色狐狸，跳过懒狗。孩子们从窗户看着" * 25
+    (lang, score, spans), = labels(model, f"the quick fox {run} over the dog")
+    assert lang == "zh" and score > 0.9 and [s[2] for s in spans] == ["en", "zh", "en"]
+
+
+def test_words_end_at_marks_and_where_a_script_without_blanks_begins():
+    cut = lambda t: [w.decode() for w in langid.letter_words(t.encode())]
+    assert cut("abc中文字符号def") == ["abc", "中文字符", "号", "def"]
+    assert cut("日本語のテスト、です。") == ["日本語", "のテスト", "です"]
+    assert cut("«Größe» – ‘été’ naïve") == ["größe", "été", "naïve"]
+    assert cut("ภาษาไทย") == ["ภาษา", "ไทย"] and cut("собака 𠀀𠀁") == ["собака", "𠀀𠀁"]
+
+
 def best_path(scores, penalty):
     value, back = scores[0].astype(float), []
     for row in scores[1:]:
