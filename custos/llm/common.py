@@ -160,7 +160,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     root = ensure_checkpoint_dir(spark, allow_local=is_local(spark)).rstrip("/")
     path = f"{root}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_in = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of tables that :func:`stored` wrote and nothing will read again."""
+    for frame in frames:
+        path = frame.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(frame._stored_in)
+        path.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def counted_hashes(hashes: DataFrame, column: str = "h", count: str = "n", least: int = 2) -> DataFrame:

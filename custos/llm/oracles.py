@@ -132,9 +132,45 @@ SELECT doc_id, size, source_size, target,
 FROM placed p JOIN cut c ON p.shard = c.shard AND p.source IS NOT DISTINCT FROM c.source
 """
 
+
+def centroid_rounds(k: int = 8, rounds: int = 10, scale: int = 1024, dims: int = 64, seed: int = 3) -> str:
+    """Plain rounds, one set of common table expressions each."""
+    parts = [f"""
+raw AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+v AS MATERIALIZED (
+  SELECT r, vec_id, unnest(range({dims})) AS d,
+         CAST(unnest(list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE)))) AS BIGINT) AS x FROM raw),
+firsts AS (
+  SELECT r, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS c FROM raw
+  QUALIFY c < {k}),
+m0 AS MATERIALIZED (SELECT c, d, x FROM firsts JOIN v USING (r))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, c, far FROM (SELECT v.r, m.c, sum((v.x - m.x) * (v.x - m.x)) AS far FROM v JOIN m{i} m USING (d) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, c) = 1)""")
+        if i < rounds:
+            # a floor division: // cuts towards zero
+            parts.append(f"""
+m{i + 1} AS MATERIALIZED (
+  SELECT m.c, m.d, CASE WHEN s.n IS NULL THEN m.x ELSE (s.total - ((s.total % s.n) + s.n) % s.n) // s.n END AS x
+  FROM m{i} m LEFT JOIN (SELECT c, d, sum(x) AS total, count(*) AS n FROM a{i} JOIN v USING (r) GROUP BY c, d) s USING (c, d))""")
+    return f"""
+WITH {",".join(parts)},
+digests AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM m{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(far AS BIGINT) AS distance,
+       CAST(sum(far) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(far) OVER () AS BIGINT) AS inertia,
+       centroid_sha256
+FROM a{rounds} JOIN raw USING (r) JOIN digests USING (c)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_perspective_chat": CHAT,
     "op6_kd_tree_top_k": TOP_K,
     "op7_winnowing_decontamination": DECONTAMINATION,
     "op9_sainte_lague_mix": MIX,
+    "op11_heap_centroids": centroid_rounds(),
 }

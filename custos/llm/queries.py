@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custos.llm import (chat, decontamination, langid, language_model, mixing, near_duplicates, quality, sharding,
+from custos.llm import (centroids, chat, decontamination, langid, language_model, mixing, near_duplicates, quality, sharding,
                         substrings, topk)
 from custos.llm.common import id_remainder, table
 
@@ -100,6 +100,14 @@ def op10_doubling_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
     return substrings.remove_repeats(docs, docs["doc_id"], docs["text"], with_text=False).drop("kept")
 
 
+def op11_heap_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all 64-component vectors after ten exact rounds."""
+    vectors = table(spark, sf_dir, "embeddings")
+    assigned, centers, _ = centroids.cluster(vectors, vectors["vec_id"], vectors["embedding"])
+    return centroids.with_inertia(assigned, centers).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_spans": op1_language_spans,
     "op2_perspective_chat": op2_perspective_chat,
@@ -111,4 +119,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_gated_recurrent_scores": op8_gated_recurrent_scores,
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
     "op10_doubling_substring_dedup": op10_doubling_substring_dedup,
+    "op11_heap_centroids": op11_heap_centroids,
 }
