@@ -167,10 +167,41 @@ FROM a{rounds} JOIN raw USING (r) JOIN digests USING (c)
 """
 
 
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM words, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k)),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+cut AS (
+  SELECT lang, k, phrase, a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:k], ' ') AS tail
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS c FROM f WHERE k > 1)),
+best AS (
+  SELECT cut.lang, cut.phrase, cut.k, cut.a, c, x.a AS l, y.a AS r, (2000000 * cut.a) // (x.a + y.a) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail
+  QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS s
+        FROM (SELECT lang, a, k, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS m FROM f WHERE k > 2)) GROUP BY ALL)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+       CAST(score AS BIGINT) AS score
+FROM (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, best.a DESC, best.phrase) AS rank
+      FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * best.a)
+JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_perspective_chat": CHAT,
     "op6_kd_tree_top_k": TOP_K,
     "op7_winnowing_decontamination": DECONTAMINATION,
     "op9_sainte_lague_mix": MIX,
     "op11_heap_centroids": centroid_rounds(),
+    "op12_multikey_collocations": COLLOCATIONS,
 }

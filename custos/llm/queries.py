@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custos.llm import (centroids, chat, decontamination, langid, language_model, mixing, near_duplicates, quality, sharding,
-                        substrings, topk)
+from custos.llm import (centroids, chat, decontamination, langid, language_model, mixing, near_duplicates, phrases, quality,
+                        sharding, substrings, topk)
 from custos.llm.common import id_remainder, table
 
 SHARDS = 24
@@ -108,6 +108,12 @@ def op11_heap_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op12_multikey_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best phrases of two to four words in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return phrases.collocations(docs, docs["lang"], docs["text"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_spans": op1_language_spans,
     "op2_perspective_chat": op2_perspective_chat,
@@ -120,4 +126,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sainte_lague_mix": op9_sainte_lague_mix,
     "op10_doubling_substring_dedup": op10_doubling_substring_dedup,
     "op11_heap_centroids": op11_heap_centroids,
+    "op12_multikey_collocations": op12_multikey_collocations,
 }
