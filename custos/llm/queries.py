@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custos.llm import (centroids, chat, decontamination, langid, language_model, mixing, near_duplicates, phrases, quality,
-                        sharding, substrings, topk)
+                        sharding, substrings, suffix_dedup, topk)
 from custos.llm.common import id_remainder, table
 
 SHARDS = 24
@@ -114,6 +114,14 @@ def op12_multikey_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(docs, docs["lang"], docs["text"])
 
 
+def op13_induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole document outside repeated 200-byte strings."""
+    docs = table(spark, sf_dir, "documents")
+    cleaned = suffix_dedup.remove_repeats(docs, docs["doc_id"], docs["text"], with_bytes=False)
+    n_spans = F.expr("size(spans) div 2")
+    return cleaned.select("doc_id", "n_bytes", "n_removed", n_spans.alias("n_spans"), "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_spans": op1_language_spans,
     "op2_perspective_chat": op2_perspective_chat,
@@ -127,4 +135,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_doubling_substring_dedup": op10_doubling_substring_dedup,
     "op11_heap_centroids": op11_heap_centroids,
     "op12_multikey_collocations": op12_multikey_collocations,
+    "op13_induced_suffix_dedup": op13_induced_suffix_dedup,
 }
