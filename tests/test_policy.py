@@ -205,7 +205,43 @@ REFUSED = {
     "join": "SELECT b.patientId, b.date, s.fibrinogen_value FROM blood_tests b JOIN secret_tab s USING (patientId)",
     "union": "SELECT * FROM blood_tests UNION ALL SELECT * FROM secret_tab",
     "unlisted clauses": "SELECT * FROM clauses",
+    "script": "SELECT TRANSFORM(patientId, date) USING 'cat' AS (patientId, date) FROM blood_tests",
+    "time travel": "SELECT * FROM blood_tests VERSION AS OF 1",
 }
+JAVA = "reflect('java.lang.System', 'getenv', 'PATH')"
+REFUSED |= {f"function {kind}": query for kind, query in {
+    "reflect": f"SELECT {JAVA} AS patientId FROM blood_tests",
+    "java_method": "SELECT Java_Method('java.lang.System', 'getenv', 'PATH') AS patientId FROM blood_tests",
+    "try_reflect": "SELECT try_reflect('java.lang.System', 'getenv', 'PATH') AS patientId FROM blood_tests",
+    "qualified": "SELECT system.builtin.reflect('java.lang.System', 'getenv', 'PATH') AS patientId FROM blood_tests",
+    "nested": f"SELECT patientId, date, length(concat('x', {JAVA})) AS fibrinogen_value FROM blood_tests",
+    "in a filter": f"SELECT * FROM blood_tests WHERE {JAVA} IS NOT NULL",
+    "in a subquery": f"SELECT * FROM blood_tests WHERE patientId IN (SELECT {JAVA})",
+    "in a scalar subquery": f"SELECT (SELECT max({JAVA})) AS patientId FROM blood_tests",
+    "in a cte": f"WITH a AS (SELECT {JAVA} AS patientId) SELECT * FROM a",
+    "in a join": f"SELECT a.* FROM blood_tests a JOIN blood_tests b ON a.patientId = {JAVA}",
+    "in a sort": f"SELECT * FROM blood_tests ORDER BY {JAVA}",
+    "in having": f"SELECT patientId FROM blood_tests GROUP BY patientId HAVING max({JAVA}) > ''",
+    "in grouping": f"SELECT count(*) AS fibrinogen_value FROM blood_tests GROUP BY {JAVA}",
+    "in a window": f"SELECT max(patientId) OVER (PARTITION BY {JAVA}) AS patientId FROM blood_tests",
+    "in a named window": f"SELECT max(patientId) OVER w AS patientId FROM blood_tests WINDOW w AS (PARTITION BY {JAVA})",
+    "in a lambda": f"SELECT transform(array(1), x -> {JAVA}) AS patientId FROM blood_tests",
+    "in a lateral view": f"SELECT y AS patientId FROM blood_tests LATERAL VIEW explode(array({JAVA})) e AS y",
+    "in inline values": f"SELECT * FROM VALUES ({JAVA}) AS t(patientId)",
+    "in a table function": f"SELECT * FROM explode(array({JAVA})) AS t(patientId)",
+    "in a pivot": f"SELECT * FROM blood_tests PIVOT (max({JAVA}) FOR patientId IN ('1'))",
+    "in a pipe": f"FROM blood_tests |> WHERE {JAVA} = '1'",
+    "by identifier": "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'getenv', 'PATH') AS patientId FROM blood_tests",
+    "unknown": "SELECT leaked(patientId) AS patientId FROM blood_tests",
+    "metastore": "SELECT default.leaked(patientId) AS patientId FROM blood_tests",
+    "unknown generator": "SELECT y AS patientId FROM blood_tests LATERAL VIEW leaked(patientId) e AS y",
+    "file name": "SELECT input_file_name() AS patientId FROM blood_tests",
+    "avro schema file": "SELECT from_avro(patientId, 'x', map('avroSchemaUrl', '/etc/passwd')) AS patientId FROM blood_tests",
+    "protobuf file": "SELECT from_protobuf(patientId, 'x', '/etc/passwd') AS patientId FROM blood_tests",
+    "user": "SELECT current_user() AS patientId FROM blood_tests",
+    "user without parentheses": "SELECT current_user AS patientId FROM blood_tests",
+    "schema without parentheses in a subquery": "SELECT (SELECT max(session_user)) AS patientId FROM blood_tests",
+}.items()}
 
 
 @pytest.fixture(scope="module")
@@ -226,6 +262,47 @@ def test_only_listed_tables_can_be_read(spark, secrets, kind):
     assert spark.table("secret_tab").count() == 1
 
 
+def test_registered_functions_are_refused_and_nothing_ran(spark, tmp_path):
+    """A function the session knows is not built in; a refused query has not touched anything."""
+    from custos.plans import PolicyViolation
+
+    mark = tmp_path / "ran"
+    spark.udf.register("leaked", lambda x: str(mark.write_text("x")))
+    try:
+        with pytest.raises(PolicyViolation, match="leaked"):
+            run_policy(spark, small_catalog(), envelope("SELECT leaked(patientId) AS patientId FROM blood_tests", ("blood_tests",)))
+        with pytest.raises(PolicyViolation, match="ScriptTransformation"):
+            run_policy(spark, small_catalog(), envelope(
+                f"SELECT TRANSFORM(patientId) USING 'touch {mark}' AS (patientId) FROM blood_tests", ("blood_tests",))).collect()
+    finally:
+        spark.sql("DROP TEMPORARY FUNCTION IF EXISTS leaked")
+    assert not mark.exists()
+
+
+def test_functions_of_a_tables_own_definition_are_its_own(spark):
+    """What the catalog's tables are made of is the operator's business, not the query's."""
+    from custos.sources.catalog import TableSpec
+
+    cat = small_catalog() | {"blood_tests": TableSpec.derived(
+        lambda s: small_catalog()["blood_tests"].build(s).selectExpr("*", "current_user() AS who"))}
+    rows = run_policy(spark, cat, envelope("SELECT patientId, who FROM blood_tests", ("blood_tests",)))
+    assert rows.count() > 0
+
+
+def test_builtin_functions_pass(spark):
+    for query in ("SELECT patientId, date, coalesce(sum(fibrinogen_value) OVER w, 0D) AS fibrinogen_value FROM blood_tests "
+                  "WINDOW w AS (PARTITION BY patientId ORDER BY date)",
+                  "SELECT patientId, max(date) AS date FROM blood_tests GROUP BY patientId HAVING count(*) > 0 ORDER BY 1 LIMIT 5",
+                  "SELECT DISTINCT patientId, element_at(transform(array(date), x -> date_add(x, 1)), 1) AS date FROM blood_tests",
+                  "SELECT sha2(patientId, 256) AS patientId, extract(YEAR FROM date) AS year, "
+                  "CASE WHEN date BETWEEN DATE '2024-01-01' AND current_date() THEN CAST(fibrinogen_value AS INT) END AS v "
+                  "FROM blood_tests WHERE patientId LIKE '%' AND patientId IN ('1', '2')",
+                  "SELECT * FROM (SELECT patientId, date FROM blood_tests) a INTERSECT SELECT patientId, date FROM blood_tests",
+                  "SELECT /*+ REPARTITION(3) */ * FROM blood_tests TABLESAMPLE (100 PERCENT)",
+                  "FROM blood_tests |> WHERE patientId = '1' |> SELECT patientId, date"):
+        assert run_policy(spark, small_catalog(), envelope(query)).count() > 0, query
+
+
 def test_two_queries_are_refused(spark, secrets):
     from pyspark.errors import ParseException
 
