@@ -265,9 +265,13 @@ class Labeller(dict):
 
     def label(self, texts: list[bytes | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """``(language, score, spans)`` of each text; a span is first word, last word, language."""
+        return [found[:3] for found in self.labelled(texts)]
+
+    def labelled(self, texts: list[bytes | None]) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
+        """As :meth:`label`, with the share of letters whose script some learned language uses."""
         languages = self.model.languages
         if not languages:
-            return [(UNKNOWN, 0.0, [])] * len(texts)
+            return [(UNKNOWN, 0.0, [], 0.0)] * len(texts)
         if len(self) > self.limit or self.bytes > 32 << 20:
             self._empty()
         get, parts, lengths = self.__getitem__, [], []
@@ -281,7 +285,7 @@ class Labeller(dict):
             self.known = np.concatenate([self.known, known])
             self.new = []
         full = [i for i, n in enumerate(lengths) if n]
-        out: list = [(UNKNOWN, 0.0, [])] * len(texts)
+        out: list = [(UNKNOWN, 0.0, [], 0.0)] * len(texts)
         if not full:
             return out
         slots = np.concatenate([parts[i] for i in full])
@@ -306,33 +310,38 @@ class Labeller(dict):
             if not total[place]:
                 continue
             path = paths.get(place)
+            share = float(total_known[place] / total[place])
             if path is None:
-                share = float(total_known[place] / total[place])
-                out[i] = (languages[best[place]], share, [(0, int(n[place]) - 1, languages[best[place]])])
+                out[i] = (languages[best[place]], share, [(0, int(n[place]) - 1, languages[best[place]])], share)
                 continue
             own = known[begin[place]:begin[place] + n[place]]
             held = np.bincount(path, own, len(languages))
             top = int(held.argmax())
             turns = np.flatnonzero(np.diff(path)) + 1
             spans = [(int(a), int(b) - 1, languages[path[a]]) for a, b in zip([0, *turns], [*turns, len(path)])]
-            out[i] = (languages[top], float(held[top] / total[place]), spans)
+            out[i] = (languages[top], float(held[top] / total[place]), spans, share)
         return out
 
 
 def identify(text: Column, model: LanguageModel, spark) -> Column:
-    """``struct(lang, score, spans)`` of each whole text; a span is ``(first, last, lang)`` in letter words."""
+    """``struct(lang, score, spans, known)`` of each whole text.
+
+    A span is ``(first, last, lang)`` in letter words; ``known`` is the share
+    of letters whose script some learned language uses, whatever the language.
+    """
     shared = spark.sparkContext.broadcast(model)  # languages x (buckets + scripts) numbers
     span = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])
-    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span)),
+                      ("known", pa.float64())])
 
-    @F.arrow_udf("struct<lang:string,score:double,spans:array<struct<first:int,last:int,lang:string>>>")
+    @F.arrow_udf("struct<lang:string,score:double,spans:array<struct<first:int,last:int,lang:string>>,known:double>")
     def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         labeller = Labeller(shared.value)
         for texts in batches:
             rows: list[dict] = []
             for lo, hi in cuts(texts):
-                rows += [{"lang": lg, "score": score, "spans": [dict(zip(("first", "last", "lang"), s)) for s in spans]}
-                         for lg, score, spans in labeller.label(texts[lo:hi].to_pylist())]
+                rows += [{"lang": lg, "score": score, "spans": [dict(zip(("first", "last", "lang"), s)) for s in spans],
+                          "known": known} for lg, score, spans, known in labeller.labelled(texts[lo:hi].to_pylist())]
             yield pa.array(rows, kind)
 
     return label(text.cast("binary"))

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custos.llm.common import packed, stored
+from custos.llm.common import discard, packed, stored
 
 ROW_OVERHEAD = 8
 # Documents aimed at per block of an old shard.
@@ -167,10 +167,33 @@ def affected_shards(resharded: DataFrame) -> DataFrame:
 
 
 def rewrite_affected(resharded: DataFrame, path: str) -> None:
-    """Write the new files of the affected shards only, one folder per shard, rows in slot order.
-
-    Files of all other shards stay as they are.
+    """Replace the files of the affected shards under ``path`` (one folder ``shard=N`` each), rows in slot order.
+
+    Files of all other shards stay as they are. ``path`` may hold the old
+    layout the plan reads: the new rows are written aside first, so nothing
+    is read from a folder once it is replaced. Only folders of shards with
+    new rows are overwritten; folders of shards that have become empty are
+    removed last. A run that is broken off leaves every document in the old
+    folders or in the rows written aside, and can be repeated from the
+    ``resharded`` it was given as long as that can still be read. Columns
+    named ``shard`` or ``slot`` are replaced by the new ones; a ``slot`` keeps
+    its type, so old and new files can be read together.
     """
-    changed = resharded.join(affected_shards(resharded), "shard", "left_semi")
-    (changed.select("shard", "slot", "doc.*").repartitionByRange("shard", "slot")
-     .sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path))
+    spark = resharded.sparkSession
+    affected = [r["shard"] for r in affected_shards(resharded).collect()]  # at most old + new shards
+    if not affected:
+        return
+    docs = resharded.select("doc.*").schema
+    own = [f.name for f in docs if f.name.lower() not in ("shard", "slot")]
+    # files of one folder keep one schema
+    slot_type = next((f.dataType for f in docs if f.name.lower() == "slot"), "long")
+    changed = resharded.filter(F.col("shard").isin(affected)).select(
+        "shard", F.col("slot").cast(slot_type).alias("slot"), *[F.col("doc").getField(c).alias(c) for c in own])
+    changed = stored(changed, "resharded")
+    (changed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+     .write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path))
+    filled = {r["shard"] for r in changed.select("shard").distinct().collect()}
+    for shard in set(affected) - filled:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/shard={shard}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    discard(changed)

@@ -67,7 +67,7 @@ def test_shards_hold_every_document(stages):
 
 def test_registered(spark, stages):
     names = list(entry.queries())
-    assert "pipeline" in names and [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
+    assert "pipeline" in names and [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)]
     key = lambda r: (r["doc_id"], r["shard"], r["slot"])
     assert sorted(map(key, corpus_pipeline.run(spark, SF001).collect())) == sorted(map(key, stages[5][1]))
 
@@ -93,6 +93,25 @@ def test_documents_in_unlearned_scripts_go(spark):
     assert sorted(r["doc_id"] for r in kept) == [0, 1, 2, 3, 4, 7]
 
 
+def test_clean_documents_in_several_languages_stay(spark):
+    said = {"en": "the quick brown fox jumps over the lazy dog and looks at the cat", "de": "der schnelle braune fuchs springt über den faulen hund",
+            "fr": "le renard brun saute par-dessus le chien paresseux et regarde", "es": "el zorro marrón salta sobre el perro perezoso y mira"}
+    rows = [(100 * i + j, text, lang) for i, (lang, text) in enumerate(said.items()) for j in range(5)]
+    rows += [(900, ". ".join(t * 1 for t in said.values()), None), (901, " ".join(said[x] for x in ("en", "de", "fr")), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF001).collect()) == sorted(r[0] for r in rows)
+
+
+def test_stages_take_clashing_columns_and_long_texts(spark, odd, tmp_path):
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
+        result = stage(spark, docs, SF001)
+        result.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert docs.columns == [*(c for c in odd.columns if c not in ("shard", "slot")), "shard", "slot"]
+    assert {5, 9} & {r["doc_id"] for r in docs.collect()}
+
+
 def test_workers_find_the_library(spark, stages):
     import os
     root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))

@@ -76,3 +76,30 @@ def test_only_affected_shards_are_written(spark, tmp_path):
     sharding.rewrite_affected(resharded, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.groupBy("shard").agg(F.count("*").alias("n")).orderBy("shard").collect() == [(3, 6), (4, 4)]
+
+
+def test_rewriting_in_place_loses_nothing(spark, tmp_path):
+    """All old shards in one folder, read by the plan and replaced where they change; one shard becomes empty."""
+    import os
+
+    path = str(tmp_path / "layout")
+    docs = spark.createDataFrame([(i, "x" * 92, 7) for i in range(40)], "doc_id long, text string, slot int")
+    docs.withColumn("shard", (docs["doc_id"] % 4).cast("int")).write.partitionBy("shard").parquet(path)
+    layout = spark.read.parquet(path)
+    for capacities, affected in (([1000, 1000, 1000, 600, 400], {3, 4}), ([1400, 1300, 1300, 0, 0], {0, 1, 2, 3, 4})):
+        before = {f: os.stat(f"{path}/{f}").st_mtime_ns for f in os.listdir(path) if f.startswith("shard=")}
+        layout = spark.read.parquet(path)
+        resharded = sharding.reshard(layout, layout["doc_id"], layout["text"], layout["shard"], 5, 5, capacities=capacities)
+        want = {(r["doc"]["doc_id"], r["shard"]) for r in resharded.collect()}
+        sharding.rewrite_affected(resharded, path)
+        back = spark.read.parquet(path)
+        rows = back.collect()
+        assert sorted(r["doc_id"] for r in rows) == list(range(40))
+        assert {(r["doc_id"], r["shard"]) for r in rows} == want
+        after = {f: os.stat(f"{path}/{f}").st_mtime_ns for f in os.listdir(path) if f.startswith("shard=")}
+        untouched = {f for f in before if before[f] == after.get(f)}
+        assert untouched == {f for f in before if int(f.split("=")[1]) not in affected}
+        assert set(after) == {f"shard={s}" for _, s in want}
+        for shard in {s for _, s in want} & affected:
+            slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
+            assert slots == list(range(len(slots)))
