@@ -4,8 +4,9 @@ Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet
 and read back as the next stage's documents. All but the last return the
 columns of ``documents``:
 
-1. ``language``: whole texts without letters, or without a language that
-   holds half of them, go (learned from the documents' own labels);
+1. ``language``: whole texts without letters, or with half or more of them in
+   scripts that no learned language uses, go (learned from the documents' own
+   labels); a text in several learned languages stays;
 2. ``near_duplicates``: one document of each class of near copies stays, the
    one with the smallest id;
 3. ``decontamination``: documents that hold ten consecutive words of a
@@ -13,7 +14,14 @@ columns of ``documents``:
 4. ``mix``: every document stays as often as the mix takes its middle word
    (0 to 3 times), so each source comes near its target;
 5. ``shard``: documents move from the 20-shard layout to 24 shards of equal
-   bytes and get their shard and slot.
+   bytes and get their shard and slot (columns of these names are replaced).
+
+Nulls and odd rows, stage by stage: a null or empty text has no letters and
+goes in the first stage; repeated rows are one class of copies, of which one
+row stays; rows with a null id are documents like others (null ids come last
+where a smallest id is chosen); a null source is a source of its own. Texts
+are never cut, however long. Other columns travel along, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +34,7 @@ from pyspark.sql import functions as F
 from custos.llm import decontamination, langid, mixing, near_duplicates, sharding
 from custos.llm.common import let_workers_import, packed, stored, table
 
-LEAST_LANGUAGE_SHARE = 0.5
+LEAST_KNOWN_SHARE = 0.5
 SHARDS = 24
 OLD_SHARDS = 20
 
@@ -34,7 +42,7 @@ OLD_SHARDS = 20
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn(docs, docs["text"], docs["lang"], docs["doc_id"])
     found = docs.select(packed(docs), langid.identify(docs["text"], model, spark).alias("found"))
-    known = (F.col("found.lang") != langid.UNKNOWN) & (F.col("found.score") >= LEAST_LANGUAGE_SHARE)
+    known = (F.col("found.lang") != langid.UNKNOWN) & (F.col("found.known") >= LEAST_KNOWN_SHARE)
     return found.filter(known).select("doc.*")
 
 
@@ -57,7 +65,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = sharding.reshard(docs, docs["doc_id"], docs["text"],
                               sharding.old_shard_by_id(docs["doc_id"], OLD_SHARDS), OLD_SHARDS, SHARDS)
-    return placed.select("doc.*", "shard", "slot")
+    own = [F.col("doc").getField(c).alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return placed.select(*own, "shard", "slot")
 
 
 # No SQL: the stages hash, train and search in ways SQL cannot express; tests compare with brute force.
