@@ -11,7 +11,8 @@ cut to the columns used.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,7 @@ from custos.operators.join import (
 )
 from custos.operators.ordering import distinct_rows, sort_series
 from custos.operators.projection import drop_subject, project_component, rename_to_value
+from custos.plans.parts import policy_parts
 from custos.plans.policy import run_policy
 from custos.sources.catalog import TableSpec, load_table
 
@@ -60,11 +62,15 @@ def _component(compliant: DataFrame, component: str) -> str:
     return resolve_component(compliant.columns, component, sensitive)
 
 
+def _union(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def compliant_joined(spark: SparkSession, catalog: Mapping[str, TableSpec], envelope,
                      profile_columns: Sequence[str] = (SOCIAL_ID, BIRTH_DATE)) -> DataFrame:
     """Compliant blood tests inner-joined with patient profiles."""
-    compliant = run_policy(spark, catalog, envelope)
-    return join_subject(compliant, _profiles(spark, catalog, profile_columns))
+    return _union(join_subject(compliant, _profiles(spark, tables, profile_columns))
+                  for compliant, tables in policy_parts(spark, catalog, envelope))
 
 
 def component_series(spark: SparkSession, catalog: Mapping[str, TableSpec], envelope, social_id,
@@ -98,41 +104,54 @@ def component_average(spark: SparkSession, catalog: Mapping[str, TableSpec], env
 
     Weighted per measurement, both birth-date ends excluded; one row
     ``(value)``, or zero rows when no value falls in the range. ``as_of``
-    (default today) fixes the date the ages refer to. The profile join runs
-    on per-patient partials, partitioned by ``patientId`` already (see
-    :func:`_age_partials`). Where the ids in the age range measure small
-    enough to broadcast, they also filter the blood tests below the partials,
-    so patients out of range are not reduced and shuffled at all.
+    (default today) fixes the date the ages refer to. Where the ids in the
+    age range measure small enough to broadcast, the values are joined with
+    them as they are read and averaged at once: nothing but each task's sum
+    is shuffled. Otherwise the join runs on per-patient partials, partitioned
+    by ``patientId`` already (see :func:`_age_partials`); there Spark filters
+    the blood tests by a Bloom filter of the ids in range
+    (:func:`custos.session.runtime_filter_conf`).
     """
     low, high = birth_date_bounds(as_of or dt.date.today(), start_age, end_age)
-    compliant = run_policy(spark, catalog, envelope)
-    column = _component(compliant, component)
-    in_range = filter_birth_range(_profiles(spark, catalog, (BIRTH_DATE,)), low, high).select(SUBJECT_ID)
-    if 0 < measured_size(in_range)[1] <= broadcast_threshold(in_range):
-        compliant = compliant.join(F.broadcast(in_range), SUBJECT_ID, "left_semi")
-    joined = join_subject(_average_partials(compliant, column), in_range, check_broadcast=False)
-    return suppress_empty(average_from_partials(joined, column))
+    values = []
+    for compliant, tables in policy_parts(spark, catalog, envelope):
+        column = _component(compliant, component)
+        in_range = filter_birth_range(_profiles(spark, tables, (BIRTH_DATE,)), low, high).select(SUBJECT_ID)
+        most = broadcast_threshold(in_range)
+        if most and measured_size(in_range)[1] <= most:
+            shown = compliant.filter(quoted(column).isNotNull()).select(SUBJECT_ID, quoted(column))
+            values.append(shown.join(F.broadcast(in_range), SUBJECT_ID).select(
+                quoted(column).alias(sum_name(VALUE)), F.lit(1).cast("long").alias(count_name(VALUE))))
+        else:
+            joined = join_subject(_average_partials(compliant, column), in_range, check_broadcast=False)
+            values.append(joined.select(quoted(sum_name(column)).alias(sum_name(VALUE)),
+                                        quoted(count_name(column)).alias(count_name(VALUE))))
+    return suppress_empty(average_from_partials(_union(values), VALUE))
 
 
 def series_all_patients(spark: SparkSession, catalog: Mapping[str, TableSpec], envelope,
                         component: str) -> DataFrame:
     """O26 for every patient at once (B1): distinct ``(socialId, date, value)``."""
-    compliant = run_policy(spark, catalog, envelope)
-    column = _component(compliant, component)
-    rows = project_component(compliant, column).filter(quoted(column).isNotNull())
-    joined = join_subject(rows, _profiles(spark, catalog, (SOCIAL_ID,)))
-    return distinct_rows(joined.select(SOCIAL_ID, DATE, quoted(column).alias(VALUE)))
+    found = []
+    for compliant, tables in policy_parts(spark, catalog, envelope):
+        column = _component(compliant, component)
+        rows = project_component(compliant, column).filter(quoted(column).isNotNull())
+        joined = join_subject(rows, _profiles(spark, tables, (SOCIAL_ID,)))
+        found.append(joined.select(SOCIAL_ID, DATE, quoted(column).alias(VALUE)))
+    return distinct_rows(_union(found))
 
 
 def series_all_components(spark: SparkSession, catalog: Mapping[str, TableSpec], envelope) -> DataFrame:
     """O26 for every patient and component (B2): distinct
     ``(socialId, component, date, value)``, component named by its column."""
-    compliant = run_policy(spark, catalog, envelope)
-    columns = value_columns(compliant.columns)
-    joined = join_subject(compliant.select(SUBJECT_ID, DATE, *[quoted(c) for c in columns]),
-                          _profiles(spark, catalog, (SOCIAL_ID,)))
-    long = joined.unpivot([SOCIAL_ID, DATE], columns, COMPONENT, VALUE)
-    return distinct_rows(long.filter(F.col(VALUE).isNotNull()).select(SOCIAL_ID, COMPONENT, DATE, VALUE))
+    found = []
+    for compliant, tables in policy_parts(spark, catalog, envelope):
+        columns = value_columns(compliant.columns)
+        joined = join_subject(compliant.select(SUBJECT_ID, DATE, *[quoted(c) for c in columns]),
+                              _profiles(spark, tables, (SOCIAL_ID,)))
+        long = joined.unpivot([SOCIAL_ID, DATE], columns, COMPONENT, VALUE)
+        found.append(long.filter(F.col(VALUE).isNotNull()).select(SOCIAL_ID, COMPONENT, DATE, VALUE))
+    return distinct_rows(_union(found))
 
 
 def _age_partials(spark: SparkSession, catalog: Mapping[str, TableSpec], partials: DataFrame,
@@ -165,9 +184,10 @@ def average_by_age_ranges(spark: SparkSession, catalog: Mapping[str, TableSpec],
     ranges = [(int(start), int(end)) for start, end in ranges]
     as_of = as_of or dt.date.today()
     places = range_ages(spark, ranges, as_of, age_bounds(as_of, ranges))
-    compliant = run_policy(spark, catalog, envelope)
-    column = _component(compliant, component)
-    by_age = _age_partials(spark, catalog, _average_partials(compliant, column), [column], as_of, ranges)
+    parts = policy_parts(spark, catalog, envelope)
+    column = _component(parts[0][0], component)
+    by_age = _union(_age_partials(spark, tables, _average_partials(compliant, column), [column], as_of, ranges)
+                    for compliant, tables in parts)
     ranged = join_age_ranges(by_age, places)
     return suppress_empty(average_from_partials(ranged, column, (START_AGE, END_AGE)))
 
@@ -184,10 +204,10 @@ def average_by_components_and_ranges(spark: SparkSession, catalog: Mapping[str,
     ranges = [(int(start), int(end)) for start, end in ranges]
     as_of = as_of or dt.date.today()
     places = range_ages(spark, ranges, as_of, age_bounds(as_of, ranges))
-    compliant = run_policy(spark, catalog, envelope)
-    columns = value_columns(compliant.columns)
-    as_of = as_of or dt.date.today()
-    by_age = _age_partials(spark, catalog, subject_partials(compliant, columns), columns, as_of, ranges)
+    parts = policy_parts(spark, catalog, envelope)
+    columns = value_columns(parts[0][0].columns)
+    by_age = _union(_age_partials(spark, tables, subject_partials(compliant, columns), columns, as_of, ranges)
+                    for compliant, tables in parts)
     entries = [F.struct(F.lit(c).alias(COMPONENT), F.col(sum_name(c)).alias("_sum"),
                         F.col(count_name(c)).alias("_n")) for c in columns]
     long = by_age.select(AGE, F.inline(F.array(*entries))).filter(F.col("_n") > 0)

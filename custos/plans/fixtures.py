@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from pyspark.sql import types as T
 
 from custos.constants import BIRTH_DATE, BLOOD_TESTS, DATE, PROFILES, SOCIAL_ID, SUBJECT_ID
 from custos.plans.policy import Envelope
+from custos.session import ensure_checkpoint_dir
 from custos.sources.catalog import TableSpec, stream_parquet
+from custos.sources.layout import write_bucketed, write_by_date, write_point_lookup, write_split
 
 # Which event type stands for which blood-test component column.
 EVENT_COMPONENTS = (
@@ -41,6 +44,10 @@ AGE_RANGES = ((18, 40), (40, 65), (65, 90), (3, 10))
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
               "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 CLAUSES_TABLE = "blood_tests_clauses"
+DATE_RULES = "date_rules"
+# The dates a bounded policy opens, and the day from which a component is measured.
+OPEN_FROM, OPEN_UNTIL = dt.date(2024, 1, 5), dt.date(2024, 1, 12)
+NEW_COMPONENT_FROM = dt.date(2024, 1, 10)
 
 
 # Schemas of the test files, inferred once per process. Spark runs a job to
@@ -108,6 +115,53 @@ def stream_catalog(sf_dir: str) -> dict[str, TableSpec]:
     return tables
 
 
+def layout_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the session's shared checkpoint folder, for a copy in another layout."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/layouts/{name}-{uuid.uuid4().hex}"
+
+
+def lookup_catalog(spark: SparkSession, sf_dir: str) -> dict[str, TableSpec]:
+    """As :func:`catalog`, the blood tests (in no order) copied with a Bloom filter of the patient in every row group."""
+    path = layout_folder(spark, "lookup")
+    tests = blood_tests(spark, sf_dir)
+    write_point_lookup(tests, path, row_group_bytes=256 << 10)
+    return catalog(sf_dir) | {BLOOD_TESTS: TableSpec.parquet(path, schema=tests.schema)}
+
+
+def split_catalog(spark: SparkSession, sf_dir: str, buckets: int = 8, hot_share: float = 0.002) -> dict[str, TableSpec]:
+    """As :func:`catalog`, tables bucketed by patient and the blood tests of frequent patients apart."""
+    folder, tag = layout_folder(spark, "split"), uuid.uuid4().hex
+    write_split(blood_tests(spark, sf_dir), f"tests_{tag}", buckets, hot_share=hot_share, folder=folder)
+    write_bucketed(clauses(spark, sf_dir), f"clauses_{tag}", buckets, path=f"{folder}/clauses")
+    write_bucketed(patient_profiles(spark, sf_dir), f"profiles_{tag}", buckets, path=f"{folder}/profiles")
+    return catalog(sf_dir) | {BLOOD_TESTS: TableSpec.split(f"tests_{tag}"), CLAUSES_TABLE: TableSpec.table(f"clauses_{tag}"),
+                              PROFILES: TableSpec.table(f"profiles_{tag}")}
+
+
+def by_date_catalog(spark: SparkSession, sf_dir: str, new_component: str | None = None) -> dict[str, TableSpec]:
+    """As :func:`catalog`, the blood tests partitioned by date, with a table of the dates a policy opens.
+
+    With ``new_component`` that column exists in the files from
+    :data:`NEW_COMPONENT_FROM` on only: they are written later, beside the others.
+    """
+    path, tests = layout_folder(spark, "by-date"), blood_tests(spark, sf_dir)
+    if new_component is None:
+        write_by_date(tests, path)
+    else:
+        late = F.coalesce(F.col(DATE) >= F.lit(NEW_COMPONENT_FROM), F.lit(False))
+        write_by_date(tests.filter(~late).drop(new_component), path)
+        write_by_date(tests.filter(late), path, mode="append")
+    rules = TableSpec.derived(lambda s: raw(s, sf_dir, "events").selectExpr(
+        f"CAST(ts AS DATE) AS {DATE}").distinct().selectExpr(DATE, f"day({DATE}) % 3 = 0 AS open"))
+    return catalog(sf_dir) | {BLOOD_TESTS: TableSpec.parquet(path, mergeSchema="true"), DATE_RULES: rules}
+
+
+def uncorrected_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles before a correction: every third patient was recorded 9000 days later."""
+    wrong = f"CASE WHEN {SUBJECT_ID} % 3 = 0 THEN date_add({BIRTH_DATE}, 9000) ELSE {BIRTH_DATE} END AS {BIRTH_DATE}"
+    return patient_profiles(spark, sf_dir).selectExpr(SUBJECT_ID, SOCIAL_ID, "nationality", "job", wrong)
+
+
 # The rewritten queries below stand in for the policy service's answers.
 
 def identity_envelope(component_column: str = "fibrinogen_value") -> Envelope:
@@ -142,3 +196,15 @@ def hidden_column_envelope(component_column: str = "fibrinogen_value") -> Envelo
              f"CAST(NULL AS DOUBLE) AS {component_column} "
              "FROM blood_tests b LEFT JOIN clauses ON b.patientId = clauses.patientId")
     return Envelope((BLOOD_TESTS, CLAUSES_TABLE), query)
+
+
+def open_dates_envelope(component_column: str = "fibrinogen_value") -> Envelope:
+    """Only tests of a span of dates."""
+    return Envelope((BLOOD_TESTS,), f"SELECT patientId, date, {component_column} FROM blood_tests "
+                    f"WHERE date >= DATE '{OPEN_FROM.isoformat()}' AND date < DATE '{OPEN_UNTIL.isoformat()}'")
+
+
+def date_rules_envelope(component_column: str = "fibrinogen_value") -> Envelope:
+    """Only tests of the dates another table opens."""
+    return Envelope((BLOOD_TESTS, DATE_RULES), f"SELECT b.patientId, b.date, b.{component_column} FROM blood_tests b "
+                    "JOIN date_rules r ON b.date = r.date WHERE r.open")

@@ -20,13 +20,15 @@ from custos.functions.dates import birth_date_bounds, birth_date_bounds_col
 from custos.operators.filters import drop_all_null, filter_birth_range, filter_equals
 from custos.operators.join import join_subject
 from custos.operators.ordering import distinct_rows, series_order, with_position
-from custos.operators.output import json_array_parts, json_lines
+from custos.operators.output import json_array_elements, json_array_parts, json_lines, write_json_array
 from custos.operators.projection import project_component
 from custos.plans import clinical
 from custos.plans import fixtures as fx
 from custos.plans.policy import policy_session, run_policy
-from custos.sources.catalog import load_table
+from custos.sources.catalog import TableSpec, load_table
+from custos.streaming.patients import averages_now, patients_so_far, run_patients, running_patients
 from custos.streaming.running import latest, run_available, running_partials, stream_folder
+from custos.streaming.series import run_series, running_series, series_so_far
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -204,6 +206,64 @@ def series_json_array(spark, sf):
     return json_array_parts(series_all_patients(spark, sf), series_order(), keys=(SOCIAL_ID,))
 
 
+def series_one_patient_lookup(spark, sf):
+    """O26 over a copy of the blood tests with a Bloom filter of the patient in every row group."""
+    return clinical.component_series(spark, fx.lookup_catalog(spark, sf), _mask(), fx.SOCIAL_ID_EXAMPLE, FIBRINOGEN)
+
+
+def compliant_joined_split(spark, sf):
+    """O25 over bucketed tables whose frequent patients are kept apart."""
+    joined = clinical.compliant_joined(spark, fx.split_catalog(spark, sf), _mask())
+    return joined.select(SUBJECT_ID, DATE, FIB_COL, SOCIAL_ID, BIRTH_DATE)
+
+
+def avg_components_ranges_split(spark, sf):
+    """B4 over bucketed tables whose frequent patients are kept apart."""
+    return _round(clinical.average_by_components_and_ranges(spark, fx.split_catalog(spark, sf), _mask_all(),
+                                                            fx.AGE_RANGES, fx.AS_OF))
+
+
+def policy_open_dates(spark, sf):
+    """A policy that bounds the date, over blood tests partitioned by it."""
+    return run_policy(spark, fx.by_date_catalog(spark, sf), fx.open_dates_envelope(FIB_COL))
+
+
+def policy_date_rules(spark, sf):
+    """A policy whose open dates stand in a table: partitions are pruned by what it holds."""
+    return run_policy(spark, fx.by_date_catalog(spark, sf), fx.date_rules_envelope(FIB_COL))
+
+
+def policy_new_component(spark, sf):
+    """A component measured from some day on: its column exists in later files only."""
+    return run_policy(spark, fx.by_date_catalog(spark, sf, new_component=FIB_COL), fx.identity_envelope(FIB_COL))
+
+
+def series_array_files(spark, sf):
+    """O24 as one array in ordered files: the elements of all series, read back by the manifest."""
+    folder = fx.layout_folder(spark, "array")
+    order = [F.col(SOCIAL_ID).asc_nulls_first(), *series_order()]
+    write_json_array(series_all_patients(spark, sf), order, folder)
+    return json_array_elements(spark, folder)
+
+
+def stream_series_all_patients(spark, sf):
+    """B1 maintained over arriving blood tests, all of which arrive twice."""
+    tables = fx.stream_catalog(sf)
+    tables[BLOOD_TESTS] = TableSpec.derived(
+        lambda s: fx.blood_tests(s, sf, stream=True).unionAll(fx.blood_tests(s, sf, stream=True)))
+    output, checkpoint = stream_folder(spark, "series_all_patients")
+    run_series(running_series(spark, tables, _mask(), FIBRINOGEN), output, checkpoint)
+    return series_so_far(spark, output)
+
+
+def stream_avg_corrected_births(spark, sf):
+    """B4 from a stream that ran while birth dates were wrong, asked for after their correction."""
+    before = fx.stream_catalog(sf) | {PROFILES: TableSpec.derived(lambda s: fx.uncorrected_profiles(s, sf))}
+    folder, checkpoint = stream_folder(spark, "patients")
+    run_patients(running_patients(spark, before, _mask_all()), folder, checkpoint)
+    return _round(averages_now(spark, fx.catalog(sf), patients_so_far(spark, folder), fx.AGE_RANGES, fx.AS_OF))
+
+
 QUERIES: dict[str, Query] = {
     "scan_parquet": scan_parquet,
     "register_clauses_alias": register_clauses_alias,
@@ -235,6 +295,15 @@ QUERIES: dict[str, Query] = {
     "series_json": series_json,
     "series_json_array_one": series_json_array_one,
     "series_json_array": series_json_array,
+    "series_one_patient_lookup": series_one_patient_lookup,
+    "compliant_joined_split": compliant_joined_split,
+    "avg_components_ranges_split": avg_components_ranges_split,
+    "policy_open_dates": policy_open_dates,
+    "policy_date_rules": policy_date_rules,
+    "policy_new_component": policy_new_component,
+    "series_array_files": series_array_files,
+    "stream_series_all_patients": stream_series_all_patients,
+    "stream_avg_corrected_births": stream_avg_corrected_births,
 }
 
 # Oracle SQL for DuckDB. The prefix maps the test tables to the clinical
@@ -353,7 +422,22 @@ ORACLE_BODIES: dict[str, str] = {
         "(row_number() OVER (PARTITION BY socialId ORDER BY date ASC NULLS FIRST, value ASC) - 1) // 1000 AS part "
         "FROM (SELECT DISTINCT socialId, date, fibrinogen_value AS value FROM joined "
         "WHERE fibrinogen_value IS NOT NULL) d) e GROUP BY socialId, part"),
+    "policy_open_dates": ("SELECT patientId, date, fibrinogen_value FROM blood_tests "
+                          "WHERE date >= DATE '2024-01-05' AND date < DATE '2024-01-12'"),
+    "policy_date_rules": ("SELECT patientId, date, fibrinogen_value FROM blood_tests "
+                          "WHERE day(date) % 3 = 0"),
+    "policy_new_component": ("SELECT patientId, date, CASE WHEN date >= DATE '2024-01-10' THEN fibrinogen_value END "
+                             "AS fibrinogen_value FROM blood_tests WHERE date IS NOT NULL"),
+    "series_array_files": (
+        "SELECT '{\"socialId\":\"' || socialId || '\",' || substr(obj, 2) AS json FROM ("
+        f"SELECT socialId, {_SERIES_JSON_OBJECT} AS obj FROM (SELECT DISTINCT socialId, date, "
+        "fibrinogen_value AS value FROM joined WHERE fibrinogen_value IS NOT NULL) d) e"),
 }
+# The same rows by other layouts and by streams.
+ORACLE_BODIES |= {key: ORACLE_BODIES[same] for key, same in {
+    "series_one_patient_lookup": "series_one_patient", "compliant_joined_split": "compliant_joined",
+    "avg_components_ranges_split": "avg_components_ranges", "stream_series_all_patients": "series_all_patients",
+    "stream_avg_corrected_births": "avg_components_ranges"}.items()}
 
 
 def oracle_sql() -> dict[str, str]:

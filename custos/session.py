@@ -48,6 +48,37 @@ def recommended_conf() -> dict[str, str]:
     }
 
 
+#: Largest runtime filter, in bits: 64 MB a task.
+MOST_FILTER_BITS = 1 << 29
+
+
+def runtime_filter_conf(ids: int, profile_bytes: int, least_scan_bytes: int = 10 << 30) -> dict[str, str]:
+    """Settings with which Spark filters blood tests by the ids of an age range while scanning them.
+
+    Beyond the broadcast threshold the averages join per-patient partials
+    with the profiles in range. Spark then builds a Bloom filter of those
+    ids (one more scan of the profiles' two columns) and applies it where
+    blood tests of ``least_scan_bytes`` or more are read, below the policy's
+    joins, so rows out of range are neither joined nor shuffled. ``ids`` is
+    the number of ids expected in a range and ``profile_bytes`` the size of
+    the profiles. The filter has 8 bits an id and :data:`MOST_FILTER_BITS`
+    at most, whatever the data; with more ids than that allows it lets more
+    rows through, and the join decides as before.
+    """
+    items = max(1, min(ids, MOST_FILTER_BITS >> 3))
+    bits = min(MOST_FILTER_BITS, max(1 << 20, 8 * items))
+    prefix = "spark.sql.optimizer.runtime.bloomFilter"
+    return {
+        f"{prefix}.enabled": "true",
+        f"{prefix}.creationSideThreshold": str(profile_bytes),
+        f"{prefix}.applicationSideScanSizeThreshold": str(least_scan_bytes),
+        f"{prefix}.expectedNumItems": str(items),
+        f"{prefix}.maxNumItems": str(max(items, 4_000_000)),
+        f"{prefix}.numBits": str(bits),
+        f"{prefix}.maxNumBits": str(max(bits, 67_108_864)),
+    }
+
+
 def sizing_conf(input_bytes: int, total_cores: int, shuffle_bytes_per_partition: int = 1 << 30) -> dict[str, str]:
     """Shuffle settings for a run reading ``input_bytes`` on ``total_cores`` cores.
 

@@ -7,8 +7,10 @@ action, and Catalyst pushes filters and column pruning into the scan.
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -20,7 +22,11 @@ JDBC = "jdbc"
 TABLE = "table"
 DERIVED = "derived"
 STREAM = "stream"
-KINDS = (PARQUET, JDBC, TABLE, DERIVED, STREAM)
+SPLIT = "split"
+KINDS = (PARQUET, JDBC, TABLE, DERIVED, STREAM, SPLIT)
+# Metastore tables of a split table besides the bucketed one, which has its name.
+HOT_ROWS = "_hot"
+HOT_KEYS = "_hot_keys"
 
 # JDBC options that split one table scan into parallel range scans.
 _JDBC_PARTITION_KEYS = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
@@ -45,6 +51,9 @@ class TableSpec:
       ``stream``   location is a folder of Parquet files read as a stream
                    (new files are picked up as they land); ``options`` go to
                    the stream reader (``pathGlobFilter``, ``maxFilesPerTrigger``)
+      ``split``    location is a table written by
+                   :func:`custos.sources.layout.write_split`: bucketed, its hot
+                   keys in a table of their own; read as one table
     """
 
     kind: str
@@ -82,6 +91,10 @@ class TableSpec:
     def table(cls, name: str) -> TableSpec:
         return cls(TABLE, name)
 
+    @classmethod
+    def split(cls, name: str) -> TableSpec:
+        return cls(SPLIT, name)
+
     @classmethod
     def derived(cls, build: Callable[[SparkSession], DataFrame]) -> TableSpec:
         return cls(DERIVED, build=build)
@@ -112,6 +125,36 @@ def jdbc_options(spec: TableSpec) -> dict[str, str]:
             **{k: str(v) for k, v in spec.options.items()}}
 
 
+def bounds_query(spec: TableSpec, column: str) -> str:
+    """The database query for the least and largest value of ``column`` (a plain name) in a JDBC table."""
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", column):
+        raise ValueError(f"not a plain column name: {column!r}")
+    return f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {spec.location}) custos_bounds"
+
+
+def with_bounds(spec: TableSpec, column: str, low, high, partitions: int) -> TableSpec:
+    """``spec`` read by ``partitions`` range queries on ``column`` between the bounds found.
+
+    Without rows (null bounds) the table stays one query. Bounds only deal
+    rows to the queries: values beyond them, and nulls, are read too.
+    """
+    if partitions < 1:
+        raise ValueError("partitions must be positive")
+    if low is None or high is None:
+        return spec
+    upper = high + 1 if isinstance(high, int) else high + dt.timedelta(days=1) if type(high) is dt.date else high
+    bounds = {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(upper), "numPartitions": str(partitions)}
+    return replace(spec, options={**spec.options, **bounds})
+
+
+def find_bounds(spark: SparkSession, spec: TableSpec, column: str, partitions: int) -> TableSpec:
+    """:func:`with_bounds` with the bounds the database holds now: one query that returns one row."""
+    query = TableSpec(JDBC, bounds_query(spec, column),
+                      {k: v for k, v in spec.options.items() if k not in _JDBC_PARTITION_KEYS})
+    row = spark.read.format("jdbc").options(**jdbc_options(query)).load().first()
+    return with_bounds(spec, column, row[0], row[1], partitions)
+
+
 def load_table(spark: SparkSession, catalog: Mapping[str, TableSpec], name: str) -> DataFrame:
     """Read one logical table (O1–O3); raise on an unknown name."""
     try:
@@ -127,6 +170,8 @@ def load_table(spark: SparkSession, catalog: Mapping[str, TableSpec], name: str)
         return spark.read.format("jdbc").options(**jdbc_options(spec)).load()
     if spec.kind == TABLE:
         return spark.table(spec.location)
+    if spec.kind == SPLIT:
+        return spark.table(spec.location).unionByName(spark.table(spec.location + HOT_ROWS))
     if spec.kind == STREAM:
         return stream_parquet(spark, spec.location, spec.options, spec.schema)
     return spec.build(spark)
