@@ -1,0 +1,84 @@
+"""One JSON array of any size as ordered files with a manifest."""
+
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from custos.operators.output import json_array_elements, json_array_manifest, write_json_array
+from custos.operators.output import _task_order
+
+
+def whole(folder, manifest):
+    return "".join(open(os.path.join(folder, f["path"])).read() for f in manifest["files"])
+
+
+def test_files_by_manifest_are_the_array(spark, tmp_path):
+    folder = str(tmp_path)
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("v"), F.when(F.col("id") % 3 == 0, F.lit('q"]\n,[')).alias("t"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = write_json_array(df, [F.col("v")], folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    array = json.loads(whole(folder, manifest))
+    assert [x["v"] for x in array] == list(range(5000)) and manifest["elements"] == 5000
+    assert len(manifest["files"]) > 1 and all(os.path.getsize(os.path.join(folder, f["path"])) == f["bytes"] for f in manifest["files"])
+    assert json_array_manifest(spark, folder) == manifest
+    back = sorted(json.loads(r.json)["v"] for r in json_array_elements(spark, folder).collect())
+    assert back == list(range(5000))
+
+
+@pytest.mark.parametrize("rows", [0, 1, 2])
+def test_small_arrays(spark, tmp_path, rows):
+    folder = str(tmp_path)
+    manifest = write_json_array(spark.range(rows).select(F.col("id").alias("v"), F.array("id").alias("w")), [F.col("v")], folder)
+    assert json.loads(whole(folder, manifest)) == [{"v": i, "w": [i]} for i in range(rows)]
+    assert sorted(r.json for r in json_array_elements(spark, folder).collect()) == [f'{{"v":{i},"w":[{i}]}}' for i in range(rows)]
+
+
+def test_a_run_that_breaks_off_is_never_seen(spark, tmp_path, monkeypatch):
+    from custos.operators import output
+
+    folder = str(tmp_path)
+    with pytest.raises(ValueError):
+        json_array_manifest(spark, folder)
+    first = write_json_array(spark.range(3).toDF("v"), [F.col("v")], folder)
+
+    def broken(*_):
+        raise OSError("the run ends here")
+
+    monkeypatch.setattr(output, "publish_text", broken)
+    with pytest.raises(OSError):
+        write_json_array(spark.range(9).toDF("v"), [F.col("v")], folder)
+    monkeypatch.undo()
+    assert len([d for d in os.listdir(folder) if d.startswith("run-")]) == 2
+    assert json_array_manifest(spark, folder) == first and json_array_elements(spark, folder).count() == 3
+    # a broken publication leaves a file no reader looks at
+    (tmp_path / "manifest-000000000007.json.abc.tmp").write_text("{")
+    assert json_array_manifest(spark, folder) == first
+    second = write_json_array(spark.range(2).toDF("v"), [F.col("v")], folder)
+    assert json_array_manifest(spark, folder) == second and second["elements"] == 2
+
+
+def test_files_are_ordered_by_number():
+    names = ["part-100000-a-c000.txt", "part-99999-a-c000.txt", "part-00002-a-c001.txt", "part-00002-a-c000.txt"]
+    assert sorted(names, key=_task_order) == names[::-1]
+
+
+def test_the_one_patient_array_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from custos.plans import registry
+    from custos.operators.ordering import series_order
+    from conftest import SF01
+
+    folder = str(tmp_path)
+    manifest = write_json_array(registry.series_one_patient(spark, SF01), series_order(), folder)
+    con = duckdb.connect()
+    for name in ("events", "customer", "nation"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF01}/{name}.parquet'")
+    parts = con.execute(registry.oracle_sql()["series_json_array_one"]).fetchall()
+    assert [p[0] for p in parts] == [0]
+    assert whole(folder, manifest).replace("\n", "") == parts[0][1]
