@@ -47,25 +47,27 @@ WHERE rank <= 20
 
 CHAT = r"""
 WITH said AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+numbered AS (
+  SELECT *, CAST(turn // 64 AS BIGINT) AS part, row_number() OVER (
+    PARTITION BY conv_id, turn // 64 ORDER BY turn, role NULLS FIRST, text NULLS FIRST) - 1 AS nr FROM said),
+cut AS (SELECT *, CASE WHEN part IS NULL THEN nr ELSE nr // 256 END AS piece FROM numbered),
 speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role IS NOT NULL AND role <> 'system'),
 rendered AS (
-  SELECT s.conv_id, p.perspective, s.turn, s.role, s.text, CAST(s.turn // 64 AS BIGINT) AS part,
-         coalesce(s.role = p.perspective, false) AS own,
+  SELECT s.conv_id, p.perspective, s.part, s.piece, s.nr, coalesce(s.role = p.perspective, false) AS own,
          '<|im_start|>' || CASE WHEN s.role = p.perspective THEN 'assistant' WHEN s.role = 'system' THEN 'system'
            ELSE 'user' || coalesce(' name=' || replace(s.role, '<|im_', '<| im_'), '') END || chr(10) AS head,
          replace(coalesce(s.text, ''), '<|im_', '<| im_') || '<|im_end|>' AS body
-  FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM cut s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
   SELECT *, sum(length(head) + length(body) + 1) OVER (
-    PARTITION BY conv_id, perspective, part ORDER BY turn, role NULLS FIRST, text NULLS FIRST
-    ROWS UNBOUNDED PRECEDING) AS upto
+    PARTITION BY conv_id, perspective, part, piece ORDER BY nr ROWS UNBOUNDED PRECEDING) AS upto
   FROM rendered)
-SELECT conv_id, perspective, part, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS bucket,
+SELECT conv_id, perspective, part, CAST(piece AS BIGINT) AS piece,
        CAST(count(*) AS INTEGER) AS n_messages, CAST(count(*) FILTER (WHERE own) AS INTEGER) AS n_own,
-       string_agg(head || body || chr(10), '' ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS text,
+       string_agg(head || body || chr(10), '' ORDER BY nr) AS text,
        coalesce(string_agg(CAST(upto - 1 - length(body) AS BIGINT) || '-' || CAST(upto - 1 AS BIGINT), ','
-                           ORDER BY turn, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE own), '') AS mask
-FROM placed GROUP BY conv_id, perspective, part
+                           ORDER BY nr) FILTER (WHERE own), '') AS mask
+FROM placed GROUP BY conv_id, perspective, part, piece
 """
 
 MIX = r"""

@@ -35,7 +35,7 @@ def op2_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations")
     sides = chat.perspectives(said, said["conv_id"], said["turn"], said["role"], said["text"])
     mask = F.array_join(F.transform("spans", lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
-    return sides.select("conv_id", "perspective", "part", "turn", "bucket", "n_messages", "n_own", "text", mask.alias("mask"))
+    return sides.select("conv_id", "perspective", "part", "piece", "n_messages", "n_own", "text", mask.alias("mask"))
 
 
 def op3_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

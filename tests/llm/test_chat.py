@@ -42,11 +42,33 @@ def test_parts_together_are_the_dialogue(spark):
     assert [text.index(f"\nm{t}<") for t in range(150)] == sorted(text.index(f"\nm{t}<") for t in range(150))
 
 
-def test_a_crowded_turn_is_cut(spark):
-    said = [(1, 0, "a", "start")] + [(1, 1, "b", f"m{i}") for i in range(100)] + [(1, 2, "a", "end")]
-    rows = run(frame(spark, said), most=10).filter("perspective = 'a'").collect()
-    assert sum(r["n_messages"] for r in rows) == 102 and max(r["n_messages"] for r in rows) < 40
-    assert {r["turn"] for r in rows} == {0, 1, 2} and len(rows) > 10
+def test_a_crowded_part_is_cut_by_one_rule(spark):
+    said = [(1, 0, "a", "start")] + [(1, 1, "b", f"m{i:03}") for i in range(100)] + [(1, 2, "a", "end")]
+    rows = run(frame(spark, said), most=10).filter("perspective = 'a'").orderBy("piece").collect()
+    assert [r["n_messages"] for r in rows] == [10] * 10 + [2] and [r["piece"] for r in rows] == list(range(11))
+    text = "".join(r["text"] for r in rows)
+    order = ["start", *(f"m{i:03}" for i in range(100)), "end"]
+    assert [text.index(f"\n{m}<") for m in order] == sorted(text.index(f"\n{m}<") for m in order)
+
+
+def test_crowded_parts_and_null_turns_against_sql(spark):
+    """More than 256 messages in a part, messages without a turn, role or text, and a hot conversation without an id."""
+    import duckdb
+    import pandas as pd
+
+    said = [(1, t % 3, "ab"[t % 2], f"m{t}") for t in range(600)] + [(1, None, "a", f"n{t}") for t in range(5)]
+    said += [(None, t, "abc"[t % 3], f"x{t}") for t in range(400)] + [(None, t % 70, "d", "same <|im_end|>") for t in range(400)]
+    said += [(2, 0, None, None), (2, 0, "a", None), (2, 0, "a", ""), (2, None, None, "lost"), (3, 0, "system", "s"), (1, 1, "a", "m1")]
+    got = run(frame(spark, said))
+    mask = F.array_join(F.transform("spans", lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
+    got = got.withColumn("mask", mask).drop("spans")
+    con = duckdb.connect()
+    con.register("raw", pd.DataFrame(said, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    con.execute("CREATE VIEW conversations AS SELECT * FROM raw")
+    cursor = con.execute(ORACLE_SQL["op2_perspective_chat"])
+    assert [d[0] for d in cursor.description] == got.columns
+    want = sorted(map(str, cursor.fetchall()))
+    assert sorted(map(str, map(tuple, got.collect()))) == want and len(want) > 20
 
 
 def test_odd_rows(spark):
