@@ -199,11 +199,76 @@ FROM (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DE
 JOIN totals USING (lang) WHERE rank <= 2000
 """
 
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE
+rows AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+texts AS (
+  SELECT row_number() OVER () AS t, copies, least_id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, text
+  FROM (SELECT text, count(*) AS copies, min(doc_id) AS least_id FROM rows WHERE text IS NOT NULL GROUP BY text)),
+grams AS MATERIALIZED (
+  SELECT DISTINCT t, array_to_string(w[p:p + 4], ' ') AS g
+  FROM (SELECT t, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS p FROM texts WHERE len(w) > 0)),
+sizes AS (SELECT t, count(*) AS n FROM grams GROUP BY t),
+common AS (SELECT a.t AS a, b.t AS b, count(*) AS shared FROM grams a JOIN grams b ON a.g = b.g AND a.t < b.t GROUP BY ALL),
+pairs AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes x ON x.t = a JOIN sizes y ON y.t = b WHERE 10 * shared >= 8 * (x.n + y.n - shared)),
+edges AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT a AS t, a AS u FROM edges UNION SELECT reach.t, edges.b FROM reach JOIN edges ON edges.a = reach.u),
+classes AS (SELECT reach.t, min(least_id) AS class_id FROM reach JOIN texts ON texts.t = reach.u GROUP BY reach.t),
+links AS (SELECT a AS t, sum(copies) AS n FROM edges JOIN texts ON texts.t = b GROUP BY a)
+SELECT rows.doc_id, CASE WHEN rows.text IS NULL THEN rows.doc_id ELSE coalesce(classes.class_id, least_id) END AS class_id,
+       CAST(CASE WHEN rows.text IS NULL THEN 0 ELSE copies - 1 + coalesce(links.n, 0) END AS BIGINT) AS n_links
+FROM rows LEFT JOIN texts USING (text) LEFT JOIN classes USING (t) LEFT JOIN links USING (t)
+"""
+
+REPEATED_WORDS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS MATERIALIZED (
+  SELECT r, p, md5(array_to_string(w[p:p + 34], ' ')) AS h
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+gone AS (
+  SELECT DISTINCT r, unnest(range(p, p + 35)) AS place
+  FROM windows JOIN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1) USING (h)),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS place, unnest(w) AS word FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS t FROM words ANTI JOIN gone USING (r, place) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+# Bytes as pairs of hexadecimal digits.
+REPEATED_BYTES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS MATERIALIZED (
+  SELECT r, p, md5(substr(x, 2 * p + 1, 400)) AS h
+  FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS p FROM d WHERE len(x) >= 400)),
+starts AS (SELECT r, p FROM windows JOIN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1) USING (h)),
+numbered AS (
+  SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS run
+  FROM (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 200 THEN 0 ELSE 1 END AS fresh FROM starts)),
+runs AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY r, run),
+pieces AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS begin, a AS stop FROM runs
+  UNION ALL SELECT r, max(b), NULL FROM runs GROUP BY r),
+kept AS (
+  SELECT r, string_agg(substr(x, 2 * begin + 1, CASE WHEN stop IS NULL THEN len(x) ELSE 2 * (stop - begin) END), '' ORDER BY begin) AS y
+  FROM pieces JOIN d USING (r) GROUP BY r),
+totals AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN totals USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_perspective_chat": CHAT,
+    "op5_minhash_jaccard_join": NEAR_DUPLICATES,
     "op6_kd_tree_top_k": TOP_K,
     "op7_winnowing_decontamination": DECONTAMINATION,
     "op9_sainte_lague_mix": MIX,
+    "op10_doubling_substring_dedup": REPEATED_WORDS,
     "op11_heap_centroids": centroid_rounds(),
     "op12_multikey_collocations": COLLOCATIONS,
+    "op13_induced_suffix_dedup": REPEATED_BYTES,
 }
