@@ -7,11 +7,14 @@ equal in their first words are the occurrences of that phrase, so the size of
 an equal partition is its count, and a partition of fewer than the least
 count is abandoned with everything in it.
 
-A first pass counts words by language: phrases hold frequent words only, so a
-suffix ends at the first infrequent one. Tasks know the frequent words where
-their measured size allows that (``known_bytes``); beyond it suffixes are not
-cut, which moves more rows and gives the same result. Equal suffixes of a
-task are one row with a count before anything is shuffled. A leading word
+Infrequent partitions are abandoned for the whole corpus level by level: a
+first pass counts words by language, a second sorts suffixes of two frequent
+words, a third those of three and four whose neighbours are all frequent
+pairs. A suffix ends at the first infrequent word or pair. Tasks know the
+frequent words and pairs where their measured size allows that
+(``known_bytes``); beyond it suffixes are not cut there, which moves more
+rows and gives the same result. Equal suffixes of a task are one row with a
+count before anything is shuffled. A leading word
 with more than ``group_rows`` rows is routed by its first two words instead,
 then by three, its rows collapsed to distinct suffixes first; past that every
 suffix is a phrase of its own, so no task holds more than the bound.
@@ -36,16 +39,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custos.llm.common import cuts, stored
+from custos.llm.common import cuts, mixed, stored
 
 DEPTH = 4
 LEAST = 30
 TOP = 2000
 UNKNOWN = "und"
-#: Frequent words up to this size (their bytes and 16 a word) are sent to all tasks.
+#: Frequent words up to this size (their bytes and 16 a word), and pairs (16 each), are sent to all tasks.
 KNOWN_BYTES = 32 << 20
 #: Most suffix rows of one leading word, and rows aimed at per group of routes.
-GROUP_ROWS = 1 << 20
+GROUP_ROWS = 1 << 18
 # Suffixes a task holds before it collapses equal ones.
 _FLUSH = 1 << 21
 # Words counted before a task hands its counts on.
@@ -101,15 +104,28 @@ def letter(lang: str, word: bytes) -> int:
     return h if h not in (0, -1) else 1
 
 
-def suffix_rows(rows: DataFrame, known: DataFrame | None) -> DataFrame:
-    """``(w1, w2, w3, w4, n)``: suffixes of two words or more, collapsed by task; 0 stands for no word."""
-    shared = None
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of letters."""
+    return mixed(mixed(first.view(np.uint64)) + second.view(np.uint64))
+
+
+def suffix_rows(rows: DataFrame, known: DataFrame | None, longest: int = DEPTH, pairs: DataFrame | None = None) -> DataFrame:
+    """``(w1, w2, w3, w4, n)``: suffixes of ``longest`` words at most, collapsed by task; 0 stands for no word.
+
+    Without ``pairs`` suffixes of two words or more; with them suffixes of
+    three or more, cut where two neighbours are none of ``pairs``. The sizes
+    of ``known`` and ``pairs`` are checked by the caller.
+    """
+    context = rows.sparkSession.sparkContext
+    shared = shared_pairs = None
     if known is not None:
-        # its size is checked by the caller
         words: dict[str, dict[bytes, int]] = {}
         for r in known.collect():
             words.setdefault(r["lang"], {})[bytes(r["word"])] = r["id"]
-        shared = rows.sparkSession.sparkContext.broadcast(words)
+        shared = context.broadcast(words)
+    if pairs is not None:
+        two = np.array([(r["w1"], r["w2"]) for r in pairs.select("w1", "w2").collect()], np.int64).reshape(-1, 2)
+        shared_pairs = context.broadcast(np.sort(pair_keys(two[:, 0].copy(), two[:, 1].copy())))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, hashes = [], 0, {}
@@ -117,18 +133,6 @@ def suffix_rows(rows: DataFrame, known: DataFrame | None) -> DataFrame:
         def number(lang: str, word: bytes) -> int:
             return -1 if word == b"." else letter(lang, word)
 
-        def collapse() -> pa.RecordBatch:
-            nonlocal held, size
-            w = np.concatenate(held, 1)
-            order = np.lexsort(w[::-1])
-            w = w[:, order]
-            new = np.ones(w.shape[1], bool)
-            new[1:] = (w[:, 1:] != w[:, :-1]).any(0)
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, w.shape[1]))
-            held, size = [], 0
-            return pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in w), pa.array(n)], names=["w1", "w2", "w3", "w4", "n"])
-
         for batch in batches:
             for langs, texts in _texts(batch):
                 codes = []
@@ -145,22 +149,63 @@ def suffix_rows(rows: DataFrame, known: DataFrame | None) -> DataFrame:
                         for w in set(words).difference(own):
                             own[w] = number(lang, w)
                         codes.append(np.fromiter(map(own.__getitem__, words), np.int64, len(words)))
-                held.append(suffixes(np.concatenate(codes)))
+                held.append(suffixes(np.concatenate(codes), longest, None if shared_pairs is None else shared_pairs.value))
                 size += held[-1].shape[1]
                 if size >= _FLUSH:
-                    yield collapse()
+                    yield collapsed(np.concatenate(held, 1))
+                    held, size = [], 0
         if size:
-            yield collapse()
+            yield collapsed(np.concatenate(held, 1))
 
     return rows.mapInArrow(emit, "w1 long, w2 long, w3 long, w4 long, n long")
 
 
-def suffixes(codes: np.ndarray) -> np.ndarray:
-    """``(4, suffixes)``: the words from each place on, up to the first -1 (an end or an infrequent word)."""
+def collapsed(w: np.ndarray) -> pa.RecordBatch:
+    """Equal suffixes (columns of ``w``) once, with their count."""
+    # small letters are compared two at a time
+    small = w.max() < 1 << 31 and w.min() >= 0
+    keys = [(w[i] << 32) | w[i + 1] for i in range(0, DEPTH, 2)] if small else list(w)
+    if small and not keys[1].any():
+        keys = keys[:1]
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        key = key[order]
+        new[1:] |= key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(order)))
+    first = order[at]
+    return pa.RecordBatch.from_arrays([*(pa.array(c[first]) for c in w), pa.array(n)], names=[*_W, "n"])
+
+
+def suffixes(codes: np.ndarray, longest: int = DEPTH, pairs: np.ndarray | None = None) -> np.ndarray:
+    """``(4, suffixes)``: the words from each place on, up to the first -1 (an end or an infrequent word).
+
+    With ``pairs`` (sorted keys) a suffix also ends between two words that are none of them.
+    """
+    n = len(codes)
     padded = np.append(codes, np.full(DEPTH, -1))
-    w = np.stack([padded[i:i + len(codes)] for i in range(DEPTH)])
-    open_ = np.logical_and.accumulate(w != -1, 0)
-    return np.where(open_, w, 0)[:, open_[1]]
+    held = padded != -1
+    # joined[i]: the words at i and i + 1 may stand in one phrase
+    joined = held[:-1] & held[1:]
+    if pairs is not None:
+        at = np.flatnonzero(joined)
+        keys = pair_keys(padded[at], padded[at + 1])
+        found = np.searchsorted(pairs, keys)
+        joined[at] = pairs[np.minimum(found, len(pairs) - 1)] == keys if len(pairs) else False
+    least = 2 if pairs is None else 3
+    start = joined[:n].copy()
+    for i in range(1, least - 1):
+        start &= joined[i:n + i]
+    start = np.flatnonzero(start)
+    out = np.zeros((DEPTH, len(start)), np.int64)
+    open_ = np.ones(len(start), bool)
+    for i in range(longest):
+        if i:
+            open_ &= joined[start + i - 1]
+        out[i] = np.where(open_, padded[start + i], 0)
+    return out
 
 
 def equal_partitions(letters: np.ndarray, counts: np.ndarray, least: int, begin: int) -> Iterator[tuple[int, int, int]]:
@@ -204,9 +249,9 @@ def equal_partitions(letters: np.ndarray, counts: np.ndarray, least: int, begin:
 _W = [f"w{i + 1}" for i in range(DEPTH)]
 
 
-def _sorted_counts(rows: DataFrame, routed_by: int, groups: int, least: int) -> DataFrame:
-    """``(w1..w4, a)`` of the frequent phrases of two words or more, each group of routes sorted in one task."""
-    begin = max(2, routed_by)
+def _sorted_counts(rows: DataFrame, begin: int, routed_by: int, groups: int, least: int) -> DataFrame:
+    """``(w1..w4, a)`` of the frequent phrases of ``begin`` words or more, each group of routes sorted in one task."""
+    begin = max(begin, routed_by)
 
     def sort(table: pa.Table) -> pa.Table:
         letters = np.stack([table.column(c).to_numpy() for c in _W], 1)
@@ -221,8 +266,8 @@ def _sorted_counts(rows: DataFrame, routed_by: int, groups: int, least: int) ->
         sort, "w1 long, w2 long, w3 long, w4 long, a long")
 
 
-def phrase_counts(suffixes: DataFrame, least: int = LEAST, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``(w1..w4, a)``: counts of all phrases of two to four words that occur ``least`` times or more."""
+def phrase_counts(suffixes: DataFrame, begin: int = 2, least: int = LEAST, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``(w1..w4, a)``: counts of all phrases of ``begin`` to four words that occur ``least`` times or more."""
     spark = suffixes.sparkSession
     rows, found = stored(suffixes, "suffixes"), []
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -234,11 +279,11 @@ def phrase_counts(suffixes: DataFrame, least: int = LEAST, group_rows: int = GRO
         # at most rows / group_rows of them
         hot = stored(sizes.filter(F.col("m") > group_rows), "hot-leads")
         if hot.isEmpty():
-            found.append(_sorted_counts(rows, depth, groups, least))
+            found.append(_sorted_counts(rows, begin, depth, groups, least))
             rows = None
             break
-        found.append(_sorted_counts(rows.join(hot.select(*lead), lead, "left_anti"), depth, groups, least))
-        if depth > 1:
+        found.append(_sorted_counts(rows.join(hot.select(*lead), lead, "left_anti"), begin, depth, groups, least))
+        if depth >= begin:
             ends = [none.alias(c) for c in _W[depth:]]
             found.append(hot.filter((F.col("a") >= least) & (F.col(lead[-1]) != 0)).select(*lead, *ends, "a"))
         rows = rows.join(hot.select(*lead), lead, "left_semi").groupBy(*_W).agg(F.sum("n").alias("n"))
@@ -291,20 +336,25 @@ def collocations(docs: DataFrame, lang: Column, text: Column, least: int = LEAST
     rows = docs.select(F.coalesce(lang.cast("string"), F.lit(UNKNOWN)).alias("lang"),
                        F.coalesce(text.cast("string"), F.lit("")).cast("binary").alias("text"))
     counts = word_counts(rows).filter((F.col("n") >= least) | F.col("word").isNull())
-    counts = stored(counts.withColumn("id", F.monotonically_increasing_id() + 1), "frequent-words")
+    counts = stored(counts, "frequent-words")
     words = counts.filter("word is not null")
     size = words.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
-    if size > known_bytes:
+    known = size <= known_bytes
+    if known:
+        # few enough for one task, so they are numbered from 1
+        words = stored(words.coalesce(1).withColumn("id", F.monotonically_increasing_id() + 1), "numbered-words")
+    else:
         @F.arrow_udf("long")
         def by_hash(langs: pa.Array, texts: pa.Array) -> pa.Array:
             return pa.array([letter(lang, w) for lang, w in zip(langs.to_pylist(), texts.to_pylist())], pa.int64())
 
         words = words.withColumn("id", by_hash("lang", "word"))
-        found = suffix_rows(rows, None)
-    else:
-        found = suffix_rows(rows, words)
+    pairs = stored(phrase_counts(suffix_rows(rows, words if known else None, 2), 2, least, group_rows), "pairs")
+    few = pairs.count() * 16 <= known_bytes
+    longer = suffix_rows(rows, words if known else None, DEPTH, pairs if few else None)
+    found = pairs.unionByName(phrase_counts(longer, 3, least, group_rows))
     words = words.withColumn("word", F.col("word").cast("string"))
-    found = spelled(phrase_counts(found, least, group_rows), words)
+    found = spelled(found, words)
     single = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), F.col("n").alias("a"))
     phrases = stored(found.unionByName(single), "phrases")
     # one row a language

@@ -69,6 +69,21 @@ def test_routes_and_known_words_do_not_matter(spark, random_rows, options):
     assert run(df, least=6, **options) == brute(random_rows, 6, options.get("top", 2000))
 
 
+def test_suffixes_end_at_infrequent_words_and_pairs():
+    codes = np.array([1, 2, 3, -1, 1, 2, 4, 1, 2])
+    assert phrases.suffixes(codes).T.tolist() == [[1, 2, 3, 0], [2, 3, 0, 0], [1, 2, 4, 1], [2, 4, 1, 2], [4, 1, 2, 0], [1, 2, 0, 0]]
+    assert phrases.suffixes(codes, 2).T.tolist() == [[1, 2, 0, 0], [2, 3, 0, 0], [1, 2, 0, 0], [2, 4, 0, 0], [4, 1, 0, 0], [1, 2, 0, 0]]
+    pairs = np.sort(phrases.pair_keys(np.array([1, 2, 4]), np.array([2, 4, 1])))
+    assert phrases.suffixes(codes, 4, pairs).T.tolist() == [[1, 2, 4, 1], [2, 4, 1, 2], [4, 1, 2, 0]]
+    assert phrases.suffixes(codes, 4, pairs[:0]).shape == (4, 0)
+    big = np.array([[1 << 40, 5, 1 << 40], [2, 2, 2], [-7, 0, -7], [0, 0, 0]])
+    for w in (big, np.abs(big) % 7):
+        batch = phrases.collapsed(w)
+        rows = [tuple(r.values()) for r in batch.to_pylist()]
+        want = Counter(map(tuple, w.T.tolist()))
+        assert sorted(rows) == sorted((*k, n) for k, n in want.items())
+
+
 def test_task_limits_do_not_matter(spark, random_rows, monkeypatch):
     monkeypatch.setattr(phrases, "_FLUSH", 50)
     monkeypatch.setattr(phrases, "_WORDS", 20)
