@@ -34,7 +34,9 @@ def test_one_patient_ids_reach_the_blood_test_scan(spark):
     assert clause_scans and all(re.search(r"(EqualTo\(c_custkey,\d+\)|In\(c_custkey)", s) for s in clause_scans)
 
 
-def test_average_pre_aggregates_per_patient(spark):
+def test_average_pre_aggregates_per_patient(spark, monkeypatch):
+    """Where the ids in range are too many to be broadcast."""
+    monkeypatch.setattr("custos.plans.clinical.broadcast_threshold", lambda _: 0)
     plan = plan_of(spark, "avg_age_range")
     lines = plan.splitlines()
     partial = [i for i, line in enumerate(lines) if "partial_count(fibrinogen_value" in line]
@@ -42,6 +44,15 @@ def test_average_pre_aggregates_per_patient(spark):
     assert partial and exchange and exchange[0] < partial[0]  # the shuffle sits above the map-side partials
 
 
+def test_a_small_age_range_is_one_join_and_shuffles_sums_only(spark):
+    plan = plan_of(spark, "avg_age_range")
+    # the profiles in range are joined once, and each task sends one sum
+    assert "LeftSemi" not in plan
+    assert "partial_sum(value__sum" in plan
+    above = plan[:plan.index("partial_sum(value__sum")]
+    assert "Exchange SinglePartition" in above and "hashpartitioning(patientId" not in plan.split("LeftOuter")[0]
+
+
 def test_position_window_only_over_partition_counts(spark):
     plan = plan_of(spark, "series_sorted_rank")
     windows = [line for line in plan.splitlines() if re.search(r"\bWindow \[", line)]
