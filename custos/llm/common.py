@@ -39,17 +39,20 @@ def lower_space_words(text: bytes) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """Cached 64-bit hashes of words; emptied beyond ``limit`` words or 32 MB of them, so its memory is bounded."""
+    """Cached 64-bit hashes of words; emptied beyond ``limit`` words or 32 MB of them, so its memory is bounded.
 
-    def __init__(self, split: Callable[[bytes], list[bytes]], limit: int = 300_000) -> None:
+    Different seeds give independent hashes.
+    """
+
+    def __init__(self, split: Callable[[bytes], list[bytes]], limit: int = 300_000, seed: int = 0) -> None:
         super().__init__()
-        self.split, self.limit, self.bytes = split, limit, 0
+        self.split, self.limit, self.bytes, self.seed = split, limit, 0, seed
         self.raw = array("Q")
 
     def __missing__(self, word: bytes) -> int:
         slot = self[word] = len(self.raw)
         self.bytes += len(word)
-        self.raw.append(xxhash.xxh3_64_intdigest(word))
+        self.raw.append(xxhash.xxh3_64_intdigest(word, self.seed))
         return slot
 
     def of(self, texts: Iterable[bytes | None], pad: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -48,6 +48,41 @@ def test_random_texts(spark, length):
     assert run(df, length) == brute(rows, length)
 
 
+@pytest.mark.parametrize("length", [35, 70])
+def test_shared_passages_and_copies(spark, length):
+    rng = random.Random(length)
+    passage = [f"p{i}" for i in range(4 * length)]
+    rows = []
+    for i in range(50):
+        own = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(0, 200))]
+        at = rng.randrange(0, 3 * length)
+        own[len(own) // 3:len(own) // 3] = passage[at:at + rng.randrange(length - 3, length + 6)]
+        rows.append((i, " ".join(own)))
+    rows += [(3, rows[3][1]), (60, rows[4][1]), (None, rows[5][1]), (61, "same " * 3 * length), (62, "same " * (length + 1)),
+             (63, " ".join(passage[:length] + ["x"] + passage[:length])), (64, " ".join(passage[:length - 1] + ["y"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(df, length) == brute(rows, length)
+
+
+def test_remaining_windows_hold_every_repeat():
+    rng = np.random.default_rng(3)
+    for length in (5, 13, 24, 35, 70):
+        levels = substrings.Levels(length)
+        words, ends = rng.integers(1, 4, 3 * length).astype(np.uint64), np.array([0, 0, 2 * length, 3 * length])
+        first = substrings.mixed(levels.grams(words)[0])
+        at = levels.anchors(levels.grams(words)[0], ends)
+        every = np.full(len(at), (1 << 2 * len(levels.middle)) - 1)
+        wanted = np.flatnonzero(substrings.starts_inside(ends, length)[:len(first)])
+        assert levels.starts(first, ends, at, every).tolist() == wanted.tolist()
+        if len(levels.lengths) > 1:
+            assert not len(levels.starts(first, ends, at[:0], every[:0]))
+        if levels.middle:
+            assert not len(levels.starts(first, ends, at, 0 * every))
+        # an anchor needs one extension at least at every middle length
+        for back in range(length - levels.lengths[0] + 1):
+            assert all(levels.needed(back) >> 2 * i & 3 for i in range(len(levels.middle)))
+
+
 def test_levels_double():
     assert substrings.Levels(35).lengths == [9, 18, 35]
     assert substrings.Levels(8).lengths == [8]
