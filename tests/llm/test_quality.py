@@ -1,10 +1,14 @@
+import collections
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from custos.llm import quality
 from custos.llm.queries import QUERIES
-from tests.llm.conftest import SF01
+from tests.llm.conftest import SF001, SF01
 
 
 def test_agrees_with_labels(spark):
@@ -76,3 +80,77 @@ def test_odd_rows(spark, odd, none):
     assert {r["host"] for r in rows} == {"a", "b", "c", None}
     assert judged(none, labels).count() == 0
     assert judged(odd, labels.filter("false")).count() == odd.count()
+
+
+def brute(rows, labels, model):
+    """Posteriors of ``(doc_id, text, host, path)`` by plain loops, from the same evidence."""
+    known = collections.defaultdict(list)
+    for i, y in labels:
+        if i is not None and y in (0, 1):
+            known[i].append(y)
+    own = [float(model.log_odds(quality.features(t.encode() if t is not None else None)[None])[0]) for _, t, _, _ in rows]
+    p_text = [1 / (1 + math.exp(-o)) for o in own]
+    y = [sum(known[r[0]]) / len(known[r[0]]) if known.get(r[0]) else p for r, p in zip(rows, p_text)]
+    hosts, paths = collections.defaultdict(lambda: [0.0, 0]), collections.defaultdict(lambda: [0.0, 0])
+    for (_, _, host, path), v in zip(rows, y):
+        for sums in (hosts[host], paths[host, path]):
+            sums[0] += v
+            sums[1] += 1
+    rate = (sum(y) + 1) / (len(y) + 2)
+
+    def strength(groups):
+        n = sum(n for _, n, _ in groups)
+        spread = sum(n * (k / n - m) ** 2 for k, n, m in groups)
+        between = (spread - sum(m * (1 - m) for _, _, m in groups)) / n
+        inside = sum(n * m * (1 - m) for _, n, m in groups) / n
+        return min(1e6, max(1.0, inside / between - 1)) if between > 1e-9 else 1e6
+
+    of_host = strength([(k, n, rate) for k, n in hosts.values()])
+    of_path = strength([(k, n, (hosts[h][0] + of_host * rate) / (hosts[h][1] + of_host)) for (h, _), (k, n) in paths.items()])
+    inside = lambda p: min(max(p, 1e-6), 1 - 1e-6)
+    out = []
+    for (i, _, host, path), o, p, v in zip(rows, own, p_text, y):
+        k, n = hosts[host]
+        at_host = inside((k - v + of_host * rate) / (n - 1 + of_host))
+        k, n = paths[host, path]
+        at_path = inside((k - v + of_path * at_host) / (n - 1 + of_path))
+        odds = math.log(at_path / (1 - at_path)) + o - math.log(model.rate / (1 - model.rate))
+        out.append((i, host, path, p, at_host, at_path, 1 / (1 + math.exp(-odds))))
+    return out
+
+
+def same(found, wanted):
+    by = lambda r: tuple(str(x) for x in r[:3]) + tuple(round(x, 5) for x in r[3:])
+    found = sorted(((r["doc_id"], r["host"], r["path"], r["p_text"], r["host_posterior"], r["path_posterior"], r["quality"])
+                    for r in found), key=by)
+    wanted = sorted(wanted, key=by)
+    assert [r[:3] for r in found] == [r[:3] for r in wanted]
+    assert np.allclose([r[3:] for r in found], [r[3:] for r in wanted], rtol=1e-6, atol=1e-9)
+
+
+def test_posteriors_of_sparse_sites_against_brute_force(spark):
+    """Many hosts with a few documents each, one with a third of all; null sites, ids and texts; repeated rows."""
+    rng, rows, labels = random.Random(5), [], []
+    for i in range(400):
+        host = rng.choice(["big", *[f"h{rng.randrange(70)}"] * 2])
+        good = rng.random() < (0.8 if host == "big" or int(host[1:]) % 3 else 0.2)
+        text = " ".join(rng.choice("alpha beta gamma delta".split() if good else ["BUY!!!", "$$$", "now"]) for _ in range(20))
+        rows.append((i, text, host if rng.random() > 0.05 else None, rng.choice(["p", "q", None])))
+        if rng.random() < 0.4:
+            labels.append((i, int(good)))
+    rows += [(None, "no id", "h1", "p"), (500, None, "h2", None), (501, "", "alone", "alone")] + [rows[7]] * 3
+    labels += [(3, 1), (3, 0), (None, 1), (900, 1), (4, None), (5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    table = spark.createDataFrame(labels, LABELS)
+    known = table.selectExpr("doc_id as id", "cast(quality as double) as y").filter("id is not null and y in (0, 1)")
+    model = quality.learn(docs, docs["doc_id"], docs["text"], known.groupBy("id").agg(F.avg("y").alias("y")))
+    same(judged(docs, table).collect(), brute(rows, labels, model))
+
+
+def test_query_against_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF001}/{name}.parquet") for name in ("documents", "labels"))
+    rows = [(r["doc_id"], r["text"], r["source"], r["lang"]) for r in docs.collect()]
+    known = labels.selectExpr("doc_id as id", "cast(quality as double) as y").filter("y in (0, 1)")
+    model = quality.learn(docs, docs["doc_id"], docs["text"], known.groupBy("id").agg(F.avg("y").alias("y")))
+    marks = [(r["doc_id"], r["quality"]) for r in labels.collect()]
+    same(QUERIES["op3_empirical_bayes_quality"](spark, SF001).collect(), brute(rows, marks, model))
