@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: words, word hashes, bitmaps and stored tables."""
+"""Helpers shared by the operators: words, word hashes and stored tables."""
 
 from __future__ import annotations
 
@@ -175,11 +175,6 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def counted_hashes(hashes: DataFrame, column: str = "h", count: str = "n", least: int = 2) -> DataFrame:
-    """Distinct values of ``column`` whose counts add up to ``least`` or more."""
-    return (hashes.groupBy(column).agg(F.sum(count).alias("n")).filter(F.col("n") >= least).select(column))
-
-
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
     """Rows sorted by ``keys``, cut into tables of whole groups: one table for each key."""
     held: list[pa.Table] = []
@@ -203,55 +198,6 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iter
         yield pa.concat_tables(held)
 
 
-#: Largest bitmap, in bits: what a broadcast of it may take (128 MB).
-MOST_BITS = 1 << 30
-_BLOCK = 16
-
-
-def bitmap_bits(rows: int) -> int:
-    """Bits for ``rows`` values: 32 a value, a power of two, :data:`MOST_BITS` at most."""
-    return min(MOST_BITS, max(1 << 20, 1 << (32 * max(1, rows) - 1).bit_length()))
-
-
-def bitmap(hashes: DataFrame, column: str = "h") -> np.ndarray:
-    """A bitmap of 64-bit values for filtering candidates: never misses one, may let others through.
-
-    Its size follows the number of values up to :data:`MOST_BITS`; beyond
-    that it only lets more candidates through, and what follows decides
-    exactly. Tasks build separate stretches of it, so nothing is merged.
-    """
-    bits = bitmap_bits(hashes.count())
-    spark = hashes.sparkSession
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slots = np.sort(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(bits - 1))
-            blocks = slots >> np.uint64(_BLOCK)
-            cuts = np.flatnonzero(np.diff(blocks, prepend=np.uint64(1 << 63)))
-            for lo, hi in zip(cuts, [*cuts[1:], len(slots)]):
-                part = parts.setdefault(int(blocks[lo]), np.zeros(1 << (_BLOCK - 3), np.uint8))
-                inner = (slots[lo:hi] & np.uint64((1 << _BLOCK) - 1)).astype(np.int64)
-                np.bitwise_or.at(part, inner >> 3, (1 << (inner & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()),
-                                          pa.array([p.tobytes() for p in parts.values()], pa.binary())],
-                                         names=["block", "bits"])
-
-    block = F.shiftright(F.col(column).bitwiseAND(F.lit(bits - 1)), _BLOCK)
-    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), bits >> _BLOCK)
-    dealt = hashes.select(column).repartition(n, block)
-    out = np.zeros(bits >> 3, np.uint8)
-    for row in dealt.mapInArrow(build, "block long, bits binary").toLocalIterator():
-        at = row["block"] << (_BLOCK - 3)
-        out[at:at + (1 << (_BLOCK - 3))] |= np.frombuffer(row["bits"], np.uint8)
-    return out
-
-
-def in_bitmap(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slots = hashes & np.uint64(len(table) * 8 - 1)
-    return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def signed(h: np.ndarray) -> pa.Array:
     """64-bit hashes as Spark longs."""
     return pa.array(np.ascontiguousarray(h).view(np.int64))

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custos.llm.common import (WordHashes, alnum_words, bitmap, cuts, gram_hashes, in_bitmap, mixed, packed,
-                               starts_inside, stored, whole_groups)
+from custos.llm.common import (WordHashes, alnum_words, cuts, gram_hashes, mixed, packed, starts_inside, stored,
+                               whole_groups)
 from custos.llm.components import connected_components
 
 THRESHOLD = 0.8
@@ -198,7 +198,6 @@ def classes(docs: DataFrame, doc_id: Column, text: Column, threshold: float = TH
     other rows linked to each of its rows (its copies and all rows of texts
     at the threshold or above).
     """
-    spark = docs.sparkSession
     banding = choose_banding(threshold, recall)
     rows = docs.select(doc_id.cast("long").alias("id"), text.cast("binary").alias("text")).filter("text is not null")
     signed = rows.select("id", text_key(F.col("text")).alias("t"), band_hashes(F.col("text"), banding, n).alias("s"))
@@ -214,19 +213,10 @@ def classes(docs: DataFrame, doc_id: Column, text: Column, threshold: float = TH
     sizes = groups.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"))
     sizes = stored(sizes.select("c", F.ceil(F.greatest(F.col("n") / block_texts, F.col("w") / block_words, F.lit(1)))
                                 .cast("int").alias("g")), "candidate-sizes")
-    members = groups.join(sizes, "c")
-    member_key = F.xxhash64("t", F.coalesce("rep", F.lit(-1)))
-    wanted = spark.sparkContext.broadcast(bitmap(groups.select(member_key.alias("h"))))
-
-    @F.arrow_udf("boolean")
-    def maybe(keys: pa.Array) -> pa.Array:
-        return pa.array(in_bitmap(wanted.value, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
-
-    # one row of each different text that is a candidate, and few others
-    found = rows.select("id", text_key(F.col("text")).alias("t"), "text")
-    found = found.filter(maybe(F.xxhash64("t", F.coalesce("id", F.lit(-1)))))
-    members = members.withColumn("id", F.coalesce("rep", F.lit(-1))).drop("rep", "words")
-    found = found.withColumn("id", F.coalesce("id", F.lit(-1))).join(members, ["t", "id"]).dropDuplicates(["t"])
+    members = groups.join(sizes, "c").withColumn("id", F.coalesce("rep", F.lit(-1))).drop("rep", "words")
+    # one row of each different text that is a candidate; copies under other ids do not meet it
+    found = rows.select(F.coalesce("id", F.lit(-1)).alias("id"), text_key(F.col("text")).alias("t"), "text")
+    found = found.join(members, ["t", "id"]).dropDuplicates(["t"])
     block = F.pmod(F.xxhash64("t"), F.col("g")).cast("int")
     placed = found.select("t", "text", "copies", "c", "g", block.alias("block"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))

@@ -57,13 +57,12 @@ def test_cuts_and_whole_groups():
     assert [g.column("v").to_pylist() for g in common.whole_groups(batches, ["a"])] == [[1, 2], [3, 4], [5]]
 
 
-def test_bitmap_never_misses(spark):
-    values = [random.Random(3).getrandbits(63) - (1 << 62) for _ in range(500)]
-    table = common.bitmap(spark.createDataFrame([(v,) for v in values], "h long"))
-    assert common.in_bitmap(table, np.array(values, np.int64).view(np.uint64)).all()
-    others = np.random.default_rng(5).integers(0, 1 << 63, 5000).astype(np.uint64)
-    assert common.in_bitmap(table, others).mean() < 0.01
-    assert not common.bitmap(spark.createDataFrame([], "h long")).any()
+def test_word_hashes_of_other_seeds():
+    one, other = common.WordHashes(common.space_words), common.WordHashes(common.space_words, seed=1)
+    texts = [b"a b a", None, b"", b"c"]
+    (h, ends), (g, _) = one.of(texts), other.of(texts)
+    assert ends.tolist() == [0, 3, 3, 3, 4] and h[0] == h[2] and g[0] == g[2]
+    assert len({*h.tolist(), *g.tolist()}) == 6
 
 
 def test_components_match_union_find(spark):
