@@ -3,36 +3,45 @@
 Documents and benchmark items are cut into words. Of every window of
 ``span - gram + 1`` consecutive ``gram``-word hashes the smallest is kept as
 a fingerprint; a shared span of ``span`` words holds one such window whole,
-so both sides keep the same fingerprint of it. Fingerprints of documents
-meet those of the items, and every meeting is extended word by word in both
-directions: a shared stretch of at least ``span`` words is a hit. Items of
-fewer words are looked up whole.
-
-Items are taken in slices of bounded size (``slice_bytes`` of text), each
-sent to all tasks; documents are read once and never moved. A benchmark of
-any size is covered, by more slices.
+so both sides keep the same fingerprint of it. The fingerprints of all
+documents are joined with those of all items; around a fingerprint that
+meets, every window of ``span`` words that holds it is joined with the
+items' windows under two independent 64-bit hashes, and windows that follow
+one another are put together: the whole shared stretch. Items of fewer words
+are one window of their own length, looked up at every place of a document.
+
+Both tables stay distributed: nothing of the benchmark passes the driver but
+the lengths of its short items (fewer than ``span`` numbers). Spark sends a
+side of a join to all tasks only if its stored size is under the session's
+broadcast threshold and shuffles both otherwise. Equal texts are compared
+once; a fingerprint that many documents hold is dealt to ``SALTS`` tasks
+(and split further by adaptive execution), documents without a hit are not
+looked at again.
 
 Nulls and odd rows: a null or empty text has no words, no spans and is not
 contaminated; an item without words occurs nowhere; a null item id counts as
 the empty id; repeated items count once for each id; repeated documents get
-equal results; empty tables give empty spans.
+equal results; a very long text is hashed whole, in one row's memory; a
+column named like the result is replaced, other names never clash; empty
+tables give empty spans.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custos.llm.common import WordHashes, alnum_words, cuts, gram_hashes, mixed, starts_inside, winnow
+from custos.llm.common import (WordHashes, alnum_words, cuts, discard, gram_hashes, mixed, packed, signed, starts_inside,
+                               stored, winnow)
 
 SPAN = 10
 GRAM = 5
-SLICE_BYTES = 16 << 20
+#: Tasks that a fingerprint's documents are dealt to.
+SALTS = 8
 
 
 def fingerprints(words: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -43,144 +52,172 @@ def fingerprints(words: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: in
     return places, grams[places]
 
 
-@dataclass(frozen=True)
-class Items:
-    """A slice of the benchmark: words of all items one after another, fingerprints by hash, short items by length."""
-
-    ids: list[str]
-    words: np.ndarray
-    ends: np.ndarray
-    prints: np.ndarray
-    places: np.ndarray
-    short: dict[int, tuple[np.ndarray, np.ndarray]]
-    span: int
-    gram: int
-
-    @classmethod
-    def of(cls, items: Sequence[tuple[str, bytes]], span: int, gram: int) -> Items:
-        words, ends = WordHashes(alnum_words).of([text for _, text in items])
-        places, prints = fingerprints(words, ends, span, gram)
-        order = np.argsort(prints, kind="stable")
-        short: dict[int, tuple[list, list]] = {}
-        for i, n in enumerate(np.diff(ends).tolist()):
-            if 0 < n < span:
-                hashes, owners = short.setdefault(n, ([], []))
-                hashes.append(mixed(gram_hashes(words[ends[i]:ends[i + 1]], n))[0])
-                owners.append(i)
-        packed = {}
-        for n, (hashes, owners) in short.items():
-            by = np.argsort(np.array(hashes, np.uint64), kind="stable")
-            packed[n] = np.array(hashes, np.uint64)[by], np.array(owners, np.int64)[by]
-        return cls([i for i, _ in items], words, ends, prints[order], places[order], packed, span, gram)
-
-    def hits(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(start, end, item)`` of every shared stretch, in places of the concatenated document words."""
-        found = []
-        if len(self.prints) and len(words) >= self.span:
-            places, hashes = fingerprints(words, ends, self.span, self.gram)
-            at, to = pairs(hashes, self.prints)
-            found.append(self._extended(words, ends, places[at], self.places[to]))
-        for n, (hashes, owners) in self.short.items():
-            if len(words) >= n:
-                grams = mixed(gram_hashes(words, n))
-                places = np.flatnonzero(starts_inside(ends, n)[:len(grams)] & np.isin(grams, hashes))
-                at, to = pairs(grams[places], hashes)
-                found.append((places[at], places[at] + n, owners[to]))
-        if not found:
-            return (np.empty(0, np.int64),) * 3
-        rows = np.unique(np.stack([np.concatenate(x) for x in zip(*found)], 1), axis=0)
-        return rows[:, 0], rows[:, 1], rows[:, 2]
-
-    def _extended(self, words, ends, p, r):
-        doc = np.searchsorted(ends, p, "right") - 1
-        item = np.searchsorted(self.ends, r, "right") - 1
-        left = self._equal(words, p - 1, r - 1, -1, np.minimum(p - ends[doc], r - self.ends[item]))
-        right = self._equal(words, p, r, 1, np.minimum(ends[doc + 1] - p, self.ends[item + 1] - r))
-        start, end = p - left, p + right
-        long = end - start >= self.span
-        return start[long], end[long], item[long]
-
-    def _equal(self, words, p, r, step, room):
-        """How many words in a row agree from ``p`` and ``r`` on in one direction."""
-        count = np.zeros(len(p), np.int64)
-        live = np.arange(len(p))
-        while len(live):
-            live = live[count[live] < room[live]]
-            same = words[p[live] + step * count[live]] == self.words[r[live] + step * count[live]]
-            live = live[same]
-            count[live] += 1
-        return count
-
-
-def pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of equal values; ``right`` is sorted."""
-    lo, hi = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
-    n = hi - lo
-    at = np.repeat(np.arange(len(left)), n)
-    return at, np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else lo, n) + np.arange(n.sum())
-
-
-def item_slices(benchmark: DataFrame, item_id: Column, text: Column, span: int = SPAN, gram: int = GRAM,
-                slice_bytes: int = SLICE_BYTES) -> Iterator[Items]:
-    """The benchmark in slices of about ``slice_bytes`` of text."""
-    items = benchmark.select(F.coalesce(item_id.cast("string"), F.lit("")).alias("item"),
-                             text.cast("binary").alias("text")).filter("text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // slice_bytes))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    for i in range(n):
-        rows = items.filter(part == i).collect()
-        if rows:
-            yield Items.of([(r["item"], bytes(r["text"])) for r in rows], span, gram)
+def windows(words: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(place, hash)`` of every window of ``n`` words inside one of the concatenated texts."""
+    grams = mixed(gram_hashes(words, n))
+    places = np.flatnonzero(starts_inside(ends, n)[:len(grams)])
+    return places, grams[places]
+
 
+def windows_around(places: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM) -> np.ndarray:
+    """Starts of the ``span``-word windows, each inside one text, that hold the ``gram`` words at any of ``places``."""
+    starts = np.unique(places[:, None] - np.arange(span - gram + 1)[None, :])
+    starts = starts[(starts >= 0) & (starts <= int(ends[-1]) - span)]
+    return starts[starts_inside(ends, span)[starts]]
 
-_SPAN_TYPE = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("item", pa.string())])
-_SPANS = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(_SPAN_TYPE))])
 
+def _lists(owner: np.ndarray, values: pa.Array, rows: int) -> pa.Array:
+    """``values``, which are sorted by ``owner``, as one list a row."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
-def _matches(text: Column, items: Items, spark) -> Column:
-    shared = spark.sparkContext.broadcast(items)  # a slice: bounded by slice_bytes
 
-    @F.arrow_udf("struct<n_words:bigint,spans:array<struct<first:bigint,last:bigint,item:string>>>")
-    def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hashes, bench = WordHashes(alnum_words), shared.value
-        ids = np.array(bench.ids, object)
+def _owners(ends: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return np.searchsorted(ends, places, "right") - 1
+
+
+def _item_parts(text: Column, span: int, gram: int) -> Column:
+    """``struct(prints, windows)`` of items: hashes that documents are searched for, and all windows ``(n, a, b)``."""
+    window = pa.struct([("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+    kind = pa.struct([("prints", pa.list_(pa.int64())), ("windows", pa.list_(window))])
+
+    @F.arrow_udf("struct<prints:array<bigint>,windows:array<struct<n:int,a:bigint,b:bigint>>>")
+    def parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        first, second = WordHashes(alnum_words), WordHashes(alnum_words, seed=1)
+        for texts in batches:
+            prints, found = [], []
+            for item in texts.to_pylist():
+                (a, ends), (b, _) = first.of([item]), second.of([item])
+                n = min(span, len(a))
+                if not n:
+                    prints.append([])
+                    found.append([])
+                    continue
+                kept = fingerprints(a, ends, span, gram)[1] if n == span else windows(a, ends, n)[1]
+                prints.append(np.unique(kept).view(np.int64).tolist())
+                pairs = np.unique(np.stack([windows(a, ends, n)[1], windows(b, ends, n)[1]], 1), axis=0).view(np.int64)
+                found.append([{"n": n, "a": x, "b": y} for x, y in pairs.tolist()])
+            yield pa.StructArray.from_arrays([pa.array(prints, pa.list_(pa.int64())), pa.array(found, pa.list_(window))],
+                                             fields=list(kind))
+
+    return parts(text)
+
+
+def _document_prints(text: Column, short: Sequence[int], span: int, gram: int) -> Column:
+    """Fingerprints of a text, and the hashes of all its windows of the lengths in ``short``."""
+
+    @F.arrow_udf("array<bigint>")
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = WordHashes(alnum_words)
         for texts in batches:
-            n_words, counts, first, last, item = [], [], [], [], []
+            out = []
             for lo, hi in cuts(texts):
                 words, ends = hashes.of(texts[lo:hi].to_pylist())
-                start, end, own = bench.hits(words, ends)
-                doc = np.searchsorted(ends, start, "right") - 1
-                n_words.append(np.diff(ends))
-                counts.append(np.bincount(doc, minlength=hi - lo))
-                first.append(start - ends[doc])
-                last.append(end - 1 - ends[doc])
-                item += ids[own].tolist()
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1)
-            join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
-            spans = pa.StructArray.from_arrays([pa.array(join(first)), pa.array(join(last)), pa.array(item, pa.string())],
-                                               fields=list(_SPAN_TYPE))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
-            yield pa.StructArray.from_arrays([pa.array(join(n_words), pa.int64()), lists], fields=list(_SPANS))
-
-    return match(text.cast("binary"))
+                kinds = [fingerprints(words, ends, span, gram)] + [windows(words, ends, n) for n in short]
+                places, found = (np.concatenate(x) for x in zip(*kinds))
+                if short:
+                    order = np.argsort(places, kind="stable")
+                    places, found = places[order], found[order]
+                out.append(_lists(_owners(ends, places), signed(found), hi - lo))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
+
+    return prints(text)
+
+
+def _document_windows(text: Column, met: Column, short: Sequence[int], span: int, gram: int) -> Column:
+    """Windows ``(place, n, a, b)`` of a text around the hashes that it shares with items."""
+    kind = pa.struct([("place", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+
+    @F.arrow_udf("array<struct<place:bigint,n:int,a:bigint,b:bigint>>")
+    def around(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        first, second = WordHashes(alnum_words), WordHashes(alnum_words, seed=1)
+        for texts, shared in batches:
+            out = []
+            for lo, hi in cuts(texts):
+                rows = texts[lo:hi].to_pylist()
+                (a, ends), (b, _) = first.of(rows), second.of(rows)
+                known = shared[lo:hi].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                places, found = fingerprints(a, ends, span, gram)
+                starts = {span: windows_around(places[np.isin(found, known)], ends, span, gram)}
+                for n in short:
+                    places, found = windows(a, ends, n)
+                    starts[n] = places[np.isin(found, known)]
+                place = np.concatenate(list(starts.values()))
+                length = np.repeat(list(starts), [len(s) for s in starts.values()])
+                sides = [np.concatenate([mixed(gram_hashes(w, n))[s] for n, s in starts.items()]) for w in (a, b)]
+                order = np.argsort(place, kind="stable")
+                owner = _owners(ends, place[order])
+                columns = [pa.array(place[order] - ends[owner]), pa.array(length[order], pa.int32()),
+                           *(signed(side[order]) for side in sides)]
+                out.append(_lists(owner, pa.StructArray.from_arrays(columns, fields=list(kind)), hi - lo))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.list_(kind))
+
+    return around(text, met)
+
+
+def _n_words(text: Column) -> Column:
+    @F.arrow_udf("bigint")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([len(alnum_words(x.as_py())) if x.is_valid else 0 for x in texts], pa.int64())
+
+    return count(text.cast("binary"))
+
+
+def _text_key(text: Column) -> Column:
+    """16 bytes that stand for a text; equal texts have equal keys."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def shared_spans(docs: DataFrame, text: Column, benchmark: DataFrame, item_id: Column, item_text: Column,
+                 span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """``(t, spans)``: one row per different text that shares a window with an item; ``t`` is the text's key."""
+    items = benchmark.select(F.coalesce(item_id.cast("string"), F.lit("")).alias("item"),
+                             item_text.cast("binary").alias("text")).filter("text is not null").distinct()
+    items = stored(items.select("item", _item_parts(F.col("text"), span, gram).alias("parts")), "benchmark-items")
+    wanted = stored(items.select(F.explode("parts.prints").alias("hash")).distinct(), "benchmark-prints")
+    held = items.select("item", F.explode("parts.windows").alias("w")).select("w.n", "w.a", "w.b", "item").distinct()
+    held = stored(held, "benchmark-windows")
+    short = [r["n"] for r in held.filter(F.col("n") < span).select("n").distinct().orderBy("n").collect()]  # below span
+
+    texts = docs.select(text.cast("binary").alias("text")).filter("text is not null")
+    prints = texts.select(_text_key(F.col("text")).alias("t"), _document_prints(F.col("text"), short, span, gram).alias("p"))
+    prints = prints.select("t", F.pmod(F.xxhash64("t"), F.lit(SALTS)).alias("salt"), F.explode("p").alias("hash"))
+    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = prints.join(salted, ["hash", "salt"], "left_semi").groupBy("t").agg(F.collect_set("hash").alias("met"))
+    met = stored(met, "shared-prints")
+
+    candidates = texts.withColumn("t", _text_key(F.col("text"))).join(met, "t").dropDuplicates(["t"])
+    found = candidates.select("t", F.explode(_document_windows(F.col("text"), F.col("met"), short, span, gram)).alias("w"))
+    hits = found.select("t", "w.*").join(held, ["n", "a", "b"]).select("t", "item", "place", "n")
+    order = Window.partitionBy("t", "item").orderBy("place")  # one text's hits of one item
+    begins = F.col("place") != F.coalesce(F.lag("place").over(order), F.lit(-2)) + 1
+    stretch = hits.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order))
+    stretch = stretch.groupBy("t", "item", "run").agg(F.min("place").alias("first"),
+                                                     F.max(F.col("place") + F.col("n") - 1).alias("last"))
+    spans = stretch.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("first", "last", "item"))).alias("spans"))
+    spans = stored(spans, "shared-spans")
+    discard(items, wanted, held, met)
+    return spans
 
 
 def find(docs: DataFrame, text: Column, benchmark: DataFrame, item_id: Column, item_text: Column, span: int = SPAN,
-         gram: int = GRAM, slice_bytes: int = SLICE_BYTES, name: str = "match") -> DataFrame:
-    """``docs`` with a column ``name``: ``struct(n_words, spans)``; a column of that name is replaced.
+         gram: int = GRAM, name: str = "match", carry: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns in ``carry``) with a column ``name``: ``struct(n_words, spans)``; one of that name is replaced.
 
     ``spans`` are the stretches shared with items, ``(first word, last word,
     item id)``, sorted by place: every window of ``span`` consecutive item
     words (or a shorter item whole) that a document holds lies in one of them.
     """
-    spark = docs.sparkSession
-    slices = [_matches(text, items, spark) for items in item_slices(benchmark, item_id, item_text, span, gram, slice_bytes)]
-    slices = slices or [_matches(text, Items.of([], span, gram), spark)]
-    names = [f"_{name}_{i}" for i in range(len(slices))]
-    found = docs.withColumns(dict(zip(names, slices)))
-    spans = F.array_sort(F.concat(*[F.col(n)["spans"] for n in names]))
-    return found.withColumn(name, F.struct(F.col(names[0])["n_words"].alias("n_words"), spans.alias("spans"))).drop(*names)
+    found = shared_spans(docs, text, benchmark, item_id, item_text, span, gram)
+    # a null text meets nothing; a number of its own keeps such rows from gathering in one task
+    alone = F.concat(F.lit("null "), F.monotonically_increasing_id().cast("string")).cast("binary")
+    rows = docs.select(packed(docs, carry), F.coalesce(_text_key(text), alone).alias("t"),
+                       _n_words(text).alias("n_words"))
+    none = F.array().cast(found.schema["spans"].dataType)
+    match = F.struct("n_words", F.coalesce("spans", none).alias("spans")).alias(name)
+    kept = [c for c in (docs.columns if carry is None else carry) if c.lower() != name.lower()]
+    return rows.join(found, "t", "left").select(*[F.col("doc").getField(c).alias(c) for c in kept], match)
 
 
 def words_hit(spans: Column) -> Column:

@@ -69,7 +69,7 @@ def op6_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every whole document inside 10-word windows of benchmark items."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = decontamination.find(docs.select("doc_id", "text"), F.col("text"), bench, bench["item_id"], bench["text"])
+    found = decontamination.find(docs, docs["text"], bench, bench["item_id"], bench["text"], carry=["doc_id"])
     found = found.select("doc_id", F.col("match.n_words").alias("n_words"),
                          decontamination.words_hit(F.col("match.spans")).alias("n_hit"),
                          decontamination.item_ids(F.col("match.spans")).alias("items"))

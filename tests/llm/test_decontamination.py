@@ -54,11 +54,33 @@ DOCS = [(1, ITEM), (2, "x " + ITEM[:19] + " x"), (3, ITEM[:17] + " x " + ITEM[20
         (10, "a b c d e f g h i j"), (10, "a b c d e f g h i j"), (11, ("filler " * 5000) + ITEM)]
 
 
-@pytest.mark.parametrize("slice_bytes", [1 << 20, 8])
-def test_spans_short_items_and_slices(spark, slice_bytes):
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_spans_short_items_sent_or_shuffled(spark, threshold):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert run(docs, bench, slice_bytes=slice_bytes) == brute(DOCS, ITEMS)
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, threshold)
+    try:
+        assert run(docs, bench) == brute(DOCS, ITEMS)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_spans_are_whole_stretches(spark):
+    docs = spark.createDataFrame([(1, "x " + ITEM + " y " + ITEM[:21] + " u v w")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM), (2, "u v w"), (8, ITEM[8:28])], "item_id long, text string")
+    found = dc.find(docs, docs["text"], bench, bench["item_id"], bench["text"]).first()["match"]
+    assert [tuple(s) for s in found["spans"]] == [(1, 20, "1"), (5, 14, "8"), (22, 32, "1"), (33, 35, "2")]
+
+
+def test_a_fingerprint_in_most_items_and_documents(spark):
+    common = "what is the right answer to"
+    items = [(i, f"{common} question {i} a{i} b{i} c{i} d{i} e{i}") for i in range(60)]
+    rows = [(d, f"say {common} this " + (items[d][1] if d % 7 == 0 and d < 60 else f"p{d} q{d} r{d} s{d} t{d}"))
+            for d in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert run(docs, bench) == brute(rows, items)
 
 
 def test_every_long_shared_span_is_found():
@@ -70,12 +92,13 @@ def test_every_long_shared_span_is_found():
         item = [rng.choice("abcd") for _ in range(30)]
         start = rng.randrange(0, 20)
         doc = [rng.choice("abcd") for _ in range(rng.randrange(0, 15))] + item[start:start + 10] + ["q"] * rng.randrange(0, 15)
-        bench = dc.Items.of([("i", " ".join(item).encode())], 10, 5)
-        hashes, ends = dc.WordHashes(dc.alnum_words).of([" ".join(doc).encode()])
-        begin, end, _ = bench.hits(hashes, ends)
+        hashes = dc.WordHashes(dc.alnum_words)
+        (words, ends), (own, own_ends) = hashes.of([" ".join(doc).encode()]), hashes.of([" ".join(item).encode()])
+        places, prints = dc.fingerprints(words, ends)
+        starts = dc.windows_around(places[np.isin(prints, dc.fingerprints(own, own_ends)[1])], ends)
         covered = np.zeros(len(doc), bool)
-        for b, e in zip(begin, end):
-            covered[b:e] = True
+        for s in starts[np.isin(dc.mixed(dc.gram_hashes(words, 10))[starts], dc.windows(own, own_ends, 10)[1])]:
+            covered[s:s + 10] = True
         wanted = np.zeros(len(doc), bool)
         wins = {tuple(item[i:i + 10]) for i in range(21)}
         for i in range(len(doc) - 9):
@@ -89,4 +112,6 @@ def test_odd_rows(spark, odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert run(odd, bench) == brute(rows, ITEMS)
     assert dc.find(none, none["text"], bench, bench["item_id"], bench["text"], name="m2").count() == 0
+    replaced = dc.find(odd, odd["text"], bench, bench["item_id"], bench["text"])
+    assert sorted(replaced.columns) == sorted(odd.columns) and "spans" in replaced.schema["match"].dataType.names
     assert run(odd, spark.createDataFrame([], "item_id long, text string")) == brute(rows, [])
