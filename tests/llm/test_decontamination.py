@@ -83,6 +83,20 @@ def test_a_fingerprint_in_most_items_and_documents(spark):
     assert run(docs, bench) == brute(rows, items)
 
 
+def test_word_hashes_are_those_of_the_words(monkeypatch):
+    import random
+    monkeypatch.setattr(dc, "PIECE_BYTES", 50)
+    rng = random.Random(4)
+    texts = [None, b"", b"...", "Été é Z z".encode(), b"x" * 5000, b" " * 3000 + b"A-b" * 2000]
+    texts += [bytes(rng.choice(b"abAB09 \x00\x7f\xc3\xa9.,[`{") for _ in range(rng.randrange(60))) for _ in range(300)]
+    hashes, ends = dc.word_hashes(texts)
+    split = [dc.alnum_words(t) if t else [] for t in texts]
+    assert ends.tolist() == [sum(map(len, split[:i])) for i in range(len(texts) + 1)]
+    flat = [w for words in split for w in words]
+    assert len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
+    assert [len(x) for x in dc.word_hashes([])] == [0, 1] and [len(x) for x in dc.word_hashes([None])] == [0, 2]
+
+
 def test_every_long_shared_span_is_found():
     import random
 
@@ -92,8 +106,7 @@ def test_every_long_shared_span_is_found():
         item = [rng.choice("abcd") for _ in range(30)]
         start = rng.randrange(0, 20)
         doc = [rng.choice("abcd") for _ in range(rng.randrange(0, 15))] + item[start:start + 10] + ["q"] * rng.randrange(0, 15)
-        hashes = dc.WordHashes(dc.alnum_words)
-        (words, ends), (own, own_ends) = hashes.of([" ".join(doc).encode()]), hashes.of([" ".join(item).encode()])
+        (words, ends), (own, own_ends) = (dc.word_hashes([" ".join(x).encode()]) for x in (doc, item))
         places, prints = dc.fingerprints(words, ends)
         starts = dc.windows_around(places[np.isin(prints, dc.fingerprints(own, own_ends)[1])], ends)
         covered = np.zeros(len(doc), bool)
