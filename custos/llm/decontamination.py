@@ -242,7 +242,8 @@ def shared_spans(docs: DataFrame, text: Column, benchmark: DataFrame, item_id: C
     # copies are dealt to several tasks, each of which passes one of them on
     dealt = texts.select("text", _text_key(F.col("text")).alias("t"),
                          F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt"))
-    candidates = dealt.join(_salted(met), ["t", "salt"]).dropDuplicates(["t", "salt"]).dropDuplicates(["t"])
+    one = dealt.join(_salted(met.select("t")), ["t", "salt"], "left_semi").dropDuplicates(["t", "salt"])
+    candidates = one.select("t", "text").dropDuplicates(["t"]).join(met, "t")
     found = candidates.select("t", F.explode(_document_windows(F.col("text"), F.col("met"), short, span, gram)).alias("w"))
     hits = found.select("t", "w.*").join(held, ["n", "a", "b"]).select("t", "item", "place", "n")
     order = Window.partitionBy("t", "item").orderBy("place")  # one text's hits of one item
