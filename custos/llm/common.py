@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from array import array
@@ -198,6 +200,15 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iter
         yield pa.concat_tables(held)
 
 
+def give_back_memory() -> None:
+    """Free memory of this Python worker goes back to the machine: Spark uses a worker again for the next stage's tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def signed(h: np.ndarray) -> pa.Array:
     """64-bit hashes as Spark longs."""
     return pa.array(np.ascontiguousarray(h).view(np.int64))

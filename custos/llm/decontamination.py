@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custos.llm.common import (WordHashes, alnum_words, cuts, discard, gram_hashes, mixed, packed, signed, starts_inside,
-                               stored, winnow)
+from custos.llm.common import (WordHashes, alnum_words, cuts, discard, give_back_memory, gram_hashes, mixed, packed,
+                               signed, starts_inside, stored, winnow)
 
 SPAN = 10
 GRAM = 5
@@ -156,6 +156,7 @@ def _document_prints(text: Column, short: Sequence[int], span: int, gram: int) -
 
     @F.arrow_udf("array<bigint>")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back_memory()
         for texts in batches:
             out = []
             for lo, hi in cuts(texts, PIECE_BYTES):
@@ -205,6 +206,7 @@ def _document_windows(text: Column, met: Column, short: Sequence[int], span: int
 def _n_words(text: Column) -> Column:
     @F.arrow_udf("bigint")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back_memory()
         for texts in batches:
             counts = [np.diff(word_places(texts[lo:hi].to_pylist())[2]) for lo, hi in cuts(texts, PIECE_BYTES)]
             yield pa.array(np.concatenate(counts) if counts else [], pa.int64())

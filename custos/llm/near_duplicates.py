@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custos.llm.common import (WordHashes, alnum_words, cuts, gram_hashes, mixed, packed, starts_inside, stored,
-                               whole_groups)
+from custos.llm.common import (WordHashes, alnum_words, cuts, give_back_memory, gram_hashes, mixed, packed, starts_inside,
+                               stored, whole_groups)
 from custos.llm.components import connected_components
 
 THRESHOLD = 0.8
@@ -84,6 +84,7 @@ def band_hashes(text: Column, banding: Banding, n: int = WORDS) -> Column:
 
     @F.arrow_udf("struct<words:bigint,bands:array<bigint>>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back_memory()
         hashes = WordHashes(alnum_words)
         for texts in batches:
             out: list[pa.Array] = []
@@ -173,6 +174,7 @@ def _verifier(threshold: float, n: int):
         return [keys[x] for x in some], links[some].tolist(), [keys[by_key[label[x]]] for x in some]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         hashes = WordHashes(alnum_words)
         held: tuple[list, list, list] = ([], [], [])
         for group in whole_groups(batches, ["c", "i", "j"]):
