@@ -76,6 +76,73 @@ class WordHashes(dict):
         return np.array(self.raw, dtype=np.uint64)[slots], np.array(ends, np.int64)
 
 
+def hashed_words(texts: list[bytes], seeds: Sequence[int] = (0,)
+                  ) -> tuple[bytes, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """``(data, begins, ends, hashes)`` of the words ``[^\\x20\\x09-\\x0D]+`` of texts, and how many words each text has.
+
+    A word's hash is the sum of random values, one for each byte at its place; a long word's is made of it at once.
+    """
+    data = b" " + b" ".join(texts) + b" "
+    codes = np.frombuffer(data, np.uint8)
+    inside = _IN_WORD[codes]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begin, end = edges[::2], edges[1::2]
+    size = end - begin
+    text_begin = 1 + np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+    n = np.diff(np.searchsorted(begin, text_begin))
+    if not len(size):
+        return data, begin, end, [np.empty(0, np.uint64)] * len(seeds), n
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+    place &= _PLACES - 1
+    place <<= 8
+    place |= codes[inside]
+    hashes = [np.add.reduceat(_BYTE_AT[seed].take(place), first) for seed in seeds]
+    for i in np.flatnonzero(size > _PLACES).tolist():
+        for own, seed in zip(hashes, seeds):
+            own[i] = xxhash.xxh3_64_intdigest(data[begin[i]:end[i]], seed)
+    return data, begin, end, hashes, n
+
+
+def byte_groups(texts: list[bytes | None]) -> Iterator[list[bytes]]:
+    """Texts (null: empty) in groups of about ``HASHED_BYTES``."""
+    room, group = HASHED_BYTES, []
+    for text in texts:
+        group.append(text or b"")
+        room -= len(group[-1])
+        if room <= 0:
+            yield group
+            room, group = HASHED_BYTES, []
+    if group:
+        yield group
+
+
+def different(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For hashes: a place of each different one, and which of them stands at each place."""
+    # the hash's high bits and the place in one number; the whole hash decides
+    mask = np.uint64((1 << len(h).bit_length()) - 1)
+    keyed = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
+    keyed.sort()
+    order = (keyed & mask).astype(np.int64)
+    whole, high = h[order], keyed & ~mask
+    new = np.append(True, whole[1:] != whole[:-1])[:len(h)]
+    if not np.array_equal(new[1:], high[1:] != high[:-1]):
+        order = np.argsort(h, kind="stable")
+        whole = h[order]
+        new = np.append(True, whole[1:] != whole[:-1])
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
+def word_hashes(texts: list[bytes | None], seeds: Sequence[int] = (0,)) -> tuple[list[np.ndarray], np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts one after another, independent ones by seed
+    (0 or 1), and where each text starts (and the last ends)."""
+    parts = [hashed_words(group, seeds) for group in byte_groups(texts)]
+    hashes = [np.concatenate([np.empty(0, np.uint64), *(p[3][i] for p in parts)]) for i in range(len(seeds))]
+    return hashes, np.cumsum(np.concatenate([[0], *(p[4] for p in parts)])).astype(np.int64)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (every output bit depends on every input bit)."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -84,6 +151,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
+# Bytes of words, by seed the value of a byte at each of the first places of a word, and text bytes hashed at a time
+# (their arrays of 64-bit values stay in a core's cache).
+_IN_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+_PLACES = 64
+_BYTE_AT = mixed(np.arange(1, 512 * _PLACES + 1, dtype=np.uint64) * np.uint64(_BASE)).reshape(2, 256 * _PLACES)
+HASHED_BYTES = 1 << 18
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

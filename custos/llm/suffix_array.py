@@ -2,10 +2,12 @@
 
 Suffixes are smaller (S) or larger (L) than their right neighbour; a leftmost
 smaller one (LMS) follows a larger. Sorting the substrings between LMS places
-by induction names them; the names form a string of half the length at most,
-sorted recursively unless all names differ; its order induces the order of
-all suffixes in two linear scans. A scan goes in stretches that do not
-depend on themselves, each a few array operations.
+by induction names them; the names form a string of half the length at most.
+Unless all names differ, its suffixes are sorted too: by pairs of ranks of
+doubling reach, only where they are not yet told apart (recursively where three
+numbers of a place do not fit 63 bits). Their order induces the order of all
+suffixes in two linear scans. A scan goes in stretches that do not depend on
+themselves, each a few array operations.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import numpy as np
 # Places induced in one step, to begin with; shorter steps than the second are followed by single ones.
 _STRETCH = 512
 _SHORT = 16
+# Two ranks and a place are sorted as one number.
+_RANK_BITS = 21
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -22,17 +26,35 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     if not len(symbols):
         return np.empty(0, np.int64)
     # an end smaller than all symbols
-    text = np.append(np.asarray(symbols, np.int64) + 1, 0)
-    return _sort(text, int(text.max()) + 1)[1:]
+    size = int(symbols.max()) + 2
+    text = np.zeros(len(symbols) + 1, _symbol_type(size))
+    np.add(symbols, 1, out=text[:-1], casting="unsafe")
+    return _sort(text, size)[1:]
+
+
+def _symbol_type(size: int) -> np.dtype:
+    """The narrowest type that holds ``size``: symbols lie below it, and it stands for none."""
+    return np.dtype(np.uint8 if size < 1 << 8 else np.uint16 if size < 1 << 16 else np.int32 if size < 1 << 31 else np.int64)
+
+
+def _by_symbol(symbol: np.ndarray) -> np.ndarray:
+    """Places of the symbols in order, equal ones as they come."""
+    if symbol.itemsize <= 2:  # these are sorted by radix
+        return np.argsort(symbol, kind="stable")
+    bits = len(symbol).bit_length()
+    if symbol.itemsize > 4 or bits > 31:
+        return np.argsort(symbol, kind="stable")
+    keyed = (symbol.astype(np.int64) << bits) | np.arange(len(symbol))
+    keyed.sort()
+    return keyed & ((1 << bits) - 1)
 
 
 def smaller_types(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than its right neighbour (the last counts as smaller)."""
-    step = np.sign(np.diff(text))
     # equal neighbours take the type of the next unequal pair
-    at = np.where(step != 0, np.arange(len(step)), len(step))
-    nearest = np.minimum.accumulate(at[::-1])[::-1]
-    return np.append(np.append(step, 1)[nearest] > 0, True)
+    at = np.flatnonzero(text[1:] != text[:-1])
+    grows = np.append(text[at] < text[at + 1], True)
+    return np.repeat(grows, np.diff(np.concatenate([[-1], at, [len(text) - 1]])))
 
 
 def _sort(text: np.ndarray, size: int) -> np.ndarray:
@@ -48,17 +70,17 @@ def _sort(text: np.ndarray, size: int) -> np.ndarray:
     order = order[is_lms[order]]
     names, distinct = _names(text, lms, order)
     if distinct < len(lms):
-        by_name = _sort(names, distinct)
+        by_name = _sort_names(names) if len(lms).bit_length() <= _RANK_BITS else _sort(names, distinct)
     else:
-        by_name = np.empty(len(lms), np.int64)
-        by_name[names] = np.arange(len(lms))
+        by_name = np.empty(len(lms), np.int32)
+        by_name[names] = np.arange(len(lms), dtype=np.int32)
     return induce(lms[by_name])
 
 
 def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
     """Names of the LMS substrings in text order, equal ones alike, and how many there are."""
-    place = np.empty(len(text), np.int64)
-    place[lms] = np.arange(len(lms))
+    place = np.empty(len(text), np.int32)
+    place[lms] = np.arange(len(lms), dtype=np.int32)
     # from one LMS place to the next, both included; the last is the end alone
     length = np.append(np.diff(lms) + 1, 1)
     at = place[order]
@@ -72,9 +94,44 @@ def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.nda
         todo = todo[equal]
         todo = todo[left[todo] > offset]
     rank = np.append(0, np.cumsum(~same))
-    names = np.empty(len(lms), np.int64)
+    distinct = int(rank[-1]) + 1
+    names = np.empty(len(lms), _symbol_type(distinct))
     names[at] = rank
-    return names, int(rank[-1]) + 1
+    return names, distinct
+
+
+def _sort_names(names: np.ndarray) -> np.ndarray:
+    """The suffixes of a string of names in order, by doubling: the last name is the smallest and occurs once."""
+    n, bits = len(names), len(names).bit_length()
+    low = (1 << bits) - 1
+    rank = np.append(names.astype(np.int64) + 1, 0)
+    order = rank[:n] << bits | np.arange(n)
+    order.sort()
+    order &= low
+    # rank: how many suffixes are smaller by what is known, plus one; only suffixes that share theirs are open
+    first = np.flatnonzero(np.append(True, rank[order[1:]] != rank[order[:-1]]))
+    many = np.diff(np.append(first, n))
+    rank[order] = np.repeat(first + 1, many)
+    open_ = order[np.repeat(many > 1, many)]
+    reach = 1
+    while len(open_):
+        own = rank[open_]
+        keyed = (own << bits | rank[np.minimum(open_ + reach, n)]) << bits | open_
+        keyed.sort()
+        pairs, open_ = keyed >> bits, keyed & low
+        own = pairs >> bits
+        place = np.arange(len(open_))
+        new_group = np.append(True, own[1:] != own[:-1])
+        new = np.append(True, pairs[1:] != pairs[:-1])
+        # where a suffix stands in its old group tells how much its rank grows
+        group = np.maximum.accumulate(np.where(new_group, place, 0))
+        first = np.flatnonzero(new)
+        many = np.diff(np.append(first, len(open_)))
+        rank[open_] = own + np.repeat(first, many) - group
+        order[own - 1 + place - group] = open_
+        open_ = open_[np.repeat(many > 1, many)]
+        reach *= 2
+    return order
 
 
 class _Induction:
@@ -85,25 +142,32 @@ class _Induction:
         counts = np.bincount(text, minlength=size)
         self.end = np.cumsum(counts)
         self.start = self.end - counts
+        self.larger_before, self.smaller_before = self._before(~smaller), self._before(smaller)
+
+    def _before(self, wanted: np.ndarray) -> np.ndarray:
+        """For each place the symbol before it, ``size`` if that place is not wanted; the last entry is for no place."""
+        out = np.full(len(self.text) + 1, self.size, _symbol_type(self.size))
+        np.copyto(out[1:-1], self.text[:-1], where=wanted[:-1], casting="unsafe")
+        return out
 
     def __call__(self, lms: np.ndarray) -> np.ndarray:
         n = len(self.text)
-        array = np.full(n, -1, np.int64)
+        array = np.full(n, -1, np.int32 if n < 1 << 31 else np.int64)
         symbol = self.text[lms]
-        by = np.argsort(symbol, kind="stable")
+        by = _by_symbol(symbol)
         counts = np.bincount(symbol, minlength=self.size)
         first = np.cumsum(counts) - counts
         symbol = symbol[by]
         # the last places of their buckets, in order
         array[self.end[symbol] - counts[symbol] + np.arange(len(lms)) - first[symbol]] = lms[by]
-        self._scan(array, self.start.copy(), ~self.smaller)
+        self._scan(array, self.start.copy(), self.larger_before)
         array[(array >= 0) & self.smaller[array]] = -1
         array[0] = n - 1
         # the same from the right: smaller suffixes fill their buckets from the end
-        self._scan(array[::-1], n - self.end, self.smaller)
+        self._scan(array[::-1], n - self.end, self.smaller_before)
         return array
 
-    def _scan(self, array: np.ndarray, free: np.ndarray, wanted: np.ndarray) -> None:
+    def _scan(self, array: np.ndarray, free: np.ndarray, symbol_before: np.ndarray) -> None:
         """Go through ``array``; each suffix puts the wanted one before it on its bucket's next free place.
 
         Stretches are done in one step each. What a stretch induces always
@@ -112,38 +176,40 @@ class _Induction:
         at, size, n = 0, _STRETCH, len(array)
         while at < n:
             stop = min(at + size, n)
-            source = np.flatnonzero(array[at:stop] > 0)
-            before = array[at + source] - 1
-            ok = wanted[before]
-            source, before = source[ok], before[ok]
-            if len(before):
-                symbol = self.text[before]
-                by = np.argsort(symbol, kind="stable")
-                symbol, before = symbol[by], before[by]
-                new = np.append(True, symbol[1:] != symbol[:-1])
-                first = np.flatnonzero(new)
-                target = free[symbol] + np.arange(len(by)) - first[np.cumsum(new) - 1]
-                low = int(target.min())
+            found = symbol_before[array[at:stop]]
+            source = np.flatnonzero(found != self.size)
+            if len(source):
+                symbol = found[source]
+                low = int(free[symbol].min()) if len(source) < self.size else int(
+                    free[np.flatnonzero(np.bincount(symbol, minlength=self.size))].min())
                 if low < stop:
-                    keep = source[by] + at < low
-                    symbol, before, target, stop = symbol[keep], before[keep], target[keep], low
-                array[target] = before
-                last = np.flatnonzero(np.append(symbol[1:] != symbol[:-1], True))
-                free[symbol[last]] = target[last] + 1
+                    # every symbol's first place is free, so none lies before the lowest
+                    stop = max(low, at + 1)
+                    source = source[:np.searchsorted(source, stop - at)]
+                    symbol = symbol[:len(source)]
+            if len(source):
+                by = _by_symbol(symbol)
+                symbol = symbol[by]
+                first = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
+                first = np.concatenate([[0], first, [len(by)]])
+                many, kinds = np.diff(first), symbol[first[:-1]]
+                target = np.arange(len(by)) + np.repeat(free[kinds] - first[:-1], many)
+                array[target] = array[at + source[by]] - 1
+                free[kinds] += many
             if stop - at < _SHORT:
-                at = self._step(array, free, wanted, stop)
+                at = self._step(array, free, symbol_before, stop)
             else:
                 size = min(max(_STRETCH, 2 * (stop - at)), 1 << 16)
                 at = stop
 
-    def _step(self, array: np.ndarray, free: np.ndarray, wanted: np.ndarray, at: int) -> int:
+    def _step(self, array: np.ndarray, free: np.ndarray, symbol_before: np.ndarray, at: int) -> int:
         """A stretch place by place, for runs that fill the very next places."""
         stop = min(at + _STRETCH, len(array))
         for i in range(at, stop):
-            j = int(array[i]) - 1
-            if j >= 0 and wanted[j]:
-                c = self.text[j]
-                array[free[c]] = j
+            j = int(array[i])
+            c = int(symbol_before[j])
+            if c != self.size:
+                array[free[c]] = j - 1
                 free[c] += 1
         return stop
 

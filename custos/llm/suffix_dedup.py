@@ -35,11 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custos.llm.common import cuts, discard, gram_hashes, joined_grams, mixed, signed, sliding, starts_inside, stored
+from custos.llm.common import HASHED_BYTES, cuts, discard, joined_grams, mixed, signed, sliding, starts_inside, stored
 from custos.llm.suffix_array import permuted_common_prefixes, suffix_array
 from custos.session import ensure_checkpoint_dir, is_local
 
@@ -61,7 +62,7 @@ def gram_length(length: int) -> int:
 
 def byte_grams(data: np.ndarray, k: int) -> np.ndarray:
     """Mixed hashes of every ``k`` consecutive bytes."""
-    h, have = gram_hashes(mixed(data.astype(np.uint64) + np.uint64(1)), 1), 1
+    h, have = mixed(np.arange(1, 257, dtype=np.uint64))[data], 1
     while have < k:
         shift = min(have, k - have)
         h = joined_grams(h, shift, shift)
@@ -108,7 +109,7 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, copies, column = batch.columns
-            for lo, hi in cuts(column):
+            for lo, hi in cuts(column, HASHED_BYTES):
                 part = column[lo:hi].to_pylist()
                 data, ends = _concatenated(part)
                 first, last, anchor, h = anchored_segments(data, ends, length)
@@ -141,7 +142,7 @@ def join_by_weight(rows: DataFrame, unique: DataFrame, keys: list[str], weight:
     return met.unionByName(left.join(rest, keys).select(*met.columns))
 
 
-def shard_repeats(segments: list[bytes], weights: np.ndarray, length: int) -> list[list[int]]:
+def shard_repeats(segments: list[bytes], weights: np.ndarray, length: int) -> pa.ListArray:
     """For each segment, the stretches (first window, behind the last) of its windows that repeat."""
     sizes = np.array([len(s) for s in segments])
     # a 0 ends every segment, bytes are moved up by one: 255 is no byte of UTF-8
@@ -154,17 +155,25 @@ def shard_repeats(segments: list[bytes], weights: np.ndarray, length: int) -> li
     after = np.zeros(len(text), np.int64)
     after[array[:-1]] = agree[array[1:]]
     longest = np.maximum(agree, after)
-    out = []
-    for begin, size, weight in zip(begins.tolist(), sizes.tolist(), weights.tolist()):
-        windows = size - length + 1
-        out.append([0, windows] if weight > 1 else stretches(longest[begin:begin + windows] >= length))
-    return out
+    windows = sizes - length + 1
+    # behind a segment's last window lies the rest of its bytes: no stretch goes on into the next one
+    segment = np.repeat(np.arange(len(sizes)), sizes + 1)
+    hit = (longest >= length) | (weights > 1)[segment]
+    hit &= np.arange(len(text)) < (begins + windows)[segment]
+    edges = np.flatnonzero(np.diff(hit, prepend=False, append=False))
+    owner = segment[edges[::2]]
+    return _lists(owner, (edges.reshape(-1, 2) - begins[owner][:, None]).ravel(), len(sizes), pa.int32())
+
+
+def _owners(lists: pa.ListArray) -> np.ndarray:
+    """The row of each value of the lists."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
 
 
-def stretches(hit: np.ndarray) -> list[int]:
-    """``[first, behind the last, ...]`` of the stretches of true values."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    return edges.tolist()
+def _lists(owner: np.ndarray, edges: np.ndarray, rows: int, kind: pa.DataType) -> pa.ListArray:
+    """``edges`` as one list a row; ``owner`` has the row of each two of them, in order."""
+    offsets = 2 * np.searchsorted(owner, np.arange(rows + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(edges, kind))
 
 
 def _found_in_shards(segments: DataFrame, length: int, shard_bytes: int) -> DataFrame:
@@ -174,8 +183,8 @@ def _found_in_shards(segments: DataFrame, length: int, shard_bytes: int) -> Data
 
     def sort(table: pa.Table) -> pa.Table:
         spans = shard_repeats(table.column("bytes").to_pylist(), table.column("w").to_numpy(), length)
-        return pa.table([table.column("h"), table.column("sid"), table.column("rows"),
-                         pa.array(spans, pa.list_(pa.int32()))], names=["h", "sid", "rows", "spans"])
+        return pa.table([table.column("h"), table.column("sid"), table.column("rows"), spans],
+                        names=["h", "sid", "rows", "spans"])
 
     shard = F.pmod(F.xxhash64("h"), F.lit(shards))
     return segments.select(shard.alias("shard"), "h", "sid", "rows", "w", "bytes").groupBy("shard").applyInArrow(
@@ -240,14 +249,15 @@ def repeated_places(texts: DataFrame, length: int, group_segments: int, shard_by
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                out = [[], [], [], [], [], []]
-                for s in wanted:
-                    first, more, _ = unpack_place(s["place"])
-                    for column, v in zip(out, (s["h"], s["sid"], s["rows"], s["w"], s["m"], text[first:first + more + length])):
-                        column.append(v)
+            column, wanted = batch.columns
+            for lo, hi in cuts(column):
+                own = wanted[lo:hi]
+                row, flat = _owners(own), own.flatten()
+                first, more, _ = unpack_place(flat.field("place").to_numpy())
+                part = column[lo:hi].to_pylist()
+                cut_out = [part[r][a:b] for r, a, b in zip(row.tolist(), first.tolist(), (first + more + length).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.binary())],
+                    [*(flat.field(name) for name in ("h", "sid", "rows", "w", "m")), pa.array(cut_out, pa.binary())],
                     names=["h", "sid", "rows", "w", "m", "bytes"])
 
     cut_out = texts.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(
@@ -262,15 +272,24 @@ def repeated_places(texts: DataFrame, length: int, group_segments: int, shard_by
     return stored(placed.groupBy("key").agg(F.collect_list(F.struct("place", "spans")).alias("found")), "found-places")
 
 
-def removed_bytes(size: int, found: list[dict] | None, length: int) -> np.ndarray:
-    """Which bytes of a text lie in a repeated window."""
-    cover = np.zeros(size + 1, np.int64)
-    for f in found or ():
-        first = unpack_place(f["place"])[0]
-        spans = np.array(f["spans"], np.int64).reshape(-1, 2) + first
-        np.add.at(cover, spans[:, 0], 1)
-        np.add.at(cover, spans[:, 1] - 1 + length, -1)
-    return np.cumsum(cover)[:-1] > 0
+def removed_runs(found: pa.ListArray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, first byte, behind the last)`` of the maximal runs of bytes in repeated windows, in order."""
+    flat = found.flatten()
+    text, first = _owners(found), unpack_place(flat.field("place").to_numpy())[0]
+    spans = flat.field("spans")
+    edges = spans.flatten().to_numpy().astype(np.int64).reshape(-1, 2)
+    owner = _owners(spans)[::2]
+    text, first = text[owner], first[owner]
+    begin, end = first + edges[:, 0], first + edges[:, 1] - 1 + length
+    by = np.lexsort((begin, text))
+    text, begin, end = text[by], begin[by], end[by]
+    # texts one behind another, more than a byte apart: runs of two texts never touch
+    room = int(end.max(initial=0)) + 2
+    reach = np.maximum.accumulate(text * room + end)
+    new = np.append(True, text[1:] * room + begin[1:] > reach[:-1])[:len(text)]
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(text))[:len(at)] - 1
+    return text[at], begin[at], reach[last] - text[at] * room
 
 
 def remove_repeats(docs: DataFrame, doc_id: Column, text: Column, length: int = LENGTH, with_bytes: bool = True,
@@ -291,20 +310,19 @@ def remove_repeats(docs: DataFrame, doc_id: Column, text: Column, length: int =
         for batch in batches:
             keys, copies, column, found = batch.columns
             for lo, hi in cuts(column):
-                n, gone, spans, digests, kept = [], [], [], [], []
-                for t, f in zip(column[lo:hi].to_pylist(), found[lo:hi].to_pylist()):
-                    away = removed_bytes(len(t), f, length)
-                    edges = stretches(away)
-                    pieces = [t[a:b] for a, b in zip([0, *edges[1::2]], [*edges[::2], len(t)])]
-                    rest = b"".join(pieces)
-                    n.append(len(t))
-                    gone.append(int(away.sum()))
-                    spans.append(edges)
-                    digests.append(hashlib.sha256(rest).hexdigest())
-                    kept.append(rest if with_bytes else None)
+                part = column[lo:hi].to_pylist()
+                text, begin, end = removed_runs(found[lo:hi], length)
+                gone = np.zeros(len(part), np.int64)
+                np.add.at(gone, text, end - begin)
+                edges = _lists(text, np.stack([begin, end], 1).ravel(), len(part), pa.int64())
+                kept = list(part)
+                for i in np.unique(text).tolist():
+                    e = edges[i].as_py()
+                    kept[i] = b"".join([part[i][a:b] for a, b in zip([0, *e[1::2]], [*e[::2], len(part[i])])])
+                digests = [hashlib.sha256(rest).hexdigest() for rest in kept]
                 yield pa.RecordBatch.from_arrays(
-                    [keys[lo:hi], copies[lo:hi], pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                     pa.array(spans, pa.list_(pa.int64())), pa.array(digests, pa.string()), pa.array(kept, pa.binary())],
+                    [keys[lo:hi], copies[lo:hi], pa.array([len(t) for t in part], pa.int64()), pa.array(gone), edges,
+                     pa.array(digests, pa.string()), pa.array(kept if with_bytes else [None] * len(part), pa.binary())],
                     names=["key", "n", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
 
     schema = "key binary, n long, n_bytes long, n_removed long, spans array<long>, kept_sha256 string, kept binary"

@@ -84,3 +84,28 @@ def test_components_match_union_find(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_hashed_at_once(monkeypatch):
+    rng = random.Random(11)
+    texts = [bytes(rng.choice(b"ab \x09\x0b\x0d\x1c\x85\xc3") for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts += [None, b"", b"  ", b"x" * 70 + b"y", b"y" + b"x" * 70, b"x" * 64 + b" " + b"x" * 128, b"ab ba"]
+    flat = [w for t in texts for w in (t or b"").split()]
+    n = [len((t or b"").split()) for t in texts]
+    (one, other), ends = common.word_hashes(texts, (0, 1))
+    assert ends.tolist() == np.append(0, np.cumsum(n)).tolist()
+    for h in (one, other):
+        assert len(set(zip(h.tolist(), flat))) == len(set(h.tolist())) == len(set(flat))
+    assert not (one == other).any()
+    for none in ([], [None], [b" ", b""]):
+        assert common.word_hashes(none)[1].tolist() == [0] * (len(none) + 1)
+    monkeypatch.setattr(common, "HASHED_BYTES", 40)
+    (again,), places = common.word_hashes(texts)
+    assert (again == one).all() and (places == ends).all()
+
+
+@pytest.mark.parametrize("values", [[], [5], [1 << 60, 3, 1 << 60, 3, 4], [(1 << 60) + i % 3 for i in range(50)],
+                                    [(i * i % 37) << 50 for i in range(200)]])
+def test_different_hashes(values):
+    at, back = common.different(np.array(values, np.uint64))
+    assert len(at) == len(set(values)) and [values[at[i]] for i in back.tolist()] == values

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from custos.llm import suffix_array, suffix_dedup
@@ -102,3 +103,35 @@ def test_equal_windows_have_equal_anchors():
             covered.add(p)
             assert seen.setdefault(data[p:p + 12].tobytes(), (x, a - p)) == (x, a - p)
     assert covered == {p for b, e in zip(ends, ends[1:]) for p in range(b, e - 11)}
+
+
+def test_names_are_sorted_without_recursion(monkeypatch):
+    """Two inductions of two scans each, however deep the repeats; the recursion gives the same order."""
+    rng = random.Random(9)
+    passage = bytes(rng.choice(b"abcd") for _ in range(700))
+    data = np.frombuffer(b"".join(passage[rng.randrange(300):] for _ in range(9)), np.uint8)
+    want = sorted(range(len(data)), key=lambda i: data.tobytes()[i:])
+    scans, whole = [], suffix_array._Induction._scan
+    monkeypatch.setattr(suffix_array._Induction, "_scan", lambda *a: scans.append(1) or whole(*a))
+    assert suffix_array.suffix_array(data).tolist() == want and len(scans) == 4
+    monkeypatch.setattr(suffix_array, "_RANK_BITS", 0)
+    assert suffix_array.suffix_array(data).tolist() == want and len(scans) > 8
+
+
+def test_runs_of_sliced_lists():
+    rng = random.Random(2)
+    length, found = 5, []
+    for _ in range(40):
+        found.append(rng.choice([None, []]) if rng.random() < 0.3 else [
+            {"place": suffix_dedup.pack_place(rng.randrange(60), 3, 1), "spans": rng.choice([[], [0, 2], [0, 1, 4, 9]])}
+            for _ in range(rng.randrange(1, 4))])
+    kind = pa.list_(pa.struct([("place", pa.int64()), ("spans", pa.list_(pa.int32()))]))
+    text, begin, end = suffix_dedup.removed_runs(pa.array([found[0], *found], kind)[1:], length)
+    for i, own in enumerate(found):
+        gone = np.zeros(100, bool)
+        for f in own or ():
+            at = suffix_dedup.unpack_place(f["place"])[0]
+            for a, b in zip(f["spans"][::2], f["spans"][1::2]):
+                gone[at + a:at + b - 1 + length] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
+        assert np.stack([begin[text == i], end[text == i]], 1).ravel().tolist() == edges.tolist()
