@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custos.llm.common import (WordHashes, cuts, discard, gram_hashes, joined_grams, mixed, signed, sliding, space_words,
-                               starts_inside, stored, winnow)
+from custos.llm.common import (HASHED_BYTES, cuts, discard, gram_hashes, joined_grams, mixed, signed, sliding, space_words,
+                               starts_inside, stored, winnow, word_hashes)
 from custos.llm.suffix_dedup import join_by_weight
 from custos.session import ensure_checkpoint_dir, is_local
 
@@ -133,11 +133,10 @@ def _anchors(texts: DataFrame, levels: Levels) -> DataFrame:
     names = ["key", "at", "w", "h", *[f"{side}{i}" for i in range(len(levels.middle)) for side in "rl"]]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(space_words)
         for batch in batches:
             keys, copies, column = batch.columns
-            for lo, hi in cuts(column):
-                words, ends = hashes.of(column[lo:hi].to_pylist())
+            for lo, hi in cuts(column, 4 * HASHED_BYTES):
+                (words,), ends = word_hashes(column[lo:hi].to_pylist())
                 grams = levels.grams(words, len(levels.lengths) - 1)
                 at = levels.anchors(grams[0], ends)
                 if not len(at):
@@ -198,12 +197,10 @@ def _windows(texts: DataFrame, levels: Levels) -> DataFrame:
     ``texts`` has ``key, n, text`` and ``live``, its surviving anchors (null where all windows are counted).
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, other = WordHashes(space_words), WordHashes(space_words, seed=1)
         for batch in batches:
             keys, copies, column, live = batch.columns
-            for lo, hi in cuts(column):
-                part = column[lo:hi].to_pylist()
-                words, ends = one.of(part)
+            for lo, hi in cuts(column, 4 * HASHED_BYTES):
+                (words, others), ends = word_hashes(column[lo:hi].to_pylist(), seeds=(0, 1))
                 grams = levels.grams(words)
                 lists = live[lo:hi]
                 flat = lists.flatten()
@@ -217,7 +214,7 @@ def _windows(texts: DataFrame, levels: Levels) -> DataFrame:
                     continue
                 row = np.searchsorted(ends, start, "right") - 1
                 own = pa.array(row + lo)
-                second = levels.grams(other.of(part)[0])[-1]
+                second = levels.grams(others)[-1]
                 yield pa.RecordBatch.from_arrays(
                     [signed(mixed(grams[-1][start])), signed(mixed(second[start])), keys.take(own),
                      pa.array((start - ends[row]).astype(np.int32)), copies.take(own)], names=["a", "b", "key", "start", "w"])
