@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
@@ -39,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custos.llm.common import cuts, lower_space_words, signed, stored
+from custos.llm.common import byte_groups, cuts, different, hashed_words, signed, stored
 
 # Words with a class of their own, and classes of all other words.
 OWN_CLASSES = 47
@@ -48,8 +47,8 @@ HIDDEN = 24
 WINDOW = 16
 LANES = 256
 SCORE_LANES = 256
-# States whose softmax is worked out at a time.
-SOFTMAX_ROWS = 2048
+# States whose softmax is worked out at a time: its numerators stay in a core's cache.
+SOFTMAX_ROWS = 512
 ROUNDS = 2
 RATE = 0.01
 FREQUENT = 1 << 18
@@ -58,42 +57,39 @@ BUFFER_TOKENS = 4_000_000
 END = xxhash.xxh3_64_intdigest(b"")  # words are never empty
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0)) ^ (table >> np.uint32(1))
+    return table
+
+
+_CRC = _crc_table()
+
+
 def ending_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDING_CLASSES
 
 
-class Tokens(dict):
-    """Cached hashes and ending classes of words; emptied beyond ``limit`` words or 32 MB of them."""
-
-    def __init__(self, limit: int = 300_000) -> None:
-        super().__init__()
-        self.limit = limit
-        self._empty()
-
-    def _empty(self) -> None:
-        self.clear()
-        self.hashes, self.classes, self.bytes = array("Q", [END]), array("h", [-1]), 0
-
-    def __missing__(self, word: bytes) -> int:
-        slot = self[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        self.classes.append(ending_class(word))
-        self.bytes += len(word)
-        return slot
-
-    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(hashes, ending classes, lengths)`` of texts one after another, each closed by the end token (class -1)."""
-        if len(self) > self.limit or self.bytes > 32 << 20:
-            self._empty()
-        get, parts, n = self.__getitem__, [], []
-        for text in texts:
-            words = lower_space_words(text) if text else ()
-            slots = np.zeros(len(words) + 1, np.int64)
-            slots[:-1] = np.fromiter(map(get, words), np.int64, len(words))
-            parts.append(slots)
-            n.append(len(slots))
-        slots = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        return np.array(self.hashes, np.uint64)[slots], np.array(self.classes, np.int16)[slots], np.array(n, np.int64)
+def ending_classes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """:func:`ending_class` of the words of ``data`` at the given places."""
+    codes, crc = np.frombuffer(data, np.uint8), np.full(len(end), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        at = end - back
+        more = _CRC[(crc ^ codes[at]) & np.uint32(0xFF)] ^ (crc >> np.uint32(8))
+        crc = np.where(at >= begin, more, crc)
+    return (~crc % np.uint32(ENDING_CLASSES)).astype(np.int16)
+
+
+def tokens_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(hashes, ending classes, lengths)`` of texts one after another, each closed by the end token (class -1)."""
+    parts = [(np.empty(0, np.uint64), np.empty(0, np.int16), np.empty(0, np.int64))]
+    for group in byte_groups([text.lower() if text else None for text in texts]):
+        data, begin, end, (h,), n = hashed_words(group)
+        parts.append((h, ending_classes(data, begin, end), n))
+    h, ending, n = (np.concatenate(x) for x in zip(*parts))
+    ends = np.cumsum(n)
+    return np.insert(h, ends, np.uint64(END)), np.insert(ending, ends, -1), n + 1
 
 
 class Room(dict):
@@ -137,41 +133,52 @@ class Network:
             at += p.size
         return Network(*out)
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def split(self) -> tuple[np.ndarray, ...]:
+        """What :meth:`step` multiplies with: tables and inner weights of the gates, negative, and of the candidate."""
+        k = len(self.bias)
+        return (-self.table[:, :2 * k], np.ascontiguousarray(self.table[:, 2 * k:]),
+                -self.inner[:, :2 * k], np.ascontiguousarray(self.inner[:, 2 * k:]))
+
+    def step(self, x: np.ndarray, h: np.ndarray, split: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
         k = h.shape[1]
-        a, u = self.table.take(x, 0), h @ self.inner
-        gates = a[:, :2 * k] + u[:, :2 * k]
-        np.negative(gates, out=gates)
+        gate_table, new_table, gate_inner, new_inner = split or self.split()
+        gates = h @ gate_inner
+        gates += gate_table.take(x, 0)
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
         z, r = gates[:, :k], gates[:, k:]
-        m = u[:, 2 * k:] + self.bias
+        m = h @ new_inner
+        m += self.bias
         n = r * m
-        n += a[:, 2 * k:]
+        n += new_table.take(x, 0)
         np.tanh(n, out=n)
         new = h - n
         new *= z
         new += n
         return new, z, r, m, n
 
-    def softmax(self, h: np.ndarray, y: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numerators after each state, their sums, and the logarithm of the numerator of class ``y``."""
+    def softmax(self, h: np.ndarray, y: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Numerators after each state but for a factor of each class, these factors, the sums of the whole numerators, and
+        the logarithm of the numerator of class ``y``."""
         p = np.matmul(h, self.out, out=room.array("softmax", len(h), self.out.shape[1], dtype=h.dtype))
-        p += self.prior
+        own, factor = p[np.arange(len(p)), y] + self.prior[y], np.exp(self.prior)
         # states lie in (-1, 1): what no logit can exceed needs no shift
         if (np.abs(self.out).sum(0) + np.abs(self.prior)).max() > 60:
-            p -= p.max(1, keepdims=True)
-        own = p[np.arange(len(p)), y]
+            p += self.prior
+            top = p.max(1, keepdims=True)
+            p -= top
+            own -= top[:, 0]
+            factor = np.ones_like(factor)
         np.exp(p, out=p)
-        return p, p @ np.ones(p.shape[1], p.dtype), own
+        return p, factor, p @ factor, own
 
     def log_probabilities(self, h: np.ndarray, y: np.ndarray, room: Room | None = None) -> np.ndarray:
         """Natural log-probability of class ``y`` after each state."""
         room, out = room or Room(), np.empty(len(h), h.dtype)
         for lo in range(0, len(h), SOFTMAX_ROWS):
             part = slice(lo, lo + SOFTMAX_ROWS)
-            _, total, own = self.softmax(h[part], y[part], room)
+            _, _, total, own = self.softmax(h[part], y[part], room)
             out[part] = own - np.log(total)
         return out
 
@@ -181,19 +188,29 @@ class Network:
         k = h.shape[1]
         room = room or Room()
         begun, states, z, r, m, n, by_n, by_z, by_r, one = room.array("cells", 10, steps, lanes, k)
+        split = self.split()
         for t in range(steps):
             np.multiply(h, keep[t][:, None], out=begun[t])
-            h, z[t], r[t], m[t], n[t] = self.step(x[t], begun[t])
+            h, z[t], r[t], m[t], n[t] = self.step(x[t], begun[t], split)
             states[t] = h
         flat = states.reshape(-1, k)
-        at, w = np.arange(len(flat)), weight.ravel()
-        p, total, own = self.softmax(flat.astype(self.out.dtype, copy=False), y.ravel(), room)
-        loss = -((own - np.log(total)) * w).sum()
-        w = w / max(1.0, w.sum())
-        p *= (w / total)[:, None]
-        p[at, y.ravel()] -= w
-        d_out, d_prior = flat.T @ p, p.sum(0)
-        d_states = np.matmul(p, self.out.T, out=room.array("states", len(flat), k, dtype=p.dtype)).reshape(steps, lanes, k)
+        w, targets, loss = weight.ravel(), y.ravel(), 0.0
+        share = w / max(1.0, w.sum())
+        d_out, d_prior = np.zeros_like(self.out), np.zeros_like(self.prior)
+        d_states = room.array("states", len(flat), k, dtype=self.out.dtype)
+        for lo in range(0, len(flat), SOFTMAX_ROWS):
+            part = slice(lo, lo + SOFTMAX_ROWS)
+            own_states, own_y = flat[part].astype(self.out.dtype, copy=False), targets[part]
+            p, factor, total, own = self.softmax(own_states, own_y, room)
+            loss -= ((own - np.log(total)) * w[part]).sum()
+            # the gradient of a logit is p times its class's factor times the state's, so both are left out of the large array
+            p[np.arange(len(p)), own_y] -= total / factor[own_y]
+            by_state = share[part] / total
+            d_out += ((own_states * by_state[:, None]).T @ p) * factor
+            d_prior += (by_state @ p) * factor
+            np.matmul(p, (self.out * factor).T, out=d_states[part])
+            d_states[part] *= by_state[:, None]
+        d_states = d_states.reshape(steps, lanes, k)
         # what a state's gradient is multiplied by, for all steps at once
         np.subtract(1, z, out=one)
         np.multiply(n, n, out=by_n)
@@ -220,7 +237,7 @@ class Network:
             dh *= keep[t][:, None]
         d_in[..., :2 * k] = d_hidden[..., :2 * k]
         d_hidden = d_hidden.reshape(-1, 3 * k)
-        d_inner, d_bias = begun.reshape(-1, k).T @ d_hidden, d_hidden[:, 2 * k:].sum(0)
+        d_inner, d_bias = begun.reshape(-1, k).T @ d_hidden, (np.ones(len(d_hidden), d_hidden.dtype) @ d_hidden)[2 * k:]
         order = np.argsort(x, axis=None, kind="stable")
         used, first = np.unique(x.ravel()[order], return_index=True)
         d_table = np.zeros(self.table.shape, np.float32)
@@ -324,35 +341,51 @@ class Vocabulary:
         return found, np.where(found, self.frequent_count[place], 0)
 
     def class_of(self, hashes: np.ndarray, ending: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
-        return np.where(self.own[at] == hashes, self.own_class[at], ending).astype(np.int16)
+        # the high bits nearly always tell the few own words apart
+        high = self.own >> np.uint64(48)
+        if len(np.unique(high)) == len(high):
+            slots = np.zeros(1 << 16, np.int16)
+            slots[high] = np.arange(len(high))
+            at = slots[hashes >> np.uint64(48)]
+        else:
+            at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
+        return np.where(self.own[at] == hashes, self.own_class.astype(np.int16)[at], ending)
 
 
 def count_tokens(train: DataFrame) -> DataFrame:
-    """``(h, ending, n)`` of all tokens of all rows of ``train`` (binary ``text``)."""
+    """``(h, x, ending, n)`` of all tokens of all rows of ``train`` (binary ``text``); ``x`` is a hash that orders words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, held, size = Tokens(), [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            h, at, n = np.unique(np.concatenate([x for x, _ in held]), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([signed(h), pa.array(np.concatenate([c for _, c in held])[at]),
-                                               pa.array(n)], names=["h", "ending", "n"])
+            h, x, ending, n = (np.concatenate(c) for c in zip(*held))
+            at, back = different(h)
+            n = np.bincount(back, n, len(at)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([signed(h[at]), signed(x[at]), pa.array(ending[at]), pa.array(n)],
+                                              names=["h", "x", "ending", "n"])
 
         for batch in batches:
             texts = batch.column(0)
             for lo, hi in cuts(texts):
-                h, c, _ = tokens.of(texts[lo:hi].to_pylist())
-                held.append((h, c))
-                size += len(h)
+                part = texts[lo:hi].to_pylist()
+                held.append((np.array([END], np.uint64), np.array([END], np.uint64), np.array([-1], np.int16), np.array([len(part)])))
+                for group in byte_groups([text.lower() if text else None for text in part]):
+                    data, begin, end, (h,), _ = hashed_words(group)
+                    at, back = different(h)
+                    begin, end = begin[at], end[at]
+                    x = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(begin.tolist(), end.tolist())]
+                    held.append((h[at], np.array(x, np.uint64), ending_classes(data, begin, end),
+                                 np.bincount(back, minlength=len(at))))
+                    size += len(at)
                 if size >= BUFFER_TOKENS // 4:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    counted = train.select("text").mapInArrow(count, "h long, ending short, n long")
-    return counted.groupBy("h").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
+    counted = train.select("text").mapInArrow(count, "h long, x long, ending short, n long")
+    return counted.groupBy("h").agg(F.first("x").alias("x"), F.first("ending").alias("ending"), F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
@@ -369,8 +402,9 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     top = counts.filter(step >= least).toPandas() if least is not None else counts.limit(0).toPandas()
     hashes = top["h"].to_numpy().astype(np.int64).view(np.uint64)
     n = top["n"].to_numpy().astype(np.int64)
-    by_count = [int(h) for h in hashes[np.lexsort((hashes, -n))] if int(h) != END][:OWN_CLASSES]
-    own = np.array(sorted([END, *by_count]), np.uint64)
+    x = top["x"].to_numpy().astype(np.int64).view(np.uint64)
+    by_count = [(int(x[i]), int(hashes[i])) for i in np.lexsort((x, -n)) if int(hashes[i]) != END][:OWN_CLASSES]
+    own = np.array([h for _, h in sorted([(END, END), *by_count])], np.uint64)
     known = F.col("h").isin([int(x) for x in own.view(np.int64)])
     per_class = counts.filter(~known).groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     mass, kinds = np.zeros(ENDING_CLASSES), np.zeros(ENDING_CLASSES)
@@ -378,8 +412,8 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
         mass[r["ending"]], kinds[r["ending"]] = r["n"], r["v"]
     own_n = {int(h): int(c) for h, c in zip(hashes, n)}
     weight = np.concatenate([mass, [own_n.get(int(h), 0) for h in own]]) + 0.5
-    order = np.argsort(hashes)
-    return Vocabulary(int(total[0]), int(total[1]), own, np.arange(len(own)) + ENDING_CLASSES, hashes[order], n[order],
+    order, by_hash = np.argsort(hashes), np.argsort(own)
+    return Vocabulary(int(total[0]), int(total[1]), own[by_hash], by_hash + ENDING_CLASSES, hashes[order], n[order],
                       np.concatenate([np.log10(mass + kinds + 1), np.zeros(len(own))]),
                       np.log(weight / weight.sum()))
 
@@ -399,7 +433,7 @@ def train_network(learned: DataFrame, words: Vocabulary, rounds: int = ROUNDS, r
     def learn_from(network: Network, rate: float):
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, adam, seen = network.unpacked(np.frombuffer(network.packed(), np.float32)), Adam(rate), 0
-            tokens, held, size = Tokens(), [], 0
+            held, size = [], 0
 
             def pass_over() -> None:
                 classes, n = (np.concatenate(x) for x in zip(*held))
@@ -414,7 +448,7 @@ def train_network(learned: DataFrame, words: Vocabulary, rounds: int = ROUNDS, r
             for batch in batches:
                 texts = batch.column(0)
                 for lo, hi in cuts(texts):
-                    h, ending, n = tokens.of(texts[lo:hi].to_pylist())
+                    h, ending, n = tokens_of(texts[lo:hi].to_pylist())
                     held.append((lexicon.value.class_of(h, ending), n))
                     size += len(h)
                     seen += len(h)
@@ -452,11 +486,11 @@ def class_log10(network: Network, classes: np.ndarray, lengths: np.ndarray, begi
     x, y, keep, text = streams(classes, lengths, begin_class, lanes)
     out = np.zeros(len(lengths) + 1)
     h = np.zeros((x.shape[1], network.inner.shape[0]), np.float32)
-    states, room = np.empty((window, *h.shape), np.float32), Room()
+    states, room, split = np.empty((window, *h.shape), np.float32), Room(), network.split()
     for t in range(0, len(x), window):
         n = min(window, len(x) - t)
         for i in range(n):
-            h = network.step(x[t + i], h * keep[t + i][:, None])[0]
+            h = network.step(x[t + i], h * keep[t + i][:, None], split)[0]
             states[i] = h
         own = network.log_probabilities(states[:n].reshape(-1, h.shape[1]), y[t:t + n].ravel(), room)
         out += np.bincount(text[t:t + n].ravel() + 1, own, len(out))
@@ -480,21 +514,21 @@ def score(docs: DataFrame, doc_id: Column, text: Column, train: Column, rounds:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, net = shared.value
-        tokens, held, rows, size = Tokens(), [], [], 0
+        held, rows, size = [], [], 0
 
         def counted(texts: list[bytes | None], row: pa.Array, ids: pa.Array) -> pa.RecordBatch:
             """Looks up counts of one chunk of texts; what the table of frequent words lacks goes out to the join."""
-            h, ending, n = tokens.of(texts)
-            classes = lexicon.class_of(h, ending)
+            h, ending, n = tokens_of(texts)
+            at, back = different(h)
+            kinds, classes = h[at], lexicon.class_of(h[at], ending[at])
             text = np.repeat(np.arange(len(n)), n)
-            kinds, at, back = np.unique(h, return_index=True, return_inverse=True)
             found, count = lexicon.count_of(kinds)
-            own = classes[at] >= ENDING_CLASSES
-            total = lexicon.class_total[classes[at]]
+            own = classes >= ENDING_CLASSES
+            total = lexicon.class_total[classes]
             base = np.where(found, np.log10(count + 1) - lexicon.base_total, 0.0)
             inside = np.where(found & ~own, np.log10(count + 1) - total, 0.0)
             sums = [np.bincount(text, x[back], len(n)) for x in (base, inside, found)]
-            held.append((classes, n, *sums))
+            held.append((classes[back], n, *sums))
             rows.append((row, ids))
             rare = ~found[back]
             pairs, times = np.unique(text[rare] * len(kinds) + back[rare], return_counts=True)

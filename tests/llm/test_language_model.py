@@ -149,3 +149,23 @@ def test_odd_rows(odd, none):
     assert lm.score(none, none["doc_id"], none["text"], F.lit(True), rounds=1).count() == 0
     alone = lm.score(odd, odd["doc_id"], odd["text"], F.lit(False), rounds=1).collect()
     assert {(r["n_known"], r["train_tokens"]) for r in alone} == {(0, 0)} and len(alone) == len(rows)
+
+
+def test_tokens_without_a_python_value_for_each(monkeypatch):
+    """Tokens of a text are worked out in arrays; a counted word is hashed apart once a group of texts."""
+    texts = ["Ab c ÄÖü x.", None, "", " ab  C abcdefg. ", "é" * 50 + " Z"]
+    flat = [t for text in texts for t in tokens(text)]
+    h, ending, n = lm.tokens_of([t.encode() if t is not None else None for t in texts])
+    assert n.tolist() == [len(tokens(t)) for t in texts]
+    assert ending.tolist() == [-1 if t is None else lm.ending_class(t) for t in flat]
+    assert len(set(h.tolist())) == len(set(flat)) == len(set(zip(h.tolist(), flat)))
+    assert (h == lm.END).tolist() == [t is None for t in flat]
+
+
+def test_own_words_are_found_by_either_way():
+    rng = np.random.default_rng(2)
+    for own in (np.sort(rng.integers(1, 1 << 63, 9).astype(np.uint64)), np.arange(5, 14, dtype=np.uint64)):
+        words = lm.Vocabulary(1, 1, own, rng.permutation(9) + 80, own, own, own, own)
+        h = np.concatenate([own, own[:3] + np.uint64(100), own[::-1]])
+        want = [*words.own_class, 7, 7, 7, *words.own_class[::-1]]
+        assert words.class_of(h, np.full(len(h), 7, np.int16)).tolist() == want
